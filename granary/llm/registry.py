@@ -1,6 +1,12 @@
-"""Queries of the training-data operators."""
+"""Queries of the training-data operators, and SQL for those that SQL can express."""
 
+from .decontaminate import OP5_SQL, op5_suffix_automaton
+from .licenses import OP7_SQL, op7_license_sentences
 from .sharding import op10_virtual_slots
 
-QUERIES = {"op10_virtual_slots": op10_virtual_slots}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op5_suffix_automaton": op5_suffix_automaton,
+    "op7_license_sentences": op7_license_sentences,
+    "op10_virtual_slots": op10_virtual_slots,
+}
+ORACLES: dict[str, str] = {"op5_suffix_automaton": OP5_SQL, "op7_license_sentences": OP7_SQL}
