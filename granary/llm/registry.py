@@ -2,11 +2,15 @@
 
 from .decontaminate import OP5_SQL, op5_suffix_automaton
 from .licenses import OP7_SQL, op7_license_sentences
+from .minhash import op9_tensored_minhash
 from .sharding import op10_virtual_slots
+from .toxicity import op4_toxic_segments
 
 QUERIES = {
+    "op4_toxic_segments": op4_toxic_segments,
     "op5_suffix_automaton": op5_suffix_automaton,
     "op7_license_sentences": op7_license_sentences,
+    "op9_tensored_minhash": op9_tensored_minhash,
     "op10_virtual_slots": op10_virtual_slots,
 }
 ORACLES: dict[str, str] = {"op5_suffix_automaton": OP5_SQL, "op7_license_sentences": OP7_SQL}
