@@ -3,10 +3,14 @@
 from .decontaminate import OP5_SQL, op5_suffix_automaton
 from .licenses import OP7_SQL, op7_license_sentences
 from .minhash import op9_tensored_minhash
+from .pii import op1_skip_chain
 from .sharding import op10_virtual_slots
 from .toxicity import op4_toxic_segments
+from .viterbi import op3_streaming_viterbi
 
 QUERIES = {
+    "op1_skip_chain": op1_skip_chain,
+    "op3_streaming_viterbi": op3_streaming_viterbi,
     "op4_toxic_segments": op4_toxic_segments,
     "op5_suffix_automaton": op5_suffix_automaton,
     "op7_license_sentences": op7_license_sentences,
