@@ -1,6 +1,7 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 
 from .decontaminate import OP5_SQL, op5_suffix_automaton
+from .fingerprint import op6_invertible_bloom
 from .licenses import OP7_SQL, op7_license_sentences
 from .minhash import op9_tensored_minhash
 from .pii import op1_skip_chain
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_streaming_viterbi": op3_streaming_viterbi,
     "op4_toxic_segments": op4_toxic_segments,
     "op5_suffix_automaton": op5_suffix_automaton,
+    "op6_invertible_bloom": op6_invertible_bloom,
     "op7_license_sentences": op7_license_sentences,
     "op9_tensored_minhash": op9_tensored_minhash,
     "op10_virtual_slots": op10_virtual_slots,
