@@ -7,6 +7,7 @@ from .minhash import op9_tensored_minhash
 from .pii import op1_skip_chain
 from .sharding import op10_virtual_slots
 from .toxicity import op4_toxic_segments
+from .urlgraph import op8_trust_ranks
 from .viterbi import op3_streaming_viterbi
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_suffix_automaton": op5_suffix_automaton,
     "op6_invertible_bloom": op6_invertible_bloom,
     "op7_license_sentences": op7_license_sentences,
+    "op8_trust_ranks": op8_trust_ranks,
     "op9_tensored_minhash": op9_tensored_minhash,
     "op10_virtual_slots": op10_virtual_slots,
 }
