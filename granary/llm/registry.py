@@ -6,12 +6,14 @@ from .licenses import OP7_SQL, op7_license_sentences
 from .minhash import op9_tensored_minhash
 from .pii import op1_skip_chain
 from .sharding import op10_virtual_slots
+from .substrings import op2_repeated_substrings
 from .toxicity import op4_toxic_segments
 from .urlgraph import op8_trust_ranks
 from .viterbi import op3_streaming_viterbi
 
 QUERIES = {
     "op1_skip_chain": op1_skip_chain,
+    "op2_repeated_substrings": op2_repeated_substrings,
     "op3_streaming_viterbi": op3_streaming_viterbi,
     "op4_toxic_segments": op4_toxic_segments,
     "op5_suffix_automaton": op5_suffix_automaton,
