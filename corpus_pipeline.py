@@ -1,8 +1,57 @@
-"""The corpus pipeline: each stage reads what the one before wrote."""
+"""The corpus pipeline: toxic documents go, one document of each near-duplicate group stays, contaminated documents
+go, personal data is masked, and what is left is encoded.
 
-STAGES: list = []
+Each stage reads what the one before wrote as Parquet, so a lost executor costs the tasks of one stage at most.
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from granary.llm import decontaminate, minhash, pii, toxicity, viterbi
+from granary.llm.common import shared_folder, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.distinct_documents(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.masked(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return viterbi.encoded(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", mask_personal_data),
+    ("encoding", encode),
+]
+
+#: SQL expresses neither the trained stages nor the segmentation.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; the intermediate tables lie in the shared folder until the session ends."""
+    docs = table(spark, sf_dir, "documents")
+    place = os.path.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
+        docs = spark.read.parquet(f"{place}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
