@@ -27,6 +27,7 @@ CAP = 6.0  #: largest size of a token's score
 MIN_COUNT = 3  #: occurrences below which a token tells nothing
 ALPHA = 0.05  #: expected chance segments at which a passage still counts as significant
 FOLDS = 5
+TRAIN_ROWS = 50_000  #: labelled rows, about, that the token model is fitted on
 
 NOT_LETTER = bytes(0x20 if c < 0x41 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if c <= 0x5A else c for c in range(256))
 
@@ -57,11 +58,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(labelled: DataFrame, max_tokens: int = MAX_TOKENS) -> dict[bytes, float]:
-    """Token scores from all distinct texts of labelled (text, toxic); at most max_tokens come to the driver.
+    """Token scores from all rows of labelled (text, toxic); at most max_tokens come to the driver.
 
-    A token counts once in a text, and equal texts of one label count once, so that copies don't make words toxic.
+    A token counts once in a text.
     """
-    labelled = labelled.groupBy(F.xxhash64("text"), "toxic").agg(F.first("text").alias("text")).select("text", "toxic")
     counts = labelled.mapInArrow(_counts, "token binary, t long, c long").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     counts = cut_lineage(counts.where(F.col("t") + F.col("c") >= MIN_COUNT))
     total = counts.agg(F.sum("t"), F.sum("c")).first()
@@ -169,15 +169,23 @@ def _background(model: dict[bytes, float]):
     return run
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic of the labelled rows of the training folds; rows without a label of 0 or 1 don't count."""
-    kept = labels.where(F.col("toxic").isin(0, 1) & (fold() != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    return docs.select("doc_id", "text").join(kept, "doc_id")
+def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """text and toxic of a sample of about `most` labelled rows of the training folds, chosen by a hash of doc_id;
+    equal texts of one label once. Rows without a label of 0 or 1 don't count.
+
+    The sample's ids are few enough to be broadcast, so that no text is shuffled.
+    """
+    given = labels.where(F.col("toxic").isin(0, 1) & (fold() != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    share = most / max(most, given.count())
+    given = given.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h")).join(F.broadcast(given), "doc_id")
+    once = cut_lineage(hashed.groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic"))
+    return docs.select("doc_id", "text").join(F.broadcast(once), "doc_id").select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], float]:
     """Token scores and the Karlin lambda of clean training texts."""
-    rows = labelled_rows(docs, labels).select("text", "toxic")
+    rows = labelled_rows(docs, labels)
     model = train(rows)
     seen = rows.where("toxic = 0").select("text").mapInArrow(_background(model), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     return model, karlin([(r.s / 20, float(r.n)) for r in seen.collect()])  # at most 40 * CAP + 2 rows
