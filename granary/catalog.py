@@ -1,4 +1,376 @@
-"""All queries of the library and the SQL that they are checked against."""
+"""All queries of the library, and the SQL that they are checked against."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .functions import udfs
+from .operators import ledger, metrics, reasoning
+from .plans import corpus
+from .presets import FRENCH, LATIN
+from .sources import files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+SPACE_WORD = r"\S+"
+_CLEAN = r"""array_to_string(list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r\n|[\n\x0b\x0c\r]'), lambda x: trim(x, chr(32) || chr(9))),
+  lambda x: x <> '' AND len(regexp_extract_all(x, '\p{L}')) > 0 AND len(regexp_extract_all(x, '[A-Za-z]')) / len(regexp_extract_all(x, '\p{L}')) >= 0.95), chr(10))"""
+_SEGMENTS = f"""
+seg AS (SELECT doc_id, source, CASE WHEN doc_id % 4 = 0 THEN 'manual' ELSE 'downloaded' END AS bucket, text, {_CLEAN} AS clean FROM documents),
+tok AS (SELECT *, len(regexp_extract_all(CASE WHEN clean = '' THEN coalesce(text, '') ELSE clean END, '\\S+')) AS tokens FROM seg),
+judged AS (SELECT *, CASE WHEN clean = '' THEN 'impure' WHEN row_number() OVER (PARTITION BY clean ORDER BY source, doc_id) = 1 THEN 'kept' ELSE 'duplicate' END AS disposition FROM tok)
+"""
+_BUCKET = "concat('0x', substr(sha256(clean), 1, 15))::BIGINT % 100"
+_SPLIT = f"CASE WHEN {_BUCKET} < 98 THEN 'train' WHEN {_BUCKET} < 99 THEN 'val' ELSE 'test' END"
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bucket = F.when(F.col("doc_id") % 4 == 0, "manual").otherwise("downloaded")
+    return _read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("pos"), bucket.alias("bucket"), "text")
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.judged(_segments(spark, sf_dir), LATIN)
+
+
+@query(f"WITH {_SEGMENTS}, s AS (SELECT {_SPLIT} AS split, tokens FROM judged WHERE disposition = 'kept') SELECT coalesce(split, 'all') AS split, count(*) AS documents, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens, round(100.0 * sum(tokens) / (SELECT sum(tokens) FROM s), 6) AS percent FROM s GROUP BY ROLLUP (split)")
+def corpus_splits(spark, sf_dir):
+    return corpus.split_report(_judged(spark, sf_dir).where("disposition = 'kept'"))
+
+
+_COUNTS = ", ".join([f"count(*) FILTER (disposition = '{d}') AS {d}_segments, CAST(coalesce(sum(tokens) FILTER (disposition = '{d}'), 0) AS BIGINT) AS {d}_tokens" for d in ("impure", "suspect", "duplicate", "kept")])
+
+
+@query(f"WITH {_SEGMENTS} SELECT bucket, count(*) AS scanned, {_COUNTS} FROM judged GROUP BY bucket")
+def segment_accounting(spark, sf_dir):
+    return corpus.accounting(_judged(spark, sf_dir))
+
+
+@query(f"WITH {_SEGMENTS}, t AS (SELECT CAST(sum(tokens) AS BIGINT) AS tokens, CAST(coalesce(sum(tokens) FILTER (bucket = 'manual'), 0) AS BIGINT) AS manual FROM judged WHERE disposition = 'kept') SELECT tokens, manual, round(100.0 * manual / tokens, 6) AS manual_percent, round(100.0 * tokens / 1000000, 6) AS target_percent, manual >= 200000 AS quota_met, CAST(round_even(tokens * 1.494, 0) AS BIGINT) AS estimated_tokens FROM t")
+def quota_report(spark, sf_dir):
+    return corpus.quota(corpus.accounting(_judged(spark, sf_dir)), 1_000_000, 1.494)
+
+
+@query(f"WITH {_SEGMENTS} SELECT doc_id AS pos, source, sha256(clean) AS fp FROM judged WHERE disposition = 'kept'")
+def exact_dedup_first_wins(spark, sf_dir):
+    return _judged(spark, sf_dir).where("disposition = 'kept'").select("pos", "source", "fp")
+
+
+@query(r"SELECT doc_id, round(coalesce(len(regexp_extract_all(text, '[A-Za-z]')) / nullif(len(regexp_extract_all(text, '\p{L}')), 0), 0.0), 6) AS ratio FROM documents")
+def script_ratio(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.round(T.script_ratio(F.col("text"), LATIN), 6).alias("ratio"))
+
+
+@query(rf"SELECT doc_id, sha256({_CLEAN}) AS clean_sha256, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '\r\n|[\n\x0b\x0c\r]'), lambda x: trim(x, chr(32) || chr(9)) <> '')) - CASE WHEN {_CLEAN} = '' THEN 0 ELSE len(string_split({_CLEAN}, chr(10))) END AS BIGINT) AS dropped FROM documents")
+def line_purity(spark, sf_dir):
+    c = T.clean(F.coalesce(F.col("text"), F.lit("")), LATIN)
+    return _read(spark, sf_dir, "documents").select("doc_id", T.fingerprint(c["text"]).alias("clean_sha256"), c["dropped"].cast("bigint").alias("dropped"))
+
+
+@query("SELECT doc_id, sha256(nfc_normalize(coalesce(text, ''))) AS nfc_sha256 FROM documents")
+def unicode_normal_form(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", T.fingerprint(udfs.nfc(F.coalesce(F.col("text"), F.lit("")))).alias("nfc_sha256"))
+
+
+@query("SELECT lang, count(*) AS n, count(*) FILTER (b < 30 OR m / b >= 0.005) AS likely FROM (SELECT lang, len(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]')) AS b, len(regexp_extract_all(text, '[éèêç]')) AS m FROM documents) GROUP BY lang")
+def language_markers(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(T.likely_language(F.col("text"), FRENCH)).alias("likely"))
+
+
+@query(r"SELECT lang, count(*) AS n, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '\S+'))) AS BIGINT) AS tokens, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS bytes FROM documents GROUP BY lang")
+def rough_tokens_by_lang(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(T.rough_tokens(F.col("text"))).cast("bigint").alias("tokens"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes"))
+
+
+@query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
+def done_anti_join(spark, sf_dir):
+    return ledger.pending(_read(spark, sf_dir, "documents").select("doc_id"), _read(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("WITH l AS (SELECT CASE WHEN quality = 1 THEN 'good' WHEN toxic = 1 THEN 'bad' ELSE 'other' END AS ns, CAST(doc_id AS VARCHAR) AS k FROM labels) SELECT CAST(doc_id AS VARCHAR) AS key FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT k FROM l WHERE ns IN ('good', 'bad'))")
+def cross_namespace_anti_join(spark, sf_dir):
+    ns = F.when(F.col("quality") == 1, "good").when(F.col("toxic") == 1, "bad").otherwise("other")
+    book = _read(spark, sf_dir, "labels").select(ns.alias("namespace"), F.col("doc_id").cast("string").alias("key"))
+    return ledger.pending_elsewhere(_read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key")), book, ["good", "bad"])
+
+
+@query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 7")
+def batch_cap_per_source(spark, sf_dir):
+    return ledger.first_n(_read(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 7)
+
+
+_T = r"SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '\S+')) AS BIGINT) AS tokens FROM documents"
+
+
+@query(f"SELECT doc_id, source, tokens FROM (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM ({_T})) WHERE s < 5000")
+def token_cap_prefix(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").select("doc_id", "source", T.rough_tokens(F.col("text")).cast("bigint").alias("tokens"))
+    return ledger.token_prefix(rows, "source", "doc_id", "tokens", 5000)
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM ({_T})),
+f AS (SELECT source, doc_id, tokens, i, 0 AS shard, tokens AS held FROM t WHERE i = 1 UNION ALL
+SELECT t.source, t.doc_id, t.tokens, t.i, CASE WHEN f.held >= 2000 THEN f.shard + 1 ELSE f.shard END, CASE WHEN f.held >= 2000 THEN t.tokens ELSE f.held + t.tokens END FROM f JOIN t ON t.source = f.source AND t.i = f.i + 1)
+SELECT source, doc_id, tokens, CAST(shard AS BIGINT) AS shard FROM f""")
+def shard_fold(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").select("doc_id", "source", T.rough_tokens(F.col("text")).cast("bigint").alias("tokens"))
+    return ledger.shards(rows, "source", "doc_id", "tokens", 2000)
+
+
+@query(r"SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, max(page_id) AS page_id, arg_max(url, page_id) AS url FROM pages GROUP BY 1")
+def latest_capture_per_host(spark, sf_dir):
+    rows = _read(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), "page_id", "url")
+    return ledger.last_per_key(rows, ["host"], F.col("page_id"))
+
+
+@query("SELECT page_id, rtrim(split_part(url, '?', 1), '/') AS canonical, substr(lower(trim(regexp_replace(url, '[^0-9A-Za-z]+', '_', 'g'), '_')), 1, 40) AS slug, substr(lower(trim(regexp_replace(url, '[^0-9A-Za-z]+', '_', 'g'), '_')), 1, 40) || '_' || substr(sha256(url), 1, 8) AS hashed_slug FROM pages")
+def url_names(spark, sf_dir):
+    u = F.col("url")
+    return _read(spark, sf_dir, "pages").select("page_id", T.canonical_url(u).alias("canonical"), T.slug(u, 40).alias("slug"), T.hashed_slug(u, 40).alias("hashed_slug"))
+
+
+@query()
+def article_text(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", udfs.container_text("article")("html").alias("text"))
+
+
+@query("""SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']?([^"'' >]+)', 1))) AS link FROM pages""")
+def page_links(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", F.explode(files.links(F.col("html"))).alias("link"))
+
+
+_W = r"list_filter(string_split_regex(trim(coalesce(text, '')), '\s+'), lambda x: x <> '')"
+_GEN = f"""WITH w AS (SELECT lang, {_W} AS w FROM documents),
+g AS (SELECT lang, w, list_transform(range(1, greatest(len(w), 1)), lambda k: w[k:k+1]) AS b, list_transform(range(2, len(w) // 3 + 1), lambda p: w[len(w)-3*p+1:len(w)-2*p] = w[len(w)-2*p+1:len(w)-p] AND w[len(w)-2*p+1:len(w)-p] = w[len(w)-p+1:len(w)]) AS l FROM w)
+SELECT lang, count(*) AS n, round(avg(CASE WHEN len(b) > 0 THEN 1 - len(list_distinct(b)) / len(b) ELSE 0 END), 6) AS repetition, round(avg(CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0 END), 6) AS distinct_1,
+round(avg(CASE WHEN len(b) > 0 THEN len(list_distinct(b)) / len(b) ELSE 0 END), 6) AS distinct_2, round(avg(CASE WHEN list_contains(l, true) THEN 1 ELSE 0 END), 6) AS loops FROM g GROUP BY lang"""
+
+
+@query(_GEN)
+def generation_metrics(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").select("lang", F.filter(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "").alias("ids"))
+    return metrics.generation_summary(rows, "lang")
+
+
+@query()
+def collapse_repeats(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", T.fingerprint(T.collapse_repeats(F.col("text"))).alias("sha256"), (T.collapse_repeats(F.col("text")) != F.col("text")).alias("changed"))
+
+
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type")
+def consecutive_dedup(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return ledger.consecutive_distinct(rows, "user_id", "event_id", "event_type")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def ledger_latest_status(spark, sf_dir):
+    return ledger.last_per_key(_read(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], F.col("event_id"))
+
+
+@query("WITH a AS (SELECT user_id AS key, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events QUALIFY n <= 2) SELECT key, CAST(coalesce(min(n) FILTER (ok), max(n)) AS BIGINT) AS tries, CASE WHEN bool_or(ok) THEN 'done' WHEN max(n) < 2 THEN 'retry' ELSE 'given_up' END AS state FROM a GROUP BY key")
+def retry_plan(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("pos"), (F.col("event_type") == "purchase").alias("ok"))
+    return ledger.retry_plan(rows)
+
+
+@query("SELECT event_type, round(sum(value), 6) AS words, round(sum(value) / sum(event_id % 60 + 1) * 3600, 6) AS words_per_hour FROM events GROUP BY event_type")
+def source_throughput(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select("event_type", F.col("value").alias("words"), (F.col("event_id") % 60 + 1).alias("elapsed_s"))
+    return ledger.throughput(rows, "event_type").withColumn("words", F.round("words", 6))
+
+
+@query("SELECT lang, count(*) AS n, round(avg(CASE WHEN p = e THEN 1 ELSE 0 END), 6) AS strict, round(avg(CASE WHEN starts_with(p, e) THEN 1 ELSE 0 END), 6) AS lenient FROM (SELECT role AS lang, trim(text) AS p, trim(CASE WHEN turn % 3 = 0 THEN text WHEN turn % 3 = 1 THEN substr(text, 1, 10) ELSE 'other' END) AS e FROM conversations) GROUP BY lang")
+def exact_match(spark, sf_dir):
+    expected = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, F.substring("text", 1, 10)).otherwise("other")
+    return metrics.exact_match(_read(spark, sf_dir, "conversations").select(F.col("role").alias("lang"), F.col("text").alias("predicted"), expected.alias("expected")), "lang")
+
+
+@query("""WITH p AS (SELECT conv_id, turn, role AS grp, string_split_regex(trim(text), '\\s+') AS hyp, lag(string_split_regex(trim(text), '\\s+')) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations),
+r AS (SELECT row_number() OVER () AS id, * FROM p WHERE ref IS NOT NULL),
+o AS (SELECT unnest(range(1, 5)) AS n),
+h AS (SELECT grp, id, n, g, count(*) AS c FROM (SELECT grp, id, n, unnest(list_transform(range(1, greatest(len(hyp) - n + 2, 1)), lambda k: array_to_string(hyp[k:k+n-1], ' '))) AS g FROM r, o) GROUP BY ALL),
+f AS (SELECT grp, id, n, g, count(*) AS c FROM (SELECT grp, id, n, unnest(list_transform(range(1, greatest(len(ref) - n + 2, 1)), lambda k: array_to_string(ref[k:k+n-1], ' '))) AS g FROM r, o) GROUP BY ALL),
+m AS (SELECT h.grp, h.n, sum(least(h.c, coalesce(f.c, 0))) AS m, sum(h.c) AS t FROM h LEFT JOIN f USING (grp, id, n, g) GROUP BY ALL),
+l AS (SELECT grp, sum(len(hyp)) AS hl, sum(len(ref)) AS rl FROM r GROUP BY grp)
+SELECT grp, round(CASE WHEN min(m) > 0 AND count(*) = 4 THEN 100 * CASE WHEN any_value(hl) >= any_value(rl) THEN 1 ELSE exp(1 - any_value(rl) / any_value(hl)) END * exp(avg(ln(CASE WHEN m > 0 THEN m / t ELSE 1 END))) ELSE 0.0 END, 6) AS bleu FROM m JOIN l USING (grp) GROUP BY grp""")
+def bleu(spark, sf_dir):
+    return metrics.bleu(_pairs(spark, sf_dir), "grp")
+
+
+def _pairs(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    words = F.split(F.trim("text"), r"\s+")
+    rows = _read(spark, sf_dir, "conversations").select(F.col("role").alias("grp"), words.alias("hyp"), F.lag(words).over(w).alias("ref"), F.col("text").alias("hyp_text"), F.lag("text").over(w).alias("ref_text"))
+    return rows.where("ref is not null")
+
+
+@query()
+def chrf(spark, sf_dir):
+    return metrics.chrf(_pairs(spark, sf_dir), "grp", "hyp_text", "ref_text", order=3)
+
+
+@query()
+def rouge_l(spark, sf_dir):
+    return metrics.rouge(_pairs(spark, sf_dir), "grp")
+
+
+_LOG = "(SELECT CAST(id AS BIGINT) % 3 AS run, CAST(id AS BIGINT) // 3 AS epoch, round(2 + cos((id // 3) * 0.7 + id % 3), 6) AS loss FROM range(120) t(id))"
+
+
+@query(f"""WITH g AS (SELECT *, min(loss) OVER w AS best, min(loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb FROM {_LOG} WINDOW w AS (PARTITION BY run ORDER BY epoch)),
+a AS (SELECT *, max(CASE WHEN pb IS NULL OR loss < pb THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS fell FROM g),
+s AS (SELECT run, coalesce(min(CASE WHEN epoch - fell >= 5 THEN epoch END), max(epoch)) AS stopped FROM a GROUP BY run)
+SELECT run, fell AS best_epoch, best AS best_loss, stopped FROM a JOIN s USING (run) WHERE epoch = stopped""")
+def early_stop(spark, sf_dir):
+    log = spark.range(120).select((F.col("id") % 3).alias("run"), F.floor(F.col("id") / 3).alias("epoch"))
+    return metrics.best_epoch(log.withColumn("loss", F.round(2 + F.cos(F.col("epoch") * 0.7 + F.col("run")), 6)), 5)
+
+
+@query("SELECT CAST(id AS BIGINT) AS step, round(CASE WHEN id < 20 THEN 0.001 * (id + 1) / 20 ELSE 0.0001 + 0.5 * (1 + cos(pi() * least(1.0, (id - 20) / 180))) * 0.0009 END, 9) AS lr FROM range(250) t(id)")
+def lr_schedule(spark, sf_dir):
+    return spark.range(250).select(F.col("id").alias("step"), F.round(metrics.learning_rate(F.col("id"), 0.001, 0.0001, 20, 200), 9).alias("lr"))
+
+
+@query("WITH t AS (SELECT label AS rank, avg(embedding[1]) + 1 AS loss FROM embeddings GROUP BY label), b AS (SELECT min(loss) AS b FROM t) SELECT min(rank) AS rank, round(arg_min(loss, rank), 5) AS loss FROM t, b WHERE loss <= b + 0.02")
+def sweep_pick(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("rank")).agg((F.avg(F.get("embedding", 0)) + 1).alias("loss"))
+    return metrics.smallest_within(rows, "rank", "loss").withColumn("loss", F.round("loss", 5))
+
+
+@query("WITH t AS (SELECT l_linenumber AS batch, count(*) AS tok_s, avg(l_discount) AS loss FROM lineitem GROUP BY 1), b AS (SELECT loss AS b FROM t WHERE batch = 3) SELECT arg_max(batch, tok_s) AS batch, max(tok_s) AS tok_s FROM t, b WHERE loss <= b * 1.05")
+def batch_pick(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("batch")).agg(F.count(F.lit(1)).alias("tok_s"), F.avg("l_discount").alias("loss")).withColumn("pos", F.col("batch"))
+    return metrics.fastest_sound(rows, baseline=3)
+
+
+@query("""WITH e AS (SELECT vec_id, embedding[1:8] AS v FROM embeddings),
+s AS (SELECT vec_id AS example, vec_id % 2 AS layer, q, k, exp(CAST(v[q+1] AS DOUBLE) * CAST(v[k+1] AS DOUBLE)) AS x FROM e, range(8) a(q), range(8) b(k) WHERE k <= q),
+p AS (SELECT *, x / sum(x) OVER (PARTITION BY example, q) AS p FROM s),
+h AS (SELECT layer, example, q, sum(-p * ln(p + 1e-12)) AS h, sum(p * (q - k)) AS d FROM p WHERE q >= 1 GROUP BY ALL),
+x AS (SELECT layer, example, avg(h) AS h, avg(d) AS d FROM h GROUP BY ALL)
+SELECT layer, CAST(0 AS INTEGER) AS head, round(avg(h), 6) AS entropy, round(avg(d), 6) AS distance FROM x GROUP BY layer""")
+def attention_summary(spark, sf_dir):
+    from pyspark.sql import Window
+
+    v = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("example"), F.slice("embedding", 1, 8).alias("v"))
+    q = v.select("example", "v", F.posexplode("v").alias("q", "a"))
+    k = q.select("example", "q", "a", F.posexplode("v").alias("k", "b")).where("k <= q")
+    x = k.withColumn("x", F.exp(F.col("a").cast("double") * F.col("b").cast("double")))
+    p = x.withColumn("p", F.col("x") / F.sum("x").over(Window.partitionBy("example", "q")))
+    return metrics.attention_summary(p.withColumns({"layer": F.col("example") % 2, "head": F.lit(0)}))
+
+
+@query(f"""WITH w AS (SELECT lang, unnest({_W}) AS w FROM documents), a AS (SELECT w, count(*) AS c FROM w GROUP BY w), t AS (SELECT sum(c) AS total, count(*) AS kinds FROM a),
+s AS (SELECT lang, sum(-ln((c + 1) / (total + kinds))) AS loss, count(*) AS tokens FROM w JOIN a USING (w), t GROUP BY lang), b AS (SELECT lang, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY lang)
+SELECT lang, tokens, bytes, round(loss / tokens, 6) AS cross_entropy, round(exp(loss / tokens), 4) AS perplexity, round(loss * log2(exp(1)) / bytes, 6) AS bits_per_byte FROM s JOIN b USING (lang)""")
+def ppl_bpb(spark, sf_dir):
+    got = metrics.perplexity(metrics.unigram_losses(_read(spark, sf_dir, "documents"), "lang"))
+    return got.select("lang", "tokens", "bytes", "cross_entropy", F.round("perplexity", 4).alias("perplexity"), "bits_per_byte")
+
+
+@query("SELECT l_returnflag AS split, round(sum(l_discount * m) / greatest(sum(m), 1), 6) AS loss FROM (SELECT *, CASE WHEN l_linenumber > 3 THEN 1 ELSE 0 END AS m FROM lineitem) GROUP BY 1")
+def masked_loss(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("split"), F.col("l_discount").alias("loss"), (F.col("l_linenumber") > 3).cast("int").alias("mask"))
+    return metrics.masked_loss(rows, "split")
+
+
+@query("SELECT epoch, round(avg(l), 6) AS loss FROM (SELECT l_linenumber AS epoch, l_suppkey AS batch, avg(l_tax) AS l FROM lineitem GROUP BY ALL) GROUP BY epoch")
+def epoch_loss(spark, sf_dir):
+    return metrics.epoch_loss(_read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("epoch"), F.col("l_suppkey").alias("batch"), F.col("l_tax").alias("loss")))
+
+
+@query("SELECT CAST(i AS BIGINT) AS i, CAST(i * (SELECT (sum(n_chars) - 1) // 256 FROM documents) // 50 * 256 AS BIGINT) AS start FROM range(50) t(i)")
+def even_windows(spark, sf_dir):
+    n = _read(spark, sf_dir, "documents").agg(F.sum("n_chars")).first()[0]
+    return metrics.even_starts(metrics.windows(n, 256), 50, 256, spark)
+
+
+@query("SELECT CAST(s AS BIGINT) AS step, CAST(b AS BIGINT) AS b, CAST((s * 4 * 256) % (100000 - 257) + b * 256 AS BIGINT) AS start FROM range(200) x(s), range(4) y(b)")
+def batch_windows(spark, sf_dir):
+    rows = spark.range(200).select(F.col("id").alias("step"), F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")).alias("b"))
+    return rows.withColumn("start", metrics.batch_starts(F.col("step"), F.col("b"), 4, 256, 100_000))
+
+
+@query("WITH h AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 10 = 0), t AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 10 <> 0) SELECT count(*) FILTER (k IN (SELECT k FROM t)) AS shared, count(*) FILTER (k NOT IN (SELECT k FROM t)) AS only_held FROM h")
+def leakage_check(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders")
+    return ledger.leakage(o.where("o_orderkey % 10 <> 0"), o.where("o_orderkey % 10 = 0"), ["o_custkey"])
+
+
+@query(f"SELECT status, count(*) AS n FROM (SELECT CASE WHEN len({_W}) < 30 THEN 'too_short_or_no_article' WHEN len(regexp_extract_all({_CLEAN}, '\\S+')) < 30 THEN 'filtered_below_min_words' ELSE 'done' END AS status FROM documents) GROUP BY status")
+def min_words_status(spark, sf_dir):
+    c = T.clean(F.coalesce(F.col("text"), F.lit("")), LATIN)["text"]
+    status = F.when(T.rough_tokens(F.col("text")) < 30, "too_short_or_no_article").when(T.rough_tokens(c) < 30, "filtered_below_min_words").otherwise("done")
+    return _read(spark, sf_dir, "documents").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_brand AS prefix, unnest(['ps'] || list_transform(range(1, max(p_size) + 1), lambda i: lpad(CAST(i AS VARCHAR), 2, '0'))) AS code FROM part GROUP BY p_brand")
+def chapter_codes(spark, sf_dir):
+    return files.chapters(_read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("prefix")).agg(F.max("p_size").alias("n")))
+
+
+@query('SELECT o_custkey AS file, start, coalesce(lead(start) OVER (PARTITION BY o_custkey ORDER BY start), 10000000) AS "end" FROM (SELECT DISTINCT o_custkey, o_orderkey AS start FROM orders)')
+def byte_ranges(spark, sf_dir):
+    return ledger.byte_ranges(_read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("offset")), 10_000_000, "file")
+
+
+@query("""WITH s AS (SELECT o_custkey AS site, o_orderkey AS page, o_orderstatus <> 'F' AS full_, sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+e AS (SELECT *, sum(CASE WHEN NOT full_ THEN 1 ELSE 0 END) OVER (PARTITION BY site, i ORDER BY page) AS e FROM s)
+SELECT site, page, "full" FROM (SELECT site, page, full_ AS "full", max(e) OVER (PARTITION BY site ORDER BY page) AS m FROM e) WHERE m < 2""")
+def before_empty_pages(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("site"), F.col("o_orderkey").alias("page"), (F.col("o_orderstatus") != "F").alias("full"))
+    return ledger.before_empty_run(rows, "site", "page", "full")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT p_partkey // 3 AS parent, p_partkey AS child FROM part WHERE p_partkey // 3 <> p_partkey), r AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION ALL SELECT child, depth + 1 FROM r JOIN e ON e.parent = r.node)
+SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node""")
+def sitemap_crawl(spark, sf_dir):
+    edges = _read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 3).alias("parent"), F.col("p_partkey").alias("child")).where("parent <> child")
+    return ledger.reachable(edges, spark.range(1, 2).withColumnRenamed("id", "node"))
+
+
+@query()
+def reasoning_dataset(spark, sf_dir):
+    return reasoning.dataset(spark)
+
+
+@query()
+def reasoning_variety(spark, sf_dir):
+    return reasoning.variety(reasoning.dataset(spark))
+
+
+@query("SELECT doc_id, len(w) AS n, CAST(127 AS INTEGER) AS places, CAST(3 AS BIGINT) AS answer_places FROM (SELECT doc_id, list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x <> '')[1:100] AS w FROM documents)")
+def training_triples(spark, sf_dir):
+    ids = F.transform(F.slice(F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != ""), 1, 100), lambda w: F.pmod(F.hash(w), F.lit(8000)))
+    t = reasoning.training_triple(F.col("ids"), F.array(F.lit(7), F.lit(8)))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")).withColumn("t", t)
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n"), F.size("t.x").alias("places"), F.aggregate("t.mask", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("answer_places"))
+
+
+@query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(trim(coalesce(text, '')), '[\[\]{}]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS prose_sha256 FROM documents")
+def wiki_prose(spark, sf_dir):
+    t = T.wiki_prose_end(udfs.unescape(T.wiki_prose(F.coalesce(F.col("text"), F.lit("")))))
+    return _read(spark, sf_dir, "documents").select("doc_id", T.fingerprint(t).alias("prose_sha256"))
