@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.udfs import shard_fold
+from ..plans.lineage import cut_lineage
 
 #: Values of the status column.
 STATUSES = (
@@ -100,14 +101,17 @@ def refetch(children: DataFrame, cache: DataFrame, newest: int = 5, most: int =
 
 
 def reachable(edges: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
-    """node, depth of what a crawl of (parent, child) edges from roots (node) reaches, breadth first."""
-    frontier = seen = roots.select("node").distinct().withColumn("depth", F.lit(0))
+    """node, depth of what a crawl of (parent, child) edges from roots (node) reaches, breadth first.
+
+    Each depth is cut off by a checkpoint, so that the plan doesn't grow with the depth.
+    """
+    seen = frontier = cut_lineage(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, most + 1):
         step = frontier.join(edges, frontier.node == edges.parent).select(F.col("child").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
+        frontier = cut_lineage(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = cut_lineage(seen.unionByName(frontier))
     return seen
 
 

@@ -53,22 +53,30 @@ def seed_means(rows: DataFrame, by: str, value: str, digits: int = 4) -> DataFra
     return rows.groupBy(by).agg(F.round(F.avg(F.round(value, digits)), digits).alias(value))
 
 
+def _matched(rows: DataFrame, by: str, hyp: str, ref: str, order: int) -> DataFrame:
+    """by, n, matches (clipped by row), hyps, refs: n-gram counts summed over the rows of a group.
+
+    N-grams are counted in hash aggregates, so a long row costs its length and not its square.
+    """
+    rows = rows.select(by, F.monotonically_increasing_id().alias("_id"), hyp, ref)
+    grams = lambda c: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(order)), lambda n: F.transform(ngrams(c, n), lambda g: F.struct(n.alias("n"), F.xxhash64(g).alias("g")))))
+    each = rows.select(by, "_id", F.explode(F.concat(F.transform(grams(F.col(hyp)), lambda s: F.struct(s["n"].alias("n"), s["g"].alias("g"), F.lit(1).alias("h"), F.lit(0).alias("r"))), F.transform(grams(F.col(ref)), lambda s: F.struct(s["n"].alias("n"), s["g"].alias("g"), F.lit(0).alias("h"), F.lit(1).alias("r"))))).alias("s"))
+    counts = each.select(by, "_id", "s.*").groupBy(by, "_id", "n", "g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
+    return counts.groupBy(by, "n").agg(F.sum(F.least("h", "r")).alias("matches"), F.sum("h").alias("hyps"), F.sum("r").alias("refs"))
+
+
 def bleu(rows: DataFrame, by: str, hyp: str = "hyp", ref: str = "ref", order: int = 4) -> DataFrame:
     """Corpus BLEU of word arrays: clipped matches and totals are summed over a group before the geometric mean.
 
     An order without matches makes 0. One reference a row.
     """
-    sums = []
-    for n in range(1, order + 1):
-        h, r = ngrams(F.col(hyp), n), ngrams(F.col(ref), n)
-        count = lambda a, x: F.size(F.filter(a, lambda y: y == x))
-        clipped = F.aggregate(F.array_distinct(h), F.lit(0), lambda acc, x: acc + F.least(count(h, x), count(r, x)))  # noqa: B023
-        sums += [F.sum(clipped).alias(f"m{n}"), F.sum(F.size(h)).alias(f"t{n}")]
-    got = rows.groupBy(by).agg(*sums, F.sum(F.size(hyp)).alias("hl"), F.sum(F.size(ref)).alias("rl"))
-    logs = sum(F.log(F.col(f"m{n}") / F.col(f"t{n}")) for n in range(1, order + 1)) / order
-    alive = F.least(*(F.col(f"m{n}") for n in range(1, order + 1))) > 0
+    m = _matched(rows, by, hyp, ref, order).groupBy(by).agg(
+        F.count_if((F.col("matches") > 0)).alias("alive"),
+        F.avg(F.log(F.when(F.col("matches") > 0, F.col("matches") / F.col("hyps")).otherwise(1.0))).alias("mean"),
+        F.max(F.when(F.col("n") == 1, F.col("hyps"))).alias("hl"), F.max(F.when(F.col("n") == 1, F.col("refs"))).alias("rl"),
+    )
     brevity = F.when(F.col("hl") >= F.col("rl"), 1.0).otherwise(F.exp(1 - F.col("rl") / F.col("hl")))
-    return got.select(by, F.round(F.when(alive, 100 * brevity * F.exp(logs)).otherwise(0.0), 6).alias("bleu"))
+    return m.select(by, F.round(F.when(F.col("alive") == order, 100 * brevity * F.exp("mean")).otherwise(0.0), 6).alias("bleu"))
 
 
 def chrf(rows: DataFrame, by: str, hyp: str = "hyp", ref: str = "ref", order: int = 6, beta: float = 2.0) -> DataFrame:
@@ -77,21 +85,11 @@ def chrf(rows: DataFrame, by: str, hyp: str = "hyp", ref: str = "ref", order: in
     References are one string a row, not streams of characters.
     """
     chars = lambda c: F.filter(F.split(F.regexp_replace(c, r"(?U)\s", ""), ""), lambda x: x != "")
-    rows = rows.withColumns({"_h": chars(F.col(hyp)), "_r": chars(F.col(ref))})
-    sums = []
-    for n in range(1, order + 1):
-        h, r = ngrams(F.col("_h"), n), ngrams(F.col("_r"), n)
-        count = lambda a, x: F.size(F.filter(a, lambda y: y == x))
-        both = F.aggregate(F.array_distinct(h), F.lit(0), lambda acc, x: acc + F.least(count(h, x), count(r, x)))  # noqa: B023
-        sums += [F.sum(both).alias(f"m{n}"), F.sum(F.size(h)).alias(f"h{n}"), F.sum(F.size(r)).alias(f"r{n}")]
-    got = rows.groupBy(by).agg(*sums)
-
-    def f(n: int) -> Column:
-        p, r = F.col(f"m{n}") / F.nullif(f"h{n}", F.lit(0)), F.col(f"m{n}") / F.nullif(f"r{n}", F.lit(0))
-        return F.coalesce((1 + beta**2) * p * r / F.nullif(beta**2 * p + r, F.lit(0.0)), F.lit(0.0))
-
-    present = sum(F.when((F.col(f"h{n}") > 0) & (F.col(f"r{n}") > 0), 1).otherwise(0) for n in range(1, order + 1))
-    return got.select(by, F.round(F.coalesce(100 * sum(f(n) for n in range(1, order + 1)) / F.nullif(present, F.lit(0)), F.lit(0.0)), 6).alias("chrf"))
+    got = _matched(rows.withColumns({"_h": chars(F.col(hyp)), "_r": chars(F.col(ref))}), by, "_h", "_r", order)
+    p, r = F.col("matches") / F.nullif("hyps", F.lit(0)), F.col("matches") / F.nullif("refs", F.lit(0))
+    f = F.coalesce((1 + beta**2) * p * r / F.nullif(beta**2 * p + r, F.lit(0.0)), F.lit(0.0))
+    both = (F.col("hyps") > 0) & (F.col("refs") > 0)
+    return got.groupBy(by).agg(F.round(F.coalesce(100 * F.avg(F.when(both, f)), F.lit(0.0)), 6).alias("chrf"))
 
 
 def rouge(rows: DataFrame, by: str, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
