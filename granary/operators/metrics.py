@@ -58,11 +58,16 @@ def _matched(rows: DataFrame, by: str, hyp: str, ref: str, order: int) -> DataFr
 
     N-grams are counted in hash aggregates, so a long row costs its length and not its square.
     """
-    rows = rows.select(by, F.monotonically_increasing_id().alias("_id"), hyp, ref)
-    grams = lambda c: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(order)), lambda n: F.transform(ngrams(c, n), lambda g: F.struct(n.alias("n"), F.xxhash64(g).alias("g")))))
-    each = rows.select(by, "_id", F.explode(F.concat(F.transform(grams(F.col(hyp)), lambda s: F.struct(s["n"].alias("n"), s["g"].alias("g"), F.lit(1).alias("h"), F.lit(0).alias("r"))), F.transform(grams(F.col(ref)), lambda s: F.struct(s["n"].alias("n"), s["g"].alias("g"), F.lit(0).alias("h"), F.lit(1).alias("r"))))).alias("s"))
-    counts = each.select(by, "_id", "s.*").groupBy(by, "_id", "n", "g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    return counts.groupBy(by, "n").agg(F.sum(F.least("h", "r")).alias("matches"), F.sum("h").alias("hyps"), F.sum("r").alias("refs"))
+    rows = rows.select(F.col(by).alias("_by"), F.monotonically_increasing_id().alias("_id"), F.col(hyp).alias("_x"), F.col(ref).alias("_y"))
+
+    def grams(c: str, in_hyp: int) -> Column:
+        by_order = lambda n: F.transform(ngrams(F.col(c), n), lambda g: F.struct(n.alias("n"), F.xxhash64(g).alias("g"), F.lit(in_hyp).alias("h"), F.lit(1 - in_hyp).alias("r")))
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(order)), by_order))
+
+    each = rows.select("_by", "_id", F.explode(F.concat(grams("_x", 1), grams("_y", 0))).alias("s")).select("_by", "_id", "s.*")
+    counts = each.groupBy("_by", "_id", "n", "g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
+    sums = counts.groupBy("_by", "n").agg(F.sum(F.least("h", "r")).alias("matches"), F.sum("h").alias("hyps"), F.sum("r").alias("refs"))
+    return sums.withColumnRenamed("_by", by)
 
 
 def bleu(rows: DataFrame, by: str, hyp: str = "hyp", ref: str = "ref", order: int = 4) -> DataFrame:
