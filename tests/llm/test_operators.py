@@ -1,0 +1,281 @@
+"""The training-data operators against brute force, and on nulls, empty and repeated rows and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from granary.llm import decontaminate, fingerprint, licenses, minhash, pii, sharding, substrings, toxicity, urlgraph
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def corpus(seed=1, n=40):
+    r = random.Random(seed)
+    vocab = [f"w{i}é" if i % 9 == 0 else f"W{i}" for i in range(400)]
+    texts = [" ".join(r.choice(vocab) for _ in range(r.randint(1, 120))) for _ in range(n)]
+    for i in range(0, n, 4):  # near copies and copies
+        w = texts[i].split()
+        w[len(w) // 2] = "changed"
+        texts += [" ".join(w), texts[i]]
+    passage = " ".join(r.choice(vocab) for _ in range(150))
+    texts += [texts[k] + " " + passage + "\n" + texts[k + 1] for k in range(3)]
+    return [*texts, "", None, None, " \t\n", "x", "abcd " * 400]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "spans", i) for i, t in enumerate(corpus())] + [(None, "lost id", "n", 0), (7, corpus()[7], "again", 1)]
+    return spark.createDataFrame(rows, "doc_id long, text string, spans string, u int").repartition(3)
+
+
+def pairs(docs):
+    return [(r.doc_id, r.text) for r in docs.collect()]
+
+
+def test_repeated_strings(docs, spark):
+    length, gram = 60, 25
+    rows = [(k, (t or "").encode()) for k, t in pairs(docs)]
+    seen = Counter(b[i : i + length] for _, b in rows for i in range(len(b) - length + 1))
+    want = []
+    for k, b in rows:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        runs = int(np.count_nonzero(np.diff(np.concatenate(([False], gone))) & gone)) if len(b) else 0
+        want.append((k, len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    got = [tuple(r) for r in substrings.removed(docs, length, gram).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(w[2] for w in want)
+    assert substrings.removed(docs.limit(0)).count() == 0
+
+
+def test_long_texts_go_piece_by_piece(monkeypatch):
+    from granary.llm.common import RollingHash
+
+    text = bytes(random.Random(2).choices(b"ab ", k=3000))
+    windows = lambda: {(int(s) + i) for s, m, _, _ in zip(*(np.concatenate(x) for x in zip(*substrings.stretches(text, RollingHash(), 40, 15), strict=True)), strict=True) for i in range(m)}
+    whole = windows()
+    monkeypatch.setattr(substrings, "PIECE", 500)
+    assert whole == windows() == set(range(3000 - 39))
+
+
+def sets_of(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return {tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))} if w else set()
+
+
+def test_near_duplicates(docs, spark):
+    rows = [(k, sets_of(t)) for k, t in pairs(docs) if k is not None]
+    root = {k: k for k, _ in rows}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for k, a in rows:
+        for j, b in rows:
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(k), find(j)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.grouped(docs).collect()}
+    assert got.pop(None)[2]
+    assert got == {k: (len(s), find(k), find(k) == k) for k, s in rows}
+    kept = minhash.distinct_documents(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {k for k in root if find(k) == k} | {None}
+    assert minhash.grouped(docs.limit(0)).count() == 0
+
+
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
+    from granary.llm.common import RollingHash
+
+    text = ("One two\tthree " * 50 + "x" * 300 + " end").encode()
+    whole = minhash.word_hashes(text, RollingHash())
+    monkeypatch.setattr(minhash, "PIECE", 64)
+    assert (whole == minhash.word_hashes(text, RollingHash())).all()
+    assert len(whole) == len(text.split())
+
+
+def test_parity_bounds_the_difference():
+    r = np.random.default_rng(1)
+    for _ in range(50):
+        a, b = (r.choice(5000, 300, replace=False).astype(np.uint64) * np.uint64(11400714819323198485) for _ in "ab")
+        bits = sum(int(x).bit_count() for x in (minhash.parity(a).view(np.uint64) ^ minhash.parity(b).view(np.uint64)))
+        assert bits <= len(np.setxor1d(a, b))
+
+
+def hits(words, items, window=13):
+    hit, found = set(), set()
+    for name, w in items:
+        n = min(window, len(w))
+        for i in range(len(w) - n + 1) if w else ():
+            for j in range(len(words) - n + 1):
+                if words[j : j + n] == w[i : i + n]:
+                    hit |= set(range(j, j + n))
+                    found.add(name)
+    return hit, found
+
+
+def test_contamination(spark):
+    r = random.Random(5)
+    words = list("abcdef")
+    items = [(i, " ".join(r.choice(words) for _ in range(n))) for i, n in enumerate([20, 15, 13, 4, 2, 0, 30])] + [(None, "a b"), (9, None)]
+    texts = [" ".join(r.choice(words) for _ in range(n)) for n in (0, 3, 40, 200)] + ["X, " + items[0][1].upper() + "! yé", None, items[6][1] + " z" * 900]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, items int")
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, n_hit int")
+    tok = lambda t: decontaminate.words((t or "").encode())
+    known = [(str(i), tok(t)) for i, t in items if i is not None]
+    want = []
+    for i, t in enumerate(texts):
+        w = tok(t)
+        hit, found = hits(w, known)
+        want.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
+    assert sorted(tuple(r) for r in decontaminate.judged(docs, bench).collect()) == want
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns
+    assert {r.doc_id: r.text for r in kept.collect()} == {w[0]: texts[w[0]] for w in want if not w[5]}
+    cut = {r.doc_id: r.text for r in decontaminate.clean(docs, bench, cut_spans=True).collect()}
+    assert cut[6].split() == ["z"] * 900
+    assert decontaminate.judged(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_blocks_of_items_agree_with_one(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c"), (2, "m n o"), (3, "b c d")], "item_id long, text string")
+    one, many = (decontaminate.matches(docs, bench, limit=n).withColumn("hit", decontaminate.union_length("span_start", "span_end")).first() for n in (99, 3))
+    assert one.hit == many.hit == 7
+    assert one["items"] == many["items"] == ["1", "2", "3"]
+
+
+def test_base_spans_follow_the_patterns():
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    r = random.Random(4)
+    for _ in range(3000):
+        t = "".join(r.choice(["a", "@", ".", "1", "+", "-", " ", "(", "192.168.0.1", "4111111111111111", "é", "+1 (555) 010-9999", "b.c"]) for _ in range(12))
+        got = pii.base_spans(t)
+        assert [s[1:] for s in got if s[0] == 0] == [m.span() for m in email.finditer(t)]
+        assert [s[1:] for s in got if s[0] == 3] == [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+
+
+def test_skip_edges_carry_labels_to_like_tokens(spark):
+    text = "call +1 (555) 010-9999 today. or again 1 555 010 9999 later; pages 12 and 1999"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "nothing 1 555 010 9999")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.found(docs).collect()}
+    assert got[1].n_phone == 1 and got[1].spans.count("phone") == 2
+    assert got[2].spans == got[3].spans == got[4].spans == ""
+    masked = {r.doc_id: r.text for r in pii.masked(docs).collect()}
+    assert masked[1].count("<phone>") == 2 and masked[2] is None
+
+
+def test_segments_are_maximal():
+    r = random.Random(6)
+    for _ in range(200):
+        s = np.array([r.choice([-1.0, -2.0, 3.0, 0.5]) for _ in range(r.randint(1, 30))])
+        got = toxicity.segments(np.flatnonzero(s > 0), s)
+        best = max((s[i:j].sum() for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=0)
+        assert abs(max((x for _, _, x in got), default=0) - max(best, 0)) < 1e-9
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_toxicity_on_held_out_rows(spark):
+    r = random.Random(8)
+    plain, bad = [f"plain{chr(97 + i % 26)}{i}" for i in range(300)], ["vilex", "fouly", "nasty"]
+    rows = []
+    for i in range(800):
+        w = [r.choice(plain)[5:] + "word" for _ in range(60)]
+        if i % 5 == 0:
+            w[10:10] = [r.choice(bad) for _ in range(4)]
+        rows.append((i, " ".join(w), int(i % 5 == 0)))
+    docs = spark.createDataFrame([(i, t, 0) for i, t, _ in rows] + [(9001, None, 0), (9002, "", 0)], "doc_id long, text string, evidence int")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] + [(9001, 1, None)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.scored(docs, labels).collect()}
+    assert len(got) == 802 and all(0 <= r.score <= 1 for r in got.values())
+    for i, _, y in rows:
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert got[i].predicted == y
+    assert got[9001].predicted == got[9002].predicted == 0
+    kept = toxicity.clean(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == 642
+    assert toxicity.scored(docs, labels.limit(0)).where("predicted = 1").count() == 0
+
+
+def test_sketches_recover_the_difference():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 5, 60, 400):
+        shared, a, b = (r.integers(1, 1 << 63, m).astype(np.uint64) for m in (200, n, n // 2))
+        only_a, only_b = fingerprint.difference(np.concatenate([shared, a]), np.concatenate([shared, b]))
+        assert sorted(only_a) == sorted(a) and sorted(only_b) == sorted(b)
+
+
+def test_fingerprints_and_followers(spark):
+    texts = [f"Clause {i}, and part {i % 7}. Also {i}é; end." * (1 + i % 3) for i in range(60)]
+    rows = [(3 * i, t, 5) for i, t in enumerate(texts)] + [(None, None, 5), (6, "", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, range int").repartition(5)
+    order = [(k, t or "") for k, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))]
+    for size in (500, 10):
+        fingerprint.ROWS_IN_RANGE = size
+        got = sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint) for r in fingerprint.compared(docs).collect()), key=str)
+        want = []
+        for i, (k, t) in enumerate(order):
+            new = fingerprint.edited(t, order[(i + 1) % len(order)][1])
+            want.append((k, len(t), hashlib.sha256(new.encode()).hexdigest(), fingerprint.fingerprint(t)))
+        assert got == sorted(want, key=str)
+    fingerprint.ROWS_IN_RANGE = 500
+    assert fingerprint.compared(docs.limit(0)).count() == 0
+
+
+def test_license_rules(spark):
+    rows = [(1, "Intro.\nLicensed under the  Apache License, Version 2.0.\nmore"), (2, None), (3, ""), (4, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files. filler words here! The software is provided \"AS IS\", without warranty of any kind, express or implied."), (5, "the software is provided as is without warranty of any kind express or implied. " + licenses.SENTENCES["mit-grant"])]
+    got = {r.doc_id: (r.known, r.licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("apache-notice", "Apache-2.0"), 2: ("", ""), 3: ("", ""), 4: ("mit-grant as-is", "MIT"), 5: ("as-is mit-grant", "")}
+
+
+def test_url_rules_and_ranks(spark):
+    link = '<a class=x href="{}">y</a>'.format
+    rows = [
+        (1, "https://Example.NET/en/1?x", None), (2, "http://a.example.net/fr/", None), (3, "http://b.example.com/de/x#y", ""), (4, "http://c.org/fr/1", link("http://friend.io/a") + link("/own")),
+        (5, None, "x"), (6, "no url", None), (7, "http://friend.io/", None), (8, "http://spam.io", link("//b.example.com/de/")), (9, "http://xnet/", None), (10, "http://q.example.net", None),
+    ]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlgraph.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == ("example.net", "/en/1", "example.net/en/", "allow")
+    assert got[2] == ("a.example.net", "/fr/", "net/", "block")
+    assert got[3] == ("b.example.com", "/de/x", "example.com/de/", "block")
+    assert got[4] == ("c.org", "/fr/1", "org/fr/", "allow")
+    assert got[5] == got[6] == ("", "", None, "allow")
+    assert got[7][3] == "allow"
+    assert got[8] == ("spam.io", "", None, "block")  # it links to a blocked host
+    assert got[9][2] is None and got[10][2] is None
+
+
+def test_shards(docs, spark):
+    got = sharding.assign(docs, shards=3, slots=64).collect()
+    assert len(got) == docs.count()
+    by = Counter()
+    for s in range(3):
+        rows = [r for r in got if r.shard == s]
+        assert sorted(r.slot for r in rows) == list(range(len(rows)))
+        by[s] = sum(r["size"] for r in rows)
+    assert max(by.values()) < 1.2 * min(by.values())
+    want = sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t in pairs(docs))
+    assert sorted((r["size"], r.text_crc32) for r in got) == want
+    assert sharding.assign(docs.limit(0)).count() == 0
+
+
+def test_rebalancing_moves_slots_to_the_new_shard_only(spark):
+    sizes = spark.createDataFrame([(i, 100 + i, 1) for i in range(200)], "vslot int, bytes long, rows long")
+    old = sharding.balanced_map(sizes, 4)
+    new = {r.vslot: (r.shard, r.version) for r in sharding.rebalance(old, sizes, 4).collect()}
+    was = {r.vslot: r.shard for r in old.collect()}
+    assert all(s in (was[v], 4) and n == 2 for v, (s, n) in new.items())
+    load = Counter()
+    for v, (s, _) in new.items():
+        load[s] += 100 + v
+    assert max(load.values()) < 1.3 * min(load.values())
