@@ -32,7 +32,7 @@ TOKEN = re.compile(r"[A-Za-z0-9._%+-]+(?:@|\(at\)|\[at\])[A-Za-z0-9.-]*[A-Za-z0-
 
 SHAPES = 4096  #: distinct shapes whose statistics the model keeps, the most frequent ones
 ROUNDS = 8
-SKIP = 2.5  #: log-potential of equal labels on a skip edge
+SKIP = 3.0  #: log-potential of equal labels on a skip edge
 CHAIN = 0.2  #: log-potential of equal labels of neighbours
 MARGIN = 0.9  #: belief from which a label adds a span
 
