@@ -228,8 +228,8 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model, scale = fit(docs, labels)
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     kind = dict(docs.dtypes)["doc_id"]
-    got = docs.select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_semi").mapInArrow(_scorer(model, scale), f"doc_id {kind}, evidence double, n_segments long")
-    line = threshold(got, labels)
+    got = docs.select("doc_id", "text").mapInArrow(_scorer(model, scale), f"doc_id {kind}, evidence double, n_segments long")
+    line = threshold(got, labels)  # evidence is joined to labels, not texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model, scale)
