@@ -11,21 +11,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import RollingHash, as_bytes, cut_lineage, mix, table
 
 SHINGLE = 2
-BANDS, ROWS = 10, 2  #: bands in each collection, minhashes in a band
+BANDS, ROWS = 16, 3  #: bands in each collection, minhashes in a band
 SIMILAR = (4, 5)  #: a link: intersection / union at least 4/5
-STAR_WHILE = 2  #: pairs left for each bucket entry, above which buckets are compared with one more centre first
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 PIECE = 1 << 20
+PARITY = 2048  #: bits of a set's parity sketch
 
 
 def word_hashes(text: bytes, rolling: RollingHash) -> np.ndarray:
@@ -83,6 +83,12 @@ def band_hashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def parity(a: np.ndarray) -> np.ndarray:
+    """Bits that each member of a set flips. Two sets differ in at least as many members as their bits do."""
+    odd = np.bincount((a >> np.uint64(7)).astype(np.int64) & (PARITY - 1), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sketch(keep_set: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = RollingHash()
@@ -98,7 +104,8 @@ def _sketch(keep_set: bool):
                 if keep_set:
                     offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                     arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), arrays], ["doc_id", "set"])
+                    bits = pa.array([parity(s) for s in sets], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), arrays, bits], ["doc_id", "set", "parity"])
                 else:
                     full = [s for s in sets if len(s)]
                     bands = iter(band_hashes(full) if full else [])
@@ -166,6 +173,13 @@ def similar_size() -> F.Column:
     return den * F.least("x_n", "y_n") >= num * F.greatest("x_n", "y_n")
 
 
+def may_link() -> F.Column:
+    """False where the parity sketches show more differing members than a link of these sizes has."""
+    num, den = SIMILAR
+    differ = F.aggregate(F.zip_with("x_parity", "y_parity", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, n: acc + n)
+    return differ * (den + num) <= (den - num) * (F.col("x_n") + F.col("y_n"))
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """The contract's columns for every row of docs (doc_id, text).
 
@@ -173,54 +187,53 @@ def grouped(docs: DataFrame) -> DataFrame:
     sets are one class, whose smallest doc_id stands for it. A null doc_id is a document of its own, always
     kept; rows that repeat a doc_id share its component. Further columns are ignored.
 
-    In each bucket all documents are compared with one of it, the star's centre, then, as long as a bucket holds
-    more than one component and many pairs are left, with further centres; what is then still apart in a bucket is
-    compared pair by pair between its components. Every pair of a bucket is so compared or already in one component.
+    In each bucket all documents are compared with the one whose bands are shared most; what is then still in
+    different components and shares a band of both collections, so a bucket, is compared pair by pair, each pair
+    once, where parity sketches leave room for a link. Every pair of a bucket is so compared or already in one component.
     """
     all_docs = cut_lineage(sketches(docs))
-    classes = all_docs.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("a", "b"), "doc_id").alias("k"))
-    pairs_of_bands = F.flatten(F.transform("k.a", lambda a, i: F.transform(F.col("k.b"), lambda b, j: F.xxhash64(a, b, i, j))))
-    keys = classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.explode(pairs_of_bands).alias("key"))
-    return _linked(all_docs, classes, keys, docs)
-
-
-def _linked(all_docs: DataFrame, classes: DataFrame, keys: DataFrame, docs: DataFrame) -> DataFrame:
-    size = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("centre"), F.min_by("n", "id").alias("centre_n")).where("c > 1")
-    members = cut_lineage(keys.join(size, "key").select("key", "id", "n", "centre", "centre_n"))
-    some = members.select("id").distinct()
-    sets = docs.select("doc_id", "text").join(some.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = cut_lineage(sets.mapInArrow(_sketch(True), f"doc_id {dict(docs.dtypes)['doc_id']}, set array<long>"))
-    star = members.where("id <> centre").select(F.col("centre").alias("x"), F.col("id").alias("y"), F.col("centre_n").alias("x_n"), F.col("n").alias("y_n")).where(similar_size()).select("x", "y").distinct()
-    links = cut_lineage(verified(star, sets))
-    more = cut_lineage(apart(members, links))
-    while pair_count(more) > STAR_WHILE * members.count():
-        centre = more.groupBy("key", "comp").agg(F.min(F.struct("id", "n")).alias("c"))
-        first = centre.groupBy("key").agg(F.max(F.struct("comp", "c")).alias("f")).select("key", F.col("f.comp").alias("x_comp"), F.col("f.c.id").alias("x"), F.col("f.c.n").alias("x_n"))
-        seen = more.join(first, "key")
-        pairs = seen.where("comp <> x_comp").select("x", F.col("id").alias("y"), "x_n", F.col("n").alias("y_n")).where(similar_size()).select("x", "y").distinct()
-        found = cut_lineage(verified(pairs, sets))
-        members = cut_lineage(seen.where("id <> x or comp <> x_comp").select("key", "id", "n"))  # the centre has met all the others
-        links = links.unionByName(found)
-        more = cut_lineage(apart(members, links))
-    x, y = (more.select("key", *(F.col(c).alias(f"{s}_{c}" if c != "id" else s) for c in ("id", "n", "comp"))) for s in "xy")
-    rest = x.join(y, "key").where("x < y and x_comp <> y_comp").where(similar_size()).select("x", "y").distinct()
-    links = links.unionByName(verified(rest, sets))
+    known = all_docs.where("n_shingles > 0 and doc_id is not null")
+    classes = known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    links = cut_lineage(links_of(known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), docs))
     found = components(links)
     member = all_docs.join(classes.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"], "left")
     out = member.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def apart(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members (key, id, n, comp) of buckets that still hold more than one component."""
-    found = components(links)
-    now = members.select("key", "id", "n").join(found, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    return now.join(mixed, "key", "left_semi")
-
-
-def pair_count(more: DataFrame) -> int:
-    return more.groupBy("key").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.expr("c * (c - 1) div 2"))).first()[0] or 0
+def bands(classes: DataFrame) -> DataFrame:
+    """id, n, those bands of each collection that another class shares, and how many share them in all (fame);
+    classes without shared bands of both collections are left out."""
+    one = classes.select(F.col("doc_id").alias("id"), F.posexplode(F.concat("a", "b")).alias("i", "h")).select("id", F.xxhash64("i", "h").alias("band"), (F.col("i") < BANDS).alias("first"))
+    shared = one.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    both = one.join(shared, "band").groupBy("id").agg(F.collect_list(F.when(F.col("first"), F.col("band"))).alias("a"), F.collect_list(F.when(~F.col("first"), F.col("band"))).alias("b"), F.sum("c").alias("fame"))
+    return both.where("size(a) > 0 and size(b) > 0").join(classes.select(F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n")), "id")
+
+
+def links_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (x, y) that join all classes (sketches of distinct sets) as the full link graph does."""
+    banded = cut_lineage(bands(classes))
+    keys = banded.select("id", "n", "fame", F.explode(F.flatten(F.transform("a", lambda a: F.transform("b", lambda b: F.xxhash64(a, b))))).alias("key"))
+    famous = F.struct("fame", (-F.col("id")).alias("id"), "n")
+    centre = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max(famous).alias("m")).where("c > 1").select("key", (-F.col("m.id")).alias("x"), F.col("m.n").alias("x_n"))
+    members = keys.join(centre, "key").select("id", "n", "x", "x_n").distinct()
+    members = cut_lineage(members)
+    star = members.where("id <> x").select("x", F.col("id").alias("y"), "x_n", F.col("n").alias("y_n")).where(similar_size()).select("x", "y")
+    wanted = members.select(F.col("id").alias("doc_id")).distinct()
+    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = cut_lineage(sets.mapInArrow(_sketch(True), f"doc_id {dict(docs.dtypes)['doc_id']}, set array<long>, parity array<long>"))
+    links = cut_lineage(verified(star, sets))
+    comps = components(links)
+    named = cut_lineage(banded.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).join(sets.select(F.col("doc_id").alias("id"), "parity"), "id").select("id", "n", "comp", "a", "b", "parity"))
+    sides = []
+    for s in "xy":
+        each = named.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("n", "comp", "a", "b", "parity")), F.explode("a").alias("band"))
+        sides.append(each)
+    mixed = sides[0].groupBy("band").agg(F.min("x_comp").alias("lo"), F.max("x_comp").alias("hi")).where("lo < hi").select("band")
+    x, y = sides[0].join(mixed, "band", "left_semi"), sides[1]
+    once = (F.array_min(F.array_intersect("x_a", "y_a")) == F.col("band")) & F.arrays_overlap("x_b", "y_b")
+    rest = cut_lineage(x.join(y, "band").where("x < y and x_comp <> y_comp").where(similar_size() & may_link() & once).select("x", "y"))
+    return links.unionByName(verified(rest, sets))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
