@@ -92,6 +92,37 @@ def stream(chars: str, model: Pieces) -> Iterator[list[int]]:
                 total, back, base = total[meet - base :], back[meet - base :], meet
 
 
+def within_window(chars: str, model: Pieces) -> list[int]:
+    """What stream() gives in all, for chars that fit the window: the same search without commits on the way."""
+    n, get = len(chars), model.prefixes.get
+    total, back, piece = [NEVER] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+    total[0] = 0.0
+    for start in range(n):
+        here = total[start]
+        end = start + 1
+        hit = get(chars[start])
+        while hit is not None:
+            i, s = hit
+            if i >= 0 and (s := s + here) > total[end]:
+                total[end], back[end], piece[end] = s, start, i
+            end += 1
+            if end > n:
+                break
+            hit = get(chars[start:end])
+        if total[start + 1] == NEVER:
+            total[start + 1], back[start + 1] = here + model.byte_score * len(chars[start].encode()), start
+    out = []
+    while n:
+        start = back[n]
+        if piece[n] >= 0:
+            out.append(piece[n])
+        else:
+            out += [model.byte_ids[b] for b in reversed(chars[start:n].encode())]
+        n = start
+    out.reverse()
+    return out
+
+
 def _ids(chars: str, back: list, base: int, upto: int, model: Pieces) -> list[int]:
     out = []
     while upto > base:
@@ -134,7 +165,7 @@ class Encoder:
             ids = known.get(word)
             if ids is None:
                 marked = word if first and word is first else SPACE + word
-                ids = [i for block in stream(marked, self.model) for i in block]
+                ids = within_window(marked, self.model) if len(marked) <= 2 * self.model.longest else [i for block in stream(marked, self.model) for i in block]
                 if marked is not word and len(word) <= 64:
                     if len(known) >= CACHE:
                         known.clear()
