@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RollingHash, as_bytes, cut_lineage, table
+from .common import RollingHash, as_bytes, table, written
 
 LENGTH = 400
 GRAM = 200
@@ -122,13 +122,13 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """u, spans (a, b): the bytes to go from each text of rows (u, text) that loses any."""
     runs = rows.where(F.octet_length("text") >= length).select("u", "text").mapInArrow(_anchors(length, gram), "u long, s int, m int, f long, h long")
     often = runs.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f")
-    some = cut_lineage(runs.join(often, "f"))
+    some = written(runs.join(often, "f"))
     classes = some.groupBy("f", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("u", "s", "m")).alias("one"))
     anchors = classes.groupBy("f").agg(F.count_if(F.col("c") == 1).alias("lone"), F.count(F.lit(1)).alias("kinds")).where("lone > 0 and kinds > 1").select("f")
-    open_ = cut_lineage(classes.join(anchors, "f").select("one.*", F.least(F.col("c"), F.lit(2)).cast("int").alias("c")))
+    open_ = written(classes.join(anchors, "f").select("one.*", F.least(F.col("c"), F.lit(2)).cast("int").alias("c")))
     equal = some.join(classes.where("c > 1").select("f", "h"), ["f", "h"]).select("u", F.col("s").alias("a"), (F.col("s") + F.col("m") - 1 + length).alias("b"))
     asked = open_.groupBy("u").agg(F.collect_list(F.struct("s", "m", "c")).alias("runs"))
-    windows = cut_lineage(rows.select("u", "text").join(asked, "u").dropDuplicates(["u"]).select("u", "text", "runs").mapInArrow(_windows(length), "u long, s int, w long, c int"))
+    windows = written(rows.select("u", "text").join(asked, "u").dropDuplicates(["u"]).select("u", "text", "runs").mapInArrow(_windows(length), "u long, s int, w long, c int"))
     same = windows.groupBy("w").agg(F.sum("c").alias("n")).where("n > 1").select("w")
     found = windows.where("c = 1").join(same, "w").select("u", F.col("s").alias("a"), (F.col("s") + length).alias("b"))
     return equal.unionByName(found).groupBy("u").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
@@ -142,7 +142,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     64-bit hashes.
     """
     rows = keyed(docs)
-    spans = cut_lineage(repeated_spans(rows, length, gram))
+    spans = written(repeated_spans(rows, length, gram))
     kind = dict(docs.dtypes)["doc_id"]
     return rows.join(spans, "u", "left").select("doc_id", "text", "spans").mapInArrow(_remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
