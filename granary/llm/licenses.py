@@ -1,11 +1,12 @@
 """License scans by sentence rules. [native]
 
-A text's sentences are normalised and looked up among known licence sentences; the sequence of their
-identifiers is matched against ordered rules of licences.
+A text's sentences are normalised and looked up among known licence sentences, which may be wrapped over lines;
+the sequence of their identifiers is matched against ordered rules of licences.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,29 +51,68 @@ RULES = [
     ("CC-BY-4.0", ["cc-by"]),
     ("proprietary", ["all-rights"]),
 ]
-#: Sentences end at line ends, and after . ! ? ; : that white space follows.
-SENTENCE_END = r"[.!?;:][ \t]+|[\r\n]+"
+#: Whole sentences of the genuine licence texts, with variants, each up to its own sentence end. OP7_SQL doesn't know them.
+_FREE = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+_SOURCE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_BINARY = "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_ENDORSE = "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"
+GENUINE = [
+    ("apache-notice", "licensed under the apache license version 2 0 the license"),
+    ("apache-may-not-use", "you may not use this file except in compliance with the license"),
+    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("as-is", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("as-is", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and non infringement"),
+    ("as-is", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and noninfringement"),
+    ("gpl-free", f"{_FREE} either version 2 of the license or at your option any later version"),
+    ("gpl2-only", f"{_FREE} version 2 of the license"),
+    ("gpl3-free", f"{_FREE} either version 3 of the license or at your option any later version"),
+    ("gpl3-only", f"{_FREE} version 3 of the license"),
+    ("bsd-source", _SOURCE),
+    ("bsd-binary", _BINARY),
+    ("bsd-endorse", f"{_ENDORSE} without specific prior written permission"),
+]
+#: In the GPL's notice a sentence ends after `software;` or `software:`, so that the long one stands alone or with its subject.
+GENUINE += [(k, f"this program is free software {s}") for k, s in GENUINE if s.startswith(_FREE)]
+#: Rules of the identifiers that only genuine texts have.
+GENUINE_RULES = [("GPL-2.0-only", ["gpl2-only", "gpl-hope"]), ("GPL-3.0-or-later", ["gpl3-free", "gpl-hope"]), ("GPL-3.0-only", ["gpl3-only", "gpl-hope"])]
+#: A sentence may go on over line ends, and ends at them, after . ! ? ; : that white space follows, and at the text's end.
+_HARD = r"[.!?;:](?:[ \t]+|(?=\n))"
+#: The holder's name in the BSD clause is anyone's, with stops as in `Inc.`, of at most 300 characters.
+HOLDER = r"^neither the names? of .+ nor the names of (?:its|any|other|their) contributors"
+#: A copyright notice without a stop may stand before these on one line.
+AFTER_NOTICE = ("mit-grant", "apache-notice")
+CLUES = "(?i)licens|permission|warranty|redistribut|rights reserved|copyright"
 
 
 def known(text: F.Column) -> F.Column:
     """Identifiers of the known sentences of a text, in its order."""
-    lookup = F.create_map(*map(F.lit, chain.from_iterable((s, k) for k, s in SENTENCES.items())))
-    longest = 2 * max(map(len, SENTENCES.values()))
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    likely = F.filter(F.split(text, SENTENCE_END), lambda s: F.length(s).between(10, longest) & s.rlike("(?i)licens|permission|warranty|redistribut|rights reserved|copyright"))
-    return F.filter(F.transform(likely, lambda s: F.element_at(lookup, plain(s))), lambda k: k.isNotNull())
+    ids = {s: k for k, s in GENUINE} | {s: k for k, s in SENTENCES.items()}
+    lookup = F.create_map(*map(F.lit, chain.from_iterable(ids.items())))
+    words = lambda s: "[ \n]+".join(map(re.escape, s.split()))
+    held = "[ \n]+".join(["neither", "the", "names?", r"of[ \n]+[a-z0-9 \r\n]{1,300}?[ \r\n]+nor", "the", "names", "of", "(?:its|any|other|their)", "contributors"])
+    start = " ".join(_ENDORSE.split()[: _ENDORSE.split().index("contributors") + 1])
+    each = [held + "[ \n]+" + words(s.removeprefix(start)) if s.startswith(start) else words(s) for s in sorted(ids, key=lambda s: (-len(s), s))]
+    later = "|".join(words(s) for k, s in GENUINE if k in AFTER_NOTICE)
+    pattern = rf"(?<![^\r\n]) ?(?:{'|'.join(each)}|[a-z0-9 ]*\bcopyright [a-z0-9 ]+? (?:{later}))(?= ?(?:[\r\n]|\z))"
+    # \r marks a sentence end, \n a line end
+    plain = F.translate(F.lower(text), "\r", "\n")
+    plain = F.regexp_replace(F.regexp_replace(plain, _HARD, "\r"), "[^a-z0-9\r\n]+", " ")
+    found = F.when(F.lower(text).rlike(CLUES), F.regexp_extract_all(plain, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    notice = f"^.*copyright .* (?=(?:{'|'.join(s for k, s in GENUINE if k in AFTER_NOTICE)})$)"
+    sentence = lambda s: F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(s, "[ \r\n]+", " ")), HOLDER, start), notice, "")
+    return F.transform(found, lambda s: F.element_at(lookup, sentence(s)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_known, known (identifiers in order), licenses (sorted, each once) of every row of docs.
 
-    Null and empty texts: no known sentence, licenses ''. A sentence of unusual white space or punctuation, or
-    of up to twice the longest known sentence's length before normalisation, is still recognised. Repeated rows
-    stay; an empty table gives no rows; further columns are ignored.
+    Null and empty texts: no known sentence, licenses ''. A sentence of unusual white space or punctuation, of any
+    length before normalisation, or wrapped over lines (marks of comments before them too) is still recognised.
+    Repeated rows stay; an empty table gives no rows; further columns are ignored.
     """
     found = docs.select("doc_id", known(F.coalesce(F.col("text"), F.lit(""))).alias("k"))
     line = F.concat(F.lit(" "), F.array_join("k", " "), F.lit(" "))
-    fits = F.array(*(F.when(line.contains(f" {' '.join(ids)} "), F.lit(name)) for name, ids in RULES))
+    fits = F.array(*(F.when(line.contains(f" {' '.join(ids)} "), F.lit(name)) for name, ids in RULES + GENUINE_RULES))
     return found.select(
         "doc_id", F.size("k").cast("bigint").alias("n_known"), F.array_join("k", " ").alias("known"),
         F.array_join(F.array_sort(F.array_distinct(F.filter(fits, lambda x: x.isNotNull()))), ",").alias("licenses"),
