@@ -229,7 +229,7 @@ def _pairs(spark, sf_dir):
 
 @query()
 def chrf(spark, sf_dir):
-    return metrics.chrf(_pairs(spark, sf_dir), "grp", "hyp_text", "ref_text", order=3)
+    return metrics.chrf(_pairs(spark, sf_dir), "grp", "hyp_text", "ref_text")
 
 
 @query()
