@@ -143,15 +143,20 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[list[tupl
     yield block
 
 
-def _matcher(items: list[tuple[str, list[bytes]]], window: int):
+def _matcher(sets: list[list[tuple[str, list[bytes]]]], window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sam = Automaton(items, window)
+        sams = [Automaton(items, window) for items in sets]
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for text in as_bytes(batch.column("text")):
                 ws = words(text)
-                spans, found = sam.match(ws)
-                for o, x in zip(out, (len(ws), [a for a, _ in spans], [b for _, b in spans], sorted(sam.names[k] for k in found)), strict=True):
+                spans: list[tuple[int, int]] = []
+                names: set[str] = set()
+                for sam in sams:
+                    hit, found = sam.match(ws)
+                    spans += hit
+                    names.update(sam.names[k] for k in found)
+                for o, x in zip(out, (len(ws), [a for a, _ in spans], [b for _, b in spans], sorted(names)), strict=True):
                     o.append(x)
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*(c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], [*(n for n in batch.schema.names if n != "text"), "n_words", "span_start", "span_end", "items"])
@@ -160,26 +165,15 @@ def _matcher(items: list[tuple[str, list[bytes]]], window: int):
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, hit word spans and items of every row of docs (doc_id, text).
+    """doc_id, n_words, hit word spans and items (each once) of every row of docs (doc_id, text).
 
-    Null and empty texts have no words. Rows with the same doc_id stay apart while the items fit one block. Items that are null or have no
-    words match nothing; an empty benchmark hits nothing. Further columns of either table are ignored. The
-    driver holds one block of items at a time; with several blocks, rows are numbered and their hits merged.
+    Null and empty texts have no words. Each row of docs gives one row, whatever its doc_id and the number of blocks.
+    Items that are null or have no words match nothing; an empty benchmark hits nothing. Further columns of either
+    table are ignored. All blocks of items go to each task, which matches them one after the other in one pass.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    parts = [
-        docs.select("doc_id", "text").mapInArrow(_matcher(items, window), f"doc_id {kind}, n_words long, span_start array<long>, span_end array<long>, items array<string>")
-        for items in blocks(benchmark, limit)
-    ]
-    if len(parts) == 1:
-        return parts[0]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("span_start")).alias("span_start"),
-        F.flatten(F.collect_list("span_end")).alias("span_end"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
+    sets = list(blocks(benchmark, limit))
+    return docs.select("doc_id", "text").mapInArrow(_matcher(sets, window), f"doc_id {kind}, n_words long, span_start array<long>, span_end array<long>, items array<string>")
 
 
 def union_length(starts: str, ends: str) -> F.Column:

@@ -1,6 +1,8 @@
 """Whole results: cases that a shortened job would miss."""
 
-from granary.llm import licenses
+import hashlib
+
+from granary.llm import decontaminate, licenses
 
 MIT = """MIT License
 
@@ -59,3 +61,12 @@ def test_genuine_licences_wrapped_and_on_one_line(spark):
     rows = [(i, t) for i, (t, _) in enumerate(texts)]
     got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: want for i, (_, want) in enumerate(texts)}
+
+
+def test_each_row_gives_one_row_at_every_benchmark_size(spark):
+    rows = [(1, "a b c x x"), (1, "l m n o"), (None, "b c d"), (None, "x"), (2, "a b c d e f g h i j k l m n o"), (2, "a b c d e f g h i j k l m n o"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, "a b c"), (2, "m n o"), (3, "b c d"), (1, "h i j"), (1, "a b")], "item_id long, text string")
+    one, many = (sorted(((r.doc_id, r.n_words, r.hit, r["items"]) for r in decontaminate.matches(docs, bench, limit=n).withColumn("hit", decontaminate.union_length("span_start", "span_end")).collect()), key=str) for n in (99, 3))
+    want = [(1, 5, 3, ["1"]), (1, 4, 3, ["2"]), (None, 3, 3, ["3"]), (None, 1, 0, []), (2, 15, 10, ["1", "2", "3"]), (2, 15, 10, ["1", "2", "3"]), (3, 0, 0, [])]
+    assert one == many == sorted(want, key=str)
