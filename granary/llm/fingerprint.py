@@ -141,6 +141,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         columns = [batch.column(n).to_pylist() for n in ("range", "tail", "doc_id", "text")]
         for r, tail, doc_id, text in zip(*columns, strict=True):
+            if held is not None and held[0] != r:
+                raise ValueError(f"range {held[0]} has no follower")
             now = known(r, doc_id, text or "")
             if held is not None and held[0] == r:
                 _, old_id, old, d, t = held
@@ -152,6 +154,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (batch.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
         columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+    if held is not None:
+        raise ValueError(f"range {held[0]} has no follower")
 
 
 def compared(docs: DataFrame) -> DataFrame:
@@ -162,16 +166,18 @@ def compared(docs: DataFrame) -> DataFrame:
     empty table gives no rows; further columns are ignored.
 
     doc_id is cut into ranges; the first rows of a range, all those with its lower bound, go to the range before
-    too, where the first of them follows the last row, so that no range waits for another.
+    too, where the first of them follows the last row, so that no range waits for another. The quantiles are
+    doubles and only place the ranges; the bounds themselves are doc_ids of the table.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
     ids = docs.select("doc_id")
     n, = ids.agg(F.count("doc_id")).first()
-    first = ids.agg(F.min("doc_id")).first()[0]
+    first, greatest = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
     ranges = max(1, min(MAX_RANGES, n // ROWS_IN_RANGE))
     probe = [i / ranges for i in range(1, ranges)]
-    cuts = sorted({int(x) for x in ids.where("doc_id is not null").approxQuantile("doc_id", probe, 1 / (4 * ranges))} - {first}) if probe else []
+    near = sorted({min(max(int(x), first), greatest) for x in ids.where("doc_id is not null").approxQuantile("doc_id", probe, 1 / (4 * ranges))}) if probe else []
+    cuts = _lowest(ids, near)[1:]
     placed = rows.withColumn("range", _place(F.col("doc_id"), cuts)).withColumn("tail", F.lit(False))
     tails = placed.where(F.col("doc_id").isin(cuts)).withColumn("range", F.col("range") - 1).withColumn("tail", F.lit(True))
     has_null = bool(ids.where("doc_id is null").take(1))
@@ -183,6 +189,13 @@ def compared(docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_judge, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def _lowest(ids: DataFrame, near: list[int]) -> list[int]:
+    """The lowest doc_id of each range that the places in `near` part, in order; ranges without one are left out."""
+    if not near:
+        return []
+    return sorted(r[0] for r in ids.where("doc_id is not null").groupBy(_place(F.col("doc_id"), near)).agg(F.min("doc_id").alias("m")).select("m").collect())
+
+
 def _place(x: F.Column, cuts: list[int]) -> F.Column:
     """How many of the sorted cuts are at most x: binary search in a literal array; of null, 0."""
     if not cuts:

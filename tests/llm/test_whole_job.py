@@ -2,7 +2,7 @@
 
 import hashlib
 
-from granary.llm import decontaminate, licenses
+from granary.llm import decontaminate, fingerprint, licenses
 
 MIT = """MIT License
 
@@ -70,3 +70,12 @@ def test_each_row_gives_one_row_at_every_benchmark_size(spark):
     one, many = (sorted(((r.doc_id, r.n_words, r.hit, r["items"]) for r in decontaminate.matches(docs, bench, limit=n).withColumn("hit", decontaminate.union_length("span_start", "span_end")).collect()), key=str) for n in (99, 3))
     want = [(1, 5, 3, ["1"]), (1, 4, 3, ["2"]), (None, 3, 3, ["3"]), (None, 1, 0, []), (2, 15, 10, ["1", "2", "3"]), (2, 15, 10, ["1", "2", "3"]), (3, 0, 0, [])]
     assert one == many == sorted(want, key=str)
+
+
+def test_no_row_of_large_ids_vanishes(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "ROWS_IN_RANGE", 10)
+    for ids in ([i * 0x9E3779B97F4A7C15 % (1 << 64) - (1 << 63) for i in range(150)], [(1 << 62) + 2 * i + 1 for i in range(200)], [(1 << 63) - 1 - i for i in range(100)], [-(1 << 63) + 3 * i for i in range(100)]):
+        docs = spark.createDataFrame([(k, f"text {k}, and more.") for k in ids] + [(ids[50], "again")], "doc_id long, text string")
+        order = sorted([(k, f"text {k}, and more.") for k in ids] + [(ids[50], "again")])
+        want = sorted((k, hashlib.sha256(fingerprint.edited(t, order[(i + 1) % len(order)][1]).encode()).hexdigest()) for i, (k, t) in enumerate(order))
+        assert sorted((r.doc_id, r.edited_sha256) for r in fingerprint.compared(docs).collect()) == want
