@@ -15,7 +15,8 @@ from .common import cut_lineage, table
 # The rules (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING = 0.85
-ROUNDS = 6
+TOLERANCE = 2e-10  #: of what the rounds that are left out could still add to all ranks in sum; ranks are given to 9 digits
+STRIDE = 6  #: rounds between two checkpoints, where the change is looked at
 MARGIN = 1.0  #: a host is blocked when distrust exceeds this many times its trust
 
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s"'>]+)"""
@@ -54,20 +55,29 @@ def edges(pages: DataFrame, seen: DataFrame) -> DataFrame:
     return linked.unionByName(kin).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def spread(graph: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """Personalised PageRank: host, rank. graph: src, dst, p (shares of src's links); seeds: host, s (sum 1).
+def spread(graph: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """Personalised PageRanks: kind, host, rank. graph: kind, src, dst, p (shares of src's links); seeds: kind, host, s.
+
+    s sums to 1 for each kind of rank. Flow from hosts without links is lost, so ranks sum to at most 1. Hosts that
+    nothing reaches have no row. From the seeds' restart on, ranks only grow, towards their limit: the growth of
+    their sum is the summed change, and what all further rounds add is at most damping^k / (1 - damping^k) times
+    the growth over the last k. Rounds go on until that falls below `tolerance`.
 
-    Flow from hosts without links is lost, so ranks sum to at most 1. Hosts that nothing reaches have no row.
     A popular host's inflow is pre-aggregated before each shuffle; no host's links are gathered in one task.
     """
-    rank = seeds.select("host", F.col("s").alias("rank"))
-    base = seeds.select("host", ((1 - damping) * F.col("s")).alias("rank"))
-    for i in range(rounds):
-        flow = graph.join(rank, graph.src == rank.host).select(F.col("dst").alias("host"), (damping * F.col("p") * F.col("rank")).alias("rank"))
-        rank = flow.unionByName(base).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if i % 3 == 2:
-            rank = cut_lineage(rank)
-    return rank
+    base = cut_lineage(seeds.select("kind", "host", ((1 - damping) * F.col("s")).alias("rank")))
+    left = damping**STRIDE / (1 - damping**STRIDE)
+    total = lambda rank: rank.agg(F.sum("rank")).first()[0] or 0.0
+    rank, was = base, total(base)
+    while True:
+        for _ in range(STRIDE):
+            flow = graph.join(rank.select(F.col("kind").alias("k"), "host", "rank"), (F.col("kind") == F.col("k")) & (F.col("src") == F.col("host"))).select("kind", F.col("dst").alias("host"), (damping * F.col("p") * F.col("rank")).alias("rank"))
+            rank = flow.unionByName(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        rank = cut_lineage(rank)
+        now = total(rank)
+        if (now - was) * left < tolerance:
+            return rank
+        was = now
 
 
 def shares(graph: DataFrame) -> DataFrame:
@@ -93,10 +103,10 @@ def judged(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     rows = rows.withColumns({"rule": name, "ruled": verdict})
     hosts = cut_lineage(rows.where("host <> ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad")))
     graph = cut_lineage(edges(pages, hosts))
-    trust = spread(shares(graph), weighted(hosts, "good"))
     back = graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    distrust = spread(shares(back), weighted(hosts, "bad"))
-    ranks = trust.select("host", F.col("rank").alias("trust")).join(distrust.select("host", F.col("rank").alias("distrust")), "host", "full_outer").na.fill(0.0)
+    both = lambda trust, distrust: trust.withColumn("kind", F.lit("trust")).unionByName(distrust.withColumn("kind", F.lit("distrust")))
+    ranks = spread(cut_lineage(both(shares(graph), shares(back))), both(weighted(hosts, "good"), weighted(hosts, "bad")))
+    ranks = ranks.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
     out = rows.select("page_id", "host", "path", "rule", "ruled").join(ranks, "host", "left")
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
     method = F.when(F.round(distrust, 9) > MARGIN * F.round(trust, 9), "block").otherwise("allow")

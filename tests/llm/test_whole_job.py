@@ -2,7 +2,7 @@
 
 import hashlib
 
-from granary.llm import decontaminate, fingerprint, licenses
+from granary.llm import decontaminate, fingerprint, licenses, urlgraph
 
 MIT = """MIT License
 
@@ -79,3 +79,19 @@ def test_no_row_of_large_ids_vanishes(spark, monkeypatch):
         order = sorted([(k, f"text {k}, and more.") for k in ids] + [(ids[50], "again")])
         want = sorted((k, hashlib.sha256(fingerprint.edited(t, order[(i + 1) % len(order)][1]).encode()).hexdigest()) for i, (k, t) in enumerate(order))
         assert sorted((r.doc_id, r.edited_sha256) for r in fingerprint.compared(docs).collect()) == want
+
+
+def test_distrust_reaches_over_many_links(spark):
+    link = '<a href="http://h{}.io/">x</a>'.format
+    rows = [(i, f"http://h{i}.io/", link(i + 1)) for i in range(12)] + [(12, "http://h12.io/", '<a href="http://bad.net/">x</a>'), (13, "http://bad.net/", None), (14, "http://ok.org/fr/", None)]
+    got = {r.page_id: r for r in urlgraph.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i].verdict for i in range(14)] == ["block"] * 14 and got[14].verdict == "allow"
+    for i in range(13):
+        assert abs(got[i].distrust - 0.15 * 0.85 ** (13 - i)) < 1e-9
+
+
+def test_ranks_of_a_cycle_converge(spark):
+    link = '<a href="http://{}/">x</a>'.format
+    rows = [(1, "http://ok.org/fr/", link("a.io")), (2, "http://a.io/", link("ok.org")), (3, "http://bad.net/", None)]
+    got = {r.page_id: r for r in urlgraph.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert abs(got[1].trust - 0.15 / (1 - 0.85**2)) < 1e-9 and abs(got[2].trust - 0.15 * 0.85 / (1 - 0.85**2)) < 1e-9
