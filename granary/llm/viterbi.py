@@ -3,12 +3,18 @@
 The best segmentation is searched character by character; only the last `longest piece` positions and the
 backpointers that still differ are kept: whenever all surviving paths run through one boundary, the ids before it
 are committed and forgotten.
+
+The search adds scores, which is the encoding of a unigram model. Scores of a BPE model are ranks of merges; its texts
+are encoded by merging in that order, word by word.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +35,14 @@ class Pieces:
         self.longest = max(map(len, pieces))
         self.prefixes: dict[str, tuple[int, float]] = {p[:k]: (-1, 0.0) for p in pieces for k in range(1, len(p))} | pieces  #: -1: no piece itself
         self.starts_only = all(SPACE not in p.lstrip(SPACE) for p in pieces)
+        self.merges = False  #: a BPE model
         worst = min(s for _, s in pieces.values())
         self.byte_score = worst - 10.0  #: of each byte of a character that no piece covers
 
 
 def load(path: str = MODEL) -> Pieces:
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces, byte_ids, texts = {}, [0] * 256, []
@@ -48,7 +56,10 @@ def load(path: str = MODEL) -> Pieces:
         else:
             pieces[p] = (i, sp.get_score(i))
             texts.append(p.replace(SPACE, " ").encode())
-    return Pieces(pieces, byte_ids, texts)
+    model = Pieces(pieces, byte_ids, texts)
+    spec = sentencepiece_model_pb2.ModelProto.FromString(sp.serialized_model_proto()).trainer_spec
+    model.merges = spec.model_type == spec.BPE
+    return model
 
 
 def stream(chars: str, model: Pieces) -> Iterator[list[int]]:
@@ -123,6 +134,34 @@ def within_window(chars: str, model: Pieces) -> list[int]:
     return out
 
 
+def merged(chars: str, model: Pieces) -> list[int]:
+    """Ids of chars by BPE: of all neighbours that make a piece the one of the best score is merged, the left one of equals."""
+    pieces, n = model.pieces, len(chars)
+    held, before, after = list(chars), list(range(-1, n - 1)), [*range(1, n), -1]
+    heap: list[tuple[float, int, int, str]] = []
+
+    def offer(a: int, b: int) -> None:
+        if hit := pieces.get(both := held[a] + held[b]):
+            heapq.heappush(heap, (-hit[1], a, b, both))
+
+    for i in range(n - 1):
+        offer(i, i + 1)
+    while heap:
+        _, a, b, both = heapq.heappop(heap)
+        if not held[a] or after[a] != b or held[a] + held[b] != both:
+            continue
+        held[a], held[b], after[a] = both, "", after[b]
+        if after[a] >= 0:
+            before[after[a]] = a
+            offer(a, after[a])
+        if before[a] >= 0:
+            offer(before[a], a)
+    out: list[int] = []
+    for x in filter(None, held):
+        out += [pieces[x][0]] if x in pieces else [model.byte_ids[b] for b in x.encode()]
+    return out
+
+
 def _ids(chars: str, back: list, base: int, upto: int, model: Pieces) -> list[int]:
     out = []
     while upto > base:
@@ -179,9 +218,38 @@ class Encoder:
         return b"".join([texts[i] for i in ids]).decode()[1:]
 
 
+#: Marks and the word after them.
+MARKED = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
+
+class MergeEncoder(Encoder):
+    """The encoding of a BPE model, where no piece holds a mark after another character word by word."""
+
+    def _plain(self, chars: str) -> list[int]:
+        words = MARKED.findall(chars) if self.model.starts_only else [chars]
+        try:
+            return list(chain.from_iterable(map(self.known.__getitem__, words)))
+        except KeyError:
+            return [i for word in words for i in self._word(word)]
+
+    def _word(self, word: str) -> list[int]:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = merged(word, self.model)
+            if len(word) <= 64:
+                if len(self.known) >= CACHE:
+                    self.known.clear()
+                self.known[word] = ids
+        return ids
+
+
+def encoder(model: Pieces) -> Encoder:
+    return MergeEncoder(model) if model.merges else Encoder(model)
+
+
 def _run(model: Pieces, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(model)
+        coder = encoder(model)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             at = 0
@@ -190,9 +258,13 @@ def _run(model: Pieces, digest: bool):
                 while end < len(texts) and (end == at or size < 1 << 21):
                     size += len(texts[end] or "")
                     end += 1
-                ids = [pa.array(coder.encode(t or ""), pa.int32()) for t in texts[at:end]]
+                ids, equal = [], []
+                for t in texts[at:end]:
+                    given = coder.encode(t or "")
+                    equal.append(coder.decode(given) == (t or ""))
+                    ids.append(pa.array(given, pa.int32()))
                 n = pa.array([len(x) for x in ids], pa.int64())
-                same = pa.array([coder.decode(x.to_pylist()) == (t or "") for x, t in zip(ids, texts[at:end], strict=True)])
+                same = pa.array(equal)
                 if digest:
                     last = pa.array([hashlib.sha256(x.to_numpy().astype("<i4").tobytes()).hexdigest() for x in ids], pa.string())
                 else:

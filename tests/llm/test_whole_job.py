@@ -2,7 +2,7 @@
 
 import hashlib
 
-from granary.llm import decontaminate, fingerprint, licenses, urlgraph
+from granary.llm import decontaminate, fingerprint, licenses, urlgraph, viterbi
 
 MIT = """MIT License
 
@@ -95,3 +95,12 @@ def test_ranks_of_a_cycle_converge(spark):
     rows = [(1, "http://ok.org/fr/", link("a.io")), (2, "http://a.io/", link("ok.org")), (3, "http://bad.net/", None)]
     got = {r.page_id: r for r in urlgraph.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert abs(got[1].trust - 0.15 / (1 - 0.85**2)) < 1e-9 and abs(got[2].trust - 0.15 * 0.85 / (1 - 0.85**2)) < 1e-9
+
+
+def test_ids_are_those_of_the_bpe_model(spark):
+    import sentencepiece
+
+    theirs = sentencepiece.SentencePieceProcessor(model_file=viterbi.MODEL)
+    texts = ["the river ran", "x", " a", "a  b", "ends ", "no\nspace\t", "ñandú the the", "☃𝄞 é", "internationalisation of unknown wordforms, 12345!", "   three", "zq" * 500, "日本語の文章", "b   \n c"]
+    got = {r.doc_id: r for r in viterbi.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].ids for i in range(len(texts))] == [theirs.encode(t) for t in texts] and all(r.round_trip for r in got.values())
