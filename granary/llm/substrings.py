@@ -1,11 +1,13 @@
-"""Removal of byte strings that occur more than once in the corpus.
-
-Every byte covered by a string of `length` bytes that also starts anywhere else goes, the first copy too. A full
-suffix order of all positions with previous and next smaller values would compare `length` bytes a position between
-tasks; here the positions are thinned out first: of the windows of `length` bytes each picks the smallest hash among
-its `GRAM`-byte strings (its anchor), so equal windows pick equal anchors at equal places. Only stretches of
-windows whose anchor repeats are looked at again: whole stretches are equal or not, and what is left is decided
-window by window.
+"""Removal of byte strings that occur more than once in the corpus, by longest previous factors.
+
+A string of `length` bytes at a place of a text is repeated when its longest previous or next factor has `length`
+bytes at least: the longest string there that also starts earlier, or later. Factors come from suffix order, by
+previous and next smaller positions (suffixes.py). All suffixes of a corpus can't be put in one order cheaply, so
+they are ordered in blocks between which no two can agree in `length` bytes: of the windows of `length` bytes each
+picks the smallest hash among its `GRAM`-byte strings (its anchor), so that equal windows pick equal anchors at equal
+places, and a block holds the stretches of windows of one anchor. Equal stretches are counted before and stand in
+their block once. Blocks of more than `BLOCK` bytes, as hot passages in ever new surroundings make them, are parted
+further, by whole windows: a block is then one window's string, which is repeated when it stands there twice.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RollingHash, as_bytes, table, written
+from .common import RollingHash, Scratch, as_bytes, table
+from .suffixes import SuffixOrder
 
 LENGTH = 400
 GRAM = 200
 PIECE = 1 << 22  #: window starts of a long text that are worked on at once
+BLOCK = 1 << 21  #: bytes of stretches in a block, and in the blocks that are ordered at once
 _PLACE = np.uint64((1 << 23) - 1)
 
 
@@ -53,14 +57,92 @@ def _anchors(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = RollingHash()
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], [], []]
-            for u, text in zip(batch.column("u").to_pylist(), as_bytes(batch.column("text")), strict=True):
+            row: list[np.ndarray] = []
+            parts: list[list[np.ndarray]] = [[], [], [], []]
+            for i, text in enumerate(as_bytes(batch.column("text"))):
                 for runs in stretches(text, rolling, length, gram):
-                    for p, x in zip(parts, (np.full(len(runs[0]), u, np.int64), *runs), strict=True):
+                    row.append(np.full(len(runs[0]), i))
+                    for p, x in zip(parts, runs, strict=True):
                         p.append(x)
-            if parts[0]:
-                kinds = (np.int64, np.int32, np.int32, np.int64, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p).astype(k)) if k is np.int32 else pa.array(np.concatenate(p).view(k)) for p, k in zip(parts, kinds, strict=True)], ["u", "s", "m", "f", "h"])
+            if row:
+                who = pa.array(np.concatenate(row))
+                kinds = (np.int32, np.int32, np.int64, np.int64)
+                found = [pa.array(np.concatenate(p).astype(k)) if k is np.int32 else pa.array(np.concatenate(p).view(k)) for p, k in zip(parts, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(who), batch.column("u").take(who), *found], ["id", "u", "s", "m", "f", "h"])
+
+    return run
+
+
+def _bytes_of(length: int):
+    """Stretches with their bytes, from texts and their stretches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            size = 0
+            for doc_id, u, text, runs in zip(batch.column("id").to_pylist(), batch.column("u").to_pylist(), as_bytes(batch.column("text")), batch.column("runs").to_pylist(), strict=True):
+                for r in runs:
+                    part = text[r["s"] : r["s"] + r["m"] - 1 + length]
+                    rows.append((r["f"], doc_id, u, r["s"], r["c"], part))
+                    size += len(part)
+                    if size >= BLOCK:
+                        yield _records(rows, batch.schema.field("id").type)
+                        rows, size = [], 0
+            if rows:
+                yield _records(rows, batch.schema.field("id").type)
+
+    return run
+
+
+def _records(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+    kinds = (pa.int64(), id_type, pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["f", "id", "u", "s", "c", "part"])
+
+
+def repeated_windows(parts: list[bytes], length: int, later_only: bool) -> list[np.ndarray]:
+    """For each stretch which of its windows are repeated within these blocks, from their longest factors.
+
+    later_only: those with a previous factor alone; the first stays.
+    """
+    sizes = np.array([len(p) for p in parts])
+    ends = np.cumsum(sizes)
+    counts = sizes - length + 1
+    first = np.cumsum(counts) - counts
+    at = np.arange(counts.sum()) - np.repeat(first - (ends - sizes), counts)
+    previous, following = SuffixOrder(np.frombuffer(b"".join(parts), np.uint8), at, np.repeat(ends, counts), length).factors()
+    hit = previous >= length if later_only else np.maximum(previous, following) >= length
+    return np.split(hit, first[1:])
+
+
+def _factors(length: int, later_only: bool):
+    """u, a, b: spans of repeated windows, of stretches that come by block and in the order of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size, block = 0, None
+
+        def judged() -> pa.RecordBatch:
+            out: list[list[int]] = [[], [], []]
+            hits = repeated_windows([p for *_, p in held], length, later_only)
+            for (u, s, c, _), hit in zip(held, hits, strict=True):
+                if c > 1 and not later_only:
+                    continue  # all of it goes anyway
+                edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])))).reshape(-1, 2)
+                for a, b in edges.tolist():
+                    for o, x in zip(out, (u, s + a, s + b - 1 + length), strict=True):
+                        o.append(x)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["u", "a", "b"])
+
+        for batch in batches:
+            for f, u, s, c, part in zip(*(batch.column(n).to_pylist() for n in ("f", "u", "s", "c", "part")), strict=True):
+                if f != block and size >= BLOCK:
+                    yield judged()
+                    held, size = [], 0
+                block = f
+                held.append((u, s, c, part))
+                size += len(part)
+        if held:
+            yield judged()
 
     return run
 
@@ -69,11 +151,11 @@ def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = RollingHash()
         for batch in batches:
-            for u, text, runs in zip(batch.column("u").to_pylist(), as_bytes(batch.column("text")), batch.column("runs").to_pylist(), strict=True):
-                for r in sorted(runs, key=lambda r: r["s"]):
+            for doc_id, u, text, runs in zip(batch.column("id").to_pylist(), batch.column("u").to_pylist(), as_bytes(batch.column("text")), batch.column("runs").to_pylist(), strict=True):
+                for r in runs:
                     prefix = rolling.prefix(np.frombuffer(text, np.uint8, r["m"] + length - 1, r["s"]))
                     at = np.arange(r["m"])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(r["m"], u)), pa.array((at + r["s"]).astype(np.int32)), pa.array(rolling.of(prefix, at, at + length).view(np.int64)), pa.array(np.full(r["m"], r["c"], np.int32))], ["u", "s", "w", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * r["m"], batch.schema.field("id").type), pa.array(np.full(r["m"], u)), pa.array((at + r["s"]).astype(np.int32)), pa.array(rolling.of(prefix, at, at + length).view(np.int64)), pa.array(np.full(r["m"], r["c"], np.int32))], ["id", "u", "s", "w", "c"])
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -99,18 +181,22 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for text, runs in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
-            spans = 0
-            kept = text
-            if runs:
-                gone = covered(len(text), np.array([r["a"] for r in runs]), np.array([r["b"] for r in runs]))
-                spans = int(np.count_nonzero(np.diff(np.concatenate(([False], gone))) & gone))
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            rows.append((len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        texts, spans = as_bytes(batch.column("text")), batch.column("spans").to_pylist()
+        at = 0
+        while at < len(texts):
+            rows, size, begin = [], 0, at
+            while at < len(texts) and size < PIECE:
+                text, runs = texts[at], spans[at]
+                n, kept = 0, text
+                if runs:
+                    gone = covered(len(text), np.array([r["a"] for r in runs]), np.array([r["b"] for r in runs]))
+                    n = int(np.count_nonzero(np.diff(np.concatenate(([False], gone))) & gone))
+                    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
+                rows.append((len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest(), bool(n), kept.decode(errors="replace")))
+                size += len(text)
+                at += 1
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, at - begin), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats", "text"])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -118,33 +204,57 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(2)).alias("u"))
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """u, spans (a, b): the bytes to go from each text of rows (u, text) that loses any."""
-    runs = rows.where(F.octet_length("text") >= length).select("u", "text").mapInArrow(_anchors(length, gram), "u long, s int, m int, f long, h long")
-    often = runs.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f")
-    some = written(runs.join(often, "f"))
-    classes = some.groupBy("f", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("u", "s", "m")).alias("one"))
-    anchors = classes.groupBy("f").agg(F.count_if(F.col("c") == 1).alias("lone"), F.count(F.lit(1)).alias("kinds")).where("lone > 0 and kinds > 1").select("f")
-    open_ = written(classes.join(anchors, "f").select("one.*", F.least(F.col("c"), F.lit(2)).cast("int").alias("c")))
-    equal = some.join(classes.where("c > 1").select("f", "h"), ["f", "h"]).select("u", F.col("s").alias("a"), (F.col("s") + F.col("m") - 1 + length).alias("b"))
-    asked = open_.groupBy("u").agg(F.collect_list(F.struct("s", "m", "c")).alias("runs"))
-    windows = written(rows.select("u", "text").join(asked, "u").dropDuplicates(["u"]).select("u", "text", "runs").mapInArrow(_windows(length), "u long, s int, w long, c int"))
-    same = windows.groupBy("w").agg(F.sum("c").alias("n")).where("n > 1").select("w")
-    found = windows.where("c = 1").join(same, "w").select("u", F.col("s").alias("a"), (F.col("s") + length).alias("b"))
-    return equal.unionByName(found).groupBy("u").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+def repeated_spans(rows: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, later_only: bool = False) -> DataFrame:
+    """u, spans (a, b): the bytes to go from each text of rows (doc_id, text, u) that loses any.
+
+    Tables that are joined by an anchor or a hash are written before, so that adaptive execution can part hot keys.
+    """
+    order = F.col("doc_id") if later_only else F.lit(0)
+    long_ = rows.where(F.octet_length("text") >= length).select(order.alias("id"), "u", "text")
+    kind = dict(long_.dtypes)["id"]
+    runs = scratch.written(long_.mapInArrow(_anchors(length, gram), f"id {kind}, u long, s int, m int, f long, h long"), "runs")
+    often = scratch.written(runs.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f"), "often")
+    some = scratch.written(runs.join(often, "f"), "some")
+    scratch.drop("runs", "often")
+    classes = scratch.written(some.groupBy("f", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "u", "s", "m")).alias("one")), "classes")
+    sizes = classes.groupBy("f").agg(F.count_if(F.col("c") == 1).alias("lone"), F.count(F.lit(1)).alias("kinds"), F.sum(F.col("one.m") + F.lit(length - 1)).alias("bytes"))
+    blocks = scratch.written(sizes.where("kinds > 1").where(F.lit(later_only) | (F.col("lone") > 0)).select("f", (F.col("bytes") > BLOCK).alias("hot")), "blocks")
+    open_ = scratch.written(classes.join(blocks, "f").select("f", "hot", "one.*", F.least(F.col("c"), F.lit(2)).cast("int").alias("c")), "open")
+    equal = some.join(classes.where("c > 1").select("f", "h", "one"), ["f", "h"]).where(F.lit(not later_only) | (F.struct("u", "s") != F.struct("one.u", "one.s")))
+    equal = equal.select("u", F.col("s").alias("a"), (F.col("s") + F.col("m") - 1 + length).alias("b"))
 
+    def asked(hot: bool) -> DataFrame:
+        runs = open_.where("hot" if hot else "not hot").groupBy("u").agg(F.collect_list(F.struct("f", "s", "m", "c")).alias("runs"))
+        return long_.join(runs, "u").dropDuplicates(["u"]).select("id", "u", "text", "runs")
 
-def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The contract's columns for every row of docs (doc_id, text).
+    parts = asked(False).mapInArrow(_bytes_of(length), f"f long, id {kind}, u long, s int, c int, part binary")
+    by_block = parts.repartition("f").sortWithinPartitions("f", "id", "u", "s").select("f", "u", "s", "c", "part")
+    found = by_block.mapInArrow(_factors(length, later_only), "u long, a long, b long")
+    windows = scratch.written(asked(True).mapInArrow(_windows(length), f"id {kind}, u long, s int, w long, c int"), "windows")
+    first = F.min(F.struct("id", "u", "s"))
+    same = scratch.written(windows.groupBy("w").agg(F.sum("c").alias("n"), first.alias("one")).where("n > 1").select("w", "one"), "same")
+    hot = windows.where(F.lit(later_only) | (F.col("c") == 1)).join(same, "w").where(F.lit(not later_only) | (F.struct("u", "s") != F.struct("one.u", "one.s")))
+    hot = hot.select("u", F.col("s").cast("long").alias("a"), (F.col("s") + length).cast("long").alias("b"))
+    return equal.unionByName(found).unionByName(hot).groupBy("u").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+
+
+def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, later_only: bool = False) -> DataFrame:
+    """The contract's columns for every row of docs (doc_id, text), whether it loses any byte, and the text that is left.
 
     Null texts count as empty. Texts shorter than `length` bytes lose nothing. Rows that repeat doc_id and text are
-    copies of each other. An empty table gives no rows; further columns are ignored. Strings are compared by
-    64-bit hashes.
+    copies of each other. An empty table gives no rows; further columns are ignored. Bytes in blocks are compared;
+    equal stretches are told by two 64-bit hashes, windows of hot blocks by one. Bytes that are no longer a
+    character, where a span ends within one, are replaced in the text, not in kept_sha256.
+
+    later_only: the first copy of a string stays, by doc_id and place; rows that repeat doc_id and text keep or lose
+    it together, and different texts of one doc_id stand in the order of a hash.
     """
     rows = keyed(docs)
-    spans = written(repeated_spans(rows, length, gram))
+    scratch = Scratch(docs.sparkSession)
+    spans = scratch.written(repeated_spans(rows, scratch, length, gram, later_only), "spans")
+    scratch.drop("some", "classes", "blocks", "open", "windows", "same")
     kind = dict(docs.dtypes)["doc_id"]
-    return rows.join(spans, "u", "left").select("doc_id", "text", "spans").mapInArrow(_remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.join(spans, "u", "left").select("doc_id", "text", "spans").mapInArrow(_remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats boolean, text string")
 
 
 def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

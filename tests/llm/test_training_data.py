@@ -49,7 +49,7 @@ def test_repeated_strings(docs, spark):
                 gone[i : i + length] = True
         runs = int(np.count_nonzero(np.diff(np.concatenate(([False], gone))) & gone)) if len(b) else 0
         want.append((k, len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
-    got = [tuple(r) for r in substrings.removed(docs, length, gram).collect()]
+    got = [tuple(r)[:5] for r in substrings.removed(docs, length, gram).collect()]  # further columns follow
     assert sorted(got, key=str) == sorted(want, key=str)
     assert sum(w[2] for w in want)
     assert substrings.removed(docs.limit(0)).count() == 0

@@ -104,3 +104,33 @@ def test_ids_are_those_of_the_bpe_model(spark):
     texts = ["the river ran", "x", " a", "a  b", "ends ", "no\nspace\t", "ñandú the the", "☃𝄞 é", "internationalisation of unknown wordforms, 12345!", "   three", "zq" * 500, "日本語の文章", "b   \n c"]
     got = {r.doc_id: r for r in viterbi.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i].ids for i in range(len(texts))] == [theirs.encode(t) for t in texts] and all(r.round_trip for r in got.values())
+
+
+def test_first_copies_stay(spark):
+    import random
+
+    from granary.llm import substrings
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdef ", k=r.randint(80, 300)))
+    shared = [word() for _ in range(4)]
+    rows = [(i, word() + r.choice(shared) + word() + r.choice(shared)) for i in range(12)]
+    rows += [(i + 12, t) for i, t in rows[:3]] + [(40, rows[1][1][:90] + rows[2][1][40:]), (41, None), (42, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for block in (1 << 21, 300):  # also with every block parted
+        substrings.BLOCK, before = block, substrings.BLOCK
+        try:
+            got = {x.doc_id: x for x in substrings.removed(docs, 60, 25, later_only=True).collect()}
+            both = {x.doc_id: x for x in substrings.removed(docs, 60, 25).collect()}
+        finally:
+            substrings.BLOCK = before
+        seen, all_ = set(), [(t or "")[i : i + 60] for _, t in rows for i in range(len(t or "") - 59)]
+        for k, t in sorted(rows):
+            t = t or ""
+            later = [i for i in range(len(t) - 59) if t[i : i + 60] in seen or t[i : i + 60] in [t[j : j + 60] for j in range(i)]]
+            copies = [i for i in range(len(t) - 59) if all_.count(t[i : i + 60]) > 1]
+            seen |= {t[i : i + 60] for i in range(len(t) - 59)}
+            for name, starts in ((got, later), (both, copies)):
+                gone = {j for i in starts for j in range(i, i + 60)}
+                assert name[k].text == "".join(c for j, c in enumerate(t) if j not in gone), (block, k)
+                assert name[k].n_removed == len(gone) and name[k].repeats == bool(gone)
