@@ -5,16 +5,34 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.lineage import Scratch, cut_lineage, shared_folder
 
-__all__ = ["RollingHash", "Scratch", "as_bytes", "cut_lineage", "mix", "mix_bytes", "shared_folder", "table"]
+__all__ = ["RollingHash", "Scratch", "as_bytes", "cut_lineage", "joined_evenly", "mix", "mix_bytes", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Keys that hold more than this share of a table's rows are joined by a broadcast; there are fewer than MANY of them.
+MANY = 1024
+
+
+def joined_evenly(rows: DataFrame, keys: DataFrame, on: str | list[str], size: str) -> DataFrame:
+    """rows.join(keys, on) without a task that gets all rows of a frequent key. Both are written tables.
+
+    keys has each key once, and in column `size` at least its number of rows. Those above a MANY-th of all rows, fewer
+    than MANY keys, go to every task; the rest is shuffled.
+    """
+    names = [on] if isinstance(on, str) else on
+    frequent = F.col(size) * MANY > rows.count()
+    few = F.broadcast(keys.where(frequent))
+    rest = rows.join(few.select(*names), names, "left_anti").join(keys.where(~frequent), names)
+    return rows.join(few, names).unionByName(rest)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column without decoding; null becomes empty."""
     return [x if x is not None else b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]

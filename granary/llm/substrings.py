@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RollingHash, Scratch, as_bytes, table
+from .common import RollingHash, Scratch, as_bytes, joined_evenly, table
 from .suffixes import SuffixOrder
 
 LENGTH = 400
 GRAM = 200
 PIECE = 1 << 22  #: window starts of a long text that are worked on at once
-BLOCK = 1 << 21  #: bytes of stretches in a block, and in the blocks that are ordered at once
+BLOCK = 1 << 20  #: bytes of stretches in a block, and in the blocks that are ordered at once
 _PLACE = np.uint64((1 << 23) - 1)
 
 
@@ -207,20 +207,23 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated_spans(rows: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, later_only: bool = False) -> DataFrame:
     """u, spans (a, b): the bytes to go from each text of rows (doc_id, text, u) that loses any.
 
-    Tables that are joined by an anchor or a hash are written before, so that adaptive execution can part hot keys.
+    Frequent anchors, stretches and windows are joined by broadcasts of fewer than MANY keys (joined_evenly).
     """
     order = F.col("doc_id") if later_only else F.lit(0)
     long_ = rows.where(F.octet_length("text") >= length).select(order.alias("id"), "u", "text")
     kind = dict(long_.dtypes)["id"]
+    count = F.count(F.lit(1)).alias("n")
     runs = scratch.written(long_.mapInArrow(_anchors(length, gram), f"id {kind}, u long, s int, m int, f long, h long"), "runs")
-    often = scratch.written(runs.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f"), "often")
-    some = scratch.written(runs.join(often, "f"), "some")
+    often = scratch.written(runs.groupBy("f").agg(count).where("n > 1"), "often")
+    some = scratch.written(joined_evenly(runs, often, "f", "n").drop("n"), "some")
     scratch.drop("runs", "often")
-    classes = scratch.written(some.groupBy("f", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "u", "s", "m")).alias("one")), "classes")
-    sizes = classes.groupBy("f").agg(F.count_if(F.col("c") == 1).alias("lone"), F.count(F.lit(1)).alias("kinds"), F.sum(F.col("one.m") + F.lit(length - 1)).alias("bytes"))
-    blocks = scratch.written(sizes.where("kinds > 1").where(F.lit(later_only) | (F.col("lone") > 0)).select("f", (F.col("bytes") > BLOCK).alias("hot")), "blocks")
-    open_ = scratch.written(classes.join(blocks, "f").select("f", "hot", "one.*", F.least(F.col("c"), F.lit(2)).cast("int").alias("c")), "open")
-    equal = some.join(classes.where("c > 1").select("f", "h", "one"), ["f", "h"]).where(F.lit(not later_only) | (F.struct("u", "s") != F.struct("one.u", "one.s")))
+    classes = scratch.written(some.groupBy("f", "h").agg(count, F.min(F.struct("id", "u", "s", "m")).alias("one")), "classes")
+    sizes = classes.groupBy("f").agg(F.count_if(F.col("n") == 1).alias("lone"), F.count(F.lit(1)).alias("kinds"), F.sum(F.col("one.m") + F.lit(length - 1)).alias("bytes"))
+    blocks = scratch.written(sizes.where("kinds > 1").where(F.lit(later_only) | (F.col("lone") > 0)).select("f", "kinds", (F.col("bytes") > BLOCK).alias("hot")), "blocks")
+    open_ = scratch.written(joined_evenly(classes, blocks, "f", "kinds").select("f", "hot", "one.*", F.least(F.col("n"), F.lit(2)).cast("int").alias("c")), "open")
+    copies = scratch.written(classes.where("n > 1").select("f", "h", "n", F.col("one.u").alias("first_u"), F.col("one.s").alias("first_s")), "copies")
+    is_first = (F.col("u") == F.col("first_u")) & (F.col("s") == F.col("first_s"))
+    equal = joined_evenly(some, copies, ["f", "h"], "n").where(~(F.lit(later_only) & is_first))
     equal = equal.select("u", F.col("s").alias("a"), (F.col("s") + F.col("m") - 1 + length).alias("b"))
 
     def asked(hot: bool) -> DataFrame:
@@ -232,8 +235,9 @@ def repeated_spans(rows: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     found = by_block.mapInArrow(_factors(length, later_only), "u long, a long, b long")
     windows = scratch.written(asked(True).mapInArrow(_windows(length), f"id {kind}, u long, s int, w long, c int"), "windows")
     first = F.min(F.struct("id", "u", "s"))
-    same = scratch.written(windows.groupBy("w").agg(F.sum("c").alias("n"), first.alias("one")).where("n > 1").select("w", "one"), "same")
-    hot = windows.where(F.lit(later_only) | (F.col("c") == 1)).join(same, "w").where(F.lit(not later_only) | (F.struct("u", "s") != F.struct("one.u", "one.s")))
+    same = windows.groupBy("w").agg(F.sum("c").alias("n"), first.alias("one")).where("n > 1")
+    same = scratch.written(same.select("w", "n", F.col("one.u").alias("first_u"), F.col("one.s").alias("first_s")), "same")
+    hot = joined_evenly(windows, same, "w", "n").where(~is_first if later_only else F.col("c") == 1)
     hot = hot.select("u", F.col("s").cast("long").alias("a"), (F.col("s") + length).cast("long").alias("b"))
     return equal.unionByName(found).unionByName(hot).groupBy("u").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
@@ -252,7 +256,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, later_only:
     rows = keyed(docs)
     scratch = Scratch(docs.sparkSession)
     spans = scratch.written(repeated_spans(rows, scratch, length, gram, later_only), "spans")
-    scratch.drop("some", "classes", "blocks", "open", "windows", "same")
+    scratch.drop("some", "classes", "blocks", "copies", "open", "windows", "same")
     kind = dict(docs.dtypes)["doc_id"]
     return rows.join(spans, "u", "left").select("doc_id", "text", "spans").mapInArrow(_remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats boolean, text string")
 
