@@ -10,9 +10,13 @@ from html.parser import HTMLParser
 from urllib.parse import quote
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType
 
+from ..presets import Preset
+from . import text, wikitext
+
 
 def _each(kind: str):
     """A pandas UDF of a function of one string; null stays null."""
@@ -29,6 +33,8 @@ def _each(kind: str):
 
 nfc = _each("string")(lambda t: unicodedata.normalize("NFC", t))
 unescape = _each("string")(html.unescape)
+wiki_prose = _each("string")(wikitext.prose)
+wiki_strip = _each("string")(wikitext.stripped)
 percent_encoded = _each("string")(lambda u: quote(u, safe=":/?=&"))
 blake2b_128 = _each("string")(lambda t: hashlib.blake2b(t.encode(), digest_size=16).hexdigest())
 blake2b_bucket = _each("long")(lambda t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big") % 100)
@@ -36,6 +42,11 @@ decode_ignoring = _each("string")(lambda b: bytes(b).decode("utf-8", "ignore"))
 decode_replacing = _each("string")(lambda b: bytes(b).decode("utf-8", "replace"))
 
 
+def cleaned(t: Column, preset: Preset) -> Column:
+    """functions.text.clean as one operation: a preset that wants NFC gets it first."""
+    return text.clean(nfc(t) if preset.nfc else t, preset)
+
+
 class _Container(HTMLParser):
     """Text nodes of the first element that a simple selector (tag, .class, #id, tag.class) fits."""
 
@@ -78,12 +89,12 @@ class _Container(HTMLParser):
 def container_text(selector: str = "article"):
     """UDF: stripped text nodes of the container, a line each; null where the page has no such container."""
 
-    def text(page: str) -> str | None:
+    def read(page: str) -> str | None:
         p = _Container(selector)
         p.feed(page)
         return "\n".join(p.parts) if p.found else None
 
-    return _each("string")(text)
+    return _each("string")(read)
 
 
 def find_key(key: str = "articleData"):
@@ -126,16 +137,21 @@ def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def shard_fold(limit: int):
-    """applyInPandas function over rows (pos, tokens) of one stream: shard numbers; a shard closes once it has `limit`."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        shard, held, out = 0, 0, []
-        for n in rows["tokens"]:
-            out.append(shard)
-            held += n
-            if held >= limit:
-                shard, held = shard + 1, 0
-        return rows.assign(shard=out)
+    """mapInArrow function over sorted rows (stream, pos, tokens): shard numbers; a shard closes once it has `limit`."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        stream, shard, held = object(), 0, 0
+        for batch in batches:
+            out = []
+            for s, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if s != stream:
+                    stream, shard, held = s, 0, 0
+                out.append(shard)
+                held += n or 0
+                if held >= limit:
+                    shard, held = shard + 1, 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "shard"])
 
     return run

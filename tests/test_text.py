@@ -4,7 +4,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
-from granary.functions import udfs
+from granary.functions import udfs, wikitext
 from granary.presets import ASSAMESE, DEVANAGARI, LATIN
 from granary.sources import files
 
@@ -62,9 +62,21 @@ def test_captions(spark):
 
 def test_wikitext(spark):
     t = "<!-- x -->'''Bold''' [[a|b]] [[c]] {{t|{{u}}}}\n== Head ==\n* item<ref>r</ref> [http://x y z] [[File:a.jpg|[[q]] cap]]&amp;"
-    got = one(spark, t, lambda c: T.wiki_prose_end(udfs.unescape(T.wiki_prose(c))))
-    assert got == "Bold b c \nHead\nitem y z &"
-    assert one(spark, "a {{x}} [[b|c]]", T.wiki_strip) == "a   c"
+    assert one(spark, t, udfs.wiki_prose) == "Bold b c \nHead\nitem y z &"
+    assert one(spark, "a {{x}} [[b|c]]", udfs.wiki_strip) == "a   c"
+    assert one(spark, None, udfs.wiki_prose) is None
+
+
+def test_wiki_markup_by_fixtures():
+    prose = [
+        ("{{a {{b|{{c}}}} d}}x{|\n| {| inner |}\n|}y", "xy"), ("open {{ a {{b}} c", "open  a  c"), ("[[a|b|c]] [[d]] [[e|]]", "b|c d e"),
+        ("[[Category:X]][[image: a.png|thumb|[[b]] and [[c|d]]]]z", "z"), ("[[ns:a]]", "ns:a"), ("[https://x.y a b] [http://x]!", "a b !"),
+        ("'''''b''''' it's ''i''", "b it's i"), ("=== H ===\n=\n** item\n#:;x\n;", "H\n=\nitem\nx"), ("a<br/>b<span class='x'>c</span> 1 < 2", "abc 1 < 2"),
+        ("&lt;b&gt; &amp;amp;", "<b> &amp;"), ("a<!-- x --> b <!-- y", "a b <!-- y"), ("a<ref name=q/>b<ref>\nlong {{t}}</ref>c", "abc"), ("a\n\n\n\nb ]] }", "a\n\nb"), ("", ""),
+    ]
+    assert [wikitext.prose(t) for t, _ in prose] == [want for _, want in prose]
+    strip = [("a{{t|{{u}}}}b", "a b"), ("[[ns:a]] [[x:y|z]] [[p]]", "a z p"), ("[http://x] [http://x l]", "  l"), (" * i\n== H ==", "i\nH"), ("a<br>&amp;", "a &amp;"), ("{|\n|a\n|}b", " b"), ("a<ref>x</ref>b<ref n/>", "a b ")]
+    assert [wikitext.stripped(t) for t, _ in strip] == [want for _, want in strip]
 
 
 def test_names_of_urls(spark):
