@@ -6,13 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.udfs import shard_fold
-from ..plans.lineage import cut_lineage
-
-#: Values of the status column.
-STATUSES = (
-    "done", "no_pdf", "download_failed", "no_djvu_txt", "access_restricted", "not_article", "suspect_bengali",
-    "too_short_or_no_article", "filtered_below_min_words",
-)
+from ..plans.lineage import Scratch, cut_lineage
 
 
 def pending(candidates: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -48,22 +42,44 @@ def first_n(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_n") <= n).drop("_n")
 
 
+def first_where(rows: DataFrame, condition: Column, order: str) -> DataFrame:
+    """The first row that fits, or none: a top-1, without a sort of all rows."""
+    return rows.where(condition).orderBy(order).limit(1)
+
+
+def running_total(rows: DataFrame, by: str, order: str, value: str, name: str = "before") -> DataFrame:
+    """rows with the sum of `value` over the earlier rows of their group; rows of equal order: in any one order.
+
+    A group may hold most rows: they are dealt out by ranges of (by, order) and summed within each range; what the
+    ranges before it hold is added from a table of one row for each group and range.
+    """
+    dealt = rows.repartitionByRange(by, order).withColumn("_range", F.spark_partition_id())
+    dealt = Scratch(rows.sparkSession).written(dealt, "dealt")
+    ranges = dealt.groupBy(by, "_range").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(by, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_first"))
+    within = Window.partitionBy(by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.withColumn(name, F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return inside.join(ranges, [by, "_range"]).withColumn(name, F.col(name) + F.col("_first")).select(*rows.columns, name)
+
+
 def token_prefix(rows: DataFrame, by: str, order: str, tokens: str, cap: int | None) -> DataFrame:
     """Rows until the running total reaches the cap; the row that crosses it stays. No cap: all rows."""
     if cap is None:
         return rows
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_s", F.coalesce(F.sum(tokens).over(w), F.lit(0))).where(F.col("_s") < cap).drop("_s")
+    return running_total(rows, by, order, tokens, "_before").where(F.col("_before") < cap).drop("_before")
 
 
 def shards(rows: DataFrame, by: str, order: str, tokens: str, limit: int) -> DataFrame:
     """Shard number of each row: a shard closes once it holds `limit` tokens, and the overshoot is forgotten.
 
-    The fold is sequential within a stream, so each stream is one task; streams run side by side.
+    The fold is sequential within a stream, so each stream is one task, and streams run side by side. The task reads
+    rows of three numbers in sorted Arrow batches and holds one batch, however long the stream.
     """
     some = rows.select(by, F.col(order).cast("long").alias("pos"), F.col(tokens).cast("long").alias("tokens"))
     kind = dict(rows.dtypes)[by]
-    return some.groupBy(by).applyInPandas(shard_fold(limit), f"{by} {kind}, pos long, tokens long, shard long").withColumnRenamed("pos", order)
+    streams = some.repartition(by).sortWithinPartitions(by, "pos")
+    return streams.mapInArrow(shard_fold(limit), f"{by} {kind}, pos long, tokens long, shard long").withColumnRenamed("pos", order)
 
 
 def retry_plan(attempts: DataFrame, key: str = "key", order: str = "pos", ok: str = "ok") -> DataFrame:
@@ -100,19 +116,42 @@ def refetch(children: DataFrame, cache: DataFrame, newest: int = 5, most: int =
     return ranked.join(known, ["index_url", "child_url"], "left").where(F.col("_k").isNull() | (F.col("_n") <= newest)).drop("_n", "_k")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
+def merged_cache(children: DataFrame, cache: DataFrame, fetched: DataFrame) -> DataFrame:
+    """index_url, child_url, article_url after a visit: what was read anew replaces what the cache held, a child that
+    could not be read (null articles) keeps it, and children that their index no longer lists go.
+
+    fetched: child_url, articles (array).
+    """
+    listed = children.select("index_url", "child_url").distinct()
+    read = fetched.where("articles is not null")
+    held = cache.join(listed, ["index_url", "child_url"], "left_semi").join(read.select("child_url").distinct(), "child_url", "left_anti")
+    new = listed.join(read, "child_url").select("index_url", "child_url", F.explode("articles").alias("article_url"))
+    return held.select("index_url", "child_url", "article_url").unionByName(new).distinct()
+
+
+def reachable(edges: DataFrame, roots: DataFrame, depths: int = 50, documents: int | None = None) -> DataFrame:
     """node, depth of what a crawl of (parent, child) edges from roots (node) reaches, breadth first.
 
-    Each depth is cut off by a checkpoint, so that the plan doesn't grow with the depth.
+    Each depth is cut off by a checkpoint, so that the plan doesn't grow with the depth. documents: the crawl ends
+    once it has read so many, of one depth the smallest nodes; then `cut` tells whether there was more to read.
     """
     seen = frontier = cut_lineage(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, most + 1):
+    cut = False
+    for depth in range(1, depths + 1):
         step = frontier.join(edges, frontier.node == edges.parent).select(F.col("child").alias("node")).distinct()
-        frontier = cut_lineage(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        step = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
+        if documents is not None:
+            left = max(0, documents - seen.count())
+            step = cut_lineage(step.orderBy("node").limit(left + 1))
+            cut = step.count() > left
+            step = step.orderBy("node").limit(left)
+        frontier = cut_lineage(step)
         if frontier.isEmpty():
             break
         seen = cut_lineage(seen.unionByName(frontier))
-    return seen
+        if cut:
+            break
+    return seen if documents is None else seen.withColumn("cut", F.lit(cut))
 
 
 def throughput(runs: DataFrame, by: str) -> DataFrame:
@@ -125,3 +164,8 @@ def leakage(train: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
     h, t = held.select(*keys).distinct(), train.select(*keys).distinct()
     both = h.join(t.withColumn("_t", F.lit(True)), keys, "left")
     return both.agg(F.count_if(F.col("_t")).alias("shared"), F.count_if(F.col("_t").isNull()).alias("only_held"))
+
+
+def side_by_side(rows: DataFrame, key: str, column: str, names: list, value: str) -> DataFrame:
+    """One row a key with the value of each name in a column of its own; null where there is none."""
+    return rows.groupBy(key).pivot(column, names).agg(F.first(value, ignorenulls=True))

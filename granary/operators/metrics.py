@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions.tokens import Vocabulary
 from ..functions.udfs import rouge_l
 
 
@@ -16,29 +19,53 @@ def ngrams(ids: Column, n: int) -> Column:
 
 
 def distinct_n(ids: Column, n: int) -> Column:
-    """Distinct n-grams over all; 0.0 without any."""
-    g = ngrams(ids, n)
-    return F.coalesce(F.size(F.array_distinct(g)) / F.nullif(F.size(g), F.lit(0)), F.lit(0.0))
+    """Distinct n-grams over all; 0.0 without any.
+
+    N-grams are compared as strings, each token behind its length, as Spark finds distinct strings by hashing and
+    distinct arrays by comparing all pairs.
+    """
+    named = F.transform(ids, lambda x: F.concat(F.length(x.cast("string")).cast("string"), F.lit(":"), x.cast("string")))
+
+    def share(a: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(a) - n + 1)
+        grams = a if n == 1 else F.transform(at, lambda k: F.concat(*(F.element_at(a, k + i) for i in range(n))))
+        return F.when(F.size(a) >= n, F.size(F.array_distinct(grams)) / (F.size(a) - n + 1)).otherwise(F.lit(0.0))
+
+    return T.bound(named, share)
 
 
 def repetition(ids: Column, n: int = 2) -> Column:
     """Share of n-grams seen earlier; 0.0 without any."""
-    g = ngrams(ids, n)
-    return F.coalesce(1 - F.size(F.array_distinct(g)) / F.nullif(F.size(g), F.lit(0)), F.lit(0.0))
+    return F.when(F.size(ids) >= n, 1 - distinct_n(ids, n)).otherwise(F.lit(0.0))
 
 
 def loops(ids: Column, least: int = 2) -> Column:
-    """Whether the end is three times the same phrase of at least `least` tokens."""
-    part = lambda p, k: F.slice(ids, F.size(ids) - k * p + 1, p)
-    lengths = F.sequence(F.lit(least), F.greatest(F.lit(least), F.floor(F.size(ids) / 3).cast("int")))
-    return F.when(F.size(ids) < 3 * least, F.lit(False)).otherwise(F.exists(lengths, lambda p: (part(p, 3) == part(p, 2)) & (part(p, 2) == part(p, 1))))
+    """Whether the end is three times the same phrase of at least `least` tokens.
+
+    Phrases are compared only where the last tokens of all three agree.
+    """
+
+    def ends_so(a: Column) -> Column:
+        part = lambda p, k: F.slice(a, F.size(a) - k * p + 1, p)
+        last = lambda p, k, i: F.get(a, F.size(a) - 1 - k * p - i)
+
+        def equal(p: Column) -> Column:
+            ends = [(last(p, 0, i) == last(p, k, i)) for i in range(least) for k in (1, 2)]
+            return reduce(Column.__and__, [*ends, part(p, 2) == part(p, 1), part(p, 3) == part(p, 1)])
+
+        lengths = F.sequence(F.lit(least), F.greatest(F.lit(least), F.floor(F.size(a) / 3).cast("int")))
+        return F.when(F.size(a) < 3 * least, F.lit(False)).otherwise(F.exists(lengths, equal))
+
+    return T.bound(ids, ends_so)
 
 
 def generation_summary(rows: DataFrame, by: str, ids: str = "ids") -> DataFrame:
-    c = F.col(ids)
-    return rows.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(repetition(c)), 6).alias("repetition"), F.round(F.avg(distinct_n(c, 1)), 6).alias("distinct_1"),
-        F.round(F.avg(distinct_n(c, 2)), 6).alias("distinct_2"), F.round(F.avg(loops(c).cast("int")), 6).alias("loops"),
+    """Means over the rows of a group. Repetition is what distinct bigrams leave, so they are found once."""
+    found = lambda c: F.struct(distinct_n(c, 1).alias("d1"), distinct_n(c, 2).alias("d2"), (F.size(c) > 1).alias("some"), loops(c).cast("int").alias("l"))
+    each = rows.select(by, F.inline(F.array(T.bound(F.col(ids), found))))
+    return each.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("some"), 1 - F.col("d2")).otherwise(0.0)), 6).alias("repetition"), F.round(F.avg("d1"), 6).alias("distinct_1"),
+        F.round(F.avg("d2"), 6).alias("distinct_2"), F.round(F.avg("l"), 6).alias("loops"),
     )
 
 
@@ -104,8 +131,44 @@ def rouge(rows: DataFrame, by: str, hyp: str = "hyp", ref: str = "ref") -> DataF
 
 def fertility(rows: DataFrame, by: str, tokens: str = "n_tokens", words: str = "n_words", unknown: str = "n_unk") -> DataFrame:
     """Tokens a word over lines with words, and unknown tokens over all; ratios of sums."""
-    some = F.when(F.col(words) > 0, F.col(tokens))
-    return rows.groupBy(by).agg(F.round(F.sum(some) / F.nullif(F.sum(words), F.lit(0)), 6).alias("fertility"), F.round(F.sum(unknown) / F.nullif(F.sum(tokens), F.lit(0)), 6).alias("unk_rate"))
+    return rows.groupBy(by).agg(*_fertility(tokens, words, unknown))
+
+
+def _fertility(tokens: str | Column, words: str | Column, unknown: str | Column) -> tuple[Column, Column]:
+    t, w, u = (F.col(c) if isinstance(c, str) else c for c in (tokens, words, unknown))
+    return (
+        F.round(F.sum(F.when(w > 0, t)) / F.nullif(F.sum(w), F.lit(0)), 6).alias("fertility"),
+        F.round(F.sum(u) / F.nullif(F.sum(t), F.lit(0)), 6).alias("unk_rate"),
+    )
+
+
+def vocabulary_sweep(rows: DataFrame, text: str, candidates: dict[str, Vocabulary]) -> DataFrame:
+    """vocabulary, size, fertility, unk_rate of each candidate over all rows, which are read once."""
+    w = T.rough_tokens(F.col(text))
+    ids = {name: v.encode(F.col(text)) for name, v in candidates.items()}
+    each = rows.select(w.alias("w"), *(i.alias(f"ids {name}") for name, i in ids.items()))
+    named = [F.struct(F.lit(n).alias("vocabulary"), F.lit(v.size).alias("size"), F.col(f"`ids {n}`").alias("ids"), F.lit(v.unknown).alias("unknown")) for n, v in candidates.items()]
+    long_ = each.select("w", F.inline(F.array(*named)))
+    unknown = F.size(F.filter("ids", lambda i: i == F.col("unknown")))
+    return long_.groupBy("vocabulary", "size").agg(*_fertility(F.size("ids"), F.col("w"), unknown))
+
+
+def window_losses(losses: DataFrame, by: str, length: int) -> DataFrame:
+    """Sum of losses and number of tokens over the full windows of each stream; what is left after the last goes.
+
+    losses (by, pos, loss): the loss of the token at pos, from 1 on; the first token of a stream is not predicted.
+    """
+    n = losses.groupBy(by).agg((F.max("pos") + 1).alias("_n"))
+    full = losses.where("pos >= 1").join(n, by).where(F.col("pos") <= F.floor((F.col("_n") - 1) / length) * length)
+    return full.groupBy(by).agg(F.sum("loss").alias("loss"), F.count(F.lit(1)).alias("tokens"))
+
+
+def sampled_loss(losses: DataFrame, starts: DataFrame, length: int) -> DataFrame:
+    """loss, tokens, perplexity over windows of a stream (pos, loss) that begin at `starts` (start): each predicts
+    the `length` tokens after its first; a window counts as often as it is drawn."""
+    wanted = starts.select(F.explode(F.sequence(F.col("start") + 1, F.col("start") + length)).alias("pos")).groupBy("pos").agg(F.count(F.lit(1)).alias("_k"))
+    got = losses.join(wanted, "pos").agg(F.sum(F.col("loss") * F.col("_k")).alias("loss"), F.sum("_k").alias("tokens"))
+    return got.select(F.round(F.col("loss") / F.col("tokens"), 6).alias("loss"), "tokens", F.round(F.exp(F.col("loss") / F.col("tokens")), 4).alias("perplexity"))
 
 
 def windows(n: int, length: int) -> int:
@@ -119,6 +182,14 @@ def perplexity(totals: DataFrame) -> DataFrame:
     return totals.withColumns({"cross_entropy": F.round(ce, 6), "perplexity": F.round(F.exp(ce), 6), "bits_per_byte": F.round(ce * math.log2(math.e) * F.col("tokens") / F.nullif("bytes", F.lit(0)), 6)})
 
 
+def with_unigram_loss(tokens: DataFrame, token: str) -> DataFrame:
+    """tokens with the loss of each under an add-one unigram model of all of them: a stand-in for a neural scorer."""
+    counts = tokens.groupBy(token).agg(F.count(F.lit(1)).alias("_c"))
+    total = counts.agg(F.sum("_c").alias("_total"), F.count(F.lit(1)).alias("_kinds"))
+    loss = counts.crossJoin(F.broadcast(total)).select(token, (-F.log((F.col("_c") + 1) / (F.col("_total") + F.col("_kinds")))).alias("loss"))
+    return tokens.join(loss, token)
+
+
 def unigram_losses(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
     """A stand-in for a neural scorer: add-one unigram losses, summed by group. Columns: by, loss, tokens, bytes."""
     w = docs.select(by, F.explode(F.split(F.trim(text), r"\s+")).alias("w")).where("w <> ''").groupBy(by, "w").agg(F.count(F.lit(1)).alias("n"))
@@ -148,13 +219,31 @@ def attention_summary(p: DataFrame) -> DataFrame:
     return by_e.groupBy("layer", "head").agg(F.round(F.avg("h"), 6).alias("entropy"), F.round(F.avg("d"), 6).alias("distance"))
 
 
+def shares(scores: Column) -> Column:
+    """Scores over their sum."""
+    total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
+    return F.flatten(F.transform(F.array(total), lambda s: F.transform(scores, lambda x: x / s)))
+
+
+def head_summary(heads: DataFrame) -> DataFrame:
+    """attention_summary() of whole heads: example, layer, head, p (array of each query's weights of its keys)."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+    later = F.filter("p", lambda _, q: q >= 1)
+    h = F.transform(later, lambda w: total(F.transform(w, lambda x: -x * F.log(x + 1e-12))))
+    d = F.transform(later, lambda w: total(F.transform(w, lambda x, k: x * (F.size(w) - 1 - k))))
+    n = F.nullif(F.size("p") - 1, F.lit(0))
+    each = heads.select("example", "layer", "head", (total(h) / n).alias("h"), (total(d) / n).alias("d"))
+    return each.groupBy("layer", "head").agg(F.round(F.avg("h"), 6).alias("entropy"), F.round(F.avg("d"), 6).alias("distance"))
+
+
 def layer_means(heads: DataFrame) -> DataFrame:
     return heads.groupBy("layer").agg(F.round(F.avg("entropy"), 6).alias("entropy"), F.round(F.avg("distance"), 6).alias("distance"))
 
 
-def even_starts(n_windows: Column | int, n: int, length: int, spark) -> DataFrame:
-    """Starts of n windows spread evenly over n_windows of them: i, start."""
-    return spark.range(n).select(F.col("id").alias("i"), (F.floor(F.col("id") * F.lit(n_windows) / n) * length).alias("start"))
+def even_starts(total: DataFrame, n: int, length: int) -> DataFrame:
+    """Starts of n windows spread evenly over all full ones of a stream: i, start. total: one row, n tokens."""
+    full = F.floor((F.col("n") - 1) / length)
+    return total.select(F.posexplode(F.sequence(F.lit(0), F.lit(n - 1))), "n").select(F.col("pos").cast("long").alias("i"), (F.floor(F.col("pos") * full / n) * length).alias("start"))
 
 
 def batch_starts(step: Column, b: Column, batch: int, length: int, n: int) -> Column:
@@ -192,7 +281,8 @@ def best_rate(steps: DataFrame, band: int = 10) -> DataFrame:
     return got.where("bad = 0 and last < first").agg(F.min_by("lr", "last").alias("lr"), F.round(F.min("last"), 6).alias("loss"))
 
 
-def learning_rate(step: Column, peak: float, low: float, warmup: int, total: int) -> Column:
-    """Linear warm-up, then cosine down to the low rate."""
+def learning_rate(step: Column, peak: float, low: float | None, warmup: int, total: int) -> Column:
+    """Linear warm-up, then cosine down to the low rate; without a low rate, constant."""
     done = F.least(F.lit(1.0), (step - warmup) / max(1, total - warmup))
-    return F.when(step < warmup, peak * (step + 1) / warmup).otherwise(low + 0.5 * (1 + F.cos(F.lit(math.pi) * done)) * (peak - low))
+    after = F.lit(peak) if low is None else low + 0.5 * (1 + F.cos(F.lit(math.pi) * done)) * (peak - low)
+    return F.when(step < warmup, peak * (step + 1) / warmup).otherwise(after)

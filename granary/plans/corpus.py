@@ -6,30 +6,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import udfs
 from ..presets import Preset
+from .lineage import Scratch
 
 
-def judged(segments: DataFrame, preset: Preset, cleaned: str = "clean") -> DataFrame:
-    """segments (source, pos, text) with clean, tokens, fp and disposition: impure, suspect, duplicate or kept.
+def cleaned(segments: DataFrame, preset: Preset) -> DataFrame:
+    """segments (source, pos, text) with clean, dropped_lines, tokens, early (impure, suspect or null) and fp.
 
-    Each segment gets exactly one disposition, tested in this order. Of equal clean texts the first in (source,
-    pos) is kept. First wins by a minimum per fingerprint joined back, so that one very frequent text is combined
-    before the shuffle rather than sorted in one task.
+    Text is cleaned once a row: the generator keeps Spark from repeating the expression wherever a column of it is
+    used. A preset that wants NFC gets it first.
     """
-    c = T.clean(F.coalesce(F.col("text"), F.lit("")), preset)
-    rows = segments.withColumn("_c", c).withColumn("clean", F.col("_c.text")).withColumn("dropped_lines", F.col("_c.dropped")).drop("_c")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = segments.select("*", F.inline(F.array(F.struct(udfs.cleaned(text, preset).alias("_c")))))
+    rows = rows.select(*segments.columns, F.col("_c.text").alias("clean"), F.col("_c.dropped").alias("dropped_lines"))
     exempt = F.col("source").endswith(preset.exempt_suffix)
     early = F.when(F.col("clean") == "", "impure").when(~(exempt | T.likely_language(F.col("clean"), preset)), "suspect")
     rows = rows.withColumns({"tokens": T.rough_tokens(F.when(F.col("clean") == "", F.col("text")).otherwise(F.col("clean"))), "early": early})
-    rows = rows.withColumn("fp", F.when(F.col("early").isNull(), T.fingerprint(F.col("clean"))))
-    first = rows.where("fp is not null").groupBy("fp").agg(F.min(F.struct("source", "pos")).alias("first"))
+    return rows.withColumn("fp", F.when(F.col("early").isNull(), T.fingerprint(F.col("clean"))))
+
+
+def judged(segments: DataFrame, preset: Preset, order: tuple[str, ...] = ("source", "pos")) -> DataFrame:
+    """segments (source, pos, text, ...) without their text, with dropped_lines, tokens, fp and disposition: impure,
+    suspect, duplicate or kept.
+
+    Each segment gets exactly one disposition, tested in this order. Of equal clean texts the first in `order` is
+    kept. First wins by a minimum per fingerprint joined back, so that one very frequent text is combined
+    before the shuffle rather than sorted in one task. Segments are read and cleaned once: what is joined back is a
+    narrow table in the shared folder; kept_texts() fetches the texts.
+    """
+    rows = cleaned(segments, preset).drop("text", "clean")
+    rows = Scratch(segments.sparkSession).written(rows, "cleaned")
+    first = rows.where("fp is not null").groupBy("fp").agg(F.min(F.struct(*order)).alias("first"))
     rows = rows.join(first, "fp", "left")
-    is_first = (F.col("first.source") == F.col("source")) & (F.col("first.pos") == F.col("pos"))
+    is_first = F.col("first") == F.struct(*order)
     return rows.withColumn("disposition", F.coalesce("early", F.when(is_first, "kept").otherwise("duplicate"))).drop("early", "first")
 
 
+def kept_texts(segments: DataFrame, preset: Preset) -> DataFrame:
+    """source, pos, clean, tokens, split of the kept segments."""
+    kept = splits(judged(segments, preset).where("disposition = 'kept'")).select("source", "pos", "tokens", "split")
+    return cleaned(segments, preset).select("source", "pos", "clean").join(kept, ["source", "pos"])
+
+
 def splits(kept: DataFrame) -> DataFrame:
-    return kept.withColumn("split", T.split_name(T.bucket(F.col("clean"))))
+    """Rows of judged() with their split, which the text's fingerprint decides."""
+    return kept.withColumn("split", T.split_name(T.bucket_of(F.col("fp"))))
 
 
 def split_report(kept: DataFrame) -> DataFrame:
@@ -42,6 +64,20 @@ def split_report(kept: DataFrame) -> DataFrame:
     )
 
 
+def registered(segments: DataFrame, registry: DataFrame, tiered: str, tier: str = "unverified") -> DataFrame:
+    """segments (source, path, ...) of registered sources, with bucket and source_rank of the registry (source, bucket,
+    source_rank), a short list of folders, and whether the segment is of the unverified tier: of the source `tiered`,
+    in a file that the tier names."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return segments.join(F.broadcast(registry), "source").withColumn(tier, (F.col("source") == tiered) & name.contains(tier))
+
+
+def registry_accounting(rows: DataFrame, tier: str = "unverified") -> DataFrame:
+    """accounting() with the files scanned and the kept tokens of the unverified tier."""
+    more = rows.groupBy("bucket").agg(F.countDistinct("path").alias("files_scanned"), F.coalesce(F.sum(F.when(F.col(tier) & (F.col("disposition") == "kept"), F.col("tokens"))), F.lit(0)).alias(f"{tier}_tokens"))
+    return accounting(rows).join(more, "bucket")
+
+
 def accounting(rows: DataFrame, by: str = "bucket") -> DataFrame:
     """Segments and tokens of each disposition, by bucket."""
     made = [f(F.col("disposition") == d).alias(f"{d}_segments") for d in ("impure", "suspect", "duplicate", "kept") for f in (F.count_if,)]

@@ -26,3 +26,7 @@ ASSAMESE = Preset("assamese", r"\x{0980}-\x{09FF}", markers="ৰৱ", replacemen
 #: Serves Latin tables; its constants let every branch occur in them.
 LATIN = Preset("latin", "A-Za-z", min_ratio=0.95)
 FRENCH = Preset("french", "A-Za-zÀ-ÖØ-öø-ÿ", markers="éèêç")
+#: Like LATIN, with marker letters that some of its languages lack, and a source suffix that is exempt.
+MARKED = Preset("marked", "A-Za-z", min_ratio=0.95, markers="kw", min_marker_ratio=0.01, exempt_suffix="7")
+#: Normalised first, split at \n only, lines as they are.
+ACCENTED = Preset("accented", "A-Za-z", min_ratio=0.9, nfc=True, split_all_lines=False)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import udfs
 from ..presets import Preset
 
 
@@ -17,7 +18,7 @@ def collected(spark: SparkSession, source: str, schema: str, preset: Preset, out
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def write(batch: DataFrame, number: int) -> None:
-        got = batch.withColumn("c", T.clean(F.coalesce(F.col("text"), F.lit("")), preset)).withColumn("clean", F.col("c.text"))
+        got = batch.withColumn("c", udfs.cleaned(F.coalesce(F.col("text"), F.lit("")), preset)).withColumn("clean", F.col("c.text"))
         n, m = T.rough_tokens(F.col("text")), T.rough_tokens(F.col("clean"))
         status = F.when(n < min_words, "too_short_or_no_article").when((m < min_words) | (F.col("clean") == ""), "filtered_below_min_words").otherwise("done")
         got = got.withColumns({"status": status, "words": m}).persist()

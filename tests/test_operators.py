@@ -1,4 +1,6 @@
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,7 +100,7 @@ def test_reasoning_holds_out_entities_forms_and_chains(spark):
         assert (set(r.entities) <= held) == (r.split == "test_unseen_entity")
         assert (r.premise_form_id == 3) == (r.split == "test_unseen_wording")
         assert not (r.has_tie and r.num_entities == 3)
-        assert (r.answer == "equal") == (r.has_tie and r.num_entities == 2)
+        assert (r.answer == "equal") == (r.has_tie and r.num_entities == 2) == (r.direction == "equal")
     assert 0.03 < sum(r.has_tie for r in rows) / len(rows) < 0.2
 
 
@@ -111,6 +113,52 @@ def test_training_triple(spark):
         rows.select(reasoning.training_triple(F.col("p"), F.col("a"), 4)).collect()
 
 
+def test_batches_have_numbers_of_their_own(spark):
+    rows = spark.range(500).withColumnRenamed("id", "k")
+    got = reasoning.shuffled(rows, "k", 7, seed=3, parts=5).collect()
+    sizes = Counter(r.batch for r in got)
+    assert len(got) == 500 and max(sizes.values()) == 7 and sorted(sizes) == list(range(len(sizes)))
+    assert sum(n < 7 for n in sizes.values()) <= 5
+    assert {(r.k, r.batch) for r in got} == {(r.k, r.batch) for r in reasoning.shuffled(rows.repartition(3), "k", 7, seed=3, parts=5).collect()}
+
+
+def test_examples_cover_all_tokens(spark):
+    got = reasoning.examples_of(ids(spark, range(25), []), "ids", 10).collect()
+    assert [(r.id, r.part, r.ids) for r in got] == [(0, 0, list(range(10))), (0, 1, list(range(10, 20))), (0, 2, list(range(20, 25))), (1, 0, [])]
+
+
+def test_running_total_of_a_hot_source(spark):
+    rows = [("hot", i, i % 5) for i in range(3000)] + [("a", 1, 2), ("a", 2, None), ("a", 3, 4)]
+    got = ledger.running_total(spark.createDataFrame(rows, "s string, pos long, t long").repartition(7), "s", "pos", "t").collect()
+    sums, want = Counter(), {}
+    for s, p, t in rows:
+        want[s, p] = sums[s]
+        sums[s] += t or 0
+    assert {(r.s, r.pos): r.before for r in got} == want
+
+
+def test_crawl_ends_after_so_many_documents(spark):
+    edges = spark.range(1, 40).selectExpr("id div 3 as parent", "id as child")
+    roots = spark.range(1).withColumnRenamed("id", "node")
+    whole = ledger.reachable(edges, roots)
+    assert whole.count() == 40 and whole.columns == ["node", "depth"]
+    part = ledger.reachable(edges, roots, documents=8).collect()
+    assert sorted(r.node for r in part) == list(range(8)) and all(r.cut for r in part)
+    assert not ledger.reachable(edges, roots, documents=40).first().cut
+
+
+def test_loops_and_distinct_ngrams_of_long_texts(spark):
+    r = random.Random(5)
+    texts = [[r.choice("abcdefgh") for _ in range(3000)] for _ in range(3)] + [["a"] * 3000, ["ab", "c"], ["a", "bc"]]
+    texts[0] += texts[0][-700:] * 2
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, ids array<string>")
+    got = rows.select("id", metrics.distinct_n(F.col("ids"), 2).alias("d"), metrics.loops(F.col("ids")).alias("l")).orderBy("id").collect()
+    for x, t in zip(got, texts, strict=True):
+        pairs = list(zip(t, t[1:]))
+        assert abs(x.d - len(set(pairs)) / len(pairs)) < 1e-12
+        assert x.l == any(t[-3 * p : -2 * p] == t[-2 * p : -p] == t[-p:] for p in range(2, len(t) // 3 + 1))
+
+
 def test_text_scan_in_registry_order(spark, tmp_path):
     for d, t in (("one", "a\n\nb"), ("two", "b\n \nc")):
         (tmp_path / d).mkdir()
