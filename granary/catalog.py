@@ -2,55 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import udfs
 from .operators import ledger, metrics, reasoning
 from .plans import corpus
-from .presets import FRENCH, LATIN
+from .presets import FRENCH, LATIN, MARKED
+from .registered import ORACLES, QUERIES, query
+from .registered import read as _read
 from .sources import files
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
 
-SPACE_WORD = r"\S+"
 _CLEAN = r"""array_to_string(list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r\n|[\n\x0b\x0c\r]'), lambda x: trim(x, chr(32) || chr(9))),
   lambda x: x <> '' AND len(regexp_extract_all(x, '\p{L}')) > 0 AND len(regexp_extract_all(x, '[A-Za-z]')) / len(regexp_extract_all(x, '\p{L}')) >= 0.95), chr(10))"""
 _SEGMENTS = f"""
 seg AS (SELECT doc_id, source, CASE WHEN doc_id % 4 = 0 THEN 'manual' ELSE 'downloaded' END AS bucket, text, {_CLEAN} AS clean FROM documents),
-tok AS (SELECT *, len(regexp_extract_all(CASE WHEN clean = '' THEN coalesce(text, '') ELSE clean END, '\\S+')) AS tokens FROM seg),
-judged AS (SELECT *, CASE WHEN clean = '' THEN 'impure' WHEN row_number() OVER (PARTITION BY clean ORDER BY source, doc_id) = 1 THEN 'kept' ELSE 'duplicate' END AS disposition FROM tok)
+tok AS (SELECT *, len(regexp_extract_all(CASE WHEN clean = '' THEN coalesce(text, '') ELSE clean END, '\\S+')) AS tokens,
+  len(regexp_extract_all(clean, '[A-Za-z]')) AS block, len(regexp_extract_all(clean, '[kw]')) AS marks FROM seg),
+early AS (SELECT *, CASE WHEN clean = '' THEN 'impure' WHEN NOT (source LIKE '%7' OR block < 30 OR marks / block >= 0.01) THEN 'suspect' END AS early FROM tok),
+judged AS (SELECT *, coalesce(early, CASE WHEN row_number() OVER (PARTITION BY clean, early ORDER BY source, doc_id) = 1 THEN 'kept' ELSE 'duplicate' END) AS disposition FROM early)
 """
 _BUCKET = "concat('0x', substr(sha256(clean), 1, 15))::BIGINT % 100"
 _SPLIT = f"CASE WHEN {_BUCKET} < 98 THEN 'train' WHEN {_BUCKET} < 99 THEN 'val' ELSE 'test' END"
 
 
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _segments(spark, sf_dir):
     bucket = F.when(F.col("doc_id") % 4 == 0, "manual").otherwise("downloaded")
     return _read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("pos"), bucket.alias("bucket"), "text")
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.judged(_segments(spark, sf_dir), LATIN)
+def _judged(spark, sf_dir):
+    return corpus.judged(_segments(spark, sf_dir), MARKED)
 
 
 @query(f"WITH {_SEGMENTS}, s AS (SELECT {_SPLIT} AS split, tokens FROM judged WHERE disposition = 'kept') SELECT coalesce(split, 'all') AS split, count(*) AS documents, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens, round(100.0 * sum(tokens) / (SELECT sum(tokens) FROM s), 6) AS percent FROM s GROUP BY ROLLUP (split)")
@@ -149,7 +133,10 @@ def url_names(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", T.canonical_url(u).alias("canonical"), T.slug(u, 40).alias("slug"), T.hashed_slug(u, 40).alias("hashed_slug"))
 
 
-@query()
+_ENTITIES = """replace(replace(replace(replace(replace({}, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&amp;', '&')"""
+
+
+@query(f"""SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>'), lambda x: {_ENTITIES.format("trim(x)")}), lambda x: x <> ''), chr(10)) AS text FROM pages""")
 def article_text(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", udfs.container_text("article")("html").alias("text"))
 
@@ -206,7 +193,10 @@ def exact_match(spark, sf_dir):
     return metrics.exact_match(_read(spark, sf_dir, "conversations").select(F.col("role").alias("lang"), F.col("text").alias("predicted"), expected.alias("expected")), "lang")
 
 
-@query("""WITH p AS (SELECT conv_id, turn, role AS grp, string_split_regex(trim(text), '\\s+') AS hyp, lag(string_split_regex(trim(text), '\\s+')) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations),
+_INTL = r"list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace({}, '(\PN)(\pP)', '\1 \2 ', 'g'), '(\pP)(\PN)', ' \1 \2', 'g'), '(\pS)', ' \1 ', 'g'), '\s+'), lambda x: x <> '')"
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, role AS grp, {_INTL.format('text')} AS hyp, lag({_INTL.format('text')}) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations),
 r AS (SELECT row_number() OVER () AS id, * FROM p WHERE ref IS NOT NULL),
 o AS (SELECT unnest(range(1, 5)) AS n),
 h AS (SELECT grp, id, n, g, count(*) AS c FROM (SELECT grp, id, n, unnest(list_transform(range(1, greatest(len(hyp) - n + 2, 1)), lambda k: array_to_string(hyp[k:k+n-1], ' '))) AS g FROM r, o) GROUP BY ALL),
@@ -215,24 +205,33 @@ m AS (SELECT h.grp, h.n, sum(least(h.c, coalesce(f.c, 0))) AS m, sum(h.c) AS t F
 l AS (SELECT grp, sum(len(hyp)) AS hl, sum(len(ref)) AS rl FROM r GROUP BY grp)
 SELECT grp, round(CASE WHEN min(m) > 0 AND count(*) = 4 THEN 100 * CASE WHEN any_value(hl) >= any_value(rl) THEN 1 ELSE exp(1 - any_value(rl) / any_value(hl)) END * exp(avg(ln(CASE WHEN m > 0 THEN m / t ELSE 1 END))) ELSE 0.0 END, 6) AS bleu FROM m JOIN l USING (grp) GROUP BY grp""")
 def bleu(spark, sf_dir):
-    return metrics.bleu(_pairs(spark, sf_dir), "grp")
+    return metrics.bleu(_pairs(spark, sf_dir), "grp", "hyp_intl", "ref_intl")
 
 
 def _pairs(spark, sf_dir):
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id").orderBy("turn")
-    words = F.split(F.trim("text"), r"\s+")
-    rows = _read(spark, sf_dir, "conversations").select(F.col("role").alias("grp"), words.alias("hyp"), F.lag(words).over(w).alias("ref"), F.col("text").alias("hyp_text"), F.lag("text").over(w).alias("ref_text"))
+    words, intl = F.split(F.trim("text"), r"\s+"), T.international_words(F.col("text"))
+    rows = _read(spark, sf_dir, "conversations").select(F.col("role").alias("grp"), words.alias("hyp"), F.lag(words).over(w).alias("ref"), F.col("text").alias("hyp_text"), F.lag("text").over(w).alias("ref_text"), intl.alias("hyp_intl"), F.lag(intl).over(w).alias("ref_intl"))
     return rows.where("ref is not null")
 
 
-@query()
+@query("""WITH p AS (SELECT conv_id, turn, role AS grp, regexp_replace(text, '\\s', '', 'g') AS hyp, regexp_replace(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '\\s', '', 'g') AS ref FROM conversations),
+r AS (SELECT row_number() OVER () AS id, * FROM p WHERE ref IS NOT NULL), o AS (SELECT unnest(range(1, 7)) AS n),
+h AS (SELECT grp, id, n, g, count(*) AS c FROM (SELECT grp, id, n, unnest(list_transform(range(1, greatest(len(hyp) - n + 2, 1)), lambda k: substr(hyp, k, n))) AS g FROM r, o) GROUP BY ALL),
+f AS (SELECT grp, id, n, g, count(*) AS c FROM (SELECT grp, id, n, unnest(list_transform(range(1, greatest(len(ref) - n + 2, 1)), lambda k: substr(ref, k, n))) AS g FROM r, o) GROUP BY ALL),
+m AS (SELECT coalesce(h.grp, f.grp) AS grp, coalesce(h.n, f.n) AS n, sum(least(coalesce(h.c, 0), coalesce(f.c, 0))) AS m, sum(h.c) AS hs, sum(f.c) AS fs FROM h FULL JOIN f ON h.grp = f.grp AND h.id = f.id AND h.n = f.n AND h.g = f.g GROUP BY ALL)
+SELECT grp, round(100 * avg(CASE WHEN m = 0 THEN 0 ELSE 5 * (m / hs) * (m / fs) / (4 * (m / hs) + m / fs) END), 6) AS chrf FROM m WHERE hs > 0 AND fs > 0 GROUP BY grp""")
 def chrf(spark, sf_dir):
     return metrics.chrf(_pairs(spark, sf_dir), "grp", "hyp_text", "ref_text")
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT role AS grp, string_split_regex(trim(text), '\\s+') AS x, string_split_regex(trim(lag(text) OVER (PARTITION BY conv_id ORDER BY turn)), '\\s+') AS y FROM conversations),
+r AS (SELECT row_number() OVER () AS id, * FROM p WHERE y IS NOT NULL), w AS (SELECT id, x, len(y) AS m, unnest(y) AS w, generate_subscripts(y, 1) AS j FROM r),
+t AS (SELECT id, 0 AS i, j, 0 AS v FROM w UNION ALL
+SELECT id, i, j, max(v) OVER (PARTITION BY id ORDER BY j) FROM (SELECT t.id, t.i + 1 AS i, t.j, greatest(t.v, lag(t.v, 1, 0) OVER (PARTITION BY t.id ORDER BY t.j) + CASE WHEN w.x[t.i + 1] = w.w THEN 1 ELSE 0 END) AS v FROM t JOIN w USING (id, j) WHERE t.i < len(w.x)))
+SELECT grp, round(avg(f), 6) AS rouge_l FROM (SELECT grp, 2 * max(v) / (any_value(len(x)) + any_value(len(y))) AS f FROM r JOIN t USING (id) WHERE t.i = len(x) GROUP BY grp, id) GROUP BY grp""")
 def rouge_l(spark, sf_dir):
     return metrics.rouge(_pairs(spark, sf_dir), "grp")
 
@@ -254,9 +253,9 @@ def lr_schedule(spark, sf_dir):
     return spark.range(250).select(F.col("id").alias("step"), F.round(metrics.learning_rate(F.col("id"), 0.001, 0.0001, 20, 200), 9).alias("lr"))
 
 
-@query("WITH t AS (SELECT label AS rank, avg(embedding[1]) + 1 AS loss FROM embeddings GROUP BY label), b AS (SELECT min(loss) AS b FROM t) SELECT min(rank) AS rank, round(arg_min(loss, rank), 5) AS loss FROM t, b WHERE loss <= b + 0.02")
+@query("WITH t AS (SELECT label AS rank, avg(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))) + 1 AS loss FROM embeddings GROUP BY label), b AS (SELECT min(loss) AS b FROM t) SELECT min(rank) AS rank, round(arg_min(loss, rank), 5) AS loss FROM t, b WHERE loss <= b + 0.02")
 def sweep_pick(spark, sf_dir):
-    rows = _read(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("rank")).agg((F.avg(F.get("embedding", 0)) + 1).alias("loss"))
+    rows = _read(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("rank")).agg((F.avg(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)) + 1).alias("loss"))
     return metrics.smallest_within(rows, "rank", "loss").withColumn("loss", F.round("loss", 5))
 
 
@@ -266,21 +265,22 @@ def batch_pick(spark, sf_dir):
     return metrics.fastest_sound(rows, baseline=3)
 
 
-@query("""WITH e AS (SELECT vec_id, embedding[1:8] AS v FROM embeddings),
-s AS (SELECT vec_id AS example, vec_id % 2 AS layer, q, k, exp(CAST(v[q+1] AS DOUBLE) * CAST(v[k+1] AS DOUBLE)) AS x FROM e, range(8) a(q), range(8) b(k) WHERE k <= q),
+@query("""WITH e AS (SELECT vec_id, embedding AS v, range(len(embedding)) AS places FROM embeddings),
+s AS (SELECT vec_id AS example, vec_id % 2 AS layer, vec_id // 2 % 2 AS head, q, k, exp(CAST(v[q+1] AS DOUBLE) * CAST(v[k+1] AS DOUBLE)) AS x FROM (SELECT *, unnest(places) AS q FROM e), range(64) b(k) WHERE k <= q),
 p AS (SELECT *, x / sum(x) OVER (PARTITION BY example, q) AS p FROM s),
-h AS (SELECT layer, example, q, sum(-p * ln(p + 1e-12)) AS h, sum(p * (q - k)) AS d FROM p WHERE q >= 1 GROUP BY ALL),
-x AS (SELECT layer, example, avg(h) AS h, avg(d) AS d FROM h GROUP BY ALL)
-SELECT layer, CAST(0 AS INTEGER) AS head, round(avg(h), 6) AS entropy, round(avg(d), 6) AS distance FROM x GROUP BY layer""")
+h AS (SELECT layer, head, example, q, sum(-p * ln(p + 1e-12)) AS h, sum(p * (q - k)) AS d FROM p WHERE q >= 1 GROUP BY ALL),
+x AS (SELECT layer, head, example, avg(h) AS h, avg(d) AS d FROM h GROUP BY ALL)
+SELECT layer, CAST(head AS INTEGER) AS head, round(avg(h), 6) AS entropy, round(avg(d), 6) AS distance FROM x GROUP BY layer, head""")
 def attention_summary(spark, sf_dir):
-    from pyspark.sql import Window
+    return metrics.head_summary(_heads(spark, sf_dir))
+
 
-    v = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("example"), F.slice("embedding", 1, 8).alias("v"))
-    q = v.select("example", "v", F.posexplode("v").alias("q", "a"))
-    k = q.select("example", "q", "a", F.posexplode("v").alias("k", "b")).where("k <= q")
-    x = k.withColumn("x", F.exp(F.col("a").cast("double") * F.col("b").cast("double")))
-    p = x.withColumn("p", F.col("x") / F.sum("x").over(Window.partitionBy("example", "q")))
-    return metrics.attention_summary(p.withColumns({"layer": F.col("example") % 2, "head": F.lit(0)}))
+def _heads(spark, sf_dir):
+    """Softmax of each vector's products with itself, as attention weights of one head."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    scores = F.transform(v, lambda a, q: F.transform(F.slice(v, F.lit(1), q + 1), lambda b: F.exp(a * b)))
+    rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("example"), (F.col("vec_id") % 2).alias("layer"), F.floor(F.col("vec_id") / 2 % 2).cast("int").alias("head"), scores.alias("p"))
+    return rows.withColumn("p", F.transform("p", metrics.shares))
 
 
 @query(f"""WITH w AS (SELECT lang, unnest({_W}) AS w FROM documents), a AS (SELECT w, count(*) AS c FROM w GROUP BY w), t AS (SELECT sum(c) AS total, count(*) AS kinds FROM a),
@@ -304,8 +304,8 @@ def epoch_loss(spark, sf_dir):
 
 @query("SELECT CAST(i AS BIGINT) AS i, CAST(i * (SELECT (sum(n_chars) - 1) // 256 FROM documents) // 50 * 256 AS BIGINT) AS start FROM range(50) t(i)")
 def even_windows(spark, sf_dir):
-    n = _read(spark, sf_dir, "documents").agg(F.sum("n_chars")).first()[0]
-    return metrics.even_starts(metrics.windows(n, 256), 50, 256, spark)
+    n = _read(spark, sf_dir, "documents").agg(F.sum("n_chars").alias("n"))
+    return metrics.even_starts(n, 50, 256)
 
 
 @query("SELECT CAST(s AS BIGINT) AS step, CAST(b AS BIGINT) AS b, CAST((s * 4 * 256) % (100000 - 257) + b * 256 AS BIGINT) AS start FROM range(200) x(s), range(4) y(b)")
@@ -362,15 +362,47 @@ def reasoning_variety(spark, sf_dir):
     return reasoning.variety(reasoning.dataset(spark))
 
 
-@query("SELECT doc_id, len(w) AS n, CAST(127 AS INTEGER) AS places, CAST(3 AS BIGINT) AS answer_places FROM (SELECT doc_id, list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x <> '')[1:100] AS w FROM documents)")
+@query(f"""WITH w AS (SELECT doc_id, list_transform({_W}, lambda x: CAST(strlen(x) * 31 + strlen(replace(x, 'e', '')) AS INTEGER)) AS ids FROM documents),
+e AS (SELECT doc_id, i AS part, ids[i * 120 + 1 : i * 120 + 120] AS p FROM w, LATERAL (SELECT unnest(range(0, greatest(1, (len(ids) + 119) // 120))) AS i)),
+s AS (SELECT doc_id, part, p, list_concat(p, [1, 7, 8, 2]) AS ids FROM e),
+f AS (SELECT doc_id, part, p, ids, list_concat(ids, list_transform(range(0, 128 - len(ids)), lambda x: 0)) AS whole FROM s)
+SELECT doc_id, part, array_to_string(whole[1:127], ' ') AS x, array_to_string(whole[2:128], ' ') AS y,
+array_to_string(list_transform(range(0, 127), lambda i: CASE WHEN i >= len(p) AND i <= len(ids) - 2 THEN 1 ELSE 0 END), '') AS mask FROM f""")
 def training_triples(spark, sf_dir):
-    ids = F.transform(F.slice(F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != ""), 1, 100), lambda w: F.pmod(F.hash(w), F.lit(8000)))
-    t = reasoning.training_triple(F.col("ids"), F.array(F.lit(7), F.lit(8)))
-    rows = _read(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")).withColumn("t", t)
-    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n"), F.size("t.x").alias("places"), F.aggregate("t.mask", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("answer_places"))
+    word = F.filter(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "")
+    ids = F.transform(word, lambda w: (F.octet_length(w) * 31 + F.octet_length(F.replace(w, F.lit("e"), F.lit("")))).cast("int"))
+    rows = reasoning.examples_of(_read(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")), "ids", 120)
+    rows = rows.withColumn("t", reasoning.training_triple(F.col("ids"), F.array(F.lit(7), F.lit(8))))
+    return rows.select("doc_id", "part", F.array_join("t.x", " ").alias("x"), F.array_join("t.y", " ").alias("y"), F.array_join(F.transform("t.mask", lambda m: m.cast("int")), "").alias("mask"))
+
+
+_PIECES = "SELECT doc_id, lang, source, list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'), lambda x: x <> '') AS w FROM documents"
+
+
+def _marked_up(spark, sf_dir):
+    """Texts in wiki markup: words of documents in templates, tables, links, references, headings and lists."""
+    w = F.col("w")
+    at = lambda i: F.coalesce(F.get(w, i), F.lit("none"))
+    parts = (
+        "{{Box|", at(0), "|{{inner|", at(1), "}}}}<!-- ", at(2), " -->\n== ", F.col("source"), " ==\n{| class=x\n|", at(3), "\n{|\n|y\n|}\n|}\n* '''", at(4), "''' [[",
+        at(5), "|", at(6), "]] [[", at(7), "]]<ref name=\"r\">", at(8), "</ref>\n[[File:a.png|thumb|[[", at(9), "]] x]]\n\n\n\n[http://example.org/ ", at(10), "] [http://example.org]<br/>", F.array_join(w, " "), "&amp;&lt;",
+    )
+    rows = _read(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-z0-9]+)"), 1).alias("w"))
+    return rows.select("doc_id", F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("text"))
 
 
-@query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(trim(coalesce(text, '')), '[\[\]{}]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS prose_sha256 FROM documents")
+_AT = "coalesce(w[{}], 'none')"
+
+
+@query(f"SELECT doc_id, concat(source, chr(10), chr(10), {_AT.format(5)}, ' ', {_AT.format(7)}, ' ', {_AT.format(8)}, chr(10), chr(10), {_AT.format(11)}, ' ', array_to_string(w, ' '), '&<') AS prose FROM ({_PIECES})")
 def wiki_prose(spark, sf_dir):
-    t = T.wiki_prose_end(udfs.unescape(T.wiki_prose(F.coalesce(F.col("text"), F.lit("")))))
-    return _read(spark, sf_dir, "documents").select("doc_id", T.fingerprint(t).alias("prose_sha256"))
+    return _marked_up(spark, sf_dir).select("doc_id", udfs.wiki_prose("text").alias("prose"))
+
+
+@query(f"SELECT doc_id, '  ' AS first_line, concat({_AT.format(11)}, '   ', array_to_string(w, ' '), '&amp;&lt;') AS last_line FROM ({_PIECES})")
+def wiki_strip(spark, sf_dir):
+    lines = F.split(udfs.wiki_strip("text"), "\n")
+    return _marked_up(spark, sf_dir).select("doc_id", F.element_at(lines, 1).alias("first_line"), F.element_at(lines, -1).alias("last_line"))
+
+
+from . import catalog_evaluation, catalog_sources  # noqa: E402, F401  their queries

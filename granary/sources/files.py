@@ -52,10 +52,7 @@ def wiki_pages(spark: SparkSession, path: str, by_text: bool = False) -> DataFra
 
     by_text: redirects are told by the text's first word rather than by their element.
     """
-    pages = spark.read.format("xml").option("rowTag", "page").schema(PAGE).load(path).where("ns = 0")
-    text = F.col("revision.text._VALUE")
-    kept = pages.where(~T.is_redirect(text)) if by_text else pages.where("redirect is null")
-    return kept.select("title", text.alias("text")).where("title <> '' and text <> ''")
+    return _articles(spark.read.format("xml").option("rowTag", "page").schema(PAGE).load(path).where("ns = 0"), by_text)
 
 
 def multistream_index(lines: DataFrame) -> DataFrame:
@@ -65,26 +62,41 @@ def multistream_index(lines: DataFrame) -> DataFrame:
 
 
 def multistream_chunks(ranges: DataFrame, path: str) -> DataFrame:
-    """xml of each byte range (start, end) of a multistream dump on a file system that executors share; a range
-    that can't be read gives null."""
+    """xml of each byte range (start, end) of a multistream dump, from any store that Arrow's file systems read; a
+    range that isn't whole bzip2 streams gives null."""
 
     def run(frames):
         import bz2
 
-        for f in frames:
-            out = []
-            for a, b in zip(f["start"], f["end"], strict=True):
-                try:
-                    with open(path, "rb") as file:
-                        file.seek(a)
-                        out.append(bz2.decompress(file.read(b - a)).decode("utf-8", "replace"))
-                except (OSError, ValueError):
-                    out.append(None)
-            yield pd.DataFrame({"start": f["start"], "xml": out})
+        from pyarrow.fs import FileSystem
+
+        store, place = FileSystem.from_uri(path) if "://" in path else (FileSystem.from_uri(f"file://{path}"))
+        with store.open_input_file(place) as file:
+            for f in frames:
+                out = []
+                for a, b in zip(f["start"], f["end"], strict=True):
+                    try:
+                        out.append(bz2.decompress(file.read_at(int(b - a), int(a))).decode("utf-8", "replace"))
+                    except (OSError, ValueError):
+                        out.append(None)
+                yield pd.DataFrame({"start": f["start"], "xml": out})
 
     return ranges.select("start", "end").mapInPandas(run, "start long, xml string")
 
 
+def chunk_pages(chunks: DataFrame, by_text: bool = True) -> DataFrame:
+    """start, title, text of the articles in multistream chunks (start, xml), told apart as in wiki_pages()."""
+    each = chunks.select("start", F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<page\b.*?</page>"), 0)).alias("page"))
+    pages = each.select("start", F.from_xml("page", PAGE).alias("p")).select("start", "p.*").where("ns = 0")
+    return _articles(pages, by_text, "start")
+
+
+def _articles(pages: DataFrame, by_text: bool, *more: str) -> DataFrame:
+    text = F.col("revision.text._VALUE")
+    kept = pages.where(~T.is_redirect(text)) if by_text else pages.where("redirect is null")
+    return kept.select(*more, "title", text.alias("text")).where("title <> '' and text <> ''")
+
+
 def examples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EXAMPLE).json(path)
 
@@ -94,7 +106,10 @@ def loss_log(spark: SparkSession, path: str, schema: str = "step long, train_los
 
 
 def token_files(spark: SparkSession, path: str, length: int) -> DataFrame:
-    """path, pos, ids: windows of uint16 token files."""
+    """path, pos, ids: windows of `length` tokens of uint16 token files; the last one of a file may be short.
+
+    A file is one row of Spark's reader, so its size is bounded by a task's memory (2 GB).
+    """
 
     def run(frames):
         import numpy as np
@@ -102,21 +117,25 @@ def token_files(spark: SparkSession, path: str, length: int) -> DataFrame:
         for f in frames:
             for p, content in zip(f["path"], f["content"], strict=True):
                 ids = np.frombuffer(content, "<u2").astype("int32")
-                for i in range(0, len(ids), length):
-                    yield pd.DataFrame({"path": [p], "pos": [i // length], "ids": [ids[i : i + length]]})
+                at = range(0, len(ids), length)
+                yield pd.DataFrame({"path": p, "pos": [i // length for i in at], "ids": [ids[i : i + length] for i in at]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, pos long, ids array<int>")
 
 
-def xz_text(spark: SparkSession, path: str) -> DataFrame:
-    """line rows of xz files."""
+def xz_text(spark: SparkSession, path: str, lines: int = 10_000) -> DataFrame:
+    """path, line of xz files, decompressed as a stream: a task holds the compressed file and `lines` lines."""
 
     def run(frames):
+        import io
         import lzma
+        from itertools import islice
 
         for f in frames:
             for p, content in zip(f["path"], f["content"], strict=True):
-                yield pd.DataFrame({"path": p, "line": lzma.decompress(content).decode("utf-8", "replace").splitlines()})
+                with lzma.open(io.BytesIO(content), "rt", encoding="utf-8", errors="replace", newline="") as text:
+                    while part := [x.rstrip("\r\n") for x in islice(text, lines)]:
+                        yield pd.DataFrame({"path": p, "line": part})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, line string")
 
@@ -182,7 +201,7 @@ def write_text(rows: DataFrame, path: str) -> None:
 
 def recleaned(rows: DataFrame, preset) -> DataFrame:
     """Texts cleaned again, segment by segment, with words before and after."""
-    new = T.clean(F.col("text"), preset)["text"]
+    new = udfs.cleaned(F.col("text"), preset)["text"]
     return rows.withColumns({"words_before": T.rough_tokens(F.col("text")), "text": new, "words_after": T.rough_tokens(new)})
 
 
