@@ -9,6 +9,8 @@ from ..presets import Preset
 
 #: Line separators that Java's \R leaves out are added.
 ANY_LINE = r"\R|[\x1c-\x1e]"
+#: What str.strip() takes for white space.
+WHITE = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 WORD = r"(?U)[^\s\x1c-\x1f]+"
 
 
@@ -19,7 +21,12 @@ def bound(value: Column, f) -> Column:
 
 def strip(t: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(t, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(t, F.lit(WHITE))
+
+
+def count_of(t: Column, characters: str) -> Column:
+    """How many characters of t are in a class; the others go in runs, which are fewer than the characters."""
+    return F.length(F.regexp_replace(t, f"[^{characters}]+", ""))
 
 
 def rough_tokens(t: Column) -> Column:
@@ -44,8 +51,8 @@ def international_words(t: Column) -> Column:
 
 def script_ratio(t: Column, preset: Preset) -> Column:
     """Letters of the script over all letters; 0.0 without letters or text. Combining marks count on neither side."""
-    inside = F.regexp_count(t, F.lit(f"[{preset.letters}&&[{preset.script}]]"))
-    return F.coalesce(inside / F.nullif(F.regexp_count(t, F.lit(preset.letters)), F.lit(0)), F.lit(0.0))
+    inside = count_of(t, f"[{preset.letters}&&[{preset.script}]]")
+    return F.coalesce(inside / F.nullif(count_of(t, preset.letters), F.lit(0)), F.lit(0.0))
 
 
 def lines_of(t: Column, preset: Preset) -> Column:
@@ -57,9 +64,11 @@ def clean(t: Column, preset: Preset) -> Column:
 
     A preset that wants NFC expects `t` to be normalised already; functions.udfs.cleaned does both.
     """
-    full = F.filter(lines_of(t, preset), lambda x: strip(x) != "")
-    kept = F.filter(full, lambda x: script_ratio(x, preset) >= preset.min_ratio)
-    return F.struct(F.array_join(kept, "\n").alias("text"), (F.size(full) - F.size(kept)).alias("dropped"))
+    blank = (lambda x: x == "") if preset.split_all_lines else (lambda x: strip(x) == "")  # lines are stripped already, or not
+    full = F.filter(lines_of(t, preset), lambda x: ~blank(x))
+    kept = lambda a: F.filter(a, lambda x: script_ratio(x, preset) >= preset.min_ratio)
+    both = lambda a, k: F.struct(F.array_join(k, "\n").alias("text"), (F.size(a) - F.size(k)).alias("dropped"))
+    return bound(full, lambda a: bound(kept(a), lambda k: both(a, k)))
 
 
 def token_lines(cleaned: Column) -> Column:
@@ -77,7 +86,7 @@ def likely_language(t: Column, preset: Preset) -> Column:
     """Markers among all characters of the block are frequent enough, or the block has too few to tell."""
     if not preset.markers:
         return F.lit(True)
-    n = F.regexp_count(t, F.lit(f"[{preset.script}]"))
+    n = count_of(t, preset.script)
     m = F.regexp_count(t, F.lit(f"[{preset.markers}]"))
     return (n < preset.min_block_chars) | (m / F.nullif(n, F.lit(0)) >= preset.min_marker_ratio)
 
