@@ -8,7 +8,7 @@ from .pii import op1_skip_chain
 from .sharding import op10_virtual_slots
 from .substrings import op2_repeated_substrings
 from .toxicity import op4_toxic_segments
-from .urlgraph import op8_trust_ranks
+from .urlgraph import OP8_SQL, op8_trust_ranks
 from .viterbi import op3_streaming_viterbi
 
 QUERIES = {
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_tensored_minhash": op9_tensored_minhash,
     "op10_virtual_slots": op10_virtual_slots,
 }
-ORACLES: dict[str, str] = {"op5_suffix_automaton": OP5_SQL, "op7_license_sentences": OP7_SQL}
+ORACLES: dict[str, str] = {"op5_suffix_automaton": OP5_SQL, "op7_license_sentences": OP7_SQL, "op8_trust_ranks": OP8_SQL}
