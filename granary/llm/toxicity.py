@@ -4,32 +4,45 @@ Tokens get log-odds between toxic and clean labelled texts, smoothed by a Dirich
 whole training corpus. A linear scan (Ruzzo and Tompa) finds all maximal-scoring segments of a text; extreme-value
 (Karlin and Altschul) statistics tell how surprising each is in a clean text of that length, and the significant
 ones are summed to the document's score.
+
+A token is a whole word, lower-cased: a run of letters, parted by white space, digits and all punctuation. In scripts
+that write no blanks between words each pair of neighbouring characters is a token. A word that the training texts
+hardly know is scored by the most telling of its character n-grams, ends marked.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut_lineage, table
+from .common import Scratch, cut_lineage, table
 
-STEM = 5  #: characters of a word that make its token
+# Parameters of the model.
 PRIOR = 1000.0  #: total pseudo-count of the Dirichlet prior
-MIN_Z = 4.0  #: root of the likelihood ratio from which a token's log-odds count
-MAX_TOKENS = 50_000  #: tokens in the model, those of the largest root
+MIN_Z = 4.0  #: root of the likelihood ratio from which a word's log-odds count
+MIN_GRAM_Z = 5.0  #: the same for an n-gram, whose words in one text are not independent
+MIN_GRAM_ODDS = 3.0  #: and from which log-odds: an n-gram stands for words that were not seen
+GRAMS = (3, 4, 5, 6)  #: lengths of n-grams
+KNOWN = 10  #: training texts with a word from which the word speaks for itself
+MIN_COUNT = 3  #: occurrences below which a token tells nothing
 DRIFT = -0.05  #: score of a token that tells nothing
 CAP = 6.0  #: largest size of a token's score
-MIN_COUNT = 3  #: occurrences below which a token tells nothing
 ALPHA = 0.05  #: expected chance segments at which a passage still counts as significant
 FOLDS = 5
 TRAIN_ROWS = 50_000  #: labelled rows, about, that the token model is fitted on
 
-NOT_LETTER = bytes(0x20 if c < 0x41 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if c <= 0x5A else c for c in range(256))
+#: Scripts without blanks between words: Thai to Lao, Myanmar, Khmer, kana, CJK ideographs.
+UNPARTED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(r"[^\W\d_]+")
+PARTS = re.compile(f"[{UNPARTED}]+|[^{UNPARTED}]+")
+HAS_UNPARTED = re.compile(f"[{UNPARTED}]")
 
 
 def fold(doc_id: str = "doc_id", folds: int = FOLDS) -> F.Column:
@@ -37,45 +50,79 @@ def fold(doc_id: str = "doc_id", folds: int = FOLDS) -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def stem(word: bytes, n: int = STEM) -> bytes:
-    """The first n characters of a UTF-8 word."""
-    return word[:n] if word[:n].isascii() else word.decode(errors="ignore")[:n].encode()
+def tokens(text: str) -> list[str]:
+    """All tokens of a text in order."""
+    words = WORD.findall(text.lower())
+    if not HAS_UNPARTED.search(text):
+        return words
+    out = []
+    for w in words:
+        for part in PARTS.findall(w):
+            out += [part[i : i + 2] for i in range(max(1, len(part) - 1))] if HAS_UNPARTED.match(part) else [part]
+    return out
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(stem, toxic texts, clean texts that hold it), summed within a batch."""
-    from collections import Counter
-
+    """(token, toxic texts, clean texts that hold it), summed within a batch."""
     for batch in batches:
         by: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, toxic in zip(as_bytes(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-            by[toxic].update(set(map(stem, set(text.translate(NOT_LETTER).split()))))
-        sums: dict[bytes, list[int]] = {}
-        for k in (0, 1):
-            for w, n in by[k].items():
-                sums.setdefault(w, [0, 0])[k] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array([x[1] for x in sums.values()], pa.int64()), pa.array([x[0] for x in sums.values()], pa.int64())], ["token", "t", "c"])
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            by[toxic].update(set(tokens(text or "")))
+        names = list(by[0].keys() | by[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([by[1][w] for w in names], pa.int64()), pa.array([by[0][w] for w in names], pa.int64())], ["token", "t", "c"])
 
 
-def train(labelled: DataFrame, max_tokens: int = MAX_TOKENS) -> dict[bytes, float]:
-    """Token scores from all rows of labelled (text, toxic); at most max_tokens come to the driver.
+def _rated(counts: DataFrame) -> DataFrame:
+    """token, odds, z, n from counts (token, t, c): smoothed log-odds and the root of the likelihood ratio.
 
-    A token counts once in a text.
+    Without tokens of both kinds of texts there are none.
     """
-    counts = labelled.mapInArrow(_counts, "token binary, t long, c long").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    counts = cut_lineage(counts.where(F.col("t") + F.col("c") >= MIN_COUNT))
-    total = counts.agg(F.sum("t"), F.sum("c")).first()
-    nt, nc = float(total[0] or 0), float(total[1] or 0)
-    if not nt or not nc:
-        return {}
-    prior = (F.col("t") + F.col("c")) * (PRIOR / (nt + nc))
+    sums = counts.agg(F.sum("t").cast("double").alias("nt"), F.sum("c").cast("double").alias("nc")).where("nt > 0 and nc > 0")
+    rows = counts.crossJoin(F.broadcast(sums))  # one row
+    nt, nc, n = F.col("nt"), F.col("nc"), F.col("t") + F.col("c")
+    prior = n * (PRIOR / (nt + nc))
     t, c = F.col("t") + prior, F.col("c") + prior
     odds = F.log(t / (nt + PRIOR - t)) - F.log(c / (nc + PRIOR - c))
-    n = F.col("t") + F.col("c")
     part = lambda x, share: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (n * share))).otherwise(0.0)
     z = F.sqrt(2 * F.greatest(F.lit(0.0), part("t", nt / (nt + nc)) + part("c", nc / (nt + nc))))
-    best = counts.select("token", odds.alias("odds"), z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.col("z").desc(), "token").limit(max_tokens)
-    return {bytes(r.token): max(-CAP, min(CAP, r.odds)) for r in best.collect()}
+    return rows.select("token", F.greatest(F.lit(-CAP), F.least(F.lit(CAP), odds)).alias("odds"), z.alias("z"), n.alias("n"))
+
+
+class Model:
+    """Scores of words, of n-grams with their z, and the words that speak for themselves. All come from at most about
+    TRAIN_ROWS texts, which bounds them."""
+
+    def __init__(self, words: dict[str, float], grams: dict[str, tuple[float, float]], known: frozenset[str]) -> None:
+        self.words, self.grams, self.known = words, grams, known
+
+    def score(self, word: str) -> float:
+        if (own := self.words.get(word)) is not None:
+            return own
+        if word in self.known or not self.grams:
+            return DRIFT
+        marked, best = f"^{word}$", (0.0, DRIFT)
+        for n in GRAMS:
+            for i in range(len(marked) - n + 1):
+                if (hit := self.grams.get(marked[i : i + n])) and hit[0] > best[0]:
+                    best = hit
+        return best[1]
+
+
+def train(labelled: DataFrame) -> Model:
+    """Token scores from all rows of labelled (text, toxic). A token counts once in a text, an n-gram once for each
+    text and word of it."""
+    scratch = Scratch(labelled.sparkSession)
+    words = labelled.mapInArrow(_counts, "token string, t long, c long").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    words = scratch.written(words, "words")
+    frequent = scratch.written(_rated(words.where(F.col("t") + F.col("c") >= MIN_COUNT)).where((F.col("z") >= MIN_Z) | (F.col("n") >= KNOWN)), "frequent")
+    marked = F.concat(F.lit("^"), "token", F.lit("$"))
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - n + 1)), lambda i: F.substring(marked, i, F.lit(n)))
+    each = words.select("t", "c", F.explode(F.array_distinct(F.concat(*(F.when(F.length(marked) >= n, cut(n)).otherwise(F.array().cast("array<string>")) for n in GRAMS)))).alias("token"))
+    grams = each.groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") + F.col("c") >= MIN_COUNT)
+    grams = _rated(grams).where((F.col("z") >= MIN_GRAM_Z) & (F.col("odds") >= MIN_GRAM_ODDS))
+    found, parts = frequent.collect(), grams.collect()
+    scratch.drop("words", "frequent")
+    return Model({r.token: r.odds for r in found if r.z >= MIN_Z}, {r.token: (r.z, r.odds) for r in parts}, frozenset(r.token for r in found if r.z < MIN_Z))
 
 
 def segments(positions: np.ndarray, scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -115,25 +162,32 @@ def karlin(histogram: list[tuple[float, float]]) -> float:
 
 
 class Scorer:
-    def __init__(self, model: dict[bytes, float], scale: float = 1.0) -> None:
+    """Scores texts; remembers the scores of words."""
+
+    def __init__(self, model: Model, scale: float = 1.0) -> None:
         self.model, self.scale = model, scale
-        self.seen: dict[bytes, float] = {}
+        self.seen: dict[str, float] = {}
 
-    def scores(self, words: list[bytes]) -> np.ndarray:
-        seen, model = self.seen, self.model
+    def scores(self, words: list[str]) -> np.ndarray:
+        seen = self.seen
         try:
             return np.fromiter(map(seen.__getitem__, words), float, len(words))
         except KeyError:
             if len(seen) > 500_000:
                 seen.clear()
+            out = []
             for w in words:
-                if w not in seen:
-                    seen[w] = model.get(stem(w), DRIFT)
-            return np.fromiter(map(seen.__getitem__, words), float, len(words))
-
-    def passages(self, text: bytes) -> tuple[int, list[tuple[int, int, float]]]:
+                x = seen.get(w)
+                if x is None:
+                    x = self.model.score(w)
+                    if len(w) <= 64:
+                        seen[w] = x
+                out.append(x)
+            return np.array(out, float)
+
+    def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of words, and segments with their scores, of a whole text."""
-        words = text.translate(NOT_LETTER).split()
+        words = tokens(text)
         s = self.scores(words)
         return len(words), segments(np.flatnonzero(s > 0), s)
 
@@ -147,22 +201,26 @@ class Scorer:
         return (sum(good), len(good)) if good else (max([*e, -math.log(max(n, 1)) - 5.0]) + math.log(ALPHA), 0)
 
 
-def _scorer(model: dict[bytes, float], scale: float):
+def _texts(batch: pa.RecordBatch) -> Iterable[str]:
+    return (x or "" for x in batch.column("text").to_pylist())
+
+
+def _scorer(model: Model, scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model, scale)
         for batch in batches:
-            found = [scorer.evidence(*scorer.passages(t)) for t in as_bytes(batch.column("text"))]
+            found = [scorer.evidence(*scorer.passages(t)) for t in _texts(batch)]
             others = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
             yield pa.RecordBatch.from_arrays([*(c for _, c in others), pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.int64())], [*(n for n, _ in others), "evidence", "n_segments"])
 
     return run
 
 
-def _background(model: dict[bytes, float]):
+def _background(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            s = np.concatenate([np.zeros(0), *(scorer.scores(t.translate(NOT_LETTER).split()) for t in as_bytes(batch.column("text")))])
+            s = np.concatenate([np.zeros(0), *(scorer.scores(tokens(t)) for t in _texts(batch))])
             values, n = np.unique(np.round(s * 20).astype(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n, pa.int64())], ["s", "n"])
 
@@ -183,7 +241,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     return docs.select("doc_id", "text").join(F.broadcast(once), "doc_id").select("text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], float]:
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, float]:
     """Token scores and the Karlin lambda of clean training texts."""
     rows = labelled_rows(docs, labels)
     model = train(rows)
@@ -195,8 +253,9 @@ def scored(docs: DataFrame, labels: DataFrame, target: DataFrame | None = None)
     """The contract's columns for every row of target (docs where none is given), and evidence, n_segments.
 
     Null and empty texts have no token and the lowest evidence. The threshold is the evidence that best parts
-    toxic from clean training rows with the fewest errors. Without labels of both kinds nothing is
-    toxic: every score is below 0.5. Repeated rows stay; further columns are ignored.
+    toxic from clean training rows with the fewest errors; ties go to the lower one. Without labels of both kinds
+    nothing is toxic: every score is below 0.5. Repeated rows stay; further columns are ignored; an empty table gives
+    no rows. Several labels of one doc_id all count.
     """
     model, scale = fit(docs, labels)
     target = docs if target is None else target
@@ -224,20 +283,26 @@ def threshold(got: DataFrame, labels: DataFrame) -> float:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of docs that aren't toxic, all columns as they were. docs' doc_id names the labelled rows."""
+    """Rows of docs that aren't toxic, all columns as they were. docs' doc_id names the labelled rows.
+
+    Null and empty texts stay, as do all rows where labels of both kinds are lacking; an empty table stays empty.
+    Texts are scored once and written with their evidence; they are not shuffled.
+    """
     model, scale = fit(docs, labels)
+    name = "evidence"
+    while name in docs.columns:
+        name = f"_{name}"
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    kind = dict(docs.dtypes)["doc_id"]
-    got = docs.select("doc_id", "text").mapInArrow(_scorer(model, scale), f"doc_id {kind}, evidence double, n_segments long")
-    line = threshold(got, labels)  # evidence is joined to labels, not texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model, scale)
         for batch in batches:
-            keep = [scorer.evidence(*scorer.passages(t))[0] < line for t in as_bytes(batch.column("text"))]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            found = [scorer.evidence(*scorer.passages(t))[0] for t in _texts(batch)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, kinds)
+    got = Scratch(docs.sparkSession).written(docs.mapInArrow(run, f"{kinds}, `{name}` double"), "scored")
+    line = threshold(got.select("doc_id", F.col(name).alias("evidence")), labels)
+    return got.where(F.col(name) < line).select(*docs.columns)
 
 
 def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

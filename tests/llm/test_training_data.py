@@ -207,6 +207,66 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.scored(docs, labels.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_tokens_of_all_scripts():
+    assert toxicity.tokens("Hello, WORLD's «été» — 12ab_c") == ["hello", "world", "s", "été", "ab", "c"]
+    assert toxicity.tokens("日本語 text漢字") == ["日本", "本語", "text", "漢字"]
+    assert toxicity.tokens("漢") == ["漢"] and toxicity.tokens("") == [] == toxicity.tokens("1 2\u3000!")
+    assert len(toxicity.tokens("字" * 5000)) == 4999
+
+
+def test_toxic_passages_late_in_unparted_texts(spark):
+    r = random.Random(9)
+    plain = [chr(0x4E00 + i) for i in range(300)]
+    rows = []
+    for i in range(300):
+        t = "".join(r.choice(plain) for _ in range(200))
+        rows.append((i, t + ("鬼畜野郎死" if i % 4 == 0 else "") + "".join(r.choice(plain) for _ in range(20)), int(i % 4 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.scored(docs, labels).collect()}
+    assert got == {i: y for i, _, y in rows}
+
+
+def test_log_odds_and_lambda(spark):
+    import math
+
+    counts = [("a", 30, 2), ("b", 5, 500), ("c", 3, 0), ("d", 1, 1)]
+    got = {r.token: r for r in toxicity._rated(spark.createDataFrame(counts, "token string, t long, c long")).collect()}
+    nt, nc = sum(t for _, t, _ in counts), sum(c for *_, c in counts)
+    for w, t, c in counts:
+        prior = (t + c) * toxicity.PRIOR / (nt + nc)
+        odds = math.log((t + prior) / (nt + toxicity.PRIOR - t - prior)) - math.log((c + prior) / (nc + toxicity.PRIOR - c - prior))
+        ratio = 2 * sum(x * math.log(x / ((t + c) * s)) for x, s in ((t, nt / (nt + nc)), (c, nc / (nt + nc))) if x)
+        assert abs(got[w].odds - odds) < 1e-9 and abs(got[w].z - math.sqrt(max(0, ratio))) < 1e-9
+    histogram = [(-1.0, 80.0), (2.0, 15.0), (3.0, 5.0)]
+    x = toxicity.karlin(histogram)
+    assert abs(sum(n / 100 * math.exp(x * s) for s, n in histogram) - 1) < 1e-6 and x > 0
+    assert toxicity._rated(spark.createDataFrame([("a", 0, 2)], "token string, t long, c long")).count() == 0
+
+
+def test_threshold_has_the_fewest_errors(spark):
+    rows = [(i, float(i % 7) / 2 - 1, int(i % 7 > 3 and i % 3 > 0)) for i in range(70)]
+    got = spark.createDataFrame([r[:2] for r in rows], "doc_id long, evidence double")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    line = toxicity.threshold(got, labels)
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    wrong = lambda x: sum((e >= x) != bool(y) for _, e, y in train)
+    assert wrong(line) == min(wrong(x / 8) for x in range(-20, 40))
+    assert toxicity.threshold(got.limit(0), labels) == 1e6
+    assert toxicity.scored(spark.createDataFrame([], "doc_id long, text string"), labels).count() == 0
+
+
+def test_all_maximal_segments():
+    """Every segment's proper prefixes and suffixes are positive, and none can be made longer so."""
+    r = random.Random(16)
+    for _ in range(150):
+        s = np.array([r.choice([-1.0, -2.0, 3.0, 0.5]) for _ in range(r.randint(1, 18))])
+        n, upto = len(s), np.concatenate(([0.0], np.cumsum(s)))
+        whole = {(i, j) for i in range(n) for j in range(i + 1, n + 1) if all(upto[i] < upto[k] for k in range(i + 1, j + 1)) and all(upto[k] < upto[j] for k in range(i, j))}
+        want = {x for x in whole if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in whole)}
+        assert {(a, b) for a, b, _ in toxicity.segments(np.flatnonzero(s > 0), s)} == want
+
+
 def test_sketches_recover_the_difference():
     r = np.random.default_rng(3)
     for n in (0, 1, 5, 60, 400):
