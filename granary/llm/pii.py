@@ -3,14 +3,20 @@
 Patterns give the base spans. A conditional random field over the document's candidate tokens adds spans: each
 token has a potential by its shape and by its neighbour in the chain, and skip edges join distant tokens that are
 equal or alike (the same digits, the same mail host), so that loopy message passing pulls their labels together.
+Potentials of shapes and of both kinds of edges are counted over the base labels of all documents.
+
+All searches are linear in a text's length, also in long runs of digits, letters or marks: patterns start where such
+a run starts, and quantifiers give nothing back that could not match.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +26,20 @@ from pyspark.sql import functions as F
 from .common import table
 
 KINDS = ("email", "ip", "card", "phone")
-# The patterns of the base spans.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The patterns of the base spans; an address's local part is what stands before its @.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: a stretch without which no address can stand
-AROUND_AT = re.compile(r"[A-Za-z0-9._%+@-]*@[A-Za-z0-9._%+@-]*")
-#: candidate tokens of the random field: mail-like words, and runs of digits with single marks between
-TOKEN = re.compile(r"[A-Za-z0-9._%+-]+(?:@|\(at\)|\[at\])[A-Za-z0-9.-]*[A-Za-z0-9]|\+?[0-9](?:[ ().-]{0,3}[0-9])+")
+#: Candidate tokens of the random field: mail-like words around these marks, and runs of digits with marks between.
+AT = re.compile(r"@|\(at\)|\[at\]")
+HOST = re.compile(r"[A-Za-z0-9.-]++")
+NUMBER = re.compile(r"\+?[0-9](?:[ ().-]{0,3}[0-9])++")
 
-SHAPES = 4096  #: distinct shapes whose statistics the model keeps, the most frequent ones
 ROUNDS = 8
-SKIP = 3.0  #: log-potential of equal labels on a skip edge
-CHAIN = 0.2  #: log-potential of equal labels of neighbours
+SKIP_PRIOR = (20.0, 1.0)  #: pseudo-counts of skip edges with equal and with different labels
+CHAIN_PRIOR = (5.0, 4.0)  #: the same of neighbours
 MARGIN = 0.9  #: belief from which a label adds a span
 
 
@@ -47,19 +53,33 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost matches of local part, @, domain: a local part begins after what stands before it can't be one."""
+    out, free, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in LOCAL:
+            start -= 1
+        free = at + 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            out.append((start, m.end()))
+            free = m.end()
+        at = text.find("@", free)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end), by kind and start."""
-    out = []
-    if "@" in text:
-        for run in AROUND_AT.finditer(text):
-            out += [(0, run.start() + m.start(), run.start() + m.end()) for m in EMAIL.finditer(run[0])]
-    for m in IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
-            out.append((1, m.start(), m.end()))
+    out = [(0, a, b) for a, b in emails(text)]
+    if "." in text:
+        for m in IP.finditer(text):
+            if all(len(x := part.lstrip("0")) <= 3 and int(x or 0) <= 255 for part in m[0].split(".")):
+                out.append((1, m.start(), m.end()))
     for m in CARD.finditer(text):
-        digits = re.sub("[^0-9]", "", m[0])
-        if 16 <= len(digits) <= 19 and luhn(digits):
-            out.append((2, m.start(), m.end()))
+        if m.end() - m.start() >= 16:
+            digits = re.sub("[^0-9]", "", m[0])
+            if 16 <= len(digits) <= 19 and luhn(digits):
+                out.append((2, m.start(), m.end()))
     if "+" in text:
         for m in PHONE.finditer(text):
             if 8 <= sum(c.isascii() and c.isdigit() for c in m[0]) <= 15:
@@ -68,43 +88,81 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def shape(token: str) -> str:
-    """Letters to a, digits to 9; runs of letters shortened to one; long tokens by their length only."""
-    if len(token) > 40:
-        return f"long{min(len(token) // 40, 9)}"
-    return re.sub("a+", "a", re.sub("[A-Za-z]", "a", re.sub("[0-9]", "9", token)))
+    """What a token looks like: mail or number, a plus in front, how many digits, dots and other marks, up to 24, 4
+    and 5: fewer than 2,000 shapes."""
+    if AT.search(token):
+        return "mail"
+    digits = sum(c.isdigit() for c in token)
+    dots = token.count(".")
+    return f"{'+' if token[0] == '+' else ''}{min(digits, 24)}.{min(dots, 4)}-{min(len(token) - digits - dots, 5)}"
 
 
 def likeness(token: str) -> list[str]:
     """Keys under which tokens of a document are alike: the digits, or the mail's name and host."""
-    if "@" in token or "at)" in token or "at]" in token:
-        name, _, host = re.sub(r"\(at\)|\[at\]", "@", token).lower().partition("@")
+    if AT.search(token):
+        name, _, host = AT.sub("@", token, count=1).lower().partition("@")
         return [f"m{name}@{host}", f"n{name}"]
     digits = re.sub("[^0-9]", "", token)
     return [f"d{digits}"] + ([f"t{digits[-10:]}"] if len(digits) > 10 else [])
 
 
+def _tokens(text: str) -> list[tuple[int, int]]:
+    out, free = [], 0
+    for m in AT.finditer(text):
+        start = m.start()
+        while start > free and text[start - 1] in LOCAL:
+            start -= 1
+        host = HOST.match(text, m.end())
+        end = m.end() + len(host[0].rstrip(".-")) if host else m.end()
+        free = max(free, m.end())
+        if start < m.start() and end > m.end():
+            out.append((start, end))
+            free = end
+    mails, j = len(out), 0
+    for m in NUMBER.finditer(text):
+        while j < mails and out[j][1] <= m.start():
+            j += 1
+        if j == mails or out[j][0] >= m.end():
+            out.append(m.span())
+    return sorted(out)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, end, label) of the field's tokens; label: 1 + the kind of the base span it shares places with, or 0."""
-    if not (base or re.search("[0-9]", text) or "at)" in text or "at]" in text):
-        return []
     spans = sorted((a, b, k + 1) for k, a, b in base)
     out, j = [], 0
-    for m in TOKEN.finditer(text):
-        while j < len(spans) and spans[j][1] <= m.start():
+    for start, end in _tokens(text):
+        while j < len(spans) and spans[j][1] <= start:
             j += 1
-        out.append((m.start(), m.end(), spans[j][2] if j < len(spans) and spans[j][0] < m.end() else 0))
+        out.append((start, end, spans[j][2] if j < len(spans) and spans[j][0] < end else 0))
     return out
 
 
-def field(unary: np.ndarray, skips: list[tuple[int, int]], rounds: int = ROUNDS) -> np.ndarray:
-    """Beliefs of all tokens by loopy sum-product over chain and skip edges.
+def skip_edges(text: str, tokens: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Each token and the next one that is like it: linear in number."""
+    last: dict[str, int] = {}
+    out = []
+    for i, (a, b, _) in enumerate(tokens):
+        for key in likeness(text[a:b]):
+            if key in last:
+                out.append((last[key], i))
+            last[key] = i
+    return out
 
-    Edges are those between neighbours, and between each token and the next one like it: linear in number.
-    """
+
+class Model:
+    """Log-potentials: of labels by shape, of labels of other shapes, of equal labels on skip edges and of neighbours."""
+
+    def __init__(self, shapes: dict[str, list[float]], other: list[float], skip: float, chain: float) -> None:
+        self.shapes, self.other, self.skip, self.chain = shapes, other, skip, chain
+
+
+def field(unary: np.ndarray, skips: list[tuple[int, int]], skip: float, chain: float, rounds: int = ROUNDS) -> np.ndarray:
+    """Beliefs of all tokens by loopy sum-product over chain and skip edges; exact where these make no loop."""
     n, k = unary.shape
     a = np.array([i for i, _ in skips] + list(range(n - 1)), int)
     b = np.array([j for _, j in skips] + list(range(1, n)), int)
-    same = np.exp(np.array([SKIP] * len(skips) + [CHAIN] * (n - 1)))[:, None]
+    same = np.exp(np.array([skip] * len(skips) + [chain] * (n - 1)))[:, None]
     src, dst, same = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([same, same])
     back = np.concatenate([np.arange(len(a), 2 * len(a)), np.arange(len(a))])
     log = np.zeros((len(src), k))
@@ -121,92 +179,111 @@ def field(unary: np.ndarray, skips: list[tuple[int, int]], rounds: int = ROUNDS)
     return p / p.sum(axis=1, keepdims=True)
 
 
-def added_spans(text: str, base: list[tuple[int, int, int]], model: dict[str, list[float]], other: list[float]) -> list[tuple[int, int, int]]:
+def added_spans(text: str, base: list[tuple[int, int, int]], model: Model) -> list[tuple[int, int, int]]:
     """Spans that the field finds beside the base ones."""
+    if not base:
+        return []  # nothing to be pulled along
     tokens = candidates(text, base)
-    if not any(t[2] for t in tokens) or all(t[2] for t in tokens):
-        return []  # nothing to be pulled along, or nothing left
+    if all(t[2] for t in tokens):
+        return []
+    skips = skip_edges(text, tokens)
+    if not skips:
+        return []
     unary = np.zeros((len(tokens), 1 + len(KINDS)))
-    last: dict[str, int] = {}
-    skips = []
     for i, (a, b, label) in enumerate(tokens):
-        unary[i] = model.get(shape(text[a:b]), other)
+        unary[i] = model.shapes.get(shape(text[a:b]), model.other)
         if label:
             unary[i] = -12.0
             unary[i, label] = 0.0
-        for key in likeness(text[a:b]):
-            if key in last:
-                skips.append((last[key], i))
-            last[key] = i
-    if not skips:
-        return []
-    beliefs = field(unary, skips)
+    beliefs = field(unary, skips, model.skip, model.chain)
     best = beliefs.argmax(axis=1)
     return [(int(best[i]) - 1, a, b) for i, (a, b, label) in enumerate(tokens) if not label and best[i] and beliefs[i, best[i]] >= MARGIN]
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of shapes by label, and of edges: `skip` between labelled tokens (what patterns leave open between alike
+    tokens is for the field to tell), `chain` between neighbours of which one is labelled; 1 where labels are equal."""
     for batch in batches:
         counts: dict[tuple[str, int], int] = defaultdict(int)
         for text in batch.column("text").to_pylist():
-            if text:
-                for a, b, label in candidates(text, base_spans(text)):
-                    counts[shape(text[a:b]), label] += 1
+            if not text:
+                continue
+            tokens = candidates(text, base_spans(text))
+            for a, b, label in tokens:
+                counts[shape(text[a:b]), label] += 1
+            if any(t[2] for t in tokens):
+                for i, j in skip_edges(text, tokens):
+                    if tokens[i][2] and tokens[j][2]:
+                        counts["skip", int(tokens[i][2] == tokens[j][2])] += 1
+                for (_, _, x), (_, _, y) in pairwise(tokens):
+                    if x or y:
+                        counts["chain", int(x == y)] += 1
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in counts], pa.string()), pa.array([k for _, k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["shape", "label", "n"])
 
 
-def train(docs: DataFrame, shapes: int = SHAPES) -> tuple[dict[str, list[float]], list[float]]:
-    """Unary log-potentials of labels by token shape from the base labels of all documents, softened.
+def train(docs: DataFrame) -> Model:
+    """Log-potentials from the base labels of all documents, softened; fewer than 10,000 counts come to the driver.
 
     A shape's labels are known from where patterns confirm it; a token that looks like confirmed ones but fails
-    a check leans to no label unless tokens like it in its document are confirmed.
+    a check leans to no label unless tokens like it in its document are confirmed. An edge's weight is the log-odds of
+    equal labels at its ends.
     """
     counts = docs.select("text").mapInArrow(_statistics, "shape string, label int, n long").groupBy("shape", "label").agg(F.sum("n").alias("n"))
-    wide = counts.groupBy("shape").pivot("label", list(range(1 + len(KINDS)))).agg(F.first("n")).na.fill(0)
-    total = sum(F.col(str(k)) for k in range(1 + len(KINDS)))
-    rows = wide.orderBy(total.desc(), "shape").limit(shapes).collect()
+    by: dict[str, list[int]] = defaultdict(lambda: [0] * (1 + len(KINDS)))
+    for r in counts.collect():
+        by[r["shape"]][r["label"]] = r["n"]
 
     def soft(c: list[int]) -> list[float]:
         p = (np.array(c, float) + [1.0, *[0.2] * len(KINDS)]) / (sum(c) + 1 + 0.2 * len(KINDS))
         return np.clip(np.log(p), -3.0, 0.0).tolist()
 
-    return {r["shape"]: soft([r[str(k)] for k in range(1 + len(KINDS))]) for r in rows}, soft([0] * (1 + len(KINDS)))
+    def weight(name: str, prior: tuple[float, float]) -> float:
+        differ, same = by.pop(name, [0, 0])[:2]
+        return min(4.0, max(0.0, math.log((same + prior[0]) / (differ + prior[1]))))
+
+    skip, chain = weight("skip", SKIP_PRIOR), weight("chain", CHAIN_PRIOR)
+    return Model({s: soft(c) for s, c in by.items()}, soft([0] * (1 + len(KINDS))), skip, chain)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
-def _finder(model: dict[str, list[float]], other: list[float]):
+def _finder(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text or "")
-                more = added_spans(text or "", base, model, other)
+                more = added_spans(text or "", base, model)
                 n = [sum(k == i for k, _, _ in base) for i in range(len(KINDS))]
-                rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more)))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more), len(base) + len(more)))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
     return run
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """The contract's columns for every row of docs (doc_id, text): counts and digest of base spans, all spans.
+    """The contract's columns for every row of docs (doc_id, text): counts and digest of base spans, all spans,
+    and their number.
 
     Null and empty texts have no spans: zeros, the digest of the empty string, ''. Spans of different kinds may
     overlap. Repeated rows stay; an empty table gives no rows; further columns are ignored.
     """
-    model, other = train(docs)
+    model = train(docs)
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_finder(model, other), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(_finder(model), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """docs with every span replaced by `<kind>` in text and n_chars, where that column exists, counted anew."""
-    model, other = train(docs)
+    """docs with every span replaced by `<kind>` in text and n_chars, where that column exists, counted anew.
+
+    Of spans that overlap the first, and of those the longest, is replaced, and what sticks out of it goes too. Null
+    texts stay null; repeated rows and further columns stay as they are; an empty table stays empty.
+    """
+    model = train(docs)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +293,7 @@ def masked(docs: DataFrame) -> DataFrame:
                 if text:
                     base = base_spans(text)
                     parts, upto = [], 0
-                    for k, a, b in sorted(base + added_spans(text, base, model, other), key=lambda s: (s[1], -s[2])):
+                    for k, a, b in sorted(base + added_spans(text, base, model), key=lambda s: (s[1], -s[2])):
                         if a >= upto:
                             parts += [text[upto:a], f"<{KINDS[k]}>"]
                         upto = max(upto, b)
