@@ -3,10 +3,15 @@
 Two small collections of minhash bands are computed; a table key combines one band of each, so that m * m tables
 need 2 * m bands only. Documents of a bucket become candidates, are verified on full shingle sets, and linked
 documents are joined to components.
+
+Texts of equal sets are one class, verified once. In each bucket all classes are compared with one centre; what
+different components have in common after that is compared in blocks, by parity sketches that prove most pairs too
+different, so that only pairs that may be links leave a block.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RollingHash, as_bytes, cut_lineage, mix, table
+from .common import RollingHash, Scratch, as_bytes, joined_evenly, mix, table
 
 SHINGLE = 2
 BANDS, ROWS = 16, 3  #: bands in each collection, minhashes in a band
@@ -25,7 +30,8 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 PIECE = 1 << 20
-PARITY = 2048  #: bits of a set's parity sketch
+PARITY = 512  #: least bits of a set's parity sketch
+BLOCK = 256  #: classes of a band that are compared with as many others at once
 
 
 def word_hashes(text: bytes, rolling: RollingHash) -> np.ndarray:
@@ -84,46 +90,70 @@ def band_hashes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def parity(a: np.ndarray) -> np.ndarray:
-    """Bits that each member of a set flips. Two sets differ in at least as many members as their bits do."""
-    odd = np.bincount((a >> np.uint64(7)).astype(np.int64) & (PARITY - 1), minlength=PARITY) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _sketch(keep_set: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = RollingHash()
-        for batch in batches:
-            ids, texts = batch.column("doc_id"), as_bytes(batch.column("text"))
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= 4 * PIECE):
-                    size += len(texts[end])
-                    end += 1
-                sets = [shingles(t, rolling) for t in texts[at:end]]
-                if keep_set:
-                    offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                    arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
-                    bits = pa.array([parity(s) for s in sets], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), arrays, bits], ["doc_id", "set", "parity"])
-                else:
-                    full = [s for s in sets if len(s)]
-                    bands = iter(band_hashes(full) if full else [])
-                    rows = [next(bands) if len(s) else None for s in sets]
-                    a = pa.array([None if r is None else r[:BANDS].view(np.int64) for r in rows], pa.list_(pa.int64()))
-                    b = pa.array([None if r is None else r[BANDS:].view(np.int64) for r in rows], pa.list_(pa.int64()))
-                    n = pa.array([len(s) for s in sets], pa.int64())
-                    key = pa.array([int(mix(np.array([np.bitwise_xor.reduce(mix(s + np.uint64(1)))], np.uint64)).view(np.int64)[0]) if len(s) else None for s in sets], pa.int64())
-                    key2 = pa.array([int(np.add.reduce(mix(s)).view(np.int64)) if len(s) else None for s in sets], pa.int64())
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), n, key, key2, a, b], ["doc_id", "n_shingles", "h1", "h2", "a", "b"])
-                at = end
-
-    return run
+    """Bits that each member of a set flips, 4 for each member and rounded up to a power of two. Two sets differ in at
+    least as many members as their bits do; the bits of a larger sketch fold to those of a smaller one."""
+    size = max(PARITY, 1 << (4 * len(a) - 1).bit_length()) if len(a) else PARITY
+    odd = np.bincount(((a >> np.uint64(7)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of the same set in fewer words."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def set_hashes(a: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a whole set, signed."""
+    return int(mix(np.array([np.bitwise_xor.reduce(mix(a + np.uint64(1)))], np.uint64)).view(np.int64)[0]), int(np.add.reduce(mix(a)).view(np.int64))
+
+
+def _portions(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of a few MB, or one long text."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= 4 * PIECE):
+            size += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rolling = RollingHash()
+    for batch in batches:
+        ids, texts = batch.column("doc_id"), as_bytes(batch.column("text"))
+        for at, end in _portions(texts):
+            sets = [shingles(t, rolling) for t in texts[at:end]]
+            full = [s for s in sets if len(s)]
+            bands = iter(band_hashes(full) if full else [])
+            rows = [next(bands) if len(s) else None for s in sets]
+            hashes = [set_hashes(s) if len(s) else (None, None) for s in sets]
+            columns = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([h[k] for h in hashes], pa.int64()) for k in (0, 1))]
+            columns += [pa.array([None if r is None else r[part].view(np.int64) for r in rows], pa.list_(pa.int64())) for part in (slice(BANDS), slice(BANDS, None))]
+            yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), *columns], ["doc_id", "n_shingles", "h1", "h2", "a", "b"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, two hashes of the whole set, and the bands of both collections."""
-    return docs.select("doc_id", "text").mapInArrow(_sketch(False), f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, h1 long, h2 long, a array<long>, b array<long>")
+    return docs.select("doc_id", "text").mapInArrow(_sketches, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, h1 long, h2 long, a array<long>, b array<long>")
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, set, parity of the texts whose set is the class's (h1, h2)."""
+    rolling = RollingHash()
+    for batch in batches:
+        texts = as_bytes(batch.column("text"))
+        wanted = list(zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), strict=True))
+        for at, end in _portions(texts):
+            sets = [shingles(t, rolling) for t in texts[at:end]]
+            mine = [k for k, s in enumerate(sets) if len(s) and set_hashes(s) == wanted[at + k]]
+            offsets = np.cumsum([0, *(len(sets[k]) for k in mine)]).astype(np.int32)
+            arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *(sets[k] for k in mine)]).view(np.int64)))
+            bits = pa.array([parity(sets[k]).view(np.int64) for k in mine], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, end - at).take(pa.array(mine, pa.int64())), arrays, bits], ["id", "set", "parity"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,27 +172,32 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (x, y) that are links; sets: doc_id, set."""
-    xs, ys = (sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"{c}_set")) for c in "xy")
-    kind = dict(pairs.dtypes)["x"]
-    return pairs.join(xs, "x").join(ys, "y").select("x", "y", "x_set", "y_set").mapInArrow(_similar, f"x {kind}, y {kind}")
+    """Those of the pairs (x, y) that are links; sets: id, set."""
+    xs, ys = (sets.select(F.col("id").alias(c), F.col("set").alias(f"{c}_set")) for c in "xy")
+    return pairs.join(xs, "x").join(ys, "y").select("x", "y", "x_set", "y_set").mapInArrow(_similar, "x long, y long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """id, component (smallest id reachable) of all ids in links (x, y).
 
-    Label spreading: large-star and small-star steps until no edge changes; each step's edges are checkpointed.
+    Label spreading: large-star and small-star steps until no edge changes. A centre's edges, however many, are dealt
+    out evenly. Each step's edges are written, and the step's before removed.
     """
-    edges = links.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
-    before = None
+    name = f"edges-{uuid.uuid4().hex[:8]}"
+    edges = scratch.written(links.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), f"{name}-0")
+    step, before = 0, None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = cut_lineage(small.where("u <> v").distinct())
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
+        near = both.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("m"))
+        near = scratch.written(near.withColumn("m", F.least("u", "m")), f"{name}-near")
+        large = joined_evenly(both, near, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = scratch.written(large, f"{name}-large")
+        least = scratch.written(large.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("m")), f"{name}-least")
+        small = joined_evenly(large, least, "u", "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        step += 1
+        edges = scratch.written(small.where("u <> v").distinct(), f"{name}-{step}")
+        scratch.drop(f"{name}-{step - 1}", f"{name}-near", f"{name}-large", f"{name}-least")
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         before = now
@@ -173,67 +208,75 @@ def similar_size() -> F.Column:
     return den * F.least("x_n", "y_n") >= num * F.greatest("x_n", "y_n")
 
 
-def may_link() -> F.Column:
-    """False where the parity sketches show more differing members than a link of these sizes has."""
-    num, den = SIMILAR
-    differ = F.aggregate(F.zip_with("x_parity", "y_parity", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, n: acc + n)
-    return differ * (den + num) <= (den - num) * (F.col("x_n") + F.col("y_n"))
-
-
 def grouped(docs: DataFrame) -> DataFrame:
     """The contract's columns for every row of docs (doc_id, text).
 
     Null and empty texts, and those of white space, have empty sets and are linked with nothing. Texts of equal
     sets are one class, whose smallest doc_id stands for it. A null doc_id is a document of its own, always
-    kept; rows that repeat a doc_id share its component. Further columns are ignored.
+    kept; rows that repeat a doc_id share its component, whatever their texts. Further columns are ignored; an empty
+    table gives no rows.
 
     In each bucket all documents are compared with the one whose bands are shared most; what is then still in
     different components and shares a band of both collections, so a bucket, is compared pair by pair, each pair
-    once, where parity sketches leave room for a link. Every pair of a bucket is so compared or already in one component.
+    once, in blocks, where parity sketches leave room for a link. Every pair of a bucket is so compared or already in
+    one component.
     """
-    all_docs = cut_lineage(sketches(docs))
+    scratch = Scratch(docs.sparkSession)
+    all_docs = scratch.written(sketches(docs), "sketches")
     known = all_docs.where("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    links = cut_lineage(links_of(known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), docs))
-    found = components(links)
-    member = all_docs.join(classes.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"], "left")
-    out = member.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def bands(classes: DataFrame) -> DataFrame:
+    key = ["h1", "h2", "n_shingles"]
+    found = known.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
+    classes = scratch.written(found.withColumn("id", F.monotonically_increasing_id()), "classes")
+    narrow = known.select("doc_id", *key)
+    member = scratch.written(joined_evenly(narrow, classes.select(*key, "id", "n"), key, "n").select("doc_id", "n_shingles", "id"), "member")
+    twice = member.groupBy("doc_id").agg(F.min("id").alias("x"), F.max("id").alias("m")).where("x < m").select("doc_id", "x")
+    same_doc = member.select("doc_id", F.col("id").alias("y")).join(twice, "doc_id").where("x < y").select("x", "y")
+    texts = docs.select("doc_id", "text").join(classes.select("id", F.col("rep").alias("doc_id"), "h1", "h2"), "doc_id")
+    links = scratch.written(links_of(classes, texts, scratch).unionByName(same_doc), "links")
+    least = classes.select("id", "rep", "n").join(components(links, scratch), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = scratch.written(least, "least")
+    smallest = scratch.written(least.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("component_id")), "smallest")
+    named = scratch.written(joined_evenly(least, smallest, "component", "size").select("id", "n", "component_id"), "named")
+    out = scratch.written(joined_evenly(member, named, "id", "n").select("doc_id", "n_shingles", "component_id"), "out")
+    empty = all_docs.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles")
+    elsewhere = empty.where("doc_id is not null").select("doc_id").distinct().join(out.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id")
+    empty = empty.join(elsewhere, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    scratch.drop("classes", "member", "links", "least", "smallest", "named", "banded", "members", "sets", "star", "each", "mixed", "labelled", "across")
+    return out.unionByName(empty.select(*out.columns)).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def bands(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """id, n, those bands of each collection that another class shares, and how many share them in all (fame);
     classes without shared bands of both collections are left out."""
-    one = classes.select(F.col("doc_id").alias("id"), F.posexplode(F.concat("a", "b")).alias("i", "h")).select("id", F.xxhash64("i", "h").alias("band"), (F.col("i") < BANDS).alias("first"))
-    shared = one.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    both = one.join(shared, "band").groupBy("id").agg(F.collect_list(F.when(F.col("first"), F.col("band"))).alias("a"), F.collect_list(F.when(~F.col("first"), F.col("band"))).alias("b"), F.sum("c").alias("fame"))
-    return both.where("size(a) > 0 and size(b) > 0").join(classes.select(F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n")), "id")
+    one = classes.select("id", F.posexplode(F.concat("a", "b")).alias("i", "h")).select("id", F.xxhash64("i", "h").alias("band"), (F.col("i") < BANDS).alias("first"))
+    one = scratch.written(one, "one")
+    shared = scratch.written(one.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
+    both = joined_evenly(one, shared, "band", "c").groupBy("id").agg(F.collect_list(F.when(F.col("first"), F.col("band"))).alias("a"), F.collect_list(F.when(~F.col("first"), F.col("band"))).alias("b"), F.sum("c").alias("fame"))
+    return both.where("size(a) > 0 and size(b) > 0").join(classes.select("id", F.col("n_shingles").cast("int").alias("n")), "id")
 
 
-def links_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (x, y) that join all classes (sketches of distinct sets) as the full link graph does."""
-    banded = cut_lineage(bands(classes))
-    keys = banded.select("id", "n", "fame", F.explode(F.flatten(F.transform("a", lambda a: F.transform("b", lambda b: F.xxhash64(a, b))))).alias("key"))
+def links_of(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (x, y) that join all classes (id, n_shingles, a, b: sketches of distinct sets) as the full link graph does.
+
+    texts: id, h1, h2, text; of a repeated doc_id other texts than the class's may be among them.
+    """
+    banded = scratch.written(bands(classes, scratch), "banded")
+    scratch.drop("one", "shared")
+    keys = scratch.written(banded.select("id", "n", "fame", F.explode(F.flatten(F.transform("a", lambda a: F.transform("b", lambda b: F.xxhash64(a, b))))).alias("key")), "keys")
     famous = F.struct("fame", (-F.col("id")).alias("id"), "n")
-    centre = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max(famous).alias("m")).where("c > 1").select("key", (-F.col("m.id")).alias("x"), F.col("m.n").alias("x_n"))
-    members = keys.join(centre, "key").select("id", "n", "x", "x_n").distinct()
-    members = cut_lineage(members)
+    centre = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max(famous).alias("m")).where("c > 1").select("key", "c", (-F.col("m.id")).alias("x"), F.col("m.n").alias("x_n"))
+    centre = scratch.written(centre, "centre")
+    members = scratch.written(joined_evenly(keys.select("id", "n", "key"), centre, "key", "c").select("id", "n", "x", "x_n").distinct(), "members")
+    scratch.drop("keys", "centre")
     star = members.where("id <> x").select("x", F.col("id").alias("y"), "x_n", F.col("n").alias("y_n")).where(similar_size()).select("x", "y")
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = cut_lineage(sets.mapInArrow(_sketch(True), f"doc_id {dict(docs.dtypes)['doc_id']}, set array<long>, parity array<long>"))
-    links = cut_lineage(verified(star, sets))
-    comps = components(links)
-    named = cut_lineage(banded.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).join(sets.select(F.col("doc_id").alias("id"), "parity"), "id").select("id", "n", "comp", "a", "b", "parity"))
-    sides = []
-    for s in "xy":
-        each = named.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("n", "comp", "a", "b", "parity")), F.explode("a").alias("band"))
-        sides.append(each)
-    mixed = sides[0].groupBy("band").agg(F.min("x_comp").alias("lo"), F.max("x_comp").alias("hi")).where("lo < hi").select("band")
-    x, y = sides[0].join(mixed, "band", "left_semi"), sides[1]
-    once = (F.array_min(F.array_intersect("x_a", "y_a")) == F.col("band")) & F.arrays_overlap("x_b", "y_b")
-    rest = cut_lineage(x.join(y, "band").where("x < y and x_comp <> y_comp").where(similar_size() & may_link() & once).select("x", "y"))
-    return links.unionByName(verified(rest, sets))
+    wanted = members.select("id").distinct()
+    sets = texts.join(wanted, "id", "left_semi").select("id", "h1", "h2", "text").mapInArrow(_sets, "id long, set array<long>, parity array<long>")
+    sets = scratch.written(sets.dropDuplicates(["id"]), "sets")
+    links = scratch.written(verified(star, sets), "star")
+    comps = components(links, scratch)
+    named = banded.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).join(sets.select("id", "parity"), "id").select("id", "n", "comp", "a", "b", "parity")
+    named = scratch.written(named, "labelled")
+    return links.unionByName(verified(scratch.written(across(named, scratch), "across"), sets))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
@@ -242,5 +285,68 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").select(*docs.columns))
 
 
+def across(named: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (x, y) of classes of different components that share a band of both collections and that size and parity
+    leave room for a link, each once. named: id, n, comp, a, b, parity.
+
+    The classes of a band are dealt into blocks of about BLOCK; each two blocks meet in a task of their own, which
+    gives only the pairs that may be links.
+    """
+    each = scratch.written(named.select("id", "comp", F.explode("a").alias("band")), "each")
+    mixed = each.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    mixed = scratch.written(mixed.select("band", "c"), "mixed")
+    placed = joined_evenly(each.select("id", "band"), mixed, "band", "c").withColumn("blocks", F.ceil(F.col("c") / BLOCK))
+    placed = placed.withColumn("mine", F.pmod(F.xxhash64("id", "band"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.select("id", "band", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("k"))
+    rows = placed.join(named, "id").select("band", "i", "k", "mine", "id", "n", "comp", "a", "b", "parity")
+    meetings = rows.repartition("band", "i", "k").sortWithinPartitions("band", "i", "k", "mine", "id")
+    return meetings.mapInArrow(_meetings, "x long, y long")
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by band and two blocks (i, k)."""
+    held: list[dict] = []
+    key: tuple | None = None
+    for batch in batches:
+        found: list[tuple[int, int]] = []
+        for row in batch.to_pylist():
+            now = (row["band"], row["i"], row["k"])
+            if now != key:
+                found += may_link(held)
+                held, key = [], now
+            held.append(row)
+        yield _pairs(found)
+    yield _pairs(may_link(held))
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["x", "y"])
+
+
+def may_link(rows: list[dict]) -> list[tuple[int, int]]:
+    """Pairs of the rows of two blocks of a band, or of one."""
+    if len(rows) < 2:
+        return []
+    num, den = SIMILAR
+    band, within = rows[0]["band"], rows[0]["i"] == rows[0]["k"]
+    n, comp, mine = (np.array([r[c] for r in rows]) for c in ("n", "comp", "mine"))
+    bits = [np.array(r["parity"], np.int64).view(np.uint64) for r in rows]
+    words = np.array([len(b) for b in bits])
+    #: by number of words, the sketches of all rows that have as many at least, folded to it
+    at_size = {w: np.array([folded(b, w) if len(b) >= w else np.zeros(w, np.uint64) for b in bits]) for w in set(words.tolist())}
+    out = []
+    for x in range(len(rows) - 1):
+        y = np.arange(x + 1, len(rows))
+        y = y[(comp[y] != comp[x]) & (within | (mine[y] != mine[x])) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))]
+        for w in set(np.minimum(words[x], words[y]).tolist()):
+            some = y[np.minimum(words[x], words[y]) == w]
+            differ = np.bitwise_count(at_size[w][some] ^ at_size[w][x]).sum(axis=1, dtype=np.int64)
+            for z in some[differ * (den + num) <= (den - num) * (n[x] + n[some])].tolist():
+                p, q = rows[x], rows[z]
+                if min(set(p["a"]).intersection(q["a"])) == band and not set(p["b"]).isdisjoint(q["b"]):
+                    out.append((min(p["id"], q["id"]), max(p["id"], q["id"])))
+    return out
+
+
 def op9_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(table(spark, sf_dir, "documents"))

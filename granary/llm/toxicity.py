@@ -77,15 +77,16 @@ def _rated(counts: DataFrame) -> DataFrame:
 
     Without tokens of both kinds of texts there are none.
     """
-    sums = counts.agg(F.sum("t").cast("double").alias("nt"), F.sum("c").cast("double").alias("nc")).where("nt > 0 and nc > 0")
-    rows = counts.crossJoin(F.broadcast(sums))  # one row
-    nt, nc, n = F.col("nt"), F.col("nc"), F.col("t") + F.col("c")
+    nt, nc = (float(x or 0) for x in counts.agg(F.sum("t"), F.sum("c")).first())
+    if not nt or not nc:
+        return counts.limit(0).select("token", F.lit(0.0).alias("odds"), F.lit(0.0).alias("z"), F.col("t").alias("n"))
+    n = F.col("t") + F.col("c")
     prior = n * (PRIOR / (nt + nc))
     t, c = F.col("t") + prior, F.col("c") + prior
     odds = F.log(t / (nt + PRIOR - t)) - F.log(c / (nc + PRIOR - c))
     part = lambda x, share: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (n * share))).otherwise(0.0)
     z = F.sqrt(2 * F.greatest(F.lit(0.0), part("t", nt / (nt + nc)) + part("c", nc / (nt + nc))))
-    return rows.select("token", F.greatest(F.lit(-CAP), F.least(F.lit(CAP), odds)).alias("odds"), z.alias("z"), n.alias("n"))
+    return counts.select("token", F.greatest(F.lit(-CAP), F.least(F.lit(CAP), odds)).alias("odds"), z.alias("z"), n.alias("n"))
 
 
 class Model:
@@ -118,10 +119,10 @@ def train(labelled: DataFrame) -> Model:
     marked = F.concat(F.lit("^"), "token", F.lit("$"))
     cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - n + 1)), lambda i: F.substring(marked, i, F.lit(n)))
     each = words.select("t", "c", F.explode(F.array_distinct(F.concat(*(F.when(F.length(marked) >= n, cut(n)).otherwise(F.array().cast("array<string>")) for n in GRAMS)))).alias("token"))
-    grams = each.groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") + F.col("c") >= MIN_COUNT)
+    grams = scratch.written(each.groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") + F.col("c") >= MIN_COUNT), "grams")
     grams = _rated(grams).where((F.col("z") >= MIN_GRAM_Z) & (F.col("odds") >= MIN_GRAM_ODDS))
     found, parts = frequent.collect(), grams.collect()
-    scratch.drop("words", "frequent")
+    scratch.drop("words", "frequent", "grams")
     return Model({r.token: r.odds for r in found if r.z >= MIN_Z}, {r.token: (r.z, r.odds) for r in parts}, frozenset(r.token for r in found if r.z < MIN_Z))
 
 

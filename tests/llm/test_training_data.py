@@ -106,9 +106,50 @@ def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
 def test_parity_bounds_the_difference():
     r = np.random.default_rng(1)
     for _ in range(50):
-        a, b = (r.choice(5000, 300, replace=False).astype(np.uint64) * np.uint64(11400714819323198485) for _ in "ab")
-        bits = sum(int(x).bit_count() for x in (minhash.parity(a).view(np.uint64) ^ minhash.parity(b).view(np.uint64)))
-        assert bits <= len(np.setxor1d(a, b))
+        sizes = r.integers(1, 900, 2)
+        a, b = (np.unique(r.integers(0, 1500, n).astype(np.uint64) * np.uint64(11400714819323198485)) for n in sizes)
+        p, q = minhash.parity(a), minhash.parity(b)
+        w = min(len(p), len(q))
+        bits = int(np.bitwise_count(minhash.folded(p, w) ^ minhash.folded(q, w)).sum())
+        assert bits <= len(np.setxor1d(a, b)) and 64 * len(p) >= 4 * len(a)
+
+
+def near_texts(seed=5, families=4, members=12):
+    """Families of pages that share 60 to 95 % of their words, so that only some are linked, by others or not."""
+    r = random.Random(seed)
+    texts = []
+    for f in range(families):
+        page = [f"p{f}x{i}" for i in range(120)]
+        for _ in range(members):
+            w = list(page)
+            for _ in range(r.choice([2, 6, 12, 20, 25])):
+                w[r.randrange(len(w))] = f"u{r.randrange(10**9)}"
+            texts.append(" ".join(w))
+    return texts
+
+
+def test_families_below_the_threshold_are_compared_in_blocks(spark, monkeypatch):
+    texts = near_texts()
+    rows = list(enumerate(texts)) + [(1, texts[30]), (1, texts[30]), (77, texts[2]), (5, "")]  # ids with several texts
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [(k, sets_of(t)) for k, t in rows]
+    root = {k: k for k, _ in rows}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for k, a in sets:
+        for j, b in sets:
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(k), find(j)
+                root[max(x, y)] = min(x, y)
+    want = sorted((k, len(s), find(k), find(k) == k) for k, s in sets)
+    for block in (256, 3):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        assert sorted(tuple(r) for r in minhash.grouped(docs).collect()) == want
+    assert 4 < len({w[2] for w in want}) < len(texts)
 
 
 def hits(words, items, window=13):
