@@ -426,9 +426,37 @@ def test_shards(docs, spark):
     assert sharding.assign(docs.limit(0)).count() == 0
 
 
+def test_maps_hold_every_slot_and_every_version(spark, tmp_path):
+    sizes = spark.createDataFrame([(3, 50, 2), (1, 70, 1)], "vslot int, bytes long, rows long")
+    first = sharding.balanced_map(sizes, 3, slots=8)
+    path = str(tmp_path / "maps")
+    for _ in range(2):  # a repeated write replaces
+        sharding.write_map(first, path)
+    stored = sharding.read_map(spark, path)
+    assert sorted(r.vslot for r in stored.collect()) == list(range(8))
+    assert sorted(Counter(r.shard for r in stored.collect()).values()) == [2, 3, 3]
+    second = sharding.rebalance(stored, sizes, 3)
+    sharding.write_map(second, path)
+    assert sorted(r.vslot for r in sharding.read_map(spark, path).collect()) == list(range(8))
+    assert {r.version for r in sharding.read_map(spark, path).collect()} == {2}
+    assert sorted((r.vslot, r.shard) for r in sharding.read_map(spark, path, 1).collect()) == sorted((r.vslot, r.shard) for r in first.collect())
+
+
+def test_one_id_does_not_fill_a_slot(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"text {i} " + "x" * (i % 50), 5) for i in range(4000)], "doc_id long, text string, shard int")
+    got = sharding.assign(docs, slots=256).collect()
+    load, places = Counter(), {}
+    for r in got:
+        load[r.shard] += r["size"]
+        places.setdefault(r.shard, []).append(r.slot)
+    assert len(load) == 8 and max(load.values()) < 1.02 * min(load.values())
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
+
+
 def test_rebalancing_moves_slots_to_the_new_shard_only(spark):
     sizes = spark.createDataFrame([(i, 100 + i, 1) for i in range(200)], "vslot int, bytes long, rows long")
-    old = sharding.balanced_map(sizes, 4)
+    old = sharding.balanced_map(sizes, 4, slots=200)
     new = {r.vslot: (r.shard, r.version) for r in sharding.rebalance(old, sizes, 4).collect()}
     was = {r.vslot: r.shard for r in old.collect()}
     assert all(s in (was[v], 4) and n == 2 for v, (s, n) in new.items())
