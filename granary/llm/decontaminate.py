@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, table
+from .common import Scratch, as_bytes, table
 
 WINDOW = 13
-#: Words of test items in one automaton; more items are matched in further blocks of this size.
+#: Words of test items in one automaton, which driver and tasks hold; more items are matched in further passes.
 BLOCK_WORDS = 200_000
 
 #: Word bytes are digits, letters (lower-cased) and all bytes of non-ASCII characters; other bytes part words.
@@ -130,54 +130,76 @@ class Automaton:
         return spans, found
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The stated query set in blocks of at most `limit` words (or one item)."""
+def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """The stated query set in blocks of at most `limit` words (or one item); the driver holds one at a time."""
     block, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null").toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
         ws = words((r[1] or "").encode())
         if block and size + len(ws) > limit:
             yield block
             block, size = [], 0
-        block.append((r[0], ws))
-        size += len(ws)
+        if ws:
+            block.append((r[0], ws))
+            size += len(ws)
     yield block
 
 
-def _matcher(sets: list[list[tuple[str, list[bytes]]]], window: int):
+HITS = "struct<n_words: long, span_start: array<long>, span_end: array<long>, items: array<string>>"
+
+
+def _matcher(items: list[tuple[str | None, list[bytes]]], window: int, name: str):
+    """Adds what a block of items finds to the column `name` (HITS), or makes that column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sams = [Automaton(items, window) for items in sets]
+        sam = Automaton(items, window)
+        longs = pa.list_(pa.int64())
         for batch in batches:
+            before = batch.column(name).to_pylist() if name in batch.schema.names else [None] * batch.num_rows
             out: list[list] = [[], [], [], []]
-            for text in as_bytes(batch.column("text")):
+            for text, had in zip(as_bytes(batch.column("text")), before, strict=True):
                 ws = words(text)
-                spans: list[tuple[int, int]] = []
-                names: set[str] = set()
-                for sam in sams:
-                    hit, found = sam.match(ws)
-                    spans += hit
-                    names.update(sam.names[k] for k in found)
-                for o, x in zip(out, (len(ws), [a for a, _ in spans], [b for _, b in spans], sorted(names)), strict=True):
+                spans, found = sam.match(ws)
+                starts, ends, names = [a for a, _ in spans], [b for _, b in spans], {sam.names[k] for k in found}
+                if had:
+                    starts, ends, names = had["span_start"] + starts, had["span_end"] + ends, names.union(had["items"])
+                for o, x in zip(out, (len(ws), starts, ends, sorted(names, key=lambda n: (n is None, n))), strict=True):
                     o.append(x)
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*(c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], [*(n for n in batch.schema.names if n != "text"), "n_words", "span_start", "span_end", "items"])
+            hits = pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), longs, longs, pa.list_(pa.string())), strict=True)], ["n_words", "span_start", "span_end", "items"])
+            rest = [n for n in batch.schema.names if n != name]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), hits], [*rest, name])
 
     return run
 
 
+def marked(docs: DataFrame, benchmark: DataFrame, name: str, window: int = WINDOW, limit: int = BLOCK_WORDS) -> DataFrame:
+    """docs with what the items hit in each row's text, in a column of this name (HITS).
+
+    Each block of items is one pass over the rows; between passes the rows are written, so that at any time driver
+    and tasks hold one block, and each row of docs gives one row, whatever its doc_id and the number of blocks.
+    """
+    kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{name}` {HITS}"
+    scratch, rows = None, docs
+    for k, items in enumerate(blocks(benchmark, limit)):
+        if k:
+            scratch = scratch or Scratch(docs.sparkSession)
+            rows = scratch.written(rows, f"pass-{k}")
+            scratch.drop(f"pass-{k - 1}")
+        rows = rows.mapInArrow(_matcher(items, window, name), kinds)
+    return rows
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, hit word spans and items (each once) of every row of docs (doc_id, text).
 
-    Null and empty texts have no words. Each row of docs gives one row, whatever its doc_id and the number of blocks.
-    Items that are null or have no words match nothing; an empty benchmark hits nothing. Further columns of either
-    table are ignored. All blocks of items go to each task, which matches them one after the other in one pass.
+    Null and empty texts have no words. Items that are null or have no words match nothing; an item without an
+    item_id hits words too, and stands as null in the list; an empty benchmark hits nothing, an empty table gives no
+    rows. Further columns of either table are ignored.
     """
-    kind = dict(docs.dtypes)["doc_id"]
-    sets = list(blocks(benchmark, limit))
-    return docs.select("doc_id", "text").mapInArrow(_matcher(sets, window), f"doc_id {kind}, n_words long, span_start array<long>, span_end array<long>, items array<string>")
+    return marked(docs.select("doc_id", "text"), benchmark, "hits", window, limit).select("doc_id", "hits.*")
 
 
 def union_length(starts: str, ends: str) -> F.Column:
-    """Number of words in the union of spans."""
+    """Number of words in the union of spans, in any order."""
     spans = F.array_sort(F.arrays_zip(F.col(starts).alias("a"), F.col(ends).alias("b")))
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("upto"))
     step = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(s["a"], acc["upto"]))).cast("bigint").alias("n"), F.greatest(acc["upto"], s["b"]).alias("upto"))
@@ -195,36 +217,35 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20, cut_spans: bool = False) -> DataFrame:
-    """docs without the contaminated rows, all columns as they were.
+    """docs without the contaminated rows, all columns as they were. Null and empty texts stay, as do repeated rows.
 
     cut_spans: hit words of the rows that stay are removed too, with the separators between them.
     """
-    names = docs.columns
-    kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    sets = list(blocks(benchmark))
+    name = "hits"
+    while name in docs.columns:
+        name = f"_{name}"
+    rows = marked(docs, benchmark, name, window)
+    n_hit = union_length(f"{name}.span_start", f"{name}.span_end")
+    rows = rows.where((n_hit == 0) | (one_in * n_hit < F.col(f"{name}.n_words")))
+    return rows.mapInArrow(_cutter(name), ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)) if cut_spans else rows.select(*docs.columns)
+
 
+def _cutter(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sams = [Automaton(items, window) for items in sets]
         for batch in batches:
-            keep, texts = [], []
-            for text in as_bytes(batch.column("text")):
-                ws = words(text)
-                hits = np.zeros(len(ws) + 1, np.int64)
-                for sam in sams:
-                    for a, b in sam.match(ws)[0]:
-                        hits[a] += 1
-                        hits[b] -= 1
-                hit = np.cumsum(hits)[:-1] > 0
-                keep.append(not (n := int(hit.sum())) or one_in * n < len(ws))
-                texts.append(without(text, hit) if n and cut_spans else text)
-            if cut_spans:
-                at = batch.schema.get_field_index("text")
-                given = batch.column("text")
-                new = pa.array([t.decode() if v else None for v, t in zip(given.is_valid().to_pylist(), texts, strict=True)], given.type)
-                batch = batch.set_column(at, "text", new)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, kinds).select(*names)
+            texts = []
+            for text, hits in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist(), strict=True):
+                if text and hits["span_start"]:
+                    hit = np.zeros(hits["n_words"] + 1, np.int64)
+                    np.add.at(hit, hits["span_start"], 1)
+                    np.add.at(hit, hits["span_end"], -1)
+                    text = without(text.encode(), np.cumsum(hit)[:-1] > 0).decode()
+                texts.append(text)
+            at = batch.schema.get_field_index("text")
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            yield batch.select([n for n in batch.schema.names if n != name])
+
+    return run
 
 
 def without(text: bytes, hit: np.ndarray) -> bytes:

@@ -72,6 +72,33 @@ def test_each_row_gives_one_row_at_every_benchmark_size(spark):
     assert one == many == sorted(want, key=str)
 
 
+def test_items_without_an_id_hit_words_too(spark):
+    import duckdb
+
+    word = lambda i: f"w{i}"
+    passage = " ".join(map(word, range(20)))
+    docs = spark.createDataFrame([(1, f"x {passage} y", "mine"), (2, None, ""), (3, "w5 w6", ""), (3, passage, ""), (None, passage, "")], "doc_id long, text string, hits string")
+    bench = spark.createDataFrame([(None, passage), (7, passage), (7, "w5 w6"), (8, None), (9, " ")], "item_id long, text string")
+    for limit in (99, 3):
+        m = decontaminate.matches(docs, bench, limit=limit)
+        got = sorted(((r.doc_id, r["items"]) for r in m.collect()), key=str)
+        assert got == sorted([(1, ["7", None]), (2, []), (3, ["7"]), (3, ["7", None]), (None, ["7", None])], key=str)
+    ours = sorted((tuple(r.asDict().items()) for r in decontaminate.judged(docs, bench).collect()), key=str)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    con.register("benchmark", bench.toPandas().astype({"item_id": "Int64"}))
+    names = [k for k, _ in ours[0]]
+    theirs = con.sql(decontaminate.OP5_SQL).fetchall()
+    columns = con.sql(decontaminate.OP5_SQL).columns
+    want = sorted((tuple((k, dict(zip(columns, r, strict=True))[k]) for k in names) for r in theirs), key=str)
+    assert ours == want
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
+    far = spark.createDataFrame([(5, "z " * 500 + passage + " end", "h")], "doc_id long, text string, hits string")
+    assert [len(r.text.split()) for r in decontaminate.clean(far, bench, cut_spans=True).collect()] == [501]
+    assert decontaminate.judged(docs.limit(0), bench).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == 5
+
+
 def test_no_row_of_large_ids_vanishes(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "ROWS_IN_RANGE", 10)
     for ids in ([i * 0x9E3779B97F4A7C15 % (1 << 64) - (1 << 63) for i in range(150)], [(1 << 62) + 2 * i + 1 for i in range(200)], [(1 << 63) - 1 - i for i in range(100)], [-(1 << 63) + 3 * i for i in range(100)]):
