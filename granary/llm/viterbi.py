@@ -1,17 +1,18 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
-The best segmentation is searched character by character; only the last `longest piece` positions and the
-backpointers that still differ are kept: whenever all surviving paths run through one boundary, the ids before it
-are committed and forgotten.
-
-The search adds scores, which is the encoding of a unigram model. Scores of a BPE model are ranks of merges; its texts
-are encoded by merging in that order, word by word.
+A segmentation is searched character by character; at each position one backpointer survives, the last piece of what
+comes before. Only the last `longest piece` positions and the backpointers that still differ are kept: whenever all
+surviving paths run through one boundary, the ids before it are committed and forgotten.
+
+Which backpointer survives depends on the model. A unigram model adds scores, and the largest total wins. Scores of a
+BPE model are ranks of merges and can't be added; there the piece survives that BPE would leave last: one that merges
+make by themselves, and that stays apart from the piece before it. Whether two pieces stay apart is told by merging
+their characters alone, since no merge reaches over a boundary that its two pieces keep.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -24,7 +25,7 @@ from .common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NEVER = -1e300
-CACHE = 500_000  #: words whose ids a worker remembers
+CACHE = 500_000  #: words whose ids a worker remembers, and pairs of pieces
 
 
 class Pieces:
@@ -36,6 +37,8 @@ class Pieces:
         self.prefixes: dict[str, tuple[int, float]] = {p[:k]: (-1, 0.0) for p in pieces for k in range(1, len(p))} | pieces  #: -1: no piece itself
         self.starts_only = all(SPACE not in p.lstrip(SPACE) for p in pieces)
         self.merges = False  #: a BPE model
+        self.own: dict[str, bool] = {}  #: pieces that merges make by themselves
+        self.apart: dict[tuple[str, str], bool] = {}  #: pairs of pieces that stay apart
         worst = min(s for _, s in pieces.values())
         self.byte_score = worst - 10.0  #: of each byte of a character that no piece covers
 
@@ -65,101 +68,114 @@ def load(path: str = MODEL) -> Pieces:
 def stream(chars: str, model: Pieces) -> Iterator[list[int]]:
     """Ids of chars, committed block by block; memory is bounded by the longest stretch on which paths differ.
 
-    Of equal totals the path whose last piece is longer wins.
+    Paths are traced back when the window has doubled since the last time, so that the time is linear.
     """
-    prefixes, longest = model.prefixes, model.longest
-    total = [0.0]  # by position, from `base` on
-    back: list[tuple[int, int | None]] = [(0, None)]
-    base, n = 0, len(chars)
-    for start in range(n):
-        here = total[start - base]
-        end = start + 1
-        while end <= n:
-            hit = prefixes.get(chars[start:end])
+    back: list[tuple[int, int | None]] = [(0, None)]  # start and id of the last piece by position, from `base` on
+    base, n, longest = 0, len(chars), model.longest
+    grow = _by_merges(chars, model, back) if model.merges else _by_scores(chars, model, back)
+    look = 2 * longest
+    for end in range(1, n + 1):
+        ahead = grow(base, end)
+        if end - base >= look or end == n:
+            heads = {end} if end == n else ahead
+            while len(heads) > 1:  # the surviving paths, back to where they meet
+                late = max(heads)
+                heads.discard(late)
+                heads.add(back[late - base][0])
+            (meet,) = heads
+            if meet > base:
+                yield _ids(chars, back, base, meet, model)
+                grow(base, meet, forget=True)
+                base = meet
+                look = 2 * longest
+            else:
+                look = 2 * (end - base)
+
+
+def _by_scores(chars: str, model: Pieces, back: list[tuple[int, int | None]]):
+    """Unigram: of equal totals the path whose last piece is longer wins."""
+    prefixes, n = model.prefixes, len(chars)
+    total = [0.0]
+
+    def grow(base: int, end: int, forget: bool = False) -> set[int]:
+        if forget:
+            del total[: end - base], back[: end - base]
+            return set()
+        start = end - 1  # every path to here is known now
+        here, upto = total[start - base], end
+        while upto <= n:
+            hit = prefixes.get(chars[start:upto])
             if hit is None:
                 break
-            at = end - base
+            at = upto - base
             if at == len(total):
                 total.append(NEVER)
-                back.append((end - 1, None))
+                back.append((upto - 1, None))
             if hit[0] >= 0 and here + hit[1] > total[at]:
                 total[at], back[at] = here + hit[1], (start, hit[0])
-            end += 1
-        end = start + 1  # every path to here is known now
+            upto += 1
         if end - base == len(total):
             total.append(NEVER)
             back.append((start, None))
         if total[end - base] == NEVER:  # no piece ends here: the character's bytes
             total[end - base], back[end - base] = here + model.byte_score * len(chars[start].encode()), (start, None)
-        if end - base >= 2 * longest or end == n:
-            heads = {end} if end == n else {end} | {k for k in range(end + 1, base + len(total)) if total[k - base] != NEVER}
-            while len(heads) > 1:  # the surviving paths, back to where they meet
-                late = max(heads)
-                heads.discard(late)
-                heads.add(back[late - base][0])
-            (meet,) = heads
-            if meet > base:
-                yield _ids(chars, back, base, meet, model)
-                total, back, base = total[meet - base :], back[meet - base :], meet
-
-
-def within_window(chars: str, model: Pieces) -> list[int]:
-    """What stream() gives in all, for chars that fit the window: the same search without commits on the way."""
-    n, get = len(chars), model.prefixes.get
-    total, back, piece = [NEVER] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-    total[0] = 0.0
-    for start in range(n):
-        here = total[start]
-        end = start + 1
-        hit = get(chars[start])
-        while hit is not None:
-            i, s = hit
-            if i >= 0 and (s := s + here) > total[end]:
-                total[end], back[end], piece[end] = s, start, i
-            end += 1
-            if end > n:
+        return {end} | {k for k in range(end + 1, base + len(total)) if total[k - base] != NEVER}
+
+    return grow
+
+
+def _by_merges(chars: str, model: Pieces, back: list[tuple[int, int | None]]):
+    """BPE: of the pieces that end here the one that merges leave; one at most stays apart from the piece before it."""
+    pieces, longest = model.pieces, model.longest
+
+    def grow(base: int, end: int, forget: bool = False) -> set[int]:
+        if forget:
+            del back[: end - base]
+            return set()
+        for start in range(max(base, end - longest), end):
+            piece = chars[start:end]
+            hit = pieces.get(piece)
+            if hit and _own(piece, model) and (not start or apart(chars[back[start - base][0] : start], piece, model)):
+                back.append((start, hit[0]))
                 break
-            hit = get(chars[start:end])
-        if total[start + 1] == NEVER:
-            total[start + 1], back[start + 1] = here + model.byte_score * len(chars[start].encode()), start
-    out = []
-    while n:
-        start = back[n]
-        if piece[n] >= 0:
-            out.append(piece[n])
         else:
-            out += [model.byte_ids[b] for b in reversed(chars[start:n].encode())]
-        n = start
-    out.reverse()
-    return out
-
-
-def merged(chars: str, model: Pieces) -> list[int]:
-    """Ids of chars by BPE: of all neighbours that make a piece the one of the best score is merged, the left one of equals."""
-    pieces, n = model.pieces, len(chars)
-    held, before, after = list(chars), list(range(-1, n - 1)), [*range(1, n), -1]
-    heap: list[tuple[float, int, int, str]] = []
-
-    def offer(a: int, b: int) -> None:
-        if hit := pieces.get(both := held[a] + held[b]):
-            heapq.heappush(heap, (-hit[1], a, b, both))
-
-    for i in range(n - 1):
-        offer(i, i + 1)
-    while heap:
-        _, a, b, both = heapq.heappop(heap)
-        if not held[a] or after[a] != b or held[a] + held[b] != both:
-            continue
-        held[a], held[b], after[a] = both, "", after[b]
-        if after[a] >= 0:
-            before[after[a]] = a
-            offer(a, after[a])
-        if before[a] >= 0:
-            offer(before[a], a)
-    out: list[int] = []
-    for x in filter(None, held):
-        out += [pieces[x][0]] if x in pieces else [model.byte_ids[b] for b in x.encode()]
-    return out
+            back.append((end - 1, None))  # a character that is no piece
+        return set(range(max(base, end - longest + 1), end + 1))
+
+    return grow
+
+
+def _own(piece: str, model: Pieces) -> bool:
+    got = model.own.get(piece)
+    if got is None:
+        got = model.own[piece] = merged(piece, model) == [piece]
+    return got
+
+
+def apart(a: str, b: str, model: Pieces) -> bool:
+    """Whether merging the characters of both pieces leaves the two."""
+    got = model.apart.get((a, b))
+    if got is None:
+        if len(model.apart) >= CACHE:
+            model.apart.clear()
+        got = model.apart[a, b] = merged(a + b, model) == [a, b]
+    return got
+
+
+def merged(chars: str, model: Pieces) -> list[str]:
+    """What BPE leaves of a short string: of all neighbours that make a piece the one of the best score is merged, the
+    left one of equals, until none does."""
+    held = list(chars)
+    while True:
+        best: tuple[float, int] | None = None
+        for i in range(len(held) - 1):
+            hit = model.pieces.get(held[i] + held[i + 1])
+            if hit and (best is None or hit[1] > best[0]):
+                best = (hit[1], i)
+        if best is None:
+            return held
+        i = best[1]
+        held[i : i + 2] = [held[i] + held[i + 1]]
 
 
 def _ids(chars: str, back: list, base: int, upto: int, model: Pieces) -> list[int]:
@@ -171,6 +187,10 @@ def _ids(chars: str, back: list, base: int, upto: int, model: Pieces) -> list[in
     return out[::-1]
 
 
+#: Marks and the word after them.
+MARKED = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
+
 class Encoder:
     def __init__(self, model: Pieces) -> None:
         self.model = model
@@ -180,51 +200,18 @@ class Encoder:
         """Ids of a text; the empty text has none. A space is put before the text, and spaces become their mark.
 
         A mark in the text itself is written as bytes, so that decoding gives back exactly the text. Where no
-        piece holds a mark after another character, all paths meet before each marked word: the word's ids are
+        piece holds a mark after another character, all paths meet before each run of marks: a word's ids are
         then the same wherever it stands, and are remembered.
         """
         if not text:
             return []
-        if SPACE in text:
-            parts = text.split(SPACE)
-            mark = [self.model.byte_ids[b] for b in SPACE.encode()]
-            out = self._plain(SPACE + parts[0].replace(" ", SPACE))
-            for p in parts[1:]:
-                out = out + mark + (self._plain(p.replace(" ", SPACE)) if p else [])
-            return out
-        return self._plain(SPACE + text.replace(" ", SPACE))
-
-    def _plain(self, chars: str) -> list[int]:
-        if not self.model.starts_only or SPACE * 2 in chars:
-            return [i for block in stream(chars, self.model) for i in block]
-        out: list[int] = []
-        known = self.known
-        first, *words = chars.split(SPACE)
-        for word in [first, *words] if first else words:
-            ids = known.get(word)
-            if ids is None:
-                marked = word if first and word is first else SPACE + word
-                ids = within_window(marked, self.model) if len(marked) <= 2 * self.model.longest else [i for block in stream(marked, self.model) for i in block]
-                if marked is not word and len(word) <= 64:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[word] = ids
-            out += ids
+        first, *rest = text.split(SPACE)
+        out = self._plain(SPACE + first.replace(" ", SPACE))
+        mark = [self.model.byte_ids[b] for b in SPACE.encode()]
+        for part in rest:
+            out = out + mark + (self._plain(part.replace(" ", SPACE)) if part else [])
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids made by encode()."""
-        texts = self.model.texts
-        return b"".join([texts[i] for i in ids]).decode()[1:]
-
-
-#: Marks and the word after them.
-MARKED = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-
-
-class MergeEncoder(Encoder):
-    """The encoding of a BPE model, where no piece holds a mark after another character word by word."""
-
     def _plain(self, chars: str) -> list[int]:
         words = MARKED.findall(chars) if self.model.starts_only else [chars]
         try:
@@ -235,21 +222,22 @@ class MergeEncoder(Encoder):
     def _word(self, word: str) -> list[int]:
         ids = self.known.get(word)
         if ids is None:
-            ids = merged(word, self.model)
+            ids = [i for block in stream(word, self.model) for i in block]
             if len(word) <= 64:
                 if len(self.known) >= CACHE:
                     self.known.clear()
                 self.known[word] = ids
         return ids
 
-
-def encoder(model: Pieces) -> Encoder:
-    return MergeEncoder(model) if model.merges else Encoder(model)
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids made by encode()."""
+        texts = self.model.texts
+        return b"".join([texts[i] for i in ids]).decode()[1:]
 
 
 def _run(model: Pieces, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(model)
+        coder = Encoder(model)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             at = 0
