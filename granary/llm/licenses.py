@@ -1,7 +1,8 @@
 """License scans by sentence rules. [native]
 
 A text's sentences are normalised and looked up among known licence sentences, which may be wrapped over lines;
-the sequence of their identifiers is matched against ordered rules of licences.
+the sequence of their identifiers is matched against ordered rules of licences: longer rules first, then as they
+stand. Identifiers that a rule has used are no longer there for later ones.
 """
 
 from __future__ import annotations
@@ -84,6 +85,9 @@ AFTER_NOTICE = ("mit-grant", "apache-notice")
 CLUES = "(?i)licens|permission|warranty|redistribut|rights reserved|copyright"
 
 
+USED = " | "
+
+
 def known(text: F.Column) -> F.Column:
     """Identifiers of the known sentences of a text, in its order."""
     ids = {s: k for k, s in GENUINE} | {s: k for k, s in SENTENCES.items()}
@@ -111,26 +115,44 @@ def scan(docs: DataFrame) -> DataFrame:
     Repeated rows stay; an empty table gives no rows; further columns are ignored.
     """
     found = docs.select("doc_id", known(F.coalesce(F.col("text"), F.lit(""))).alias("k"))
-    line = F.concat(F.lit(" "), F.array_join("k", " "), F.lit(" "))
-    fits = F.array(*(F.when(line.contains(f" {' '.join(ids)} "), F.lit(name)) for name, ids in RULES + GENUINE_RULES))
+    # each identifier stands between blanks of its own, so that neighbouring matches don't share one
+    line = F.concat(F.lit("  "), F.array_join("k", "  "), F.lit("  "))
+    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(sequence(ids)).alias("ids")) for name, ids in ordered()))
+    start = F.struct(line.alias("line"), F.expr("cast(array() as array<string>)").alias("names"))
+
+    def tried(acc, rule):
+        names = F.when(acc["line"].contains(rule["ids"]), F.concat(acc["names"], F.array(rule["name"]))).otherwise(acc["names"])
+        return F.struct(F.replace(acc["line"], rule["ids"], F.lit(USED)).alias("line"), names.alias("names"))
+
     return found.select(
         "doc_id", F.size("k").cast("bigint").alias("n_known"), F.array_join("k", " ").alias("known"),
-        F.array_join(F.array_sort(F.array_distinct(F.filter(fits, lambda x: x.isNotNull()))), ",").alias("licenses"),
+        F.array_join(F.array_sort(F.array_distinct(F.aggregate(rules, start, tried)["names"])), ",").alias("licenses"),
     )
 
 
+def sequence(ids: list[str]) -> str:
+    return f" {'  '.join(ids)} "
+
+
+def ordered() -> list[tuple[str, list[str]]]:
+    return sorted(RULES + GENUINE_RULES, key=lambda r: -len(r[1]))
+
+
 def op7_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
 _KNOWN = ", ".join(f"('{k}', '{s}')" for k, s in SENTENCES.items())
-_FITS = " UNION ALL ".join(f"SELECT doc_id, r, '{name}' AS name FROM lines WHERE contains(' ' || known || ' ', ' {' '.join(ids)} ')" for name, ids in RULES)
+_TRIED = "SELECT r, doc_id, n_known, known, '  ' || replace(known, ' ', '  ') || '  ' AS line, '' AS names FROM lines"
+for _name, _ids in ordered():
+    _s = sequence(_ids)
+    _TRIED = f"SELECT r, doc_id, n_known, known, replace(line, '{_s}', '{USED}') AS line, names || CASE WHEN contains(line, '{_s}') THEN ',{_name}' ELSE '' END AS names FROM ({_TRIED})"
 OP7_SQL = rf"""
 WITH ids(k, s) AS (VALUES {_KNOWN}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_split_to_array(coalesce(text, ''), '[.!?;:][ \t]+|[\r\n]+') AS ss FROM documents),
 each AS (SELECT r, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM docs),
 found AS (SELECT r, string_agg(k, ' ' ORDER BY i) AS known, count(*) AS n FROM each JOIN ids ON ids.s = trim(regexp_replace(lower(each.s), '[^a-z0-9]+', ' ', 'g')) GROUP BY r),
 lines AS (SELECT r, doc_id, coalesce(n, 0) AS n_known, coalesce(known, '') AS known FROM docs LEFT JOIN found USING (r)),
-fits AS (SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM ({_FITS}) GROUP BY r)
-SELECT doc_id, CAST(n_known AS BIGINT) AS n_known, known, coalesce(licenses, '') AS licenses FROM lines LEFT JOIN fits USING (r)
+tried AS ({_TRIED})
+SELECT doc_id, CAST(n_known AS BIGINT) AS n_known, known, array_to_string(list_sort(list_distinct(string_split(names[2:], ','))), ',') AS licenses FROM tried
 """

@@ -54,7 +54,7 @@ APACHE = """ * Licensed under the Apache License, Version 2.0 (the "License");
 
 
 def test_genuine_licences_wrapped_and_on_one_line(spark):
-    cases = [(MIT, "MIT"), (BSD, "BSD-2-Clause"), (BSD + ENDORSE, "BSD-2-Clause,BSD-3-Clause"), (GPL.format(";", 2), "GPL-2.0-or-later"), (GPL.format(":", 3), "GPL-3.0-or-later"), (APACHE, "Apache-2.0")]
+    cases = [(MIT, "MIT"), (BSD, "BSD-2-Clause"), (BSD + ENDORSE, "BSD-3-Clause"), (BSD + ENDORSE + "\n" + BSD, "BSD-2-Clause,BSD-3-Clause"), (GPL.format(";", 2), "GPL-2.0-or-later"), (GPL.format(":", 3), "GPL-3.0-or-later"), (APACHE, "Apache-2.0")]
     texts = [(t, want) for t, want in cases] + [(t.replace("\n", "\r\n"), want) for t, want in cases] + [(" ".join(t.split()), want) for t, want in cases]
     texts.append(("Licensed under" + "." * 4000 + "CC BY 4.0", "CC-BY-4.0"))  # longer than any sentence before normalisation
     texts.append(("This is not licensed under CC BY 4.0.", ""))
@@ -63,6 +63,14 @@ def test_genuine_licences_wrapped_and_on_one_line(spark):
     assert got == {i: want for i, (_, want) in enumerate(texts)}
 
 
+def test_odd_texts_for_licences(spark):
+    rows = [(1, None, "mine", 3), (2, "", "", 0), (2, "", "", 0), (None, "Released under the MIT license.", "", 0), (4, "filler words. " * 30_000 + "\nAll rights reserved.\n", "", 0), (5, "license " * 50_000, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, known string, n_known int").repartition(3)
+    got = sorted(((r.doc_id, r.n_known, r.licenses) for r in licenses.scan(docs).collect()), key=str)
+    assert got == sorted([(1, 0, ""), (2, 0, ""), (2, 0, ""), (None, 1, "MIT"), (4, 1, "proprietary"), (5, 0, "")], key=str)
+    assert licenses.scan(docs.limit(0)).count() == 0
+
+
 def test_each_row_gives_one_row_at_every_benchmark_size(spark):
     rows = [(1, "a b c x x"), (1, "l m n o"), (None, "b c d"), (None, "x"), (2, "a b c d e f g h i j k l m n o"), (2, "a b c d e f g h i j k l m n o"), (3, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
