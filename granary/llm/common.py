@@ -24,13 +24,17 @@ def joined_evenly(rows: DataFrame, keys: DataFrame, on: str | list[str], size: s
     """rows.join(keys, on) without a task that gets all rows of a frequent key. Both are written tables.
 
     keys has each key once, and in column `size` at least its number of rows. Those above a MANY-th of all rows, fewer
-    than MANY keys, go to every task; the rest is shuffled.
+    than MANY keys, go to every task; the rest is shuffled. Rows are told apart by the hashes of the frequent keys, of
+    which the driver gets fewer than MANY.
     """
     names = [on] if isinstance(on, str) else on
-    frequent = F.col(size) * MANY > rows.count()
-    few = F.broadcast(keys.where(frequent))
-    rest = rows.join(few.select(*names), names, "left_anti").join(keys.where(~frequent), names)
-    return rows.join(few, names).unionByName(rest)
+    frequent = keys.where(F.col(size) * MANY > rows.count()).select(F.xxhash64(*names).alias("h"))
+    hashes = [r.h for r in frequent.collect()]
+    if not hashes:
+        return rows.join(keys, names)
+    theirs = F.xxhash64(*names).isin(hashes)
+    rest = rows.where(~theirs).join(keys.where(~theirs), names)
+    return rows.where(theirs).join(F.broadcast(keys.where(theirs)), names).unionByName(rest)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
