@@ -169,3 +169,28 @@ def test_first_copies_stay(spark):
                 gone = {j for i in starts for j in range(i, i + 60)}
                 assert name[k].text == "".join(c for j, c in enumerate(t) if j not in gone), (block, k)
                 assert name[k].n_removed == len(gone) and name[k].repeats == bool(gone)
+
+
+def test_likeness_counts_what_both_texts_share(spark):
+    import random
+    from collections import Counter
+
+    r = random.Random(11)
+    clause = lambda: f"{r.choice('abcdef')} {r.randint(0, 6)}"
+    texts = [". ".join(clause() for _ in range(r.choice([0, 1, 3, 12, 60]))) for _ in range(50)] + ["", "x" * 30_000, ", ".join(str(i) for i in range(4000))]
+    docs = spark.createDataFrame([(7 * i, t, "mine") for i, t in enumerate(texts)], "doc_id long, text string, fingerprint string").repartition(3)
+    got = {x.doc_id: x for x in fingerprint.compared(docs).collect()}
+
+    def parts(t):
+        found = [p.strip() for p in fingerprint.PARAGRAPH.findall(t.encode())]
+        return Counter(p for p in found if p) if any(found) else Counter([t.encode()])
+
+    def like(a, b):
+        x, y = parts(a), parts(b)
+        return (x & y).total() / (x | y).total()
+
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        row = got[7 * i]
+        assert abs(row.near_next - like(t, after)) < 1e-12 and abs(row.near_edited - like(t, fingerprint.edited(t, after))) < 1e-12
+    assert all(row.fingerprint == fingerprint.fingerprint(texts[k // 7]) for k, row in got.items())
