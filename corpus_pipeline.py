@@ -1,18 +1,20 @@
 """The corpus pipeline: toxic documents go, one document of each near-duplicate group stays, contaminated documents
 go, personal data is masked, and what is left is encoded.
 
-Each stage reads what the one before wrote as Parquet, so a lost executor costs the tasks of one stage at most.
+Each stage reads what the one before wrote as Parquet, so a lost executor costs the tasks of one stage at most. All
+stages but the last give the columns of their input, whatever further ones it has. Null and empty texts pass all
+stages as they are and have no ids. Rows that repeat a doc_id stay or go together as near-duplicates, and each by its
+own text elsewhere; rows of null doc_id are documents of their own. An empty table gives an empty result, and where
+labels or benchmark are empty nothing is toxic or contaminated.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import decontaminate, minhash, pii, toxicity, viterbi
-from granary.llm.common import shared_folder, table
+from granary.llm.common import table
+from granary.plans.lineage import Scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the intermediate tables lie in the shared folder until the session ends."""
-    docs = table(spark, sf_dir, "documents")
-    place = os.path.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
+    """All stages over documents; a stage's table goes when the one after it is written, the last with the session."""
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
-        docs = spark.read.parquet(f"{place}/{name}")
+        docs = scratch.written(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
