@@ -162,14 +162,16 @@ def compared(docs: DataFrame) -> DataFrame:
     """The contract's columns for every row of docs (doc_id, text).
 
     Null texts count as empty; the empty text has one empty paragraph. Rows of null doc_id come before all
-    others, rows of equal doc_id are in order of their texts. The only row of a table is its own follower. An
-    empty table gives no rows; further columns are ignored.
+    others, rows of equal doc_id are in order of their texts, within one task. The only row of a table is its own follower. An
+    empty table gives no rows; further columns are ignored. doc_id must be of an integer type; others raise TypeError.
 
     doc_id is cut into ranges; the first rows of a range, all those with its lower bound, go to the range before
     too, where the first of them follows the last row, so that no range waits for another. The quantiles are
     doubles and only place the ranges; the bounds themselves are doc_ids of the table.
     """
     spark = docs.sparkSession
+    if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("doc_id must be an integer: its order says which document is next")
     rows = docs.select("doc_id", "text")
     ids = docs.select("doc_id")
     n, = ids.agg(F.count("doc_id")).first()
