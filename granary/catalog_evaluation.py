@@ -70,6 +70,12 @@ def character_fertility(spark, sf_dir):
     return metrics.fertility(rows, "lang")
 
 
+@query(r"""WITH c AS (SELECT char, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS char FROM documents) WHERE NOT regexp_matches(char, '^\s*$') GROUP BY char)
+SELECT char, n FROM (SELECT *, coalesce(sum(n) OVER (ORDER BY n DESC, char ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM c) WHERE before < total * 0.9995""")
+def character_coverage(spark, sf_dir):
+    return metrics.character_coverage(read(spark, sf_dir, "documents"), "text")
+
+
 @query("SELECT split, round(avg(v), 4) AS accuracy FROM (SELECT l_returnflag AS split, l_linenumber AS seed, round(avg(l_discount), 4) AS v FROM lineitem GROUP BY ALL) GROUP BY split")
 def seed_means(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("split"), F.col("l_linenumber").alias("seed")).agg(F.avg("l_discount").alias("accuracy"))

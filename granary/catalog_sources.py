@@ -226,3 +226,42 @@ def events_by_hour(spark, sf_dir):
     from .streaming.collect import event_counts
 
     return event_counts(read(spark, sf_dir, "events")).select("event_type", F.col("window.start").alias("start"), "n")
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM documents) WHERE pos >= CASE WHEN source IN ('src1', 'src2') THEN 12 ELSE 0 END")
+def unread_documents(spark, sf_dir):
+    """Positions by running totals of ones, as a dataset's order gives them."""
+    rows = ledger.running_total(read(spark, sf_dir, "documents").select("doc_id", "source", F.lit(1).alias("one")), "source", "doc_id", "one", "pos")
+    done = spark.createDataFrame([("src1", 12), ("src2", 12), ("none", 5)], "source string, docs_done long")
+    return ledger.unread(rows, done, "source", "pos").select("doc_id", "source")
+
+
+@query(r"""SELECT doc_id, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), chr(10)) AS text FROM (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE text NOT LIKE '%<%' AND text NOT LIKE '%>%')""")
+def caption_texts(spark, sf_dir):
+    cue = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.concat(F.lit("00:00:01.000 --> 00:00:02.000 align:start\n<c.x>"), x, F.lit("</c>\n")))
+    vtt = F.concat(F.lit("WEBVTT\nKind: captions\nLanguage: as\n\n"), F.array_join(cue, "\n"))
+    rows = read(spark, sf_dir, "documents").where("text not like '%<%' and text not like '%>%'")
+    return rows.select("doc_id", T.caption_text(vtt).alias("text"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 AND o_orderkey % 3 + 1 < 3 THEN 2.0 * power(2, o_orderkey % 3) END AS delay FROM orders")
+def retry_delays(spark, sf_dir):
+    status = F.when(F.col("o_custkey") % 5 == 0, 429).otherwise(500)
+    return read(spark, sf_dir, "orders").select("o_orderkey", files.retry_delay(F.col("o_orderkey") % 3, status, 2.0).alias("delay"))
+
+
+@query("SELECT doc_id, doc_id % 4 < 2 AS whole FROM documents")
+def complete_files(spark, sf_dir):
+    """Whole files begin with a mark and have another within their last 1,024 bytes."""
+    text, kind = F.coalesce("text", F.lit("")), F.col("doc_id") % 4
+    end = F.when(kind == 0, F.rpad(F.lit("%%EOF"), 1024, "\n")).when(kind == 1, F.lit("%%EOF\n")).when(kind == 2, F.rpad(F.lit("%%EOF"), 1025, "\n")).otherwise("%%EOF")
+    start = F.when(kind == 3, "%pdf").otherwise("%PDF-1.4 ")
+    whole = files.complete_pdf(F.encode(F.concat(start, text, end), "UTF-8"))
+    return read(spark, sf_dir, "documents").select("doc_id", whole.alias("whole"))
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS words_before, len(regexp_extract_all(array_to_string(list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r\n|[\n\x0b\x0c\r]'), lambda x: trim(x, chr(32) || chr(9))),
+lambda x: x <> '' AND len(regexp_extract_all(x, '\p{L}')) > 0 AND len(regexp_extract_all(x, '[A-Za-z]')) / len(regexp_extract_all(x, '\p{L}')) >= 0.95), chr(10)), '\S+')) AS words_after FROM documents""")
+def cleaned_again(spark, sf_dir):
+    rows = files.recleaned(read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), LATIN)
+    return rows.select("doc_id", F.col("words_before").cast("long").alias("words_before"), F.col("words_after").cast("long").alias("words_after"))

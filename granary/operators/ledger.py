@@ -20,6 +20,14 @@ def pending_elsewhere(candidates: DataFrame, ledger: DataFrame, namespaces: list
     return pending(candidates, held, key)
 
 
+def unread(rows: DataFrame, ledger: DataFrame, by: str, order: str, done: str = "docs_done") -> DataFrame:
+    """Rows of each stream from the position on that its ledger entry gives; all rows of a stream without an entry.
+
+    ledger (by, docs_done): one row a stream."""
+    left = rows.join(ledger.select(by, F.col(done).alias("_done")), by, "left")
+    return left.where(F.col(order) >= F.coalesce("_done", F.lit(0))).drop("_done")
+
+
 def first_per_key(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """The first row of each key, combined before the shuffle; rows with equal order: any one of them."""
     rest = [c for c in rows.columns if c not in keys]

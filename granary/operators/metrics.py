@@ -153,6 +153,15 @@ def vocabulary_sweep(rows: DataFrame, text: str, candidates: dict[str, Vocabular
     return long_.groupBy("vocabulary", "size").agg(*_fertility(F.size("ids"), F.col("w"), unknown))
 
 
+def character_coverage(texts: DataFrame, text: str, coverage: float = 0.9995) -> DataFrame:
+    """char, n: the most frequent characters, without white space, up to the one that reaches the coverage; ties by
+    code point. The table of characters is small, whatever the texts: Unicode bounds it."""
+    chars = texts.select(F.explode(F.split(text, "")).alias("char")).where(~F.col("char").rlike(r"(?U)^\s*$")).groupBy("char").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.orderBy(F.col("n").desc(), "char").rowsBetween(Window.unboundedPreceding, -1)
+    rows = chars.withColumns({"_before": F.coalesce(F.sum("n").over(order), F.lit(0)), "_all": F.sum("n").over(Window.partitionBy())})
+    return rows.where(F.col("_before") < F.col("_all") * coverage).select("char", "n")
+
+
 def window_losses(losses: DataFrame, by: str, length: int) -> DataFrame:
     """Sum of losses and number of tokens over the full windows of each stream; what is left after the last goes.
 
