@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import Scratch, cut_lineage, shared_folder
+from ..plans.lineage import Scratch, shared_folder
 
-__all__ = ["RollingHash", "Scratch", "as_bytes", "cut_lineage", "joined_evenly", "mix", "mix_bytes", "shared_folder", "table"]
+__all__ = ["RollingHash", "Scratch", "as_bytes", "joined_evenly", "mix", "mix_bytes", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut_lineage, table
+from .common import Scratch, table
 
 # Parameters of the model.
 PRIOR = 1000.0  #: total pseudo-count of the Dirichlet prior
@@ -238,7 +238,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     share = most / max(most, given.count())
     given = given.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
     hashed = docs.select("doc_id", F.xxhash64("text").alias("h")).join(F.broadcast(given), "doc_id")
-    once = cut_lineage(hashed.groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic"))
+    once = Scratch(docs.sparkSession).written(hashed.groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic"), "sample")
     return docs.select("doc_id", "text").join(F.broadcast(once), "doc_id").select("text", "toxic")
 
 
@@ -261,7 +261,7 @@ def scored(docs: DataFrame, labels: DataFrame, target: DataFrame | None = None)
     model, scale = fit(docs, labels)
     target = docs if target is None else target
     kind = dict(target.dtypes)["doc_id"]
-    got = cut_lineage(target.select("doc_id", "text").mapInArrow(_scorer(model, scale), f"doc_id {kind}, evidence double, n_segments long"))
+    got = Scratch(docs.sparkSession).written(target.select("doc_id", "text").mapInArrow(_scorer(model, scale), f"doc_id {kind}, evidence double, n_segments long"), "evidence")
     line = threshold(got, labels)
     score = 1 / (1 + F.exp(-(F.col("evidence") - line) / 2))
     return got.select("doc_id", (fold() == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "evidence", "n_segments")
