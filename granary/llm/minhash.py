@@ -350,3 +350,15 @@ def may_link(rows: list[dict]) -> list[tuple[int, int]]:
 
 def op9_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM d),
+e AS (SELECT r, doc_id, len(s) AS n, unnest(s) AS g FROM s WHERE doc_id IS NOT NULL),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.g = y.g AND x.r < y.r AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) GROUP BY x.r, y.r, x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+both_ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT a AS doc_id, b AS other FROM both_ways UNION SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON reach.other = both_ways.a),
+least_ AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, coalesce(doc_id = least(doc_id, coalesce(m, doc_id)), true) AS kept FROM s LEFT JOIN least_ USING (doc_id)
+"""

@@ -3,7 +3,7 @@
 from .decontaminate import OP5_SQL, op5_suffix_automaton
 from .fingerprint import op6_invertible_bloom
 from .licenses import OP7_SQL, op7_license_sentences
-from .minhash import op9_tensored_minhash
+from .minhash import OP9_SQL, op9_tensored_minhash
 from .pii import op1_skip_chain
 from .sharding import op10_virtual_slots
 from .substrings import op2_repeated_substrings
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_tensored_minhash": op9_tensored_minhash,
     "op10_virtual_slots": op10_virtual_slots,
 }
-ORACLES: dict[str, str] = {"op5_suffix_automaton": OP5_SQL, "op7_license_sentences": OP7_SQL, "op8_trust_ranks": OP8_SQL}
+ORACLES: dict[str, str] = {"op5_suffix_automaton": OP5_SQL, "op7_license_sentences": OP7_SQL, "op8_trust_ranks": OP8_SQL, "op9_tensored_minhash": OP9_SQL}
