@@ -31,7 +31,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 PIECE = 1 << 20
 PARITY = 512  #: least bits of a set's parity sketch
-BLOCK = 256  #: classes of a band that are compared with as many others at once
+BLOCK = 512  #: classes of a band that are compared with as many others at once
 
 
 def word_hashes(text: bytes, rolling: RollingHash) -> np.ndarray:
@@ -289,17 +289,24 @@ def across(named: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (x, y) of classes of different components that share a band of both collections and that size and parity
     leave room for a link, each once. named: id, n, comp, a, b, parity.
 
-    The classes of a band are dealt into blocks of about BLOCK; each two blocks meet in a task of their own, which
-    gives only the pairs that may be links.
+    The largest component of a band needs no comparison within itself: its classes and all others are dealt into
+    blocks, and so are the others alone (role 0). Each block of one kind meets each of the other in a task of its own,
+    which gives only the pairs that may be links.
     """
     each = scratch.written(named.select("id", "comp", F.explode("a").alias("band")), "each")
-    mixed = each.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    mixed = scratch.written(mixed.select("band", "c"), "mixed")
-    placed = joined_evenly(each.select("id", "band"), mixed, "band", "c").withColumn("blocks", F.ceil(F.col("c") / BLOCK))
-    placed = placed.withColumn("mine", F.pmod(F.xxhash64("id", "band"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select("id", "band", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("k"))
-    rows = placed.join(named, "id").select("band", "i", "k", "mine", "id", "n", "comp", "a", "b", "parity")
-    meetings = rows.repartition("band", "i", "k").sortWithinPartitions("band", "i", "k", "mine", "id")
+    held = each.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("band")
+    mixed = held.agg(F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("long")
+    mixed = mixed.select("band", "c", F.col("top.comp").alias("major"), blocks(F.col("c")).alias("n_all"), blocks(F.col("c") - F.col("top.c")).alias("n_minor"))
+    placed = joined_evenly(each, scratch.written(mixed, "mixed"), "band", "c")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    mine = lambda n: F.pmod(F.xxhash64("id", "band"), F.col(n))
+    meet = lambda role, i, k: F.struct(F.lit(role).alias("role"), i.alias("i"), k.alias("k"))
+    as_any = F.transform(upto("n_minor"), lambda i: meet(1, i, mine("n_all")))
+    as_minor = F.when(F.col("comp") != F.col("major"), F.transform(upto("n_all"), lambda k: meet(0, mine("n_minor"), k))).otherwise(F.array().cast("array<struct<role:int,i:bigint,k:bigint>>"))
+    met = placed.select("id", "band", (F.col("comp") == F.col("major")).alias("is_major"), F.inline(F.concat(as_any, as_minor)))
+    rows = met.join(named, "id").select("band", "i", "k", "role", "is_major", "id", "n", "comp", "a", "b", "parity")
+    meetings = rows.repartition("band", "i", "k").sortWithinPartitions("band", "i", "k", "role", "id")
     return meetings.mapInArrow(_meetings, "x long, y long")
 
 
@@ -324,20 +331,22 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def may_link(rows: list[dict]) -> list[tuple[int, int]]:
-    """Pairs of the rows of two blocks of a band, or of one."""
-    if len(rows) < 2:
+    """Pairs of a row of role 0 and one of role 1; of two that both have either role, once."""
+    first = sum(r["role"] == 0 for r in rows)
+    if not first or first == len(rows):
         return []
     num, den = SIMILAR
-    band, within = rows[0]["band"], rows[0]["i"] == rows[0]["k"]
-    n, comp, mine = (np.array([r[c] for r in rows]) for c in ("n", "comp", "mine"))
+    band = rows[0]["band"]
+    n, comp, ids = (np.array([r[c] for r in rows]) for c in ("n", "comp", "id"))
+    major = np.array([r["is_major"] for r in rows])
     bits = [np.array(r["parity"], np.int64).view(np.uint64) for r in rows]
     words = np.array([len(b) for b in bits])
     #: by number of words, the sketches of all rows that have as many at least, folded to it
     at_size = {w: np.array([folded(b, w) if len(b) >= w else np.zeros(w, np.uint64) for b in bits]) for w in set(words.tolist())}
     out = []
-    for x in range(len(rows) - 1):
-        y = np.arange(x + 1, len(rows))
-        y = y[(comp[y] != comp[x]) & (within | (mine[y] != mine[x])) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))]
+    for x in range(first):
+        y = np.arange(first, len(rows))
+        y = y[(comp[y] != comp[x]) & (major[y] | (ids[y] > ids[x])) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))]
         for w in set(np.minimum(words[x], words[y]).tolist()):
             some = y[np.minimum(words[x], words[y]) == w]
             differ = np.bitwise_count(at_size[w][some] ^ at_size[w][x]).sum(axis=1, dtype=np.int64)
