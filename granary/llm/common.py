@@ -16,22 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Keys that hold more than this share of a table's rows are joined by a broadcast; there are fewer than MANY of them.
+#: Keys that hold more than a MANY-th of a table's rows are joined by a broadcast; there are fewer than MANY of them.
 MANY = 1024
 
 
 def joined_evenly(rows: DataFrame, keys: DataFrame, on: str | list[str], size: str) -> DataFrame:
     """rows.join(keys, on) without a task that gets all rows of a frequent key. Both are written tables.
 
-    keys has each key once, and in column `size` at least its number of rows. Those above a MANY-th of all rows, fewer
+    keys has each key once, and in column `size` at least its number of rows. Those above a MANY-th of all sizes, fewer
     than MANY keys, go to every task; the rest is shuffled. Rows are told apart by the hashes of the frequent keys, of
     which the driver gets fewer than MANY.
     """
     names = [on] if isinstance(on, str) else on
-    frequent = keys.where(F.col(size) * MANY > rows.count()).select(F.xxhash64(*names).alias("h"))
-    hashes = [r.h for r in frequent.collect()]
-    if not hashes:
+    total, most = keys.agg(F.sum(size), F.max(size)).first()
+    if not total or most * MANY <= total:
         return rows.join(keys, names)
+    hashes = [r.h for r in keys.where(F.col(size) * MANY > total).select(F.xxhash64(*names).alias("h")).collect()]
     theirs = F.xxhash64(*names).isin(hashes)
     rest = rows.where(~theirs).join(keys.where(~theirs), names)
     return rows.where(theirs).join(F.broadcast(keys.where(theirs)), names).unionByName(rest)

@@ -186,7 +186,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     name = f"edges-{uuid.uuid4().hex[:8]}"
     edges = scratch.written(links.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), f"{name}-0")
     step, before = 0, None
-    while True:
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = both.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("m"))
         near = scratch.written(near.withColumn("m", F.least("u", "m")), f"{name}-near")
@@ -199,8 +199,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(f"{name}-{step - 1}", f"{name}-near", f"{name}-large", f"{name}-least")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+            break
         before = now
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
 def similar_size() -> F.Column:
@@ -232,8 +233,12 @@ def grouped(docs: DataFrame) -> DataFrame:
     twice = member.groupBy("doc_id").agg(F.min("id").alias("x"), F.max("id").alias("m")).where("x < m").select("doc_id", "x")
     same_doc = member.select("doc_id", F.col("id").alias("y")).join(twice, "doc_id").where("x < y").select("x", "y")
     texts = docs.select("doc_id", "text").join(classes.select("id", F.col("rep").alias("doc_id"), "h1", "h2"), "doc_id")
-    links = scratch.written(links_of(classes, texts, scratch).unionByName(same_doc), "links")
-    least = classes.select("id", "rep", "n").join(components(links, scratch), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    comps, links = links_of(classes, texts, scratch)
+    label = lambda c: comps.select(F.col("id").alias(c), F.col("component").alias(f"{c}_comp"))
+    links = links.unionByName(same_doc).join(label("x"), "x", "left").join(label("y"), "y", "left")
+    further = components(links.select(F.coalesce("x_comp", "x").alias("x"), F.coalesce("y_comp", "y").alias("y")), scratch)
+    least = classes.select("id", "rep", "n").join(comps, "id", "left").select("rep", "n", F.col("id").alias("class"), F.coalesce("component", "id").alias("id"))
+    least = least.join(further, "id", "left").select(F.col("class").alias("id"), "rep", "n", F.coalesce("component", "id").alias("component"))
     least = scratch.written(least, "least")
     smallest = scratch.written(least.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("component_id")), "smallest")
     named = scratch.written(joined_evenly(least, smallest, "component", "size").select("id", "n", "component_id"), "named")
@@ -241,7 +246,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     empty = all_docs.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles")
     elsewhere = empty.where("doc_id is not null").select("doc_id").distinct().join(out.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id")
     empty = empty.join(elsewhere, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    scratch.drop("classes", "member", "links", "least", "smallest", "named", "banded", "members", "sets", "star", "each", "mixed", "labelled", "across")
+    scratch.drop("classes", "member", "components", "least", "smallest", "named", "banded", "members", "sets", "each", "mixed", "labelled", "across")
     return out.unionByName(empty.select(*out.columns)).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -255,8 +260,9 @@ def bands(classes: DataFrame, scratch: Scratch) -> DataFrame:
     return both.where("size(a) > 0 and size(b) > 0").join(classes.select("id", F.col("n_shingles").cast("int").alias("n")), "id")
 
 
-def links_of(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (x, y) that join all classes (id, n_shingles, a, b: sketches of distinct sets) as the full link graph does.
+def links_of(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Components (id, component) of links to centres, and links (x, y) between them, which join all classes (id,
+    n_shingles, a, b: sketches of distinct sets) as the full link graph does.
 
     texts: id, h1, h2, text; of a repeated doc_id other texts than the class's may be among them.
     """
@@ -272,11 +278,10 @@ def links_of(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFram
     wanted = members.select("id").distinct()
     sets = texts.join(wanted, "id", "left_semi").select("id", "h1", "h2", "text").mapInArrow(_sets, "id long, set array<long>, parity array<long>")
     sets = scratch.written(sets.dropDuplicates(["id"]), "sets")
-    links = scratch.written(verified(star, sets), "star")
-    comps = components(links, scratch)
+    comps = scratch.written(components(verified(star, sets), scratch), "components")
     named = banded.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).join(sets.select("id", "parity"), "id").select("id", "n", "comp", "a", "b", "parity")
     named = scratch.written(named, "labelled")
-    return links.unionByName(verified(scratch.written(across(named, scratch), "across"), sets))
+    return comps, verified(scratch.written(across(named, scratch), "across"), sets)
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
