@@ -69,7 +69,7 @@ def edges(pages: DataFrame, kinship: int = 0) -> DataFrame:
     return found.unionByName(kin).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def spread(graph: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+def spread(graph: DataFrame, seeds: DataFrame, damping: float | None = None, tolerance: float | None = None) -> DataFrame:
     """Personalised PageRanks: kind, host, rank. graph: kind, src, dst, p (shares of src's links); seeds: kind, host, s.
 
     s sums to 1 for each kind of rank. Flow from hosts without links is lost, so ranks sum to at most 1. Hosts that
@@ -80,6 +80,7 @@ def spread(graph: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleran
     A popular host's inflow is pre-aggregated before each shuffle; no host's links are gathered in one task. Ranks are
     written every STRIDE rounds, and the table before is removed.
     """
+    damping, tolerance = damping or DAMPING, tolerance or TOLERANCE
     scratch = Scratch(graph.sparkSession)
     base = scratch.written(seeds.select("kind", "host", ((1 - damping) * F.col("s")).alias("rank")), "base")
     if graph.isEmpty():
