@@ -7,7 +7,6 @@ when it lies in an occurrence of a window: `window` consecutive words of an item
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
