@@ -174,7 +174,7 @@ class Scorer:
         try:
             return np.fromiter(map(seen.__getitem__, words), float, len(words))
         except KeyError:
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()
             out = []
             for w in words:

@@ -14,7 +14,7 @@ def bpe():
 def model():
     """The same pieces as a unigram model."""
     m = viterbi.load()
-    m.merges = False
+    m.merges = None
     return m
 
 
