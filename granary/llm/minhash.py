@@ -319,10 +319,14 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by band and two blocks (i, k)."""
     held: list[dict] = []
     key: tuple | None = None
+    names = ["band", "i", "k", "role", "is_major", "id", "n", "comp", "a", "b"]
     for batch in batches:
         found: list[tuple[int, int]] = []
-        for row in batch.to_pylist():
-            now = (row["band"], row["i"], row["k"])
+        bits = batch.column("parity")
+        words, at = bits.values.to_numpy(zero_copy_only=False).view(np.uint64), bits.offsets.to_numpy()
+        for z, values in enumerate(zip(*(batch.column(n).to_pylist() for n in names), strict=True)):
+            row = dict(zip(names, values, strict=True)) | {"parity": words[at[z] : at[z + 1]].copy()}
+            now = values[:3]
             if now != key:
                 found += may_link(held)
                 held, key = [], now
@@ -344,7 +348,7 @@ def may_link(rows: list[dict]) -> list[tuple[int, int]]:
     band = rows[0]["band"]
     n, comp, ids = (np.array([r[c] for r in rows]) for c in ("n", "comp", "id"))
     major = np.array([r["is_major"] for r in rows])
-    bits = [np.array(r["parity"], np.int64).view(np.uint64) for r in rows]
+    bits = [r["parity"] for r in rows]
     words = np.array([len(b) for b in bits])
     #: by number of words, the sketches of all rows that have as many at least, folded to it
     at_size = {w: np.array([folded(b, w) if len(b) >= w else np.zeros(w, np.uint64) for b in bits]) for w in set(words.tolist())}
