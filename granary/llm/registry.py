@@ -5,6 +5,7 @@ from .fingerprint import op6_invertible_bloom
 from .licenses import OP7_SQL, op7_license_sentences
 from .minhash import OP9_SQL, op9_tensored_minhash
 from .pii import op1_skip_chain
+from .prefixtrie import OP12_SQL, op12_prefix_trie
 from .resample import OP13_SQL, op13_importance_draw
 from .sharding import op10_virtual_slots
 from .substrings import op2_repeated_substrings
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_trust_ranks": op8_trust_ranks,
     "op9_tensored_minhash": op9_tensored_minhash,
     "op10_virtual_slots": op10_virtual_slots,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_importance_draw": op13_importance_draw,
 }
-ORACLES: dict[str, str] = {"op5_suffix_automaton": OP5_SQL, "op7_license_sentences": OP7_SQL, "op8_trust_ranks": OP8_SQL, "op9_tensored_minhash": OP9_SQL, "op13_importance_draw": OP13_SQL}
+ORACLES: dict[str, str] = {"op5_suffix_automaton": OP5_SQL, "op7_license_sentences": OP7_SQL, "op8_trust_ranks": OP8_SQL, "op9_tensored_minhash": OP9_SQL, "op12_prefix_trie": OP12_SQL, "op13_importance_draw": OP13_SQL}
