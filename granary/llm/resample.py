@@ -28,6 +28,7 @@ BUCKETS = 10_000
 SEED = 2024
 LEAST_WORDS = 20
 PERCENT = 10
+SLICE = 500_000  #: words whose gains are looked up at once
 RANGE_ROWS = 100_000  #: about so many drawn rows are merged by one task
 
 
@@ -65,10 +66,15 @@ def _weigher(gain: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("buckets")
-            ends = np.concatenate([[0], np.cumsum(gain[column.flatten().to_numpy(zero_copy_only=False)])])
-            offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
-            n = np.diff(offsets)
-            total = ends[offsets[1:]] - ends[offsets[:-1]]
+            words, offsets = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy() - column.offsets[0].as_py()
+            n, total, a = np.diff(offsets), np.zeros(len(offsets) - 1, np.int64), 0
+            while a < len(n):  # rows of about SLICE words at a time
+                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE, side="right")) - 1)
+                ends = np.zeros(offsets[b] - offsets[a] + 1, np.int64)
+                np.cumsum(gain[words[offsets[a] : offsets[b]]], out=ends[1:])
+                at = offsets[a : b + 1] - offsets[a]
+                total[a:b] = ends[at[1:]] - ends[at[:-1]]
+                a = b
             weight = np.floor_divide(total, np.maximum(n, 1))
             kept = [batch.column("doc_id"), batch.column("rid"), pa.array(n, pa.int64()), pa.array(weight, pa.int64())]
             yield pa.RecordBatch.from_arrays(kept, ["doc_id", "rid", "n_features", "weight"])

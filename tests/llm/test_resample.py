@@ -40,7 +40,8 @@ def rows():
 
 
 @pytest.mark.parametrize(("percent", "range_rows"), [(10, 7), (50, 100_000), (100, 40)])
-def test_draw(spark, rows, percent, range_rows):
+def test_draw(spark, rows, percent, range_rows, monkeypatch):
+    monkeypatch.setattr(resample, "SLICE", 64)
     target = [" ".join(f"w{i}" for i in range(0, 300, 3)), None, ""]
     docs = spark.createDataFrame([(k, t, "clash", 1) for k, t in rows], "doc_id long, text string, rank string, run int").repartition(5)
     aim = spark.createDataFrame([(t, 1) for t in target], "text string, score int")
