@@ -12,6 +12,7 @@ from .substrings import op2_repeated_substrings
 from .toxicity import op4_toxic_segments
 from .urlgraph import OP8_SQL, op8_trust_ranks
 from .viterbi import op3_streaming_viterbi
+from .warc import OP11_SQL, op11_warc_visits
 
 QUERIES = {
     "op1_skip_chain": op1_skip_chain,
@@ -24,7 +25,8 @@ QUERIES = {
     "op8_trust_ranks": op8_trust_ranks,
     "op9_tensored_minhash": op9_tensored_minhash,
     "op10_virtual_slots": op10_virtual_slots,
+    "op11_warc_visits": op11_warc_visits,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_importance_draw": op13_importance_draw,
 }
-ORACLES: dict[str, str] = {"op5_suffix_automaton": OP5_SQL, "op7_license_sentences": OP7_SQL, "op8_trust_ranks": OP8_SQL, "op9_tensored_minhash": OP9_SQL, "op12_prefix_trie": OP12_SQL, "op13_importance_draw": OP13_SQL}
+ORACLES: dict[str, str] = {"op5_suffix_automaton": OP5_SQL, "op7_license_sentences": OP7_SQL, "op8_trust_ranks": OP8_SQL, "op9_tensored_minhash": OP9_SQL, "op11_warc_visits": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_importance_draw": OP13_SQL}
