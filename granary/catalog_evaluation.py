@@ -129,3 +129,19 @@ def answers_against_the_turn_before(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = read(spark, sf_dir, "conversations").withColumn("e", F.lag("text").over(w)).where("e is not null")
     return rows.select("conv_id", "turn", (F.trim("text") == F.trim("e")).alias("strict"), F.trim("text").startswith(F.trim("e")).alias("lenient"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, list_append(list_transform(regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+'), lambda w: (unicode(w) * 64 + len(w)) % 65536), 0) AS ids FROM documents),
+s AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS p, id FROM (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM t))
+SELECT p // 1024 * 1024 AS pos, count(*) AS n, CAST(sum(id) AS BIGINT) AS total, CAST(sum(id * (p % 1024 + 1)) AS BIGINT) AS by_place FROM s GROUP BY 1""")
+def token_file_windows(spark, sf_dir):
+    """Words as 16-bit ids by their first letter and length, an id 0 after each document: written as token files, and
+    read back as windows of one stream."""
+    from .plans.lineage import Scratch
+    from .sources.tokenfiles import read_tokens, write_tokens
+
+    ids = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"), 0), lambda w: (F.ascii(w) * 64 + F.length(w)) % 65536)
+    path = f"{Scratch(spark).place}/tokens"
+    write_tokens(read(spark, sf_dir, "documents").select("doc_id", F.array_append(ids, F.lit(0)).alias("ids")), path, "doc_id")
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+    return read_tokens(spark, path).select("pos", F.size("ids").cast("long").alias("n"), total("ids").alias("total"), total(F.transform("ids", lambda x, i: x.cast("long") * (i + 1))).alias("by_place"))

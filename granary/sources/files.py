@@ -106,21 +106,11 @@ def loss_log(spark: SparkSession, path: str, schema: str = "step long, train_los
 
 
 def token_files(spark: SparkSession, path: str, length: int) -> DataFrame:
-    """path, pos, ids: windows of `length` tokens of uint16 token files; the last one of a file may be short.
+    """path, pos, ids: windows of `length` tokens of uint16 token files, numbered in each; the last one of a file may be
+    short. Files are read by byte ranges."""
+    from .tokenfiles import read_tokens
 
-    A file is one row of Spark's reader, so its size is bounded by a task's memory (2 GB).
-    """
-
-    def run(frames):
-        import numpy as np
-
-        for f in frames:
-            for p, content in zip(f["path"], f["content"], strict=True):
-                ids = np.frombuffer(content, "<u2").astype("int32")
-                at = range(0, len(ids), length)
-                yield pd.DataFrame({"path": p, "pos": [i // length for i in at], "ids": [ids[i : i + length] for i in at]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, pos long, ids array<int>")
+    return read_tokens(spark, path, length, per_file=True).select(F.col("file").alias("path"), F.floor(F.col("pos") / length).alias("pos"), "ids")
 
 
 def xz_text(spark: SparkSession, path: str, lines: int = 10_000) -> DataFrame:

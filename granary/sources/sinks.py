@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
@@ -27,22 +25,3 @@ def append_log(lines: DataFrame, path: str) -> None:
     """`- [time] message` lines added to a log. lines: at, message."""
     stamped = F.concat(F.lit("- ["), F.date_format("at", "yyyy-MM-dd HH:mm:ss"), F.lit("] "), F.col("message"))
     lines.select(stamped.alias("value")).write.mode("append").text(path)
-
-
-@F.pandas_udf(BinaryType())
-def uint16(ids: pd.Series) -> pd.Series:
-    """Little-endian 16-bit form of ids; fails on one that doesn't fit."""
-    import numpy as np
-
-    def packed(x) -> bytes:
-        a = np.asarray(x, np.int64)
-        if len(a) and (a.min() < 0 or a.max() > 0xFFFF):
-            raise ValueError("a token id needs more than 16 bits")
-        return a.astype("<u2").tobytes()
-
-    return ids.map(packed, na_action="ignore")
-
-
-def write_tokens(rows: DataFrame, path: str, order: str, ids: str = "ids") -> None:
-    """ids of rows as 16-bit token rows (order, tokens), in ranges of the order; a row is never cut."""
-    rows.select(order, uint16(ids).alias("tokens")).repartitionByRange(order).sortWithinPartitions(order).write.mode("overwrite").parquet(path)

@@ -2,6 +2,8 @@
 
 import bz2
 import lzma
+import os
+import random
 import re
 
 import numpy as np
@@ -13,7 +15,7 @@ from granary.functions.tokens import Vocabulary
 from granary.operators import metrics
 from granary.plans import corpus
 from granary.presets import ACCENTED, LATIN
-from granary.sources import files, listings, sinks
+from granary.sources import commits, files, listings, sinks, tokenfiles
 from granary.streaming import collect
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -53,12 +55,53 @@ def test_sinks(spark, tmp_path):
     assert sorted(r.step for r in files.loss_log(spark, str(tmp_path / "c")).collect()) == [0, 1]
     sinks.append_log(spark.sql("select timestamp'2020-01-02 03:04:05' as at, 'done' as message"), str(tmp_path / "l"))
     assert [r.value for r in spark.read.text(str(tmp_path / "l")).collect()] == ["- [2020-01-02 03:04:05] done"]
-    ids = spark.createDataFrame([(2, [1, 65535]), (1, []), (3, None)], "pos int, ids array<int>")
-    sinks.write_tokens(ids, str(tmp_path / "t"), "pos")
-    got = {r.pos: r.tokens for r in spark.read.parquet(str(tmp_path / "t")).collect()}
-    assert got[1] == b"" and got[3] is None and np.frombuffer(got[2], "<u2").tolist() == [1, 65535]
-    with pytest.raises(Exception, match="16 bits"):
-        spark.createDataFrame([([70000],)], "ids array<int>").select(sinks.uint16("ids")).collect()
+
+
+def token_rows(n=400, seed=1):
+    r = random.Random(seed)
+    return [(i, [r.randrange(65536) for _ in range(r.choice([0, 1, 7, 50, 200]))]) for i in range(n)]
+
+
+def test_token_stream_round_trip(spark, tmp_path):
+    rows = token_rows()
+    stream = [x for _, ids in rows for x in ids]
+    df = spark.createDataFrame([*rows, (None, None)], "pos int, ids array<int>").repartition(7)
+    tokenfiles.write_tokens(df, f"{tmp_path}/t", "pos")
+    tokenfiles.write_tokens(spark.createDataFrame([(1, [1, 65535]), (0, [3])], "k int, ids array<long>"), f"{tmp_path}/t", "k", mode="append")
+    stream += [3, 1, 65535]
+    for window, size in ((10, 64), (1, 4000), (1000, 1 << 20), (7, 1), (100_000, 10)):
+        read = tokenfiles.read_tokens(spark, f"{tmp_path}/t", window, range_bytes=size)
+        got = sorted((r.pos, r.ids) for r in read.collect())
+        assert got == [(a, stream[a : a + window]) for a in range(0, len(stream), window)]
+    got = sorted((r.pos, r.ids) for r in tokenfiles.read_tokens(spark, f"{tmp_path}/t", 16, more=1, range_bytes=100, **{"from": 100, "to": 900}).collect())
+    assert got == [(a, stream[a : a + 17]) for a in range(112, 900, 16)]
+    tokenfiles.write_tokens(df.limit(0), f"{tmp_path}/t", "pos")
+    assert tokenfiles.read_tokens(spark, f"{tmp_path}/t").count() == 0
+    assert not [f for f in os.listdir(f"{tmp_path}/t") if f.endswith(".bin")]
+
+
+def test_one_large_file_is_read_by_many_tasks(spark, tmp_path):
+    np.arange(1_000_000).astype("<u2").tofile(tmp_path / "t.bin")
+    read = tokenfiles.read_tokens(spark, str(tmp_path / "t.bin"), 1000, range_bytes=100_000)
+    assert read.rdd.getNumPartitions() == 20
+    assert read.select(F.sum(F.size("ids")), F.count_if(F.element_at("ids", 1) == F.col("pos") % 65536)).first()[:] == (1_000_000, 1000)
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="whole 16-bit"):
+        tokenfiles.read_tokens(spark, str(tmp_path / "odd.bin")).collect()
+
+
+def test_failed_jobs_and_attempts_leave_no_tokens(spark, tmp_path):
+    rows = spark.createDataFrame(token_rows(60), "pos int, ids array<int>").repartition(4)
+    tokenfiles.write_tokens(rows, f"{tmp_path}/t", "pos")
+    before = sorted(os.listdir(f"{tmp_path}/t"))
+    for bad in (70000, -1, None):
+        for mode in ("append", "overwrite"):
+            with pytest.raises(Exception, match="16 bits"):
+                tokenfiles.write_tokens(rows.withColumn("ids", F.when(F.col("pos") == 31, F.array(F.lit(bad).cast("int"))).otherwise(F.col("ids"))), f"{tmp_path}/t", "pos", mode=mode)
+    assert sorted(os.listdir(f"{tmp_path}/t")) == before and not os.listdir(f"{tmp_path}/t/_jobs")
+    writer = tokenfiles.Writer(f"{tmp_path}/t", False)  # a job that ends between its files and its manifest
+    (tmp_path / "t/_jobs" / writer.job / "part-x.bin").write_bytes(b"xx")
+    assert sum(e["bytes"] for e in commits.listed(f"{tmp_path}/t")) == 2 * rows.select(F.sum(F.size("ids"))).first()[0]
 
 
 def test_listings_of_odd_responses(spark):
