@@ -2,9 +2,13 @@
 
 Patterns give the base spans. A conditional random field over the document's candidate tokens adds spans: each
 token has a potential by its shape and by its neighbour in the chain, and skip edges join distant tokens that are
-equal or alike (the same digits, the same mail host), so that loopy message passing pulls their labels together.
+equal or alike (the same digits, the same mail name), so that loopy message passing pulls their labels together.
 Potentials of shapes and of both kinds of edges are counted over the base labels of all documents.
 
+A token that no pattern confirms leans to no label, the more so the more often patterns confirm tokens of its shape:
+then it has failed a check. It gets a kind only where skip edges lead to a confirmed token of that kind, and the
+field believes in it; tokens without such a one never confirm each other.
+
 All searches are linear in a text's length, also in long runs of digits, letters or marks: patterns start where such
 a run starts, and quantifiers give nothing back that could not match.
 """
@@ -33,7 +37,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Candidate tokens of the random field: mail-like words around these marks, and runs of digits with marks between.
-AT = re.compile(r"@|\(at\)|\[at\]")
+AT = re.compile(r"@|\x20?(?:\(at\)|\[at\])\x20?")
 HOST = re.compile(r"[A-Za-z0-9.-]++")
 NUMBER = re.compile(r"\+?[0-9](?:[ ().-]{0,3}[0-9])++")
 
@@ -41,6 +45,9 @@ ROUNDS = 8
 SKIP_PRIOR = (20.0, 1.0)  #: pseudo-counts of skip edges with equal and with different labels
 CHAIN_PRIOR = (5.0, 4.0)  #: the same of neighbours
 MARGIN = 0.9  #: belief from which a label adds a span
+MISSED = 0.5  #: odds of a kind for a token of a shape that patterns never confirm, before edges count
+CLEAR = -12.0  #: log-potential of what is ruled out
+LEAST_DIGITS = 8  #: digits by which numbers are alike
 
 
 def luhn(digits: str) -> bool:
@@ -88,22 +95,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def shape(token: str) -> str:
-    """What a token looks like: mail or number, a plus in front, how many digits, dots and other marks, up to 24, 4
-    and 5: fewer than 2,000 shapes."""
-    if AT.search(token):
-        return "mail"
+    """What a token looks like: a mail and how its @ is written, or a number: a plus in front, how many digits, dots and
+    other marks, up to 24, 4 and 5: fewer than 2,000 shapes."""
+    if m := AT.search(token):
+        return "mail" + m[0].strip()
     digits = sum(c.isdigit() for c in token)
     dots = token.count(".")
     return f"{'+' if token[0] == '+' else ''}{min(digits, 24)}.{min(dots, 4)}-{min(len(token) - digits - dots, 5)}"
 
 
 def likeness(token: str) -> list[str]:
-    """Keys under which tokens of a document are alike: the digits, or the mail's name and host."""
+    """Keys under which tokens of a document are alike: a mail's name and host, or its name; a number's digits, if it has
+    LEAST_DIGITS, and the last ten of them."""
     if AT.search(token):
         name, _, host = AT.sub("@", token, count=1).lower().partition("@")
         return [f"m{name}@{host}", f"n{name}"]
     digits = re.sub("[^0-9]", "", token)
-    return [f"d{digits}"] + ([f"t{digits[-10:]}"] if len(digits) > 10 else [])
+    return [f"d{digits}"] * (len(digits) >= LEAST_DIGITS) + [f"t{digits[-10:]}"] * (len(digits) >= 10)
 
 
 def _tokens(text: str) -> list[tuple[int, int]]:
@@ -139,7 +147,8 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
 
 
 def skip_edges(text: str, tokens: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Each token and the next one that is like it: linear in number."""
+    """Each token and the next one that is like it, for each key of likeness, so that equal tokens are joined twice: linear
+    in number."""
     last: dict[str, int] = {}
     out = []
     for i, (a, b, _) in enumerate(tokens):
@@ -150,11 +159,38 @@ def skip_edges(text: str, tokens: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
+def supported(tokens: list[tuple[int, int, int]], skips: list[tuple[int, int]]) -> list[set[int]]:
+    """Labels of the confirmed tokens that skip edges lead to, for each token."""
+    root = list(range(len(tokens)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, j in skips:
+        root[find(i)] = find(j)
+    labels: dict[int, set[int]] = defaultdict(set)
+    for i, t in enumerate(tokens):
+        if t[2]:
+            labels[find(i)].add(t[2])
+    return [labels[find(i)] for i in range(len(tokens))]
+
+
 class Model:
-    """Log-potentials: of labels by shape, of labels of other shapes, of equal labels on skip edges and of neighbours."""
+    """What the corpus shows: `shapes` has the share of each label among a shape's tokens (none, then the kinds); `skip` and
+    `chain` are log-potentials of equal labels on skip edges and of neighbours."""
+
+    def __init__(self, shapes: dict[str, list[float]], skip: float, chain: float) -> None:
+        self.shapes, self.skip, self.chain = shapes, skip, chain
 
-    def __init__(self, shapes: dict[str, list[float]], other: list[float], skip: float, chain: float) -> None:
-        self.shapes, self.other, self.skip, self.chain = shapes, other, skip, chain
+    def open(self, token: str) -> list[float]:
+        """Log-potentials of the labels of a token that no pattern confirms."""
+        form = shape(token)
+        seen = self.shapes.get(form, [0.0] * (1 + len(KINDS)))
+        digits = sum(c.isdigit() for c in token)
+        fits = ["email"] if form.startswith("mail") else [k for k, a, b in (("ip", 4, 12), ("card", 16, 19), ("phone", 8, 15)) if a <= digits <= b and (k != "ip" or token.count(".") == 3)]
+        return [0.0, *(math.log(MISSED * max(1 - seen[1 + i], 0.01)) if k in fits else CLEAR for i, k in enumerate(KINDS))]
 
 
 def field(unary: np.ndarray, skips: list[tuple[int, int]], skip: float, chain: float, rounds: int = ROUNDS) -> np.ndarray:
@@ -180,29 +216,27 @@ def field(unary: np.ndarray, skips: list[tuple[int, int]], skip: float, chain: f
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], model: Model) -> list[tuple[int, int, int]]:
-    """Spans that the field finds beside the base ones."""
-    if not base:
-        return []  # nothing to be pulled along
+    """Spans that the field finds beside the base ones: of tokens that skip edges join to a confirmed one of the kind."""
     tokens = candidates(text, base)
-    if all(t[2] for t in tokens):
-        return []
     skips = skip_edges(text, tokens)
-    if not skips:
-        return []
-    unary = np.zeros((len(tokens), 1 + len(KINDS)))
+    support = supported(tokens, skips)
+    if all(t[2] or not s for t, s in zip(tokens, support, strict=True)):
+        return []  # no label has a token to go to
+    unary = np.full((len(tokens), 1 + len(KINDS)), CLEAR)
     for i, (a, b, label) in enumerate(tokens):
-        unary[i] = model.shapes.get(shape(text[a:b]), model.other)
         if label:
-            unary[i] = -12.0
             unary[i, label] = 0.0
+        else:
+            unary[i] = model.open(text[a:b])
     beliefs = field(unary, skips, model.skip, model.chain)
     best = beliefs.argmax(axis=1)
-    return [(int(best[i]) - 1, a, b) for i, (a, b, label) in enumerate(tokens) if not label and best[i] and beliefs[i, best[i]] >= MARGIN]
+    return [(int(k) - 1, a, b) for k, p, s, (a, b, label) in zip(best, beliefs.max(axis=1), support, tokens, strict=True) if not label and k in s and p >= MARGIN]
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of shapes by label, and of edges: `skip` between labelled tokens (what patterns leave open between alike
-    tokens is for the field to tell), `chain` between neighbours of which one is labelled; 1 where labels are equal."""
+    """Counts of shapes by label, and of edges: `skip` between confirmed tokens (what patterns leave open between alike
+    tokens is for the field to tell), 1 where labels are equal; `chain` between neighbours of which one is confirmed, by
+    both labels."""
     for batch in batches:
         counts: dict[tuple[str, int], int] = defaultdict(int)
         for text in batch.column("text").to_pylist():
@@ -217,32 +251,28 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         counts["skip", int(tokens[i][2] == tokens[j][2])] += 1
                 for (_, _, x), (_, _, y) in pairwise(tokens):
                     if x or y:
-                        counts["chain", int(x == y)] += 1
+                        counts["chain", x * (1 + len(KINDS)) + y] += 1
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in counts], pa.string()), pa.array([k for _, k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["shape", "label", "n"])
 
 
 def train(docs: DataFrame) -> Model:
-    """Log-potentials from the base labels of all documents, softened; fewer than 10,000 counts come to the driver.
+    """Potentials from the base labels of all documents; fewer than 10,000 counts come to the driver.
 
-    A shape's labels are known from where patterns confirm it; a token that looks like confirmed ones but fails
-    a check leans to no label unless tokens like it in its document are confirmed. An edge's weight is the log-odds of
-    equal labels at its ends.
+    A skip edge's weight is the log-odds of equal labels at its ends. A chain edge's is how much these odds exceed those of
+    labels that are drawn apart from each other, so it may be below 0.
     """
+    kinds = 1 + len(KINDS)
     counts = docs.select("text").mapInArrow(_statistics, "shape string, label int, n long").groupBy("shape", "label").agg(F.sum("n").alias("n"))
-    by: dict[str, list[int]] = defaultdict(lambda: [0] * (1 + len(KINDS)))
+    by: dict[str, list[int]] = defaultdict(lambda: [0] * kinds**2)
     for r in counts.collect():
         by[r["shape"]][r["label"]] = r["n"]
-
-    def soft(c: list[int]) -> list[float]:
-        p = (np.array(c, float) + [1.0, *[0.2] * len(KINDS)]) / (sum(c) + 1 + 0.2 * len(KINDS))
-        return np.clip(np.log(p), -3.0, 0.0).tolist()
-
-    def weight(name: str, prior: tuple[float, float]) -> float:
-        differ, same = by.pop(name, [0, 0])[:2]
-        return min(4.0, max(0.0, math.log((same + prior[0]) / (differ + prior[1]))))
-
-    skip, chain = weight("skip", SKIP_PRIOR), weight("chain", CHAIN_PRIOR)
-    return Model({s: soft(c) for s, c in by.items()}, soft([0] * (1 + len(KINDS))), skip, chain)
+    differ, same = by.pop("skip", [0, 0])[:2]
+    odds = lambda same, differ, prior: math.log((same + prior[0]) / (differ + prior[1]))
+    pairs = np.array(by.pop("chain", [0] * kinds**2), float).reshape(kinds, kinds)
+    apart = np.outer(pairs.sum(axis=1), pairs.sum(axis=0)) / max(1.0, pairs.sum())
+    chain = odds(np.trace(pairs), pairs.sum() - np.trace(pairs), CHAIN_PRIOR) - odds(np.trace(apart), apart.sum() - np.trace(apart), CHAIN_PRIOR)
+    share = lambda c: [n / sum(c[:kinds]) for n in c[:kinds]]
+    return Model({s: share(c) for s, c in by.items()}, min(4.0, max(0.0, odds(same, differ, SKIP_PRIOR))), min(4.0, max(-4.0, chain)))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
