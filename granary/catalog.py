@@ -352,14 +352,31 @@ def sitemap_crawl(spark, sf_dir):
     return ledger.reachable(edges, spark.range(1, 2).withColumnRenamed("id", "node"))
 
 
+def _named(spark, sf_dir):
+    """Pools of customers' and parts' names."""
+    people = _read(spark, sf_dir, "customer").select(F.lit("person").alias("kind"), F.col("c_name").alias("name"))
+    return reasoning.named_pools(people.unionByName(_read(spark, sf_dir, "part").select(F.lit("object").alias("kind"), F.col("p_name").alias("name"))))
+
+
 @query()
 def reasoning_dataset(spark, sf_dir):
-    return reasoning.dataset(spark)
+    return reasoning.dataset(spark, kinds=_named(spark, sf_dir))
 
 
 @query()
 def reasoning_variety(spark, sf_dir):
-    return reasoning.variety(reasoning.dataset(spark))
+    return reasoning.variety(reasoning.dataset(spark, kinds=_named(spark, sf_dir)))
+
+
+@query("""SELECT split, CAST(n AS BIGINT) AS n, CASE split WHEN 'test_unseen_wording' THEN 1 ELSE 16 END AS form_pairs, 'brightness,length,savings,speed,weight' AS domains, '2,3,4' AS depths
+FROM (VALUES ('train', 4500), ('val', 450), ('test_seen', 450), ('test_unseen_entity', 450), ('test_unseen_wording', 150)) t(split, n)
+UNION ALL SELECT rule, 0, NULL, NULL, NULL FROM (VALUES ('held names in their split alone'), ('held wording in its split alone'), ('names differ'), ('ties in chains of even length'), ('answer follows from the chain'), ('prompt names everything'), ('a chain once')) r(rule)""")
+def reasoning_rules(spark, sf_dir):
+    """Sizes and variety of the splits, and how many rows break each rule, for chains of the tables' names."""
+    kinds = _named(spark, sf_dir)
+    rows = reasoning.dataset(spark, kinds=kinds).cache()
+    sizes = reasoning.variety(rows).select("split", F.col("total").alias("n"), "form_pairs", "domains", "depths")
+    return sizes.unionByName(reasoning.broken_rules(rows, kinds).withColumnRenamed("rule", "split"), allowMissingColumns=True)
 
 
 @query(f"""WITH w AS (SELECT doc_id, list_transform({_W}, lambda x: CAST(strlen(x) * 31 + strlen(replace(x, 'e', '')) AS INTEGER)) AS ids FROM documents),
