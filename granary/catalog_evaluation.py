@@ -145,3 +145,40 @@ def token_file_windows(spark, sf_dir):
     write_tokens(read(spark, sf_dir, "documents").select("doc_id", F.array_append(ids, F.lit(0)).alias("ids")), path, "doc_id")
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
     return read_tokens(spark, path).select("pos", F.size("ids").cast("long").alias("n"), total("ids").alias("total"), total(F.transform("ids", lambda x, i: x.cast("long") * (i + 1))).alias("by_place"))
+
+
+_TURNS = "SELECT conv_id AS key, turn AS pos, length(text) % 3 = 0 AS ok, length(text) AS tokens FROM conversations"
+
+
+def _turns(spark, sf_dir):
+    """Turns of conversations as a stream of attempts; their numbers stand for the time, of
+    which no watermark is behind."""
+    from .streaming import stateful
+
+    rows = stateful.source(spark, f"{sf_dir}/conversations.parquet")
+    return rows.select(F.col("conv_id").alias("key"), F.col("turn").alias("pos"), (F.length("text") % 3 == 0).alias("ok"), F.length("text").cast("long").alias("tokens"), F.timestamp_seconds(F.col("turn") + 86400).alias("at"))
+
+
+@query(f"WITH a AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) AS n FROM ({_TURNS}) QUALIFY n <= 2) SELECT key, CAST(coalesce(min(n) FILTER (ok), max(n)) AS BIGINT) AS tries, CASE WHEN bool_or(ok) THEN 'done' WHEN max(n) < 2 THEN 'retry' ELSE 'given_up' END AS state FROM a GROUP BY key")
+def streamed_retries(spark, sf_dir):
+    from .streaming import stateful
+
+    return stateful.final(stateful.once(spark, stateful.retries(_turns(spark, sf_dir))))
+
+
+@query(f"SELECT key, pos FROM ({_TURNS}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos) <= 3")
+def streamed_caps(spark, sf_dir):
+    from .streaming import stateful
+
+    return stateful.once(spark, stateful.capped(_turns(spark, sf_dir).select("key", "pos", "at"), "key", "pos", 3)).select("key", "pos")
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) AS i FROM ({_TURNS})),
+f AS (SELECT key, pos, tokens, i, 0 AS shard, tokens AS held FROM t WHERE i = 1 UNION ALL
+SELECT t.key, t.pos, t.tokens, t.i, CASE WHEN f.held >= 900 THEN f.shard + 1 ELSE f.shard END, CASE WHEN f.held >= 900 THEN t.tokens ELSE f.held + t.tokens END FROM f JOIN t ON t.key = f.key AND t.i = f.i + 1)
+SELECT key, pos, tokens, CAST(shard AS BIGINT) AS shard FROM f""")
+def streamed_shards(spark, sf_dir):
+    from .streaming import stateful
+
+    got = stateful.once(spark, stateful.sharded(_turns(spark, sf_dir).select("key", "pos", "tokens", "at"), "key", "pos", "tokens", 900))
+    return got.select("key", "pos", "tokens", "shard")
