@@ -182,3 +182,17 @@ def streamed_shards(spark, sf_dir):
 
     got = stateful.once(spark, stateful.sharded(_turns(spark, sf_dir).select("key", "pos", "tokens", "at"), "key", "pos", "tokens", 900))
     return got.select("key", "pos", "tokens", "shard")
+
+
+@query("""SELECT part, pos, length(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS chars FROM (SELECT CASE WHEN lang = 'en' THEN 'verified' ELSE 'unverified' END AS part, text,
+row_number() OVER (PARTITION BY lang = 'en' ORDER BY doc_id) - 1 AS pos FROM documents) WHERE regexp_matches(text, '[^ \\t\\n\\v\\f\\r]')""")
+def dataset_scan(spark, sf_dir):
+    """Documents exported as a dataset of two parts, and scanned by a stream in micro-batches of 100,000 documents."""
+    from .plans.lineage import Scratch
+    from .streaming import dataset
+
+    place, docs = Scratch(spark).place, read(spark, sf_dir, "documents")
+    for part, wanted in (("verified", F.col("lang") == "en"), ("unverified", ~F.col("lang").eqNullSafe("en"))):
+        docs.where(wanted).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{place}/dataset/{part}")
+    dataset.scan(spark, f"{place}/dataset", f"{place}/scanned", f"{place}/checkpoint", rows=100_000)
+    return spark.read.schema(dataset.SCHEMA).parquet(f"{place}/scanned").select("part", "pos", F.length("text").cast("long").alias("chars"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.operators import ledger
-from granary.streaming import stateful
+from granary.streaming import dataset, stateful
 
 START = datetime(2024, 1, 1, tzinfo=UTC)
 
@@ -66,3 +66,42 @@ def test_state_of_a_run_expires(spark, tmp_path):
     assert got == [("a", 1, "retry"), ("a", 2, "given_up"), ("a", 2, "given_up"), ("b", 1, "done"), ("b", 1, "done")]
     held = spark.read.format("statestore").option("path", f"{tmp_path}/checkpoint").option("stateVarName", "run").load()
     assert held.count() <= 2
+
+
+def export(folder, parts):
+    """A dataset of parts: lists of files, each of texts, in row groups of 7."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for part, files in parts.items():
+        (folder / part).mkdir(parents=True, exist_ok=True)
+        for name, texts in files.items():
+            pq.write_table(pa.table({"id": list(range(len(texts))), "text": texts}), folder / part / f"{name}.parquet", row_group_size=7)
+
+
+def test_dataset_comes_once_through_stops_and_crashes(spark, tmp_path):
+    name = lambda p, k, n: [f" {p}{k}-{i} \n" if i % 5 else (" " if i % 2 else None) for i in range(n)]
+    parts = {"verified": {"a": name("v", 0, 30), "b": name("v", 1, 9)}, "unverified": {"a": name("u", 0, 17), "c": []}, "synthetic": {"a": name("s", 0, 40)}}
+    export(tmp_path / "d", parts)
+    where = [str(tmp_path / x) for x in ("d", "out", "checkpoint")]
+    seen = []
+    for batches in (1, 2, 1):  # stopped after some batches, started again
+        dataset.scan(spark, *where, batches=batches, rows=8)
+        seen.append(spark.read.parquet(where[1]).count())
+    assert seen == sorted(set(seen)) and {r.part for r in spark.read.parquet(where[1]).collect()} == {"verified"}
+    dataset.scan(spark, *where, rows=8)
+    export(tmp_path / "d", {"unverified": {"d": name("late", 2, 11)}})  # a file that comes later
+    dataset.scan(spark, *where, rows=8)
+    parts["unverified"]["d"] = name("late", 2, 11)
+    want = []
+    for part in ("verified", "unverified"):
+        texts = [t for f in parts[part].values() for t in f]
+        want += [(part, i, t.strip()) for i, t in enumerate(texts) if t and t.strip()]
+    got = spark.read.parquet(where[1]).orderBy("batch", F.col("part").desc(), "pos").select("part", "pos", "text").collect()
+    assert [tuple(r) for r in got] == want
+
+
+def test_dataset_goes_on_after_what_a_ledger_says(spark, tmp_path):
+    export(tmp_path / "d", {"verified": {"a": [f"v{i}" for i in range(20)]}, "unverified": {"a": [f"u{i}" for i in range(5)]}})
+    dataset.scan(spark, *(str(tmp_path / x) for x in ("d", "out", "checkpoint")), done='{"verified": 18, "unverified": 4}')
+    assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["u4", "v18", "v19"]
