@@ -265,3 +265,16 @@ lambda x: x <> '' AND len(regexp_extract_all(x, '\p{L}')) > 0 AND len(regexp_ext
 def cleaned_again(spark, sf_dir):
     rows = files.recleaned(read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), LATIN)
     return rows.select("doc_id", F.col("words_before").cast("long").alias("words_before"), F.col("words_after").cast("long").alias("words_after"))
+
+
+@query(r"""WITH s AS (SELECT unnest(string_split_regex(text, '\n(?:[ \t\v\f\r]*\n)+')) AS s FROM (SELECT regexp_replace(replace(text, '.' || chr(10), '.' || chr(10) || chr(10)), '\r\n?', chr(10), 'g') AS text FROM documents)),
+t AS (SELECT trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM s) SELECT md5(s) AS segment, count(*) AS n, CAST(any_value(length(s)) AS BIGINT) AS chars FROM t WHERE s <> '' GROUP BY 1""")
+def segments_of_files(spark, sf_dir):
+    """Documents written as text files, with a blank line after each line that ends a sentence, and read back by segments."""
+    from .plans.lineage import Scratch
+    from .sources.segments import file_segments
+
+    place = f"{Scratch(spark).place}/texts"
+    files.write_text(read(spark, sf_dir, "documents").where("text is not null").select(F.replace("text", F.lit(".\n"), F.lit(".\n\n"))), place)
+    found = file_segments(spark, place).groupBy(F.md5(F.col("text").cast("binary")).alias("segment"))
+    return found.agg(F.count(F.lit(1)).alias("n"), F.min(F.length("text")).cast("long").alias("chars"))

@@ -15,7 +15,7 @@ from granary.functions.tokens import Vocabulary
 from granary.operators import metrics
 from granary.plans import corpus
 from granary.presets import ACCENTED, LATIN
-from granary.sources import commits, files, listings, sinks, tokenfiles
+from granary.sources import commits, files, listings, segments, sinks, tokenfiles
 from granary.streaming import collect
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -178,3 +178,18 @@ def test_streams(spark, tmp_path):
     assert sorted(r.text for n, r in seen if n == "texts") == ["a", "b", "c", "d"]
     closed = {(r.event_type, r.window.start.hour, r.n) for n, r in seen if n == "counts"}
     assert closed == {("x", 0, 3), ("y", 0, 1)}
+
+
+ODD_TEXTS = [
+    b"one\ntwo\n\nthree\n \t\n\nfour\r\nfive\r\n\r\nsix", b"", b"\n\n\n", b"\n x \n\n y", b"a\n\nb\n\n", b"one segment\nof lines\nonly\n", b"\r\ra\r\rb\rc",
+    "é\u00a0ü\n\u00a0\n\nß\n\n\u00a0\n\nend".encode(), b"bad \xff bytes\n\n\xe2\x82", b"x\n" * 20, b"\x1c\n\n\x1cz",
+]
+
+
+@pytest.mark.parametrize("split", [1, 3, 1 << 20])
+def test_segments_of_files_cut_anywhere(spark, tmp_path, split):
+    for i, t in enumerate(ODD_TEXTS):
+        (tmp_path / f"f{i:02d}.txt").write_bytes(t)
+    want = [(r.path.split("/")[-1], r.pos, r.text) for r in files.text_segments(spark, [("s", str(tmp_path), "b")]).collect()]
+    got = [(r.path.split("/")[-1], r.pos, r.text) for r in segments.file_segments(spark, str(tmp_path), split_bytes=split).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 15
