@@ -278,3 +278,22 @@ def segments_of_files(spark, sf_dir):
     files.write_text(read(spark, sf_dir, "documents").where("text is not null").select(F.replace("text", F.lit(".\n"), F.lit(".\n\n"))), place)
     found = file_segments(spark, place).groupBy(F.md5(F.col("text").cast("binary")).alias("segment"))
     return found.agg(F.count(F.lit(1)).alias("n"), F.min(F.length("text")).cast("long").alias("chars"))
+
+
+_ARTICLE = """array_to_string(list_filter(list_transform(string_split_regex(html, '<[^>]*>'), lambda x: trim(replace(replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&amp;', '&'))), lambda x: x <> ''), chr(10))"""
+
+
+@query(f"SELECT page_id, {_ARTICLE} AS text FROM (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS html FROM pages WHERE page_id % 5 < 4 AND html IS NOT NULL) WHERE html <> ''")
+def article_bodies(spark, sf_dir):
+    """Pages whose article is in the JSON of a script, by turns deep in arrays, behind null values of the key, behind a
+    string that looks like the key's object, before another one, or, every fifth, below another key."""
+    from .sources.articles import article_bodies as bodies
+
+    inner = F.to_json(F.struct(F.regexp_extract("html", "(?s)<article>(.*)</article>", 1).alias("body")))
+    data = F.concat(F.lit('{"articleData":{"id":7,"data":'), inner, F.lit("}}"))
+    wrap = lambda before, after: F.concat(F.lit(before), data, F.lit(after))
+    odd = F.col("page_id") % 5
+    blob = F.when(odd == 0, wrap('{"props":{"z":[[1,{"w":', '}],"articleData"],"a":null}}')).when(odd == 1, wrap('[{"articleData":null,"below":{"articleData":{"data":{"body":"wrong"}}}},{"z":', ',"a":2}]'))
+    blob = blob.when(odd == 2, wrap('{"z":"{\\"articleData\\":{}}","y":', "}")).when(odd == 3, wrap('{"z":', ',"a":{"articleData":{"data":{"body":"later"}}}}')).otherwise(F.replace(data, F.lit("articleData"), F.lit("articledata")))
+    stored = F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), F.replace(blob, F.lit("</script"), F.lit("<\\/script")), F.lit("</script></html>"))
+    return bodies(read(spark, sf_dir, "pages").select("page_id", stored.alias("html")))

@@ -193,3 +193,33 @@ def test_segments_of_files_cut_anywhere(spark, tmp_path, split):
     want = [(r.path.split("/")[-1], r.pos, r.text) for r in files.text_segments(spark, [("s", str(tmp_path), "b")]).collect()]
     got = [(r.path.split("/")[-1], r.pos, r.text) for r in segments.file_segments(spark, str(tmp_path), split_bytes=split).collect()]
     assert sorted(got) == sorted(want) and len(want) > 15
+
+
+def test_first_value_is_that_of_the_recursive_search(spark):
+    from granary.functions import udfs
+    from granary.sources.articles import first_value
+
+    r = random.Random(9)
+
+    def tree(depth):
+        if depth == 0 or r.random() < 0.2:
+            return r.choice([1, None, "text", '{"k":1}', True, 2.5, "", [], {}])
+        if r.random() < 0.4:
+            return [tree(depth - 1) for _ in range(r.randint(0, 3))]
+        return {x: tree(depth - 1) for x in r.sample(["k", "zz", "a", "m", "ü"] if r.random() < 0.3 else ["zz", "a", "m", "ü"], r.randint(0, 3))}
+
+    import json
+
+    blobs = [json.dumps(tree(6), ensure_ascii=i % 2 == 0) for i in range(300)] + ['{"k":', "", "k", '"k"', '{"k":{"b":[1, 2]}}x', '{"a":{"k":{"z":1,"a":[{"q":"x"}]}}}', None]
+    rows = spark.createDataFrame(list(enumerate(blobs)), "id long, blob string").repartition(3)
+    want = {r.id: r.found for r in rows.select("id", udfs.find_key("k")("blob").alias("found")).collect() if r.found is not None}
+    got = {r.id: r.found for r in first_value(rows, "id", "blob", "k").collect()}
+    assert set(got) == set(want) and len(want) > 60
+
+    def value(x):
+        try:
+            return json.loads(x)
+        except ValueError:
+            return x
+
+    assert all(value(got[i]) == (v if isinstance(v := json.loads(want[i]), int | float | list | dict) else value(v)) for i in want)
