@@ -93,6 +93,7 @@ def file_segments(spark: SparkSession, path: str, glob: str = "*.txt", split_byt
     joined = pieces.select("path", "block", "segment", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
     whole = inner.unionByName(joined).withColumn("text", T.strip(F.col("text"))).where("text <> ''")
     whole = scratch.written(whole, "segments")
+    scratch.drop("stretches")
     counts = whole.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("path", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("path", "block").orderBy("segment")) - 1
