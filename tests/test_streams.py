@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.operators import ledger
-from granary.streaming import dataset, stateful
+from granary.presets import LATIN
+from granary.sources import commits
+from granary.streaming import collect, dataset, stateful
 
 START = datetime(2024, 1, 1, tzinfo=UTC)
 
@@ -105,3 +107,58 @@ def test_dataset_goes_on_after_what_a_ledger_says(spark, tmp_path):
     export(tmp_path / "d", {"verified": {"a": [f"v{i}" for i in range(20)]}, "unverified": {"a": [f"u{i}" for i in range(5)]}})
     dataset.scan(spark, *(str(tmp_path / x) for x in ("d", "out", "checkpoint")), done='{"verified": 18, "unverified": 4}')
     assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["u4", "v18", "v19"]
+
+
+def items(spark, folder, numbers):
+    for i in numbers:
+        spark.createDataFrame([(f"k{i}", f"good words of item {i}"), (f"n{i}", "123")], "key string, text string").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+
+def tables(spark, out):
+    return {t: sorted(r.key for r in collect.collection(spark, out, t).collect()) for t in collect.TABLES}
+
+
+def run(spark, folder, **bounds):
+    return collect.collected(spark, f"{folder}/in", "key string, text string", LATIN, f"{folder}/out", f"{folder}/cp", files_per_batch=1, **bounds)
+
+
+@pytest.mark.parametrize("writes", [0, 1, 2, 3])
+def test_a_crash_between_any_two_writes_shows_all_of_a_batch_or_none(spark, tmp_path, monkeypatch, writes):
+    from pyspark.sql import DataFrameWriter
+
+    items(spark, tmp_path, [0])
+    assert tables(spark, f"{tmp_path}/out") == {"raw": [], "clean": [], "ledger": []}
+    run(spark, tmp_path)
+    first = tables(spark, f"{tmp_path}/out")
+    assert first == {"raw": ["k0", "n0"], "clean": ["k0"], "ledger": ["k0", "n0"]}
+    items(spark, tmp_path, [1])
+    done, parquet, publish = [], DataFrameWriter.parquet, commits.publish
+
+    def crash(f):
+        def call(*a, **b):
+            if len(done) == writes:
+                raise OSError("the driver is gone")
+            done.append(1)
+            return f(*a, **b)
+
+        return call
+
+    with monkeypatch.context() as m:
+        m.setattr(DataFrameWriter, "parquet", crash(parquet))
+        m.setattr(commits, "publish", crash(publish))
+        with pytest.raises(Exception, match="driver is gone"):
+            run(spark, tmp_path)
+    assert tables(spark, f"{tmp_path}/out") == first
+    assert run(spark, tmp_path) == "drained"
+    assert tables(spark, f"{tmp_path}/out") == {"raw": ["k0", "k1", "n0", "n1"], "clean": ["k0", "k1"], "ledger": ["k0", "k1", "n0", "n1"]}
+
+
+def test_a_run_ends_at_its_bounds_and_the_next_goes_on(spark, tmp_path):
+    items(spark, tmp_path, range(6))
+    assert run(spark, tmp_path, most_items=3) == "items"
+    assert len(tables(spark, f"{tmp_path}/out")["raw"]) == 4  # bounds hold between batches of two
+    assert run(spark, tmp_path, most_seconds=0, most_items=100) == "seconds"
+    assert len(tables(spark, f"{tmp_path}/out")["raw"]) == 6
+    assert run(spark, tmp_path, most_seconds=1000, most_items=100) == "drained"
+    assert tables(spark, f"{tmp_path}/out")["clean"] == [f"k{i}" for i in range(6)]
+    assert run(spark, tmp_path) == "drained" and len(tables(spark, f"{tmp_path}/out")["raw"]) == 12
