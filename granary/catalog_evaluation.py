@@ -196,3 +196,14 @@ def dataset_scan(spark, sf_dir):
         docs.where(wanted).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{place}/dataset/{part}")
     dataset.scan(spark, f"{place}/dataset", f"{place}/scanned", f"{place}/checkpoint", rows=100_000)
     return spark.read.schema(dataset.SCHEMA).parquet(f"{place}/scanned").select("part", "pos", F.length("text").cast("long").alias("chars"))
+
+
+@query("""WITH g AS (SELECT conv_id, turn, list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS g FROM conversations)
+SELECT array_to_string(g, ' ') AS roles, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM g WHERE len(g) = 3 GROUP BY 1""")
+def role_trigrams(spark, sf_dir):
+    """Roles of three turns in a row, by a table function over conversations, called from SQL."""
+    from .functions import udtfs
+
+    udtfs.register(spark)
+    read(spark, sf_dir, "conversations").select("conv_id", "turn", "role").createOrReplaceTempView("granary_turns")
+    return spark.sql("SELECT array_join(gram, ' ') AS roles, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM ngrams(3, TABLE(granary_turns) PARTITION BY conv_id ORDER BY turn) GROUP BY 1")

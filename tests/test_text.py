@@ -1,6 +1,7 @@
 import re
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
@@ -112,3 +113,25 @@ def test_impossible_json_path_gives_null(spark):
 def test_latin_preset_splits(spark):
     assert one(spark, 99, lambda c: T.split_name(c), "int") == "test"
     assert LATIN.min_ratio == 0.95
+
+
+def test_table_functions_equal_the_column_forms(spark):
+    from granary.functions import udtfs
+    from granary.operators import metrics
+    from granary.sources import files
+
+    udtfs.register(spark)
+    texts = ["one\ntwo\n\nthree\n \t\n\nfour\r\nfive\r\n\r\nsix", "", None, "\n\n\n", "\n x \n\n y", "a\u00a0\n\n\u00a0\n\nb", "x"]
+    spark.createDataFrame(list(enumerate(texts)), "id int, body string").createOrReplaceTempView("udtf_texts")
+    got = spark.sql("SELECT id, s.pos, s.text FROM udtf_texts, LATERAL segments(body) s")
+    want = spark.table("udtf_texts").select("id", F.posexplode(files.segments(F.col("body"))).alias("pos", "text"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 9
+    spark.createDataFrame([(k, i, f"t{i % (k + 1)}") for k in range(5) for i in range(2 * k)], "k int, i int, t string").createOrReplaceTempView("udtf_tokens")
+    for n in (1, 2, 3):
+        got = spark.sql(f"SELECT k, i, gram FROM ngrams({n}, TABLE(udtf_tokens) PARTITION BY k ORDER BY i)")
+        arrays = spark.table("udtf_tokens").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda s: s["t"]).alias("ids"))
+        want = arrays.select("k", F.posexplode(metrics.ngrams(F.col("ids"), n)).alias("i", "gram")).select("k", (F.col("i") + n - 1).alias("i"), "gram")
+        assert sorted((r.k, r.i, tuple(r.gram)) for r in got.collect()) == sorted((r.k, r.i, tuple(r.gram)) for r in want.collect())
+    for bad in ("SELECT * FROM ngrams(0, TABLE(udtf_tokens) PARTITION BY k)", "SELECT * FROM segments(1)"):
+        with pytest.raises(Exception, match=r"ngrams\(\)|segments\(\)"):
+            spark.sql(bad).collect()
