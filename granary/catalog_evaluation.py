@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.tokens import Vocabulary
 from .operators import metrics, reasoning
+from .plans.lineage import Scratch
 from .registered import query, read
 
 VOCABULARIES = "/opt/tokenizers"
@@ -37,15 +38,17 @@ def windowed_cross_entropy(spark, sf_dir):
     return got.select("lang", "tokens", "bytes", "cross_entropy", F.round("perplexity", 4).alias("perplexity"), "bits_per_byte")
 
 
-_STARTS = "(i * 7919 + 13) % 900"
-
-
-@query(f"""WITH {_STREAM}, d AS (SELECT {_STARTS} AS a FROM range(320) x(i)), k AS (SELECT p AS pos, count(*) AS k FROM (SELECT unnest(range(a + 1, a + 65)) AS p FROM d) GROUP BY p),
-r AS (SELECT sum(loss * k) AS loss, CAST(sum(k) AS BIGINT) AS tokens FROM s JOIN k USING (pos) WHERE lang = 'en')
-SELECT round(loss / tokens, 6) AS loss, tokens, round(exp(loss / tokens), 4) AS perplexity FROM r""")
+@query(f"""WITH {_STREAM}, z AS (SELECT lang, count(*) AS n FROM s GROUP BY lang), d AS (SELECT lang, n, ((i * 2654435761 + 97) % 4294967296) * (n - 64) // 4294967296 AS a FROM z, range(320) x(i) WHERE n > 64),
+k AS (SELECT lang, p AS pos, count(*) AS k FROM (SELECT lang, unnest(range(a + 1, a + 65)) AS p FROM d) GROUP BY ALL),
+r AS (SELECT lang, sum(loss * k) AS loss, CAST(sum(k) AS BIGINT) AS tokens FROM s JOIN k USING (lang, pos) GROUP BY lang)
+SELECT lang, round(loss / tokens, 6) AS loss, tokens, round(exp(loss / tokens), 4) AS perplexity, reach FROM r JOIN (SELECT lang, min(a) * 10 < any_value(n) AND max(a) * 10 >= any_value(n) * 9 AS reach FROM d GROUP BY lang) USING (lang)""")
 def sampled_validation_perplexity(spark, sf_dir):
-    starts = spark.range(320).select(((F.col("id") * 7919 + 13) % 900).alias("start"))
-    return metrics.sampled_loss(_stream(spark, sf_dir).where("lang = 'en'").select("pos", "loss"), starts, 64)
+    """320 windows of 64 tokens of each language's whole stream; reach: whether draws come to its first and last tenth."""
+    stream = _stream(spark, sf_dir)
+    sizes = stream.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    starts = Scratch(spark).written(metrics.random_starts(sizes, 320, 64), "starts")
+    reach = starts.groupBy("lang").agg(((F.min("start") * 10 < F.first("n")) & (F.max("start") * 10 >= F.first("n") * 9)).alias("reach"))
+    return metrics.sampled_losses(stream, starts.select("lang", "start"), "lang", 64).join(F.broadcast(reach), "lang")
 
 
 @query()
@@ -137,7 +140,6 @@ SELECT p // 1024 * 1024 AS pos, count(*) AS n, CAST(sum(id) AS BIGINT) AS total,
 def token_file_windows(spark, sf_dir):
     """Words as 16-bit ids by their first letter and length, an id 0 after each document: written as token files, and
     read back as windows of one stream."""
-    from .plans.lineage import Scratch
     from .sources.tokenfiles import read_tokens, write_tokens
 
     ids = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"), 0), lambda w: (F.ascii(w) * 64 + F.length(w)) % 65536)
@@ -188,7 +190,6 @@ def streamed_shards(spark, sf_dir):
 row_number() OVER (PARTITION BY lang = 'en' ORDER BY doc_id) - 1 AS pos FROM documents) WHERE regexp_matches(text, '[^ \\t\\n\\v\\f\\r]')""")
 def dataset_scan(spark, sf_dir):
     """Documents exported as a dataset of two parts, and scanned by a stream in micro-batches of 100,000 documents."""
-    from .plans.lineage import Scratch
     from .streaming import dataset
 
     place, docs = Scratch(spark).place, read(spark, sf_dir, "documents")

@@ -119,21 +119,25 @@ def find_key(key: str = "articleData"):
     return _each("string")(run)
 
 
+def common_length(x, y) -> int:
+    """Length of the longest common subsequence: a row of the table is one number, whose zeros are its steps up."""
+    where: dict = {}
+    for i, w in enumerate(x):
+        where[w] = where.get(w, 0) | 1 << i
+    whole = (1 << len(x)) - 1
+    row = whole
+    for w in y:
+        if (at := where.get(w)) is not None:
+            met = row & at
+            row = ((row + met) | (row - met)) & whole
+    return len(x) - row.bit_count()
+
+
 @F.pandas_udf(DoubleType())
 def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
     """F1 of the longest common subsequence of two word arrays; 0 where either is empty."""
-
-    def one(x, y) -> float:
-        if x is None or y is None or not len(x) or not len(y):
-            return 0.0
-        row = [0] * (len(y) + 1)
-        for w in x:
-            corner = 0
-            for j, v in enumerate(y, 1):
-                corner, row[j] = row[j], corner + 1 if w == v else max(row[j], row[j - 1])
-        return 2 * row[-1] / (len(x) + len(y))
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    some = lambda x, y: x is not None and y is not None and len(x) and len(y)
+    return pd.Series([2 * common_length(x, y) / (len(x) + len(y)) if some(x, y) else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def shard_fold(limit: int):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.tokens import Vocabulary
 from ..functions.udfs import rouge_l
+from ..plans.lineage import Scratch
 
 
 def ngrams(ids: Column, n: int) -> Column:
@@ -180,6 +181,21 @@ def sampled_loss(losses: DataFrame, starts: DataFrame, length: int) -> DataFrame
     return got.select(F.round(F.col("loss") / F.col("tokens"), 6).alias("loss"), "tokens", F.round(F.exp(F.col("loss") / F.col("tokens")), 4).alias("perplexity"))
 
 
+def sampled_losses(losses: DataFrame, starts: DataFrame, by: str, length: int) -> DataFrame:
+    """sampled_loss() of each of many streams: losses (by, pos, loss), starts (by, start), whose number is that of the draws."""
+    wanted = starts.select(by, F.explode(F.sequence(F.col("start") + 1, F.col("start") + length)).alias("pos")).groupBy(by, "pos").agg(F.count(F.lit(1)).alias("_k"))
+    got = losses.join(F.broadcast(wanted), [by, "pos"]).groupBy(by).agg(F.sum(F.col("loss") * F.col("_k")).alias("loss"), F.sum("_k").alias("tokens"))
+    return got.select(by, F.round(F.col("loss") / F.col("tokens"), 6).alias("loss"), "tokens", F.round(F.exp(F.col("loss") / F.col("tokens")), 4).alias("perplexity"))
+
+
+def random_starts(sizes: DataFrame, draws: int, length: int, seed: int = 0) -> DataFrame:
+    """sizes (by, n: tokens of a stream) with `draws` starts of windows anywhere in it that have `length` tokens and one more; a
+    stream without room for one has none. The i-th start is a multiplicative hash of i and seed, scaled to the stream."""
+    share = F.pmod((F.col("_i") + seed * draws) * 2654435761 + 97, F.lit(1 << 32))
+    rows = sizes.where(F.col("n") > length).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("_i"))
+    return rows.withColumn("start", F.shiftright(share * (F.col("n") - length), 32)).drop("_i")
+
+
 def windows(n: int, length: int) -> int:
     """Full windows of a stream, each with a target after it; the rest is dropped."""
     return max(0, (n - 1) // length)
@@ -191,12 +207,22 @@ def perplexity(totals: DataFrame) -> DataFrame:
     return totals.withColumns({"cross_entropy": F.round(ce, 6), "perplexity": F.round(F.exp(ce), 6), "bits_per_byte": F.round(ce * math.log2(math.e) * F.col("tokens") / F.nullif("bytes", F.lit(0)), 6)})
 
 
-def with_unigram_loss(tokens: DataFrame, token: str) -> DataFrame:
-    """tokens with the loss of each under an add-one unigram model of all of them: a stand-in for a neural scorer."""
-    counts = tokens.groupBy(token).agg(F.count(F.lit(1)).alias("_c"))
-    total = counts.agg(F.sum("_c").alias("_total"), F.count(F.lit(1)).alias("_kinds"))
-    loss = counts.crossJoin(F.broadcast(total)).select(token, (-F.log((F.col("_c") + 1) / (F.col("_total") + F.col("_kinds")))).alias("loss"))
-    return tokens.join(loss, token)
+def with_unigram_loss(tokens: DataFrame, token: str, many: int = 1024) -> DataFrame:
+    """tokens with the loss of each under an add-one unigram model of all of them: a stand-in for a neural scorer.
+
+    Words are counted first. Those that make up more than a many-th of all tokens, fewer than `many`, take their loss
+    from a map, and their rows are spread over the join in which the others find theirs.
+    """
+    counts = Scratch(tokens.sparkSession).written(tokens.groupBy(token).agg(F.count(F.lit(1)).alias("_c")), "counts")
+    total, kinds = counts.agg(F.sum("_c"), F.count(F.lit(1))).first()
+    loss = -F.log((F.col("_c") + 1) / F.lit(float((total or 0) + kinds)))
+    losses = counts.select(F.col(token).alias("_word"), loss.alias("_loss"))
+    hot = [x for r in counts.where(F.col("_c") * many > (total or 0)).select(token, loss).collect() if r[0] is not None for x in r]
+    common = F.create_map(*map(F.lit, hot)) if hot else F.create_map().cast("map<string,double>")
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*tokens.columns), F.lit(many)).cast("string"))
+    rows = tokens.withColumn("_common", F.get(F.array(F.element_at(common, F.col(token))), 0) if hot else F.lit(None).cast("double"))
+    rows = rows.withColumn("_word", F.when(F.col("_common").isNotNull(), spread).otherwise(F.col(token)))
+    return rows.join(losses, "_word", "left").select(*tokens.columns, F.coalesce("_common", "_loss").alias("loss")).where(F.col(token).isNotNull())
 
 
 def unigram_losses(docs: DataFrame, by: str, text: str = "text") -> DataFrame:

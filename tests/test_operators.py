@@ -190,3 +190,37 @@ def test_stream_is_drained_once(spark, tmp_path):
 
 def test_section_upsert():
     assert files.upsert_section("# r\n## a\n1\n## b\n2\n", "a", "9") == "# r\n## a\n9\n## b\n2\n"
+
+
+def test_common_subsequences_of_long_texts():
+    import time
+
+    from granary.functions.udfs import common_length
+
+    r = random.Random(1)
+    for _ in range(300):
+        x, y = ([r.choice("abcde") for _ in range(r.randint(0, 30))] for _ in range(2))
+        row = [0] * (len(y) + 1)
+        for w in x:
+            corner = 0
+            for j, v in enumerate(y, 1):
+                corner, row[j] = row[j], corner + 1 if w == v else max(row[j], row[j - 1])
+        assert common_length(x, y) == row[-1]
+    x, y = ([r.randrange(500) for _ in range(20_000)] for _ in range(2))
+    start = time.process_time()
+    assert common_length(x, y) > 1000 and time.process_time() - start < 1
+
+
+def test_losses_of_hot_words_and_draws_over_whole_streams(spark):
+    words = [("hot" if i % 3 else f"w{i % 50}") if i % 7 else "\x001" for i in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(words)), "pos long, w string").repartition(5)
+    n = Counter(words)
+    for many in (2, 40, 1024):
+        got = {(r.pos, r.w): r.loss for r in metrics.with_unigram_loss(rows, "w", many).collect()}
+        assert len(got) == 3000 and all(abs(got[i, w] + math.log((n[w] + 1) / (3000 + len(n)))) < 1e-12 for i, w in enumerate(words))
+    assert metrics.with_unigram_loss(rows.limit(0), "w").count() == 0
+    sizes = spark.createDataFrame([("a", 100_000), ("b", 65), ("c", 64)], "s string, n long")
+    starts = metrics.random_starts(sizes, 200, 64).collect()
+    a = sorted(r.start for r in starts if r.s == "a")
+    assert len(a) == 200 and a[0] < 10_000 and 90_000 < a[-1] <= 99_935 and len(set(a)) > 190
+    assert {r.start for r in starts if r.s == "b"} == {0} and not [r for r in starts if r.s == "c"]
