@@ -122,9 +122,12 @@ def variety_of_rows(spark, sf_dir):
     return reasoning.variety(rows)
 
 
-@query()
+@query("""WITH h AS (SELECT o_orderkey, ('0x' || substr(md5(o_orderkey || ':0'), 1, 15))::BIGINT AS h FROM orders), r AS (SELECT o_orderkey, h % 64 AS part, row_number() OVER (PARTITION BY h % 64 ORDER BY h, o_orderkey) - 1 AS i FROM h),
+s AS (SELECT part, coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM (SELECT part, (count(*) + 31) // 32 AS n FROM r GROUP BY part))
+SELECT o_orderkey, CAST(first + i // 32 AS BIGINT) AS batch, i % 32 AS place FROM r JOIN s USING (part)""")
 def shuffled_batches(spark, sf_dir):
-    return reasoning.shuffled(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 32).groupBy("batch").agg(F.count(F.lit(1)).alias("rows"))
+    """The whole order: each row's batch and its place there."""
+    return reasoning.shuffled(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 32)
 
 
 @query("""SELECT conv_id, turn, strict, lenient FROM (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS e, trim(text) = trim(e) AS strict, starts_with(trim(text), trim(e)) AS lenient FROM conversations) WHERE e IS NOT NULL""")

@@ -138,24 +138,3 @@ def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
     """F1 of the longest common subsequence of two word arrays; 0 where either is empty."""
     some = lambda x, y: x is not None and y is not None and len(x) and len(y)
     return pd.Series([2 * common_length(x, y) / (len(x) + len(y)) if some(x, y) else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
-
-
-def shard_fold(limit: int):
-    """mapInArrow function over sorted rows (stream, pos, tokens): shard numbers; a shard closes once it has `limit`."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        stream, shard, held = object(), 0, 0
-        for batch in batches:
-            out = []
-            for s, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if s != stream:
-                    stream, shard, held = s, 0, 0
-                out.append(shard)
-                held += n or 0
-                if held >= limit:
-                    shard, held = shard + 1, 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "shard"])
-
-    return run

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.udfs import shard_fold
 from ..plans.lineage import Scratch, cut_lineage
+from . import folds
 
 
 def pending(candidates: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -46,7 +46,8 @@ def consecutive_distinct(rows: DataFrame, by: str, order: str, value: str) -> Da
 
 
 def first_n(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
-    """At most n rows of each group: a cap of a batch."""
+    """At most n rows of each group: a cap of a batch. Below spark.sql.optimizer.windowGroupLimitThreshold (1000) each task
+    keeps n rows of a group before the shuffle, so a group that holds most rows meets as n rows a task."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_n") <= n).drop("_n")
 
 
@@ -79,15 +80,10 @@ def token_prefix(rows: DataFrame, by: str, order: str, tokens: str, cap: int | N
 
 
 def shards(rows: DataFrame, by: str, order: str, tokens: str, limit: int) -> DataFrame:
-    """Shard number of each row: a shard closes once it holds `limit` tokens, and the overshoot is forgotten.
-
-    The fold is sequential within a stream, so each stream is one task, and streams run side by side. The task reads
-    rows of three numbers in sorted Arrow batches and holds one batch, however long the stream.
-    """
-    some = rows.select(by, F.col(order).cast("long").alias("pos"), F.col(tokens).cast("long").alias("tokens"))
-    kind = dict(rows.dtypes)[by]
-    streams = some.repartition(by).sortWithinPartitions(by, "pos")
-    return streams.mapInArrow(shard_fold(limit), f"{by} {kind}, pos long, tokens long, shard long").withColumnRenamed("pos", order)
+    """Shard number of each row: a shard closes once it holds `limit` tokens, and the overshoot is forgotten. A long stream
+    is folded in ranges side by side, see folds.shards()."""
+    some = rows.select(F.col(by).alias("stream"), F.col(order).cast("long").alias("pos"), F.col(tokens).cast("long").alias("tokens"))
+    return folds.shards(some, limit).select(F.col("stream").alias(by), F.col("pos").alias(order), "tokens", "shard")
 
 
 def retry_plan(attempts: DataFrame, key: str = "key", order: str = "pos", ok: str = "ok") -> DataFrame:

@@ -224,3 +224,28 @@ def test_losses_of_hot_words_and_draws_over_whole_streams(spark):
     a = sorted(r.start for r in starts if r.s == "a")
     assert len(a) == 200 and a[0] < 10_000 and 90_000 < a[-1] <= 99_935 and len(set(a)) > 190
     assert {r.start for r in starts if r.s == "b"} == {0} and not [r for r in starts if r.s == "c"]
+
+
+@pytest.mark.parametrize(("limit", "most"), [(1, 3), (7, 3), (40, 12), (5000, 12)])
+def test_shards_of_streams_over_many_ranges(spark, limit, most):
+    r = random.Random(limit)
+    rows = [("hot", i, r.choice([0, 1, most, None])) for i in range(2500)] + [(f"s{i % 9}", i, r.randint(0, most)) for i in range(200)] + [("even", i, 1) for i in range(700)] + [(None, i, 2) for i in range(90)]
+    spark.conf.set("spark.sql.shuffle.partitions", 13)
+    try:
+        got = ledger.shards(spark.createDataFrame(rows, "s string, k long, t int").repartition(5), "s", "k", "t", limit).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    state, want = {}, {}
+    for s, k, t in rows:
+        shard, held = state.get(s, (0, 0))
+        want[s, k] = shard
+        held += t or 0
+        state[s] = (shard + 1, 0) if held >= limit else (shard, held)
+    assert {(x.s, x.k): x.shard for x in got} == want and len(got) == len(rows)
+
+
+def test_caps_cut_groups_before_the_shuffle(spark):
+    rows = spark.range(5000).selectExpr("if(id % 3 = 0, 'a', 'b') as s", "id")
+    capped = ledger.first_n(rows, "s", "id", 7)
+    assert "WindowGroupLimit" in (plan := capped._jdf.queryExecution().executedPlan().toString()).split("Exchange", 1)[1], plan
+    assert sorted(r.id for r in capped.collect()) == sorted([*range(0, 21, 3), *[i for i in range(20) if i % 3][:7]])
