@@ -236,21 +236,24 @@ def rouge_l(spark, sf_dir):
     return metrics.rouge(_pairs(spark, sf_dir), "grp")
 
 
-_LOG = "(SELECT CAST(id AS BIGINT) % 3 AS run, CAST(id AS BIGINT) // 3 AS epoch, round(2 + cos((id // 3) * 0.7 + id % 3), 6) AS loss FROM range(120) t(id))"
+_LOG = "(SELECT conv_id AS run, turn AS epoch, CAST(length(text) AS DOUBLE) AS loss FROM conversations)"
 
 
 @query(f"""WITH g AS (SELECT *, min(loss) OVER w AS best, min(loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb FROM {_LOG} WINDOW w AS (PARTITION BY run ORDER BY epoch)),
 a AS (SELECT *, max(CASE WHEN pb IS NULL OR loss < pb THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS fell FROM g),
-s AS (SELECT run, coalesce(min(CASE WHEN epoch - fell >= 5 THEN epoch END), max(epoch)) AS stopped FROM a GROUP BY run)
+s AS (SELECT run, coalesce(min(CASE WHEN epoch - fell >= 2 THEN epoch END), max(epoch)) AS stopped FROM a GROUP BY run)
 SELECT run, fell AS best_epoch, best AS best_loss, stopped FROM a JOIN s USING (run) WHERE epoch = stopped""")
 def early_stop(spark, sf_dir):
-    log = spark.range(120).select((F.col("id") % 3).alias("run"), F.floor(F.col("id") / 3).alias("epoch"))
-    return metrics.best_epoch(log.withColumn("loss", F.round(2 + F.cos(F.col("epoch") * 0.7 + F.col("run")), 6)), 5)
+    """Conversations as runs: turns are epochs, and the length of what is said is the loss."""
+    log = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run"), F.col("turn").alias("epoch"), F.length("text").cast("double").alias("loss"))
+    return metrics.best_epoch(log, 2)
 
 
-@query("SELECT CAST(id AS BIGINT) AS step, round(CASE WHEN id < 20 THEN 0.001 * (id + 1) / 20 ELSE 0.0001 + 0.5 * (1 + cos(pi() * least(1.0, (id - 20) / 180))) * 0.0009 END, 9) AS lr FROM range(250) t(id)")
+@query("SELECT doc_id AS step, round(CASE WHEN doc_id < 20 THEN 0.001 * (doc_id + 1) / 20 ELSE 0.0001 + 0.5 * (1 + cos(pi() * least(1.0, (doc_id - 20) / greatest(1, n - 20)))) * 0.0009 END, 9) AS lr FROM documents, (SELECT count(*) AS n FROM documents)")
 def lr_schedule(spark, sf_dir):
-    return spark.range(250).select(F.col("id").alias("step"), F.round(metrics.learning_rate(F.col("id"), 0.001, 0.0001, 20, 200), 9).alias("lr"))
+    """The rate at each document of one pass over all of them."""
+    docs = _read(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("step"), F.round(metrics.learning_rate(F.col("doc_id"), 0.001, 0.0001, 20, docs.count()), 9).alias("lr"))
 
 
 @query("WITH t AS (SELECT label AS rank, avg(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))) + 1 AS loss FROM embeddings GROUP BY label), b AS (SELECT min(loss) AS b FROM t) SELECT min(rank) AS rank, round(arg_min(loss, rank), 5) AS loss FROM t, b WHERE loss <= b + 0.02")
@@ -308,10 +311,13 @@ def even_windows(spark, sf_dir):
     return metrics.even_starts(n, 50, 256)
 
 
-@query("SELECT CAST(s AS BIGINT) AS step, CAST(b AS BIGINT) AS b, CAST((s * 4 * 256) % (100000 - 257) + b * 256 AS BIGINT) AS start FROM range(200) x(s), range(4) y(b)")
+@query("""WITH t AS (SELECT CAST(sum(n_chars) AS BIGINT) AS n FROM documents), x AS (SELECT n, unnest(range(n // 1024)) AS s FROM t)
+SELECT s AS step, b, CAST((s * 4 * 256) % (n - 257) + b * 256 AS BIGINT) AS start FROM x, range(4) y(b)""")
 def batch_windows(spark, sf_dir):
-    rows = spark.range(200).select(F.col("id").alias("step"), F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")).alias("b"))
-    return rows.withColumn("start", metrics.batch_starts(F.col("step"), F.col("b"), 4, 256, 100_000))
+    """Starts of all sequences of one pass over the documents' characters."""
+    n = _read(spark, sf_dir, "documents").agg(F.sum("n_chars")).first()[0]
+    rows = spark.range(n // 1024).select(F.col("id").alias("step"), F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")).alias("b"))
+    return rows.withColumn("start", metrics.batch_starts(F.col("step"), F.col("b"), 4, 256, n))
 
 
 @query("WITH h AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 10 = 0), t AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 10 <> 0) SELECT count(*) FILTER (k IN (SELECT k FROM t)) AS shared, count(*) FILTER (k NOT IN (SELECT k FROM t)) AS only_held FROM h")

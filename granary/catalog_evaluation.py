@@ -85,19 +85,20 @@ def seed_means(spark, sf_dir):
     return metrics.seed_means(rows, "split", "accuracy")
 
 
-@query("""WITH s AS (SELECT CAST(id % 5 AS INTEGER) AS lr, id // 5 AS step, CASE WHEN id % 5 = 4 AND id // 5 = 30 THEN 'NaN'::DOUBLE ELSE 3 - (id % 5 + 1) * (id // 5) / 100.0 + CASE WHEN id % 5 = 3 THEN id // 5 * 0.1 ELSE 0 END END AS loss FROM range(200) t(id)),
+@query("""WITH s AS (SELECT turn AS lr, conv_id AS step, CASE WHEN turn = 5 AND length(text) % 97 = 0 THEN 'NaN'::DOUBLE ELSE length(text) END AS loss FROM conversations),
 r AS (SELECT *, row_number() OVER (PARTITION BY lr ORDER BY step) AS a, row_number() OVER (PARTITION BY lr ORDER BY step DESC) AS z FROM s),
 g AS (SELECT lr, avg(loss) FILTER (a <= 10) AS f, avg(loss) FILTER (z <= 10) AS l, count(*) FILTER (isnan(loss) OR isinf(loss)) AS bad FROM r GROUP BY lr)
 SELECT arg_min(lr, l) AS lr, round(min(l), 6) AS loss FROM g WHERE bad = 0 AND l < f""")
 def best_rate(spark, sf_dir):
-    i, step = F.col("id") % 5, F.floor(F.col("id") / 5)
-    loss = F.when((i == 4) & (step == 30), float("nan")).otherwise(3 - (i + 1) * step / 100.0 + F.when(i == 3, step * 0.1).otherwise(0.0))
-    return metrics.best_rate(spark.range(200).select(i.cast("int").alias("lr"), step.alias("step"), loss.alias("loss")))
+    """Turns as rates and conversations as steps: the rate whose last steps say least, if they say less than its first."""
+    loss = F.when((F.col("turn") == 5) & (F.length("text") % 97 == 0), float("nan")).otherwise(F.length("text").cast("double"))
+    return metrics.best_rate(read(spark, sf_dir, "conversations").select(F.col("turn").alias("lr"), F.col("conv_id").alias("step"), loss.alias("loss")))
 
 
-@query("SELECT CAST(id AS BIGINT) AS step, CASE WHEN id < 20 THEN 0.001 * (id + 1) / 20 ELSE 0.001 END AS lr FROM range(60) t(id)")
+@query("SELECT doc_id AS step, CASE WHEN doc_id < 20 THEN 0.001 * (doc_id + 1) / 20 ELSE 0.001 END AS lr FROM labels")
 def finetune_schedule(spark, sf_dir):
-    return spark.range(60).select(F.col("id").alias("step"), metrics.learning_rate(F.col("id"), 0.001, None, 20, 60).alias("lr"))
+    """The rate at each labelled document: constant after the warm-up."""
+    return read(spark, sf_dir, "labels").select(F.col("doc_id").alias("step"), metrics.learning_rate(F.col("doc_id"), 0.001, None, 20, 60).alias("lr"))
 
 
 @query("""WITH e AS (SELECT vec_id, embedding AS v, range(len(embedding)) AS places FROM embeddings),

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.tokens import Vocabulary
 from ..functions.udfs import rouge_l
 from ..plans.lineage import Scratch
+from .ledger import first_n
 
 
 def ngrams(ids: Column, n: int) -> Column:
@@ -310,9 +311,10 @@ def fastest_sound(rows: DataFrame, baseline: int = 32, slack: float = 1.05) -> D
 
 def best_rate(steps: DataFrame, band: int = 10) -> DataFrame:
     """Learning rate of the lowest mean over the last steps among those whose loss fell and stayed finite."""
-    up, down = (Window.partitionBy("lr").orderBy(o) for o in (F.col("step"), F.col("step").desc()))
-    rows = steps.withColumns({"a": F.row_number().over(up), "z": F.row_number().over(down)})
-    got = rows.groupBy("lr").agg(F.avg(F.when(F.col("a") <= band, F.col("loss"))).alias("first"), F.avg(F.when(F.col("z") <= band, F.col("loss"))).alias("last"), F.count_if(F.isnan("loss") | (F.abs("loss") == float("inf"))).alias("bad"))
+    ends = (("first", F.col("step")), ("last", F.col("step").desc()))
+    means = [first_n(steps, "lr", order, band).groupBy("lr").agg(F.avg("loss").alias(name)) for name, order in ends]
+    bad = steps.groupBy("lr").agg(F.count_if(F.isnan("loss") | (F.abs("loss") == float("inf"))).alias("bad"))
+    got = means[0].join(means[1], "lr").join(bad, "lr")
     return got.where("bad = 0 and last < first").agg(F.min_by("lr", "last").alias("lr"), F.round(F.min("last"), 6).alias("loss"))
 
 
