@@ -18,23 +18,24 @@ a AS (SELECT w, count(*) AS c FROM w GROUP BY w), t AS (SELECT sum(c) AS total,
 s AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id, i) - 1 AS pos, -ln((c + 1) / (total + kinds)) AS loss FROM w JOIN a USING (w), t)"""
 
 
-def _stream(spark, sf_dir):
-    """lang, pos, loss: positions by running totals over documents, not over words."""
-    from .operators import ledger
-
-    words = F.filter(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "")
-    docs = read(spark, sf_dir, "documents").select("lang", "doc_id", words.alias("w")).withColumn("n", F.size("w"))
-    placed = ledger.running_total(docs, "lang", "doc_id", "n", "before")
-    each = placed.select("lang", "before", F.posexplode("w").alias("i", "w")).select("lang", (F.col("before") + F.col("i")).alias("pos"), "w")
-    return metrics.with_unigram_loss(each, "w")
+def _words():
+    return F.filter(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "")
 
 
 @query(f"""WITH {_STREAM}, n AS (SELECT lang, count(*) AS n FROM s GROUP BY lang), b AS (SELECT lang, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY lang),
 f AS (SELECT lang, sum(loss) AS loss, count(*) AS tokens FROM s JOIN n USING (lang) WHERE pos >= 1 AND pos <= (n - 1) // 256 * 256 GROUP BY lang)
 SELECT lang, tokens, bytes, round(loss / tokens, 6) AS cross_entropy, round(exp(loss / tokens), 4) AS perplexity, round(loss * log2(exp(1)) / bytes, 6) AS bits_per_byte FROM f JOIN b USING (lang)""")
 def windowed_cross_entropy(spark, sf_dir):
-    bytes_ = read(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    got = metrics.perplexity(metrics.window_losses(_stream(spark, sf_dir), "lang", 256).join(bytes_, "lang"))
+    """Losses of all tokens by counts of words, without those of each stream's first token and of what full windows leave."""
+    docs = read(spark, sf_dir, "documents").select("lang", "doc_id", "text")
+    losses, sums = metrics.unigram_model(docs, "lang", _words())
+    upto = F.floor((F.col("tokens") - 1) / 256) * 256
+    left = sums.where("tokens > 0").select("lang", F.explode(F.array_union(F.array(F.lit(0).cast("long")), F.when(upto + 1 < F.col("tokens"), F.sequence(upto + 1, F.col("tokens") - 1)).otherwise(F.array()))).alias("pos"))
+    places = metrics.placed(docs, "lang", "doc_id", _words())
+    out = metrics.words_at(docs, "lang", "doc_id", _words(), places, left).join(losses, "w").groupBy("lang").agg(F.sum("loss").alias("out"))
+    bytes_ = docs.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    kept = sums.join(out, "lang").select("lang", (F.col("loss") - F.col("out")).alias("loss"), upto.alias("tokens"))
+    got = metrics.perplexity(kept.join(bytes_, "lang"))
     return got.select("lang", "tokens", "bytes", "cross_entropy", F.round("perplexity", 4).alias("perplexity"), "bits_per_byte")
 
 
@@ -44,11 +45,15 @@ r AS (SELECT lang, sum(loss * k) AS loss, CAST(sum(k) AS BIGINT) AS tokens FROM
 SELECT lang, round(loss / tokens, 6) AS loss, tokens, round(exp(loss / tokens), 4) AS perplexity, reach FROM r JOIN (SELECT lang, min(a) * 10 < any_value(n) AND max(a) * 10 >= any_value(n) * 9 AS reach FROM d GROUP BY lang) USING (lang)""")
 def sampled_validation_perplexity(spark, sf_dir):
     """320 windows of 64 tokens of each language's whole stream; reach: whether draws come to its first and last tenth."""
-    stream = _stream(spark, sf_dir)
-    sizes = stream.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    starts = Scratch(spark).written(metrics.random_starts(sizes, 320, 64), "starts")
+    docs = read(spark, sf_dir, "documents").select("lang", "doc_id", "text")
+    losses, sums = metrics.unigram_model(docs, "lang", _words())
+    starts = Scratch(spark).written(metrics.random_starts(sums.select("lang", F.col("tokens").alias("n")), 320, 64), "starts")
+    places = metrics.placed(docs, "lang", "doc_id", _words())
+    drawn = metrics.words_at(docs, "lang", "doc_id", _words(), places, metrics.drawn_places(starts, "lang", 64)).join(losses, "w")
+    got = drawn.groupBy("lang").agg(F.sum(F.col("loss") * F.col("k")).alias("loss"), F.sum("k").alias("tokens"))
+    mean = F.col("loss") / F.col("tokens")
     reach = starts.groupBy("lang").agg(((F.min("start") * 10 < F.first("n")) & (F.max("start") * 10 >= F.first("n") * 9)).alias("reach"))
-    return metrics.sampled_losses(stream, starts.select("lang", "start"), "lang", 64).join(F.broadcast(reach), "lang")
+    return got.select("lang", F.round(mean, 6).alias("loss"), "tokens", F.round(F.exp(mean), 4).alias("perplexity")).join(F.broadcast(reach), "lang")
 
 
 @query()

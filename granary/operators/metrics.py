@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions.tokens import Vocabulary
 from ..functions.udfs import rouge_l
 from ..plans.lineage import Scratch
-from .ledger import first_n
+from .ledger import first_n, running_total
 
 
 def ngrams(ids: Column, n: int) -> Column:
@@ -182,15 +182,13 @@ def sampled_loss(losses: DataFrame, starts: DataFrame, length: int) -> DataFrame
     return got.select(F.round(F.col("loss") / F.col("tokens"), 6).alias("loss"), "tokens", F.round(F.exp(F.col("loss") / F.col("tokens")), 4).alias("perplexity"))
 
 
-def sampled_losses(losses: DataFrame, starts: DataFrame, by: str, length: int) -> DataFrame:
-    """sampled_loss() of each of many streams: losses (by, pos, loss), starts (by, start), whose number is that of the draws."""
-    wanted = starts.select(by, F.explode(F.sequence(F.col("start") + 1, F.col("start") + length)).alias("pos")).groupBy(by, "pos").agg(F.count(F.lit(1)).alias("_k"))
-    got = losses.join(F.broadcast(wanted), [by, "pos"]).groupBy(by).agg(F.sum(F.col("loss") * F.col("_k")).alias("loss"), F.sum("_k").alias("tokens"))
-    return got.select(by, F.round(F.col("loss") / F.col("tokens"), 6).alias("loss"), "tokens", F.round(F.exp(F.col("loss") / F.col("tokens")), 4).alias("perplexity"))
+def drawn_places(starts: DataFrame, by: str, length: int) -> DataFrame:
+    """by, pos, k: the tokens that windows at `starts` (by, start) predict, `length` each, and how often."""
+    return starts.select(by, F.explode(F.sequence(F.col("start") + 1, F.col("start") + length)).alias("pos")).groupBy(by, "pos").agg(F.count(F.lit(1)).alias("k"))
 
 
 def random_starts(sizes: DataFrame, draws: int, length: int, seed: int = 0) -> DataFrame:
-    """sizes (by, n: tokens of a stream) with `draws` starts of windows anywhere in it that have `length` tokens and one more; a
+    """sizes (any key, n: tokens of a stream) with `draws` starts of windows anywhere in it that have `length` tokens and one more; a
     stream without room for one has none. The i-th start is a multiplicative hash of i and seed, scaled to the stream."""
     share = F.pmod((F.col("_i") + seed * draws) * 2654435761 + 97, F.lit(1 << 32))
     rows = sizes.where(F.col("n") > length).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("_i"))
@@ -226,6 +224,38 @@ def with_unigram_loss(tokens: DataFrame, token: str, many: int = 1024) -> DataFr
     return rows.join(losses, "_word", "left").select(*tokens.columns, F.coalesce("_common", "_loss").alias("loss")).where(F.col(token).isNotNull())
 
 
+def unigram_model(docs: DataFrame, by: str, words: Column) -> tuple[DataFrame, DataFrame]:
+    """Losses of words (w, loss) under an add-one unigram model of all documents, and sums (by, loss, tokens) over the groups'
+    tokens, from counts alone: no row a token is shuffled, however often a word occurs."""
+    scratch = Scratch(docs.sparkSession)
+    counts = scratch.written(docs.select(by, F.explode(words).alias("w")).groupBy(by, "w").agg(F.count(F.lit(1)).alias("n")), "counts")
+    total, kinds = counts.agg(F.sum("n"), F.countDistinct("w")).first()
+    losses = counts.groupBy("w").agg((-F.log((F.sum("n") + 1) / F.lit(float((total or 0) + kinds)))).alias("loss"))
+    losses = scratch.written(losses, "losses")
+    sums = counts.join(losses, "w").groupBy(by).agg(F.sum(F.col("n") * F.col("loss")).alias("loss"), F.sum("n").alias("tokens"))
+    return losses, sums
+
+
+def placed(docs: DataFrame, by: str, order: str, words: Column) -> DataFrame:
+    """by, order, n, before: where each document's words begin in its group's stream."""
+    return Scratch(docs.sparkSession).written(running_total(docs.select(by, order, F.size(words).cast("long").alias("n")), by, order, "n", "before"), "placed")
+
+
+def words_at(docs: DataFrame, by: str, order: str, words: Column, places: DataFrame, wanted: DataFrame, block: int = 1024) -> DataFrame:
+    """wanted (a small table: by, pos, further columns) with w, the word at that place of the group's stream.
+
+    Places meet in blocks of the stream, and only documents with a wanted word give rows. (by, order) names a document.
+    """
+    blocks = F.sequence(F.floor(F.col("before") / block), F.floor((F.col("before") + F.col("n") - 1) / block))
+    held = places.where("n > 0").select(by, order, "n", "before", F.explode(blocks).alias("_block"))
+    asked = wanted.withColumn("_block", F.floor(F.col("pos") / block))
+    met = held.join(F.broadcast(asked), [by, "_block"]).where("pos >= before and pos < before + n")
+    met = met.select(by, order, *(c for c in wanted.columns if c != by), (F.col("pos") - F.col("before")).cast("int").alias("_at"))
+    met = Scratch(docs.sparkSession).written(met, "met")
+    texts = docs.select(by, order, words.alias("_words")).join(F.broadcast(met), [by, order])
+    return texts.select(*wanted.columns, F.get("_words", F.col("_at")).alias("w"))
+
+
 def unigram_losses(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
     """A stand-in for a neural scorer: add-one unigram losses, summed by group. Columns: by, loss, tokens, bytes."""
     w = docs.select(by, F.explode(F.split(F.trim(text), r"\s+")).alias("w")).where("w <> ''").groupBy(by, "w").agg(F.count(F.lit(1)).alias("n"))
