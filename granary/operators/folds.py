@@ -95,13 +95,13 @@ def _numbered(limit: int, begun: dict):
     return piece
 
 
-def shards(rows: DataFrame, limit: int) -> DataFrame:
+def shards(rows: DataFrame, limit: int, ranges: int | None = None) -> DataFrame:
     """rows (stream, pos, tokens: none negative) with the shard of each: one closes once it holds `limit` tokens, at least 1,
     and the overshoot is forgotten. The driver gets two numbers for each range of a stream that has several, fewer than two
-    such a partition."""
+    such a partition. ranges: their number, by default that of shuffle partitions, of which small ones are joined."""
     scratch, kind = Scratch(rows.sparkSession), dict(rows.dtypes)
     spread = rows.select("stream", "pos", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
-    dealt = scratch.written(spread.repartitionByRange("stream", "pos").withColumn("range", F.spark_partition_id()), "dealt")
+    dealt = scratch.written(spread.repartitionByRange(*([ranges] if ranges else []), "stream", "pos").withColumn("range", F.spark_partition_id()), "dealt")
     sums = dealt.groupBy("stream", "range").agg(F.sum("tokens").alias("sum"))
     many = Window.partitionBy("stream")
     sums = sums.withColumns({"n": F.count(F.lit(1)).over(many), "first": F.coalesce(F.sum("sum").over(many.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}).where("n > 1")
@@ -119,8 +119,8 @@ def shards(rows: DataFrame, limit: int) -> DataFrame:
 def _begun(dealt: DataFrame, starts: dict, limit: int, scratch: Scratch) -> dict:
     """See _numbered(): what comes into each range of the streams that have several."""
     spark, kind = dealt.sparkSession, dict(dealt.dtypes)
-    wanted = spark.createDataFrame([(s,) for s in starts], f"stream {kind['stream']}")
-    some = dealt.join(F.broadcast(wanted), F.col("stream").eqNullSafe(wanted.stream), "left_semi")
+    wanted = spark.createDataFrame([(s,) for s in starts], f"_s {kind['stream']}")
+    some = dealt.join(F.broadcast(wanted), F.col("stream").eqNullSafe(F.col("_s")), "left_semi")
     some = some.repartition("stream", "range").sortWithinPartitions("stream", "range", "pos")
     schema = pa.schema([("stream", to_arrow_type(dealt.schema["stream"].dataType)), ("range", pa.int32()), ("hi", pa.int64()), ("target", pa.int64()), ("closed", pa.int64()), ("to", pa.int32())])
     doors = scratch.written(some.mapInArrow(lambda batches: _pieces(batches, _doors(limit, starts), schema), f"stream {kind['stream']}, range int, hi long, target long, closed long, to int"), "doors")

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import ledger, metrics, reasoning
+from granary.operators import folds, ledger, metrics, reasoning
 from granary.plans import corpus
 from granary.presets import LATIN
 from granary.sources import files
@@ -230,18 +230,15 @@ def test_losses_of_hot_words_and_draws_over_whole_streams(spark):
 def test_shards_of_streams_over_many_ranges(spark, limit, most):
     r = random.Random(limit)
     rows = [("hot", i, r.choice([0, 1, most, None])) for i in range(2500)] + [(f"s{i % 9}", i, r.randint(0, most)) for i in range(200)] + [("even", i, 1) for i in range(700)] + [(None, i, 2) for i in range(90)]
-    spark.conf.set("spark.sql.shuffle.partitions", 13)
-    try:
-        got = ledger.shards(spark.createDataFrame(rows, "s string, k long, t int").repartition(5), "s", "k", "t", limit).collect()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    table = spark.createDataFrame(rows, "s string, k long, t int").selectExpr("s as stream", "k as pos", "cast(t as long) as tokens").repartition(5)
+    got = folds.shards(table, limit, ranges=13).collect()
     state, want = {}, {}
     for s, k, t in rows:
         shard, held = state.get(s, (0, 0))
         want[s, k] = shard
         held += t or 0
         state[s] = (shard + 1, 0) if held >= limit else (shard, held)
-    assert {(x.s, x.k): x.shard for x in got} == want and len(got) == len(rows)
+    assert {(x.stream, x.pos): x.shard for x in got} == want and len(got) == len(rows)
 
 
 def test_caps_cut_groups_before_the_shuffle(spark):
