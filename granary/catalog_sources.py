@@ -297,3 +297,13 @@ def article_bodies(spark, sf_dir):
     blob = blob.when(odd == 2, wrap('{"z":"{\\"articleData\\":{}}","y":', "}")).when(odd == 3, wrap('{"z":', ',"a":{"articleData":{"data":{"body":"later"}}}}')).otherwise(F.replace(data, F.lit("articleData"), F.lit("articledata")))
     stored = F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), F.replace(blob, F.lit("</script"), F.lit("<\\/script")), F.lit("</script></html>"))
     return bodies(read(spark, sf_dir, "pages").select("page_id", stored.alias("html")))
+
+
+@query(r"""WITH p AS (SELECT source AS file, doc_id + 1 AS page, coalesce(len(regexp_extract_all(text, '[A-Za-z]')) / nullif(len(regexp_extract_all(text, '\p{L}')), 0), 0) < 0.85 AS used_ocr FROM documents)
+SELECT file, max(page) AS last_page, count(*) FILTER (used_ocr) AS ocr_pages, count(*) FILTER (NOT used_ocr) AS text_pages FROM p GROUP BY file""")
+def pages_read_by_file(spark, sf_dir):
+    """Documents as pages of files, by source: each page's own choice between text layer and recognised text, and the ledger
+    after a run that reads all pages."""
+    pages = read(spark, sf_dir, "documents").select(F.col("source").alias("file"), (F.col("doc_id") + 1).alias("page"), F.col("text").alias("layer"), F.upper("text").alias("ocr"))
+    empty = spark.createDataFrame([], "file string, last_page long, ocr_pages long, text_pages long")
+    return corpus.page_ledger(empty, corpus.page_texts(pages, empty, LATIN, 0.85))

@@ -93,3 +93,20 @@ def quota(account: DataFrame, target: int, fertility: float) -> DataFrame:
         F.round(100 * F.col("tokens") / target, 6).alias("target_percent"), (F.col("manual") >= target // 5).alias("quota_met"),
         F.bround(F.col("tokens") * fertility).cast("bigint").alias("estimated_tokens"),
     )
+
+
+def page_texts(pages: DataFrame, ledger: DataFrame, preset: Preset, least: float = 0.3) -> DataFrame:
+    """file, page, used_ocr, raw, clean of the pages (file, page, layer, ocr) that the ledger (file, last_page) doesn't have yet:
+    each page's own text layer, or what was recognised on it where the layer is hardly in the script; with letters
+    corrected, as it is and cleaned. A page is a row, so a file of any number of pages spreads over tasks."""
+    left = pages.join(ledger.select("file", "last_page"), "file", "left").where(F.col("page") > F.coalesce("last_page", F.lit(0)))
+    chosen = T.layer_or_ocr(F.col("layer"), F.coalesce("ocr", F.lit("")), preset, least)
+    got = left.select("file", "page", chosen.alias("c")).select("file", "page", "c.used_ocr", T.corrected(F.coalesce("c.text", F.lit("")), preset).alias("raw"))
+    return got.withColumn("clean", udfs.cleaned(F.col("raw"), preset)["text"])
+
+
+def page_ledger(ledger: DataFrame, read: DataFrame) -> DataFrame:
+    """The ledger (file, last_page, ocr_pages, text_pages) after pages were read: file, page, used_ocr."""
+    new = read.groupBy("file").agg(F.max("page").alias("last_page"), F.count_if("used_ocr").alias("ocr_pages"), F.count_if(~F.col("used_ocr")).alias("text_pages"))
+    old = ledger.select(*new.columns)
+    return old.unionByName(new).groupBy("file").agg(F.max("last_page").alias("last_page"), F.sum("ocr_pages").alias("ocr_pages"), F.sum("text_pages").alias("text_pages"))

@@ -223,3 +223,17 @@ def test_first_value_is_that_of_the_recursive_search(spark):
             return x
 
     assert all(value(got[i]) == (v if isinstance(v := json.loads(want[i]), int | float | list | dict) else value(v)) for i in want)
+
+
+def test_each_page_has_its_own_layer_or_ocr_and_runs_go_on(spark):
+    from granary.presets import ASSAMESE
+
+    good, poor = "কখগ ৰৱ ঘঙচ", "only latin letters"
+    pages = [("a", 1, good, None), ("a", 2, poor, "চছজ র"), ("a", 3, None, "ঝঞ"), ("b", 1, poor, None), ("b", 2, good + "\nlatin line", "x")]
+    table = spark.createDataFrame(pages, "file string, page long, layer string, ocr string")
+    ledger = spark.createDataFrame([("a", 1, 0, 1)], "file string, last_page long, ocr_pages long, text_pages long")
+    got = corpus.page_texts(table, ledger, ASSAMESE)
+    rows = {(r.file, r.page): (r.used_ocr, r.raw, r.clean) for r in got.collect()}
+    assert rows == {("a", 2): (True, "চছজ ৰ", "চছজ ৰ"), ("a", 3): (True, "ঝঞ", "ঝঞ"), ("b", 1): (True, "", ""), ("b", 2): (False, good + "\nlatin line", good)}
+    assert sorted(map(tuple, corpus.page_ledger(ledger, got).collect())) == [("a", 3, 2, 1), ("b", 2, 1, 1)]
+    assert corpus.page_texts(table, corpus.page_ledger(ledger, got), ASSAMESE).count() == 0
