@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import ledger
 from . import files
 
@@ -104,3 +105,9 @@ def dictionary_entries(body: Column) -> Column:
     """Entries of a dictionary's JSON answer, for text.dictionary_prose; null where it reports no success."""
     j = F.from_json(body, "success boolean, data struct<words: array<struct<word: string, meanings: array<struct<text: string>>>>>")
     return F.when(j["success"], j["data"]["words"])
+
+
+def channel_ids(body: Column) -> Column:
+    """Video ids of a channel's listing, one a line; null where it has none."""
+    ids = F.filter(F.transform(F.split(body, T.ANY_LINE), T.strip), lambda x: x != "")
+    return F.when(F.size(ids) > 0, ids)

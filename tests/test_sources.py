@@ -104,6 +104,11 @@ def test_failed_jobs_and_attempts_leave_no_tokens(spark, tmp_path):
     assert sum(e["bytes"] for e in commits.listed(f"{tmp_path}/t")) == 2 * rows.select(F.sum(F.size("ids"))).first()[0]
 
 
+def test_channel_listings(spark):
+    rows = spark.createDataFrame([(1, " a1 \r\n\nb2\nc3"), (2, ""), (3, None), (4, " \n\t")], "k int, body string")
+    assert {r.k: r.ids for r in rows.select("k", listings.channel_ids(F.col("body")).alias("ids")).collect()} == {1: ["a1", "b2", "c3"], 2: None, 3: None, 4: None}
+
+
 def test_listings_of_odd_responses(spark):
     pages = spark.createDataFrame([("a", 0, '{"data": [{"u": "1"}]}'), ("a", 40, None), ("a", 80, '{"data": [{"u": "3"}]}'), ("b", 0, "oops"), ("c", 0, '{"data": [{"u": "4"}, {"u": null}]}'), ("c", 4000, '{"data": [{"u": "5"}]}')], "c string, offset long, body string")
     got = listings.api_items(pages, "c", "data array<struct<u: string>>", "data", 2000).collect()
