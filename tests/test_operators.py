@@ -246,3 +246,26 @@ def test_caps_cut_groups_before_the_shuffle(spark):
     capped = ledger.first_n(rows, "s", "id", 7)
     assert "WindowGroupLimit" in (plan := capped._jdf.queryExecution().executedPlan().toString()).split("Exchange", 1)[1], plan
     assert sorted(r.id for r in capped.collect()) == sorted([*range(0, 21, 3), *[i for i in range(20) if i % 3][:7]])
+
+
+def test_losses_by_counts_equal_those_by_tokens(spark):
+    r = random.Random(6)
+    docs = [(i, "ab"[i % 3 == 0], " ".join(r.choice(["x", "x", "x", "y", f"w{r.randint(0, 30)}"]) for _ in range(r.choice([0, 1, 5, 60])))) for i in range(60)]
+    table = spark.createDataFrame(docs, "d long, s string, text string").repartition(4)
+    words = F.filter(F.split("text", " "), lambda x: x != "")
+    streams = {k: [w for _, s, t in docs if s == k for w in t.split()] for k in "ab"}
+    tokens = spark.createDataFrame([(k, i, w) for k, ws in streams.items() for i, w in enumerate(ws)], "s string, pos long, w string")
+    losses, sums = metrics.unigram_model(table, "s", words)
+    each = metrics.with_unigram_loss(tokens, "w").select("s", "pos", "loss")
+    by_token = {r.s: (r.n, r.loss) for r in each.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.sum("loss").alias("loss")).collect()}
+    assert {r.s: r.tokens for r in sums.collect()} == {k: len(v) for k, v in streams.items()}
+    assert all(abs(r.loss - by_token[r.s][1]) < 1e-9 for r in sums.collect())
+    wanted = spark.createDataFrame([(k, p, 1) for k in "ab" for p in {0, 1, 17, len(streams[k]) - 1, len(streams[k])}], "s string, pos long, k int")
+    places = metrics.placed(table, "s", "d", words)
+    got = {(r.s, r.pos): r.w for r in metrics.words_at(table, "s", "d", words, places, wanted, block=16).collect()}
+    assert got == {(k, p): streams[k][p] for k in "ab" for p in {0, 1, 17, len(streams[k]) - 1}}
+    full = {r.s: (r.loss, r.tokens) for r in metrics.window_losses(each, "s", 50).collect()}
+    left = {k: sum(1 for p in range(len(v)) if p == 0 or p > (len(v) - 1) // 50 * 50) for k, v in streams.items()}
+    assert {k: n for k, (_, n) in full.items()} == {k: len(v) - left[k] for k, v in streams.items()}
+    one = metrics.sampled_loss(each.where("s = 'a'"), spark.createDataFrame([(3,), (3,), (9,)], "start long"), 20).first()
+    assert one.tokens == 60 and losses.count() == len({w for v in streams.values() for w in v})
