@@ -11,6 +11,9 @@ from ..presets import Preset
 from .lineage import Scratch
 
 
+SALTS = 64  #: copies of a ledger's entry
+
+
 def cleaned(segments: DataFrame, preset: Preset) -> DataFrame:
     """segments (source, pos, text) with clean, dropped_lines, tokens, early (impure, suspect or null) and fp.
 
@@ -98,8 +101,10 @@ def quota(account: DataFrame, target: int, fertility: float) -> DataFrame:
 def page_texts(pages: DataFrame, ledger: DataFrame, preset: Preset, least: float = 0.3) -> DataFrame:
     """file, page, used_ocr, raw, clean of the pages (file, page, layer, ocr) that the ledger (file, last_page) doesn't have yet:
     each page's own text layer, or what was recognised on it where the layer is hardly in the script; with letters
-    corrected, as it is and cleaned. A page is a row, so a file of any number of pages spreads over tasks."""
-    left = pages.join(ledger.select("file", "last_page"), "file", "left").where(F.col("page") > F.coalesce("last_page", F.lit(0)))
+    corrected, as it is and cleaned. A page is a row, and meets its file's entry in one of SALTS places, so that a file which
+    holds most pages spreads over tasks."""
+    entries = ledger.select("file", "last_page", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    left = pages.withColumn("_salt", F.pmod(F.col("page"), F.lit(SALTS)).cast("int")).join(entries, ["file", "_salt"], "left").where(F.col("page") > F.coalesce("last_page", F.lit(0)))
     chosen = T.layer_or_ocr(F.col("layer"), F.coalesce("ocr", F.lit("")), preset, least)
     got = left.select("file", "page", chosen.alias("c")).select("file", "page", "c.used_ocr", T.corrected(F.coalesce("c.text", F.lit("")), preset).alias("raw"))
     return got.withColumn("clean", udfs.cleaned(F.col("raw"), preset)["text"])
