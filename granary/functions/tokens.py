@@ -5,11 +5,18 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
+from .udfs import by_pieces
+
+#: Bytes of text, and ids, that go to a library at a time: what it makes of a text is a hundred times as large.
+MOST = 1 << 18
+
 
 class Vocabulary:
     """path: a `.model` of sentencepiece, a `.json` of tokenizers, or a `.tiktoken` table, which needs `pattern`, the
@@ -30,21 +37,20 @@ class Vocabulary:
         """Ids of a text; of null, null."""
         kind, content, pattern = self.kind, self.content, self.pattern
 
-        @F.pandas_udf(ArrayType(IntegerType()))
-        def run(s: pd.Series) -> pd.Series:
-            codec, known = opened(kind, content, pattern), s.notna()
-            ids = iter(codec.encode(s[known].tolist()))
-            return pd.Series([next(ids) if k else None for k in known], dtype=object)
+        @F.arrow_udf(ArrayType(IntegerType()))
+        def run(s: pa.Array) -> pa.Array:
+            codec = opened(kind, content, pattern)
+            return by_pieces(s, lambda texts: _encoded(codec, texts), pa.list_(pa.int32()), MOST)
 
         return run(t)
 
     def decode(self, ids: Column) -> Column:
         kind, content, pattern = self.kind, self.content, self.pattern
 
-        @F.pandas_udf(StringType())
-        def run(s: pd.Series) -> pd.Series:
+        @F.arrow_udf(StringType())
+        def run(s: pa.Array) -> pa.Array:
             codec = opened(kind, content, pattern)
-            return s.map(lambda x: codec.decode([int(i) for i in x]), na_action="ignore")
+            return by_pieces(s, lambda rows: _decoded(codec, rows), pa.string(), MOST)
 
         return run(ids)
 
@@ -54,6 +60,20 @@ class Vocabulary:
         return F.transform(ids, lambda i: F.get(names, i))
 
 
+def _encoded(codec: _Codec, texts: pa.Array) -> pa.Array:
+    """Lists of ids as one Arrow array; of null, null."""
+    found = [np.array(ids, np.int32) for ids in codec.encode(texts.drop_null().to_pylist())]
+    sizes = np.zeros(len(texts) + 1, np.int32)
+    sizes[1:][texts.is_valid().to_numpy(zero_copy_only=False)] = [len(ids) for ids in found]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.concatenate([np.empty(0, np.int32), *found])), mask=texts.is_null())
+
+
+def _decoded(codec: _Codec, rows: pa.Array) -> list[str | None]:
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))
+    parts = np.split(rows.flatten().to_numpy(zero_copy_only=False), ends[:-1])
+    return [codec.decode(ids.tolist()) if known else None for ids, known in zip(parts, rows.is_valid().to_pylist(), strict=True)]
+
+
 class _Codec:
     """One interface for three libraries. unknown: the id of what the vocabulary lacks, or -1."""
 

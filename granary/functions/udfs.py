@@ -1,4 +1,4 @@
-"""The few functions that Spark lacks, as Arrow-batched pandas UDFs."""
+"""The few functions that Spark lacks, as UDFs over Arrow batches."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ import hashlib
 import html
 import json
 import unicodedata
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import quote
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType
@@ -18,6 +22,21 @@ from ..presets import Preset
 from . import text, wikitext
 
 
+def pieces(values: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
+    """Slices of at most `most` bytes of strings, or items of lists, but of one value at least: what is a Python object at a time."""
+    size = pc.list_value_length if pa.types.is_list(values.type) or pa.types.is_large_list(values.type) else pc.binary_length
+    ends, start = np.cumsum(pc.fill_null(size(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while start < len(values):
+        upto = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+        yield values.slice(start, upto - start)
+        start = upto
+
+
+def by_pieces(values: pa.Array, f, kind: pa.DataType, most: int = 1 << 20) -> pa.Array:
+    """f of each piece (to an Arrow array, or a list of values of that kind), put together: a batch is held as Arrow alone."""
+    return pa.concat_arrays([pa.array([], kind), *(pa.array(f(p), kind) for p in pieces(values, most))])
+
+
 def _each(kind: str):
     """A pandas UDF of a function of one string; null stays null."""
 

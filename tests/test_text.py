@@ -135,3 +135,28 @@ def test_table_functions_equal_the_column_forms(spark):
     for bad in ("SELECT * FROM ngrams(0, TABLE(udtf_tokens) PARTITION BY k)", "SELECT * FROM segments(1)"):
         with pytest.raises(Exception, match=r"ngrams\(\)|segments\(\)"):
             spark.sql(bad).collect()
+
+
+def test_vocabularies_get_a_batch_in_bounded_pieces():
+    import pyarrow as pa
+
+    from granary.functions import tokens
+
+    class Spelled:
+        most = 0
+
+        def encode(self, texts):
+            self.most = max(self.most, sum(len(t.encode()) for t in texts))
+            return [list(map(ord, t)) for t in texts]
+
+        def decode(self, ids):
+            self.most = max(self.most, len(ids))
+            return "".join(map(chr, ids))
+
+    texts = ["ab\u00e9" * 5, None, "", "x" * 90, *["abcd"] * 100, None]
+    codec = Spelled()
+    ids = udfs.by_pieces(pa.array(texts), lambda t: tokens._encoded(codec, t), pa.list_(pa.int32()), 100)
+    assert ids.to_pylist() == [None if t is None else list(map(ord, t)) for t in texts] and codec.most <= 100
+    assert udfs.by_pieces(ids, lambda r: tokens._decoded(codec, r), pa.string(), 100).to_pylist() == texts and codec.most <= 100
+    assert [len(p) for p in udfs.pieces(pa.array(["x" * 9, "y", None, "z"]), 2)] == [1, 3]
+    assert udfs.by_pieces(ids[:0], lambda r: tokens._decoded(codec, r), pa.string()).to_pylist() == []
