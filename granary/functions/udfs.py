@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import html
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 from urllib.parse import quote
 
@@ -105,12 +107,19 @@ class _Container(HTMLParser):
             self.parts.append(t)
 
 
-def container_text(selector: str = "article"):
-    """UDF: stripped text nodes of the container, a line each; null where the page has no such container."""
+def unclosed_kept(page: str) -> str:
+    """A page whose references without a semicolon (`&amp` where a title was cut) or of unknown names are plain text."""
+    named = lambda m: m[0] if m[1] and (m[1][0] == "#" or f"{m[1]};" in html5) else f"&amp;{m[0][1:]}"
+    return re.sub(r"&(?:(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);)?", named, page)
+
+
+def container_text(selector: str = "article", unclosed: bool = True):
+    """UDF: stripped text nodes of the container, a line each; null where the page has no such container. unclosed: references
+    without a semicolon count, as in browsers; else they stay as they are."""
 
     def read(page: str) -> str | None:
         p = _Container(selector)
-        p.feed(page)
+        p.feed(page if unclosed else unclosed_kept(page))
         return "\n".join(p.parts) if p.found else None
 
     return _each("string")(read)

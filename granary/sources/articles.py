@@ -50,8 +50,8 @@ def first_value(rows: DataFrame, by: str, blob: str, key: str) -> DataFrame:
             return hits.groupBy(by).agg(F.min_by("found", "place").alias("found"))
 
 
-def article_bodies(pages: DataFrame, by: str = "page_id", html: str = "html", key: str = "articleData", body: str = "$.data.body") -> DataFrame:
-    """by, text of pages whose JSON has a body below the key's first value: its text nodes, a line each."""
+def article_bodies(pages: DataFrame, by: str = "page_id", html: str = "html", key: str = "articleData", body: str = "$.data.body", unclosed: bool = True) -> DataFrame:
+    """by, text of pages whose JSON has a body below the key's first value: its text nodes, a line each; unclosed: see container_text."""
     blobs = pages.select(by, page_json(F.col(html)).alias("blob")).where(F.col("blob").contains(key))
     found = first_value(blobs, by, "blob", key).select(by, F.get_json_object("found", body).alias("body")).where("body <> ''")
-    return found.select(by, udfs.container_text("article")(F.concat(F.lit("<article>"), F.col("body"), F.lit("</article>"))).alias("text"))
+    return found.select(by, udfs.container_text("article", unclosed)(F.concat(F.lit("<article>"), F.col("body"), F.lit("</article>"))).alias("text"))

@@ -160,3 +160,9 @@ def test_vocabularies_get_a_batch_in_bounded_pieces():
     assert udfs.by_pieces(ids, lambda r: tokens._decoded(codec, r), pa.string(), 100).to_pylist() == texts and codec.most <= 100
     assert [len(p) for p in udfs.pieces(pa.array(["x" * 9, "y", None, "z"]), 2)] == [1, 3]
     assert udfs.by_pieces(ids[:0], lambda r: tokens._decoded(codec, r), pa.string()).to_pylist() == []
+
+
+def test_references_without_semicolon_stay_if_asked(spark):
+    page = "<article><h1>a&amp</h1>b &lt;c&#62; &notit; &AMP; & &&amp;amp;</article>"
+    assert one(spark, page, udfs.container_text("article", unclosed=False)) == "a&amp\nb <c> &notit; & & &&amp;"
+    assert one(spark, "<article>a&amp</article>", udfs.container_text()) == "a&"
