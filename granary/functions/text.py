@@ -97,6 +97,18 @@ def corrected(t: Column, preset: Preset) -> Column:
     return t
 
 
+# Letters that become several in upper case, and what stands for them alone: themselves, if nothing does.
+_SEVERAL = [c for c in map(chr, range(0xFB20)) if len(c.upper()) > 1 and not 0xD800 <= ord(c) < 0xE000]
+_ALONE = ["\u1e9e" if c == "\u00df" else c.title() if len(c.title()) == 1 else c for c in _SEVERAL]
+
+
+def upper_by_letter(t: Column) -> Column:
+    """Upper case of as many characters; only texts with a letter that would become several are read one by one."""
+    kept = lambda c: F.translate(c, "".join(_SEVERAL), "".join(_ALONE))
+    each = F.transform(F.split(t, ""), lambda c: F.when(F.length(F.upper(c)) > 1, kept(c)).otherwise(F.upper(c)))
+    return F.when(t.rlike(f"[{''.join(_SEVERAL)}]"), F.array_join(each, "")).otherwise(F.upper(t))
+
+
 def fingerprint(t: Column) -> Column:
     return F.sha2(t.cast("binary"), 256)
 

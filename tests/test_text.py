@@ -166,3 +166,23 @@ def test_references_without_semicolon_stay_if_asked(spark):
     page = "<article><h1>a&amp</h1>b &lt;c&#62; &notit; &AMP; & &&amp;amp;</article>"
     assert one(spark, page, udfs.container_text("article", unclosed=False)) == "a&amp\nb <c> &notit; & & &&amp;"
     assert one(spark, "<article>a&amp</article>", udfs.container_text()) == "a&"
+
+
+def test_upper_case_by_letter(spark):
+    assert one(spark, "stra\u00dfe \u01f0 \ufb01 \u1fb3x", T.upper_by_letter) == "STRA\u1e9eE \u01f0 \ufb01 \u1fbcX"
+    assert one(spark, "h\u00e9", T.upper_by_letter) == "H\u00c9" and one(spark, None, T.upper_by_letter) is None
+
+
+def test_article_and_ocr_queries_equal_their_sql_on_cut_references_and_sharp_s(spark, tmp_path):
+    import duckdb
+
+    from granary import catalog
+
+    spark.createDataFrame([(i, f"<html><article><h1>a&{'amp' * (i % 2)}</h1>b &amp; c</article></html>") for i in range(5)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, "\u00df \u00e4 \u043f\u0440"), (2, "abc"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for name in ("pages", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("article_text", "article_bodies", "text_layer_or_ocr"):
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLES[name]})").fetchall())
