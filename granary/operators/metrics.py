@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,21 +85,83 @@ def seed_means(rows: DataFrame, by: str, value: str, digits: int = 4) -> DataFra
     return rows.groupBy(by).agg(F.round(F.avg(F.round(value, digits)), digits).alias(value))
 
 
-def _matched(rows: DataFrame, by: str, hyp: str, ref: str, order: int) -> DataFrame:
-    """by, n, matches (clipped by row), hyps, refs: n-gram counts summed over the rows of a group.
+#: Items of rows that are counted together: bounds the arrays of a task.
+ITEMS = 1 << 19
+
+
+def _clipped(group: np.ndarray, items: list[np.ndarray], sizes: list[np.ndarray], order: int) -> np.ndarray:
+    """matches (clipped by row), hyps and refs by group and n. group: a number for each row; items, sizes: small numbers
+    for the words or characters of hypotheses and of references, row after row, and how many each row has.
 
-    N-grams are counted in hash aggregates, so a long row costs its length and not its square.
+    An n-gram is one number of its row and items, as digits; where these don't fit, what came so far is numbered anew.
     """
-    rows = rows.select(F.col(by).alias("_by"), F.monotonically_increasing_id().alias("_id"), F.col(hyp).alias("_x"), F.col(ref).alias("_y"))
+    sizes_ = np.concatenate(sizes)
+    codes, side = np.concatenate(items).astype(np.uint64), np.repeat(np.array([0, 1], np.uint64), [len(x) for x in items])
+    left = np.repeat(np.cumsum(sizes_), sizes_) - np.arange(len(codes))  # items from here to the row's end
+    key = np.repeat(np.tile(np.arange(len(group), dtype=np.uint64), 2), sizes_)
+    owner, span, kinds, at = group, 1, int(codes.max(initial=0)) + 1, np.arange(len(codes))
+    out = np.zeros((int(group.max(initial=-1)) + 1, order, 3), np.int64)
+    for n in range(1, order + 1):
+        whole = left[at] >= n
+        at, key = at[whole], key[whole]
+        if not len(at):
+            break
+        if len(owner) * span * kinds >= 1 << 62:
+            seen, key = np.unique(key, return_inverse=True)
+            owner, span, key = owner[seen // np.uint64(span)], 1, key.astype(np.uint64)
+        key, span = key * np.uint64(kinds) + codes[at + n - 1], span * kinds
+        grams = np.sort(key * np.uint64(2) + side[at])
+        first = np.flatnonzero(np.diff(grams >> np.uint64(1), prepend=grams[0] >> np.uint64(1)) != 0)
+        first = np.concatenate([[0], first])
+        refs = np.add.reduceat((grams & np.uint64(1)).astype(np.int64), first)
+        hyps = np.diff(first, append=len(grams)) - refs
+        of = owner[(grams[first] >> np.uint64(1)) // np.uint64(span)]
+        for k, x in enumerate((np.minimum(hyps, refs), hyps, refs)):
+            np.add.at(out[:, n - 1, k], of, x)
+    return out
+
+
+def _coded(x: pa.Array, y: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Items of two arrays of strings, or of lists of words, as small numbers, and how many each row has; null has none."""
+    if pa.types.is_string(x.type) or pa.types.is_large_string(x.type):
+        items = [np.frombuffer("".join(a.drop_null().to_pylist()).encode("utf-32-le"), np.uint32) for a in (x, y)]
+        number = np.zeros(max(int(a.max(initial=0)) for a in items) + 1, np.int64)
+        for a in items:
+            number[a] = 1
+        number = np.cumsum(number) - 1
+        items, size = [number[a] for a in items], pc.utf8_length
+    else:
+        parts = [a.flatten() for a in (x, y)]
+        both = pa.concat_arrays(parts).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        items, size = np.split(both, [len(parts[0])]), pc.list_value_length
+    return items, [pc.fill_null(size(a), 0).to_numpy(zero_copy_only=False).astype(np.int64) for a in (x, y)]
 
-    def grams(c: str, in_hyp: int) -> Column:
-        by_order = lambda n: F.transform(ngrams(F.col(c), n), lambda g: F.struct(n.alias("n"), F.xxhash64(g).alias("g"), F.lit(in_hyp).alias("h"), F.lit(1 - in_hyp).alias("r")))
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(order)), by_order))
 
-    each = rows.select("_by", "_id", F.explode(F.concat(grams("_x", 1), grams("_y", 0))).alias("s")).select("_by", "_id", "s.*")
-    counts = each.groupBy("_by", "_id", "n", "g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    sums = counts.groupBy("_by", "n").agg(F.sum(F.least("h", "r")).alias("matches"), F.sum("h").alias("hyps"), F.sum("r").alias("refs"))
-    return sums.withColumnRenamed("_by", by)
+def _matched(rows: DataFrame, by: str, hyp: str, ref: str, order: int) -> DataFrame:
+    """by, n, matches (clipped by row), hyps, refs: n-gram counts summed over the rows of a group. hyp, ref: arrays of
+    words, or strings, whose items are characters. Rows without a reference don't count.
+
+    A row's n-grams meet in its own task, by sorting; only sums are shuffled.
+    """
+    rows = rows.where(F.col(ref).isNotNull()).select(F.col(by).alias("_by"), F.col(hyp).alias("_x"), F.col(ref).alias("_y"))
+
+    def sums(batches):
+        for batch in batches:
+            size = pc.list_value_length if pa.types.is_list(batch.column("_x").type) or pa.types.is_large_list(batch.column("_x").type) else pc.utf8_length
+            ends = np.cumsum(sum(pc.fill_null(size(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_x", "_y")))
+            start = 0
+            while start < batch.num_rows:
+                upto = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + ITEMS, side="right")))
+                part, start = batch.slice(start, upto - start), upto
+                groups = part.column("_by").dictionary_encode(null_encoding="encode")
+                found = _clipped(groups.indices.to_numpy().astype(np.int64), *_coded(part.column("_x"), part.column("_y")), order)
+                g, n = np.nonzero(found.sum(2))
+                made = [groups.dictionary.take(pa.array(g)), pa.array(n + 1, pa.int32()), *(pa.array(found[g, n, k]) for k in range(3))]
+                yield pa.RecordBatch.from_arrays(made, ["_by", "n", "matches", "hyps", "refs"])
+
+    each = rows.mapInArrow(sums, f"_by {rows.schema['_by'].dataType.simpleString()}, n int, matches long, hyps long, refs long")
+    found = each.groupBy("_by", "n").agg(*(F.sum(c).alias(c) for c in ("matches", "hyps", "refs")))
+    return found.withColumnRenamed("_by", by)
 
 
 def bleu(rows: DataFrame, by: str, hyp: str = "hyp", ref: str = "ref", order: int = 4) -> DataFrame:
@@ -109,7 +174,7 @@ def bleu(rows: DataFrame, by: str, hyp: str = "hyp", ref: str = "ref", order: in
         F.avg(F.log(F.when(F.col("matches") > 0, F.col("matches") / F.col("hyps")).otherwise(1.0))).alias("mean"),
         F.max(F.when(F.col("n") == 1, F.col("hyps"))).alias("hl"), F.max(F.when(F.col("n") == 1, F.col("refs"))).alias("rl"),
     )
-    brevity = F.when(F.col("hl") >= F.col("rl"), 1.0).otherwise(F.exp(1 - F.col("rl") / F.col("hl")))
+    brevity = F.when(F.col("hl") >= F.col("rl"), 1.0).otherwise(F.exp(1 - F.col("rl") / F.nullif("hl", F.lit(0))))
     return m.select(by, F.round(F.when(F.col("alive") == order, 100 * brevity * F.exp("mean")).otherwise(0.0), 6).alias("bleu"))
 
 
@@ -118,7 +183,7 @@ def chrf(rows: DataFrame, by: str, hyp: str = "hyp", ref: str = "ref", order: in
 
     References are one string a row, not streams of characters.
     """
-    chars = lambda c: F.filter(F.split(F.regexp_replace(c, r"(?U)\s", ""), ""), lambda x: x != "")
+    chars = lambda c: F.regexp_replace(c, r"(?U)\s", "")
     got = _matched(rows.withColumns({"_h": chars(F.col(hyp)), "_r": chars(F.col(ref))}), by, "_h", "_r", order)
     p, r = F.col("matches") / F.nullif("hyps", F.lit(0)), F.col("matches") / F.nullif("refs", F.lit(0))
     f = F.coalesce((1 + beta**2) * p * r / F.nullif(beta**2 * p + r, F.lit(0.0)), F.lit(0.0))

@@ -269,3 +269,28 @@ def test_losses_by_counts_equal_those_by_tokens(spark):
     assert {k: n for k, (_, n) in full.items()} == {k: len(v) - left[k] for k, v in streams.items()}
     one = metrics.sampled_loss(each.where("s = 'a'"), spark.createDataFrame([(3,), (3,), (9,)], "start long"), 20).first()
     assert one.tokens == 60 and losses.count() == len({w for v in streams.values() for w in v})
+
+
+def test_clipped_ngrams_equal_counters_and_are_not_shuffled(spark):
+    import random
+    from collections import Counter
+
+    import numpy as np
+
+    draw = random.Random(3)
+    rows = [(draw.choice(["a", "b", None]), *("".join(draw.choices("xyz\u00e9\U00010330", k=draw.randrange(30))) for _ in range(2))) for _ in range(60)] + [("a", None, "xy"), ("b", "xy", None), ("c", "", "")]
+    want = {}
+    for g, x, y in rows:
+        for n in range(1, 7) if y is not None else ():
+            a, b = (Counter(t[i : i + n] for i in range(len(t) - n + 1)) for t in (x or "", y))
+            if a or b:
+                had = want.get((g, n), (0, 0, 0))
+                want[g, n] = (had[0] + sum((a & b).values()), had[1] + sum(a.values()), had[2] + sum(b.values()))
+    df = spark.createDataFrame(rows, "g string, x string, y string").repartition(3)
+    for cols in (df, df.select("g", *(F.filter(F.split(c, ""), lambda v: v != "").alias(c) for c in "xy"))):
+        got = metrics._matched(cols, "g", "x", "y", 6)
+        assert {(r.g, r.n): (r.matches, r.hyps, r.refs) for r in got.collect()} == want
+        assert "MapInArrow" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "Generate" not in plan
+    wide = [np.array([1 << 40, 5, 1 << 40, 5, 7]), np.array([5, 1 << 40, 5, 7])]  # numbers that don't fit as digits
+    assert metrics._clipped(np.array([0]), wide, [np.array([5]), np.array([4])], 3).tolist() == [[[4, 5, 4], [3, 4, 3], [2, 3, 2]]]
+    assert metrics.bleu(spark.createDataFrame([("g", [], ["a"])], "g string, hyp array<string>, ref array<string>"), "g").first().bleu == 0
