@@ -136,7 +136,7 @@ def caption_text(t: Column) -> Column:
     """Text of WebVTT captions: no headers, cue times and tags; a line equal to the one before it is left out."""
     body = F.filter(F.split(t, ANY_LINE), lambda x: ~x.rlike("^(WEBVTT|Kind:|Language:)") & ~x.contains("-->"))
     plain = F.filter(F.transform(body, lambda x: strip(F.regexp_replace(x, "<[^>]+>", ""))), lambda x: x != "")
-    return F.array_join(F.filter(plain, lambda x, i: (i == 0) | (x != F.get(plain, i - 1))), "\n")
+    return F.array_join(bound(plain, lambda lines: F.filter(lines, lambda x, i: (i == 0) | (x != F.get(lines, i - 1)))), "\n")
 
 
 def slug(t: Column, most: int = 60) -> Column:
