@@ -40,12 +40,13 @@ def by_pieces(values: pa.Array, f, kind: pa.DataType, most: int = 1 << 20) -> pa
 
 
 def _each(kind: str):
-    """A pandas UDF of a function of one string; null stays null."""
+    """An Arrow UDF of a function of one string; null stays null."""
+    spark_kind, arrow_kind = {"string": (StringType(), pa.string()), "long": (LongType(), pa.int64())}[kind]
 
     def wrap(f):
-        @F.pandas_udf({"string": StringType(), "long": LongType()}[kind])
-        def run(s: pd.Series) -> pd.Series:
-            return s.map(f, na_action="ignore")
+        @F.arrow_udf(spark_kind)
+        def run(s: pa.Array) -> pa.Array:
+            return by_pieces(s, lambda p: [None if x is None else f(x) for x in p.to_pylist()], arrow_kind)
 
         return run
 

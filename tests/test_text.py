@@ -195,3 +195,15 @@ def test_captions_and_markers_are_computed_once(spark):
     lines = "\n".join(["a", "a", "", "b", "a"])
     assert one(spark, lines, T.caption_text) == "a\nb\na"
     assert one(spark, "a\u00c0\u00d7\u00ff 1", lambda c: T.count_of(c, "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff")) == 3
+
+
+def test_string_functions_hold_a_batch_as_arrow(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.array(["\u0100" + "x" * 9999] * 2000)  # 20 MB, 40 MB as Python strings
+    tracemalloc.start()
+    assert udfs.nfc.func(batch).equals(batch)
+    assert tracemalloc.get_traced_memory()[1] < 12 << 20
+    tracemalloc.stop()
