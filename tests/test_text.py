@@ -189,9 +189,8 @@ def test_article_and_ocr_queries_equal_their_sql_on_cut_references_and_sharp_s(s
 
 
 def test_captions_and_markers_are_computed_once(spark):
-    plan = lambda c: spark.createDataFrame([("x",)], "t string").select(c)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan(T.caption_text(F.col("t"))).count("split(t") == 1
-    assert plan(T.likely_language(F.col("t"), ASSAMESE)).count("regexp_replace") == 1
+    assert str(T.caption_text(F.col("t"))).count("split(t") == 1
+    assert str(T.likely_language(F.col("t"), ASSAMESE)).count("regexp_replace") == 1
     lines = "\n".join(["a", "a", "", "b", "a"])
     assert one(spark, lines, T.caption_text) == "a\nb\na"
     assert one(spark, "a\u00c0\u00d7\u00ff 1", lambda c: T.count_of(c, "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff")) == 3
