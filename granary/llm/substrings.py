@@ -8,6 +8,8 @@ picks the smallest hash among its `GRAM`-byte strings (its anchor), so that equa
 places, and a block holds the stretches of windows of one anchor. Equal stretches are counted before and stand in
 their block once. Blocks of more than `BLOCK` bytes, as hot passages in ever new surroundings make them, are parted
 further, by whole windows: a block is then one window's string, which is repeated when it stands there twice.
+
+Passages of words are found the same way, in texts written as `MARK` bytes a word (repeated_words).
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ LENGTH = 400
 GRAM = 200
 PIECE = 1 << 22  #: window starts of a long text that are worked on at once
 BLOCK = 1 << 20  #: bytes of stretches in a block, and in the blocks that are ordered at once
+WORDS = 51  #: words of a repeated passage
+MARK = 4  #: bytes of a word's hash
 _PLACE = np.uint64((1 << 23) - 1)
 
 
@@ -171,6 +175,54 @@ def _windows(length: int):
     return grouped
 
 
+def marks(text: bytes, rolling: RollingHash) -> bytes:
+    """MARK bytes for each word; words are what blanks and control characters of ASCII part."""
+    block = np.frombuffer(text, np.uint8)
+    inside = np.concatenate(([False], block > 32, [False]))
+    begin, end = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2).T
+    parts: list[bytes] = []
+    at = 0
+    while at < len(begin):
+        first = begin[at]
+        to = max(at + 1, int(np.searchsorted(end, first + PIECE, "right")))
+        prefix = rolling.prefix(block[first : end[to - 1]])
+        parts.append(rolling.of(prefix, begin[at:to] - first, end[at:to] - first).astype(f"<u{MARK}").tobytes())
+        at = to
+    return b"".join(parts)
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rolling = RollingHash()
+    for batch in batches:
+        marked = pa.array([marks(t, rolling) for t in as_bytes(batch.column("text"))], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), marked, batch.column("u")], ["doc_id", "text", "u"])
+
+
+def _words_within(words: int):
+    """u, n_repeated_words: whole words in those spans that hold `words` of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: list[int] = []
+            for runs in batch.column("spans").to_pylist():
+                spans = [(-(-r["a"] // MARK), r["b"] // MARK) for r in runs]
+                whole = np.array([x for x in spans if x[1] - x[0] >= words], np.int64).reshape(-1, 2)
+                counts.append(int(covered(whole.max(initial=0), whole[:, 0], whole[:, 1]).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), pa.array(counts, pa.int64())], ["u", "n_repeated_words"])
+
+    return run
+
+
+def repeated_words(rows: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
+    """u, n_repeated_words: of texts of rows (doc_id, text, u), the words in strings of `words` words that also start anywhere else.
+
+    Texts without any may be left out. Words are compared by 32 bits of their hash, in case and with punctuation.
+    """
+    marked = rows.mapInArrow(_marks, f"doc_id {dict(rows.dtypes)['doc_id']}, text binary, u long").where(F.octet_length("text") >= MARK * words)
+    spans = repeated_spans(scratch.written(marked, "marks"), scratch, MARK * words, MARK * max(1, words // 3))
+    return spans.mapInArrow(_words_within(words), "u long, n_repeated_words long")
+
+
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which of n bytes lie in one of the spans."""
     steps = np.zeros(n + 1, np.int64)
@@ -196,7 +248,9 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(text)
                 at += 1
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, at - begin), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats", "text"])
+            more = [n for n in batch.schema.names if n == "n_repeated_words"]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] + [batch.column(n).slice(begin, at - begin) for n in more]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, at - begin), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats", "text", *more])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -242,7 +296,10 @@ def repeated_spans(rows: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     return equal.unionByName(found).unionByName(hot).groupBy("u").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, later_only: bool = False) -> DataFrame:
+_TABLES = ("some", "classes", "blocks", "copies", "open", "windows", "same")
+
+
+def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, later_only: bool = False, words: int = 0) -> DataFrame:
     """The contract's columns for every row of docs (doc_id, text), whether it loses any byte, and the text that is left.
 
     Null texts count as empty. Texts shorter than `length` bytes lose nothing. Rows that repeat doc_id and text are
@@ -252,14 +309,23 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, later_only:
 
     later_only: the first copy of a string stays, by doc_id and place; rows that repeat doc_id and text keep or lose
     it together, and different texts of one doc_id stand in the order of a hash.
+
+    words: if given, n_repeated_words follows (see repeated_words). It removes nothing, and first copies count too.
     """
     rows = keyed(docs)
     scratch = Scratch(docs.sparkSession)
     spans = scratch.written(repeated_spans(rows, scratch, length, gram, later_only), "spans")
-    scratch.drop("some", "classes", "blocks", "copies", "open", "windows", "same")
+    scratch.drop(*_TABLES)
     kind = dict(docs.dtypes)["doc_id"]
-    return rows.join(spans, "u", "left").select("doc_id", "text", "spans").mapInArrow(_remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats boolean, text string")
+    joined, columns = rows.join(spans, "u", "left"), ["doc_id", "text", "spans"]
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats boolean, text string"
+    if words:
+        counts = scratch.written(repeated_words(rows, scratch, words), "words")
+        scratch.drop("marks", *_TABLES)
+        joined = joined.join(counts, "u", "left").withColumn("n_repeated_words", F.coalesce("n_repeated_words", F.lit(0)))
+        columns, schema = [*columns, "n_repeated_words"], f"{schema}, n_repeated_words long"
+    return joined.select(*columns).mapInArrow(_remove, schema)
 
 
 def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed(table(spark, sf_dir, "documents"))
+    return removed(table(spark, sf_dir, "documents"), words=WORDS)
